@@ -1,0 +1,6 @@
+"""The registered queries: importing the modules fills ``registry``."""
+
+from vellum.plans import evaluation, logs, relational, retrieval, text
+from vellum.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "evaluation", "logs", "relational", "retrieval", "text"]
