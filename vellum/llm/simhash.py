@@ -234,14 +234,3 @@ def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4) -> Da
     return marked.join(classes, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def drop_near_copies(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
-    """``docs`` with one row for each group of near copies: that of the smallest doc_id.
-
-    Rows without a doc_id stay; of rows that share the kept doc_id all stay.  Texts without words
-    are copies of each other.
-    """
-    found = simhash_components(docs, radius, shingle)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
