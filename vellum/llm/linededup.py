@@ -125,11 +125,13 @@ def _repeats(docs: DataFrame, min_chars: int) -> DataFrame:
 
     with_id = documents(docs).filter("doc_id is not null")
     suspects = saved(map_columns(with_id, make, "doc_id long, digest binary"), "suspects")
-    repeated = (
+    # written, so that the join has exchanges of its own, which Spark splits at a frequent line
+    repeated = saved(
         suspects.groupBy("digest")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
         .filter("first < last")
-        .select("digest", "first")
+        .select("digest", "first"),
+        "repeated",
     )
     return (
         suspects.join(repeated, "digest")
