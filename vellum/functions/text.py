@@ -207,16 +207,13 @@ def content_tokens(text: Column, stop: list[str], least: int = 3) -> Column:
 def word_grams(text: Column, longest: int = 3) -> Column:
     """Distinct runs of 1 to ``longest`` tokens joined by spaces, sorted."""
     words = tokens(text)
-    sizes = [
-        F.when(
-            F.size(words) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)),
-                lambda i, n=n: F.array_join(F.slice(words, i, n), " "),
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-        for n in range(1, longest + 1)
-    ]
+
+    def grams(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1))
+        each = F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, each).otherwise(F.array().cast("array<string>"))
+
+    sizes = [grams(n) for n in range(1, longest + 1)]
     return F.array_sort(F.array_distinct(F.flatten(F.array(*sizes))))
 
 

@@ -117,7 +117,8 @@ def page_title(html: Column) -> Column:
 def markdown_section(markdown: Column, heading: str) -> Column:
     """What stands under the first second-level heading that contains ``heading``; null without it."""
     body = F.regexp_extract(markdown, rf"(?ms)^## [^\n]*{heading}[^\n]*\n(.*?)(?=^## |\z)", 1)
-    return F.when(F.trim(body) != "", F.trim(body))
+    plain = F.regexp_replace(body, r"^\s+|\s+$", "")
+    return F.when(plain != "", plain)
 
 
 def locations(xml: Column) -> Column:
@@ -342,6 +343,6 @@ def same_texts(docs: DataFrame, row_id: str, by: str) -> DataFrame:
 def split_words(chunks: DataFrame, by: str, order: str) -> DataFrame:
     """Chunks that start inside a word which the chunk before has begun."""
     before = F.lag("text").over(W.partitionBy(by).orderBy(order))
-    cut = before.rlike(r"\p{L}-?$") & F.col("text").rlike(r"^\p{Ll}")
-    return chunks.withColumn("before", before).filter(F.coalesce(cut, F.lit(False))).drop("before")
+    cut = F.col("_before").rlike(r"\p{L}-?$") & F.col("text").rlike(r"^\p{Ll}")
+    return chunks.withColumn("_before", before).filter(cut).drop("_before")
 

@@ -127,12 +127,13 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     ranked = average_ranks(average_ranks(rows, a, "_ra"), b, "_rb")
     s = ranked.agg(
         F.count("*").alias("n"),
-        F.corr("_ra", "_rb").alias("rho"),
+        F.covar_pop("_ra", "_rb").alias("both"),
+        (F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias("spread"),
         F.min("_ra").alias("la"), F.max("_ra").alias("ha"),
         F.min("_rb").alias("lb"), F.max("_rb").alias("hb"),
     )
     varied = (F.col("la") < F.col("ha")) & (F.col("lb") < F.col("hb"))
-    return s.select("n", F.when(varied, F.col("rho")).alias("rho"))
+    return s.select("n", F.when(varied, F.try_divide("both", "spread")).alias("rho"))
 
 
 def holm(tests: DataFrame, family: list[str], p: str = "p_value") -> DataFrame:
