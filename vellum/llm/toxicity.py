@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
-Voters are words of a fixed lexicon, stems that a labelled sample shows to go with toxicity, and a
-few patterns; each votes or abstains.  A generative model of the votes estimates by EM how often each
+Voters are words of a fixed lexicon, stems that a labelled sample shows to go with toxicity, a few
+patterns, and numbers of such words in a text; each votes or abstains.  A generative model of the votes estimates by EM how often each
 voter fires on toxic and on clean texts, the label at hand being one more voter that may err; voters
 that fire together beyond what the class explains share their weight.  A logistic regression on
 the presence of the voters is then trained on the posterior labels and scores every text.
@@ -45,6 +45,8 @@ PATTERNS = {
     "/masked": re.compile(r"[A-Za-z][*@#$]{2}"),
     "/shouting": re.compile(r"[A-Z]{4}"),
 }
+#: Voters that fire where so many distinct words of a text name other voters.
+COUNTS = {"/words2": 2, "/words4": 4, "/words7": 7}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -63,11 +65,12 @@ class Voters:
         self.names = names
         self.number = {n: k for k, n in enumerate(names)}
         self.patterns = [(self.number[n], p) for n, p in PATTERNS.items() if n in self.number]
+        self.counts = [(self.number[n], k) for n, k in COUNTS.items() if n in self.number]
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def fired(self, text: str) -> list[int]:
         out = {k for k, p in self.patterns if p.search(text)}
-        cache, number = self.cache, self.number
+        cache, number, telling = self.cache, self.number, 0
         for word in words_of(text):
             found = cache.get(word)
             if found is None:
@@ -77,6 +80,8 @@ class Voters:
                 cache[word] = found
             if found:
                 out.update(found)
+                telling += 1
+        out.update(k for k, least in self.counts if telling >= least)
         return sorted(out)
 
 
@@ -205,7 +210,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """
     rows = saved(training_rows(docs, labels), "sample")
     stems = stem_voters(rows)
-    names = list(dict.fromkeys([*LEXICON, *PATTERNS, *stems]))
+    names = list(dict.fromkeys([*LEXICON, *PATTERNS, *COUNTS, *stems]))
     if not stems:
         return ToxicityModel(names, [6.0 * (n in LEXICON) for n in names], -3.0)
 
