@@ -119,7 +119,7 @@ def without_marks(text: Column) -> Column:
 def cut_at_word(text: Column, most: int, least: int = 24) -> Column:
     """At most ``most`` characters, ended at a space if one stands beyond ``least`` characters."""
     head = F.substring(text, 1, most)
-    at_word = F.regexp_replace(head, r"\s+\S*$", "")
+    at_word = F.regexp_replace(head, r"\s+\S*\z", "")
     cut = F.when(F.length(at_word) >= least, at_word).otherwise(head)
     return F.when(F.length(text) <= most, text).otherwise(F.rtrim(cut))
 

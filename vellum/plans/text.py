@@ -32,13 +32,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
             then rtrim(regexp_replace(substr(text, 1, 60), '\\s+\\S*$', ''), ' ') else rtrim(substr(text, 1, 60), ' ') end as short,
        sha256(trim(text, ' \t\n\r' || chr(11) || chr(12))) as query_hash,
        len(regexp_extract_all(lower(text), '\\p{L}+|\\p{N}+')) as n_tokens
-       from documents where lang = 'en'"""
+       from documents"""
 )
 def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Squeezed text, cut label, hash, tokens and capitals of English documents."""
+    """Squeezed text, cut label, hash, tokens and capitals of documents."""
     t = F.col("text")
     squeezed = F.trim(F.regexp_replace(t, r"[ \t\n\r\x0b\x0c]+", " "))
-    return _docs(spark, sf_dir).filter("lang = 'en'").select(
+    return _docs(spark, sf_dir).select(
         "doc_id", F.regexp_count(t, F.lit("[A-Z]")).cast("double").alias("upper"), F.md5(squeezed).alias("squeezed"),
         text.cut_at_word(t, 60).alias("short"), text.query_hash(t).alias("query_hash"), F.size(text.tokens(t)).cast("long").alias("n_tokens"),
     )
@@ -215,7 +215,7 @@ def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- gold questions -------------------------------------------------------------------------------
 _QUESTIONS = (
-    "with s as (select doc_id as section_id, trim(" + LABEL + ") as label, lower(text) as t from documents where n_chars < 2000), "
+    "with s as (select doc_id as section_id, trim(" + LABEL + ") as label, lower(text) as t from documents), "
     """c as (select section_id, label, case when contains(t, 'ation') or contains(t, 'ment') then 'dosage' when contains(t, 'tion') then 'use'
        when contains(t, 'ness') or contains(t, 'ous') then 'risk' else 'other' end as category from s),
     v as (select c.*, unnest(range(3)) as variant from c),
@@ -229,7 +229,7 @@ _QUESTIONS = (
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.regexp_replace(F.trim(F.regexp_replace("text", r"\s+", " ")), "[^A-Za-z ]", "")
-    sections = _docs(spark, sf_dir).filter("n_chars < 2000").select(
+    sections = _docs(spark, sf_dir).select(
         F.col("doc_id").alias("section_id"), F.trim(F.substring(plain, 1, 30)).alias("label"),
         goldset.category_of(F.col("text"), RULES, "other").alias("category"),
     )
