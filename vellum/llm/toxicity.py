@@ -1,10 +1,11 @@
 """Toxicity by weak supervision.
 
 Voters are words of a fixed lexicon, stems that a labelled sample shows to go with toxicity, a few
-patterns, and numbers of such words in a text; each votes or abstains.  A generative model of the votes estimates by EM how often each
-voter fires on toxic and on clean texts, the label at hand being one more voter that may err; voters
-that fire together beyond what the class explains share their weight.  A logistic regression on
-the presence of the voters is then trained on the posterior labels and scores every text.
+patterns, and numbers of such words in a text; each votes or abstains.  A generative model of the
+votes estimates by EM how often each voter fires on toxic and on clean texts, the label at hand being
+one more voter that may err; voters that fire together beyond what the class explains share their
+weight.  A logistic regression on the presence of the voters is then trained on the posterior labels
+and scores every text.
 The fit takes a bounded sample of labelled rows; scoring covers all texts and needs no shuffle.
 """
 
