@@ -24,6 +24,10 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words whose counts a task keeps; the table starts anew when it is full.
 CACHE_WORDS = 400_000
+#: Longer words aren't kept.
+CACHE_CHARS = 64
+
+_NONE = float("-inf")
 
 _BYTE = re.compile(r"<0x[0-9A-F]{2}>")
 
@@ -77,32 +81,39 @@ class Counter:
     def viterbi(self, word: str) -> int:
         """The number of pieces of the best segmentation."""
         n = len(word)
-        best: list[float | None] = [None] * (n + 1)
+        best = [_NONE] * (n + 1)
         count = [0] * (n + 1)
-        # of a path that ends in unknown characters: where their run starts
-        run = [0] * (n + 1)
         best[0] = 0.0
-        matches: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+        if self.singles.issuperset(word):
+            # matches come by their end, the longest first, so of equal scores the first stays
+            for end, (length, score) in self.automaton.iter(word):
+                start = end + 1 - length
+                total = best[start] + score
+                if total > best[end + 1]:
+                    best[end + 1], count[end + 1] = total, count[start] + 1
+            return count[n]
+        # of a path that ends in unknown characters: where their run starts
+        run = list(range(n + 1))
+
+        def unknown(at: int) -> None:
+            total = best[at] + self.unknown
+            if word[at] not in self.singles and total > best[at + 1]:
+                first = run[at]
+                best[at + 1], run[at + 1] = total, first
+                count[at + 1] = count[first] + self._unknown_pieces(word[first : at + 1])
+
+        done = 0
         for end, (length, score) in self.automaton.iter(word):
-            matches[end].append((length, score))
-        for end in range(1, n + 1):
-            here = list(matches[end - 1])
-            if word[end - 1] not in self.singles:
-                here.append((1, None))
-            for length, score in sorted(here, key=lambda m: -m[0]):
-                start = end - length
-                if best[start] is None:
-                    continue
-                total = best[start] + (self.unknown if score is None else score)
-                if best[end] is not None and total <= best[end]:
-                    continue
-                best[end] = total
-                if score is not None:
-                    count[end], run[end] = count[start] + 1, end
-                else:
-                    first = run[start] if run[start] < start else start
-                    run[end] = first
-                    count[end] = count[first] + self._unknown_pieces(word[first:end])
+            while done < end:
+                unknown(done)
+                done += 1
+            start = end + 1 - length
+            total = best[start] + score
+            if total > best[end + 1]:
+                best[end + 1], count[end + 1] = total, count[start] + 1
+        while done < n:
+            unknown(done)
+            done += 1
         return count[n]
 
     def __call__(self, text: str) -> int:
@@ -110,17 +121,19 @@ class Counter:
         if not text:
             return 0
         words = self.words.findall(MARK + text.replace(" ", MARK))
-        cache, total = self.cache, 0
-        for word in words:
-            n = cache.get(word)
-            if n is None:
-                n = self.viterbi(word)
-                if len(word) <= 64:
-                    if len(cache) >= self.cache_words:
-                        cache.clear()
-                    cache[word] = n
-            total += n
-        return total
+        cache = self.cache
+        new = set(words).difference(cache)
+        if not new:
+            return sum(map(cache.__getitem__, words))
+        if len(cache) + len(new) > self.cache_words:
+            cache.clear()
+            new = set(words)
+        long = {}
+        for word in new:
+            (cache if len(word) <= CACHE_CHARS else long)[word] = self.viterbi(word)
+        if not long:
+            return sum(map(cache.__getitem__, words))
+        return sum(long[w] if w in long else cache[w] for w in words)
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
