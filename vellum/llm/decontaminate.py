@@ -13,7 +13,7 @@ from __future__ import annotations
 import string
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import xxhash
@@ -55,10 +55,29 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both) if both else 0.0
 
 
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes (big-endian)."""
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), 8), axis=1).sum(axis=0)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def simhash(parts: list[bytes]) -> int:
-    h = np.array([xxhash.xxh64_intdigest(p) for p in parts], ">u8")
-    ones = np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1).sum(axis=0)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    return _majority(np.array([xxhash.xxh64_intdigest(p) for p in parts], ">u8"))
+
+
+def _shingle_hashes(words: list[bytes], windows: list[tuple[int, int, int]]) -> dict[int, np.ndarray]:
+    """By width of shingles: the hash of the one at each place, once for all windows that hold it."""
+    out = {}
+    for width in {min(SHINGLE, length) for length, _, _ in windows}:
+        wanted = np.zeros(len(words) + 2, np.int64)
+        for length, size, start in windows:
+            if min(SHINGLE, length) == width:
+                wanted[start] += 1
+                wanted[start + size - width + 1] -= 1
+        at = np.flatnonzero(np.cumsum(wanted)).tolist()
+        out[width] = np.zeros(len(words), ">u8")
+        out[width][at] = [xxhash.xxh64_intdigest(b" ".join(words[k : k + width])) for k in at]
+    return out
 
 
 class ItemIndex:
@@ -95,8 +114,7 @@ class ItemIndex:
         }
 
     def _ids(self, words: list[bytes]) -> np.ndarray:
-        get = self.numbers.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
 
     @staticmethod
     def _codes(ids: np.ndarray, width: int) -> np.ndarray:
@@ -138,16 +156,19 @@ class ItemIndex:
         words = words_of(text)
         if not words:
             return []
+        windows = list(self._windows(self._ids(words), len(words), self.by_length))
+        hashes = _shingle_hashes(words, windows)
         best: dict[int, tuple[float, int]] = {}
-        for length, size, start in self._windows(self._ids(words), len(words), self.by_length):
-            parts = shingles(words[start : start + size])
-            code, own = simhash(parts), Counter(parts)
+        for length, size, start in windows:
+            width = min(SHINGLE, length)
+            code = _majority(hashes[width][start : start + size - width + 1])
             near = {k for b in range(8) for k in self.blocks.get((length, b, code >> 8 * b & 255), ())}
+            near = [k for k in near if (code ^ self.items[k][2]).bit_count() <= RADIUS]
+            if not near:
+                continue
+            own = Counter(shingles(words[start : start + size]))
             for k in near:
-                item_id, wanted, other = self.items[k]
-                if (code ^ other).bit_count() > RADIUS:
-                    continue
-                similarity = weighted_jaccard(own, wanted)
+                similarity = weighted_jaccard(own, self.items[k][1])
                 if similarity >= SIMILARITY:
                     found = (similarity, -start)
                     best[k] = max(best.get(k, found), found)
