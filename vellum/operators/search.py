@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions.text import tokens
+from vellum.storage import saved
 
 #: Query vectors of one scan of the base; what a task holds of the queries is bounded by it.
 QUERY_BLOCK = 4096
@@ -90,14 +92,7 @@ def _scan(spark, rows: list, base: DataFrame, k: int, digits: int) -> DataFrame:
                 unit = q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]
                 score = np.round(unit @ x.T, digits)
                 mine = np.broadcast_to(ids[good], score.shape)
-                if width in best:
-                    score = np.hstack([best[width][0], score])
-                    mine = np.hstack([best[width][1], mine])
-                order = np.lexsort((mine, -score), axis=1)[:, :k]
-                best[width] = (
-                    np.take_along_axis(score, order, 1),
-                    np.take_along_axis(mine, order, 1),
-                )
+                best[width] = _best(best.get(width), score, mine, k)
         for width, names, _ in groups.value:
             if width in best:
                 score, mine = best[width]
@@ -117,32 +112,82 @@ def _scan(spark, rows: list, base: DataFrame, k: int, digits: int) -> DataFrame:
 def bm25_search(queries: DataFrame, base: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """``query_id``, ``id``, ``score``, ``rank``: the ``k`` best rows of ``base`` by BM25.
 
-    ``queries (query_id, text)``, ``base (id, text)``.  Only terms of the queries leave the scan of
-    the base: a left-semi join with the query vocabulary comes before every shuffle.  A document's
-    term counts are summed in the task that has its row.
+    ``queries (query_id, text)``, ``base (id, text)``.  Document frequencies of the queries' terms
+    are counted first; then queries go to the tasks in blocks of QUERY_BLOCK, and one scan per block
+    scores each document where it is read and keeps the best ``k`` per query and task.  No pair of a
+    document and a query goes through a shuffle unless it is among those.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    sized = base.select("id", tokens(F.col("text")).alias("words")).filter("id is not null")
-    sizes = sized.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
-    counted = (
-        sized.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
-        .join(terms.select("term").distinct(), "term", "left_semi")
-        .groupBy("id", "length", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    weights = (
-        counted.groupBy("term")
-        .agg(F.count("*").alias("df"))
-        .withColumn("idf", F.log(1 + (F.lit(sizes["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    spark = queries.sparkSession
+    asked = queries.select(F.col("query_id").cast("long"), F.array_distinct(tokens(F.col("text"))).alias("terms"))
+    asked = asked.filter(F.size("terms") > 0)
+    rows_in = base.select(F.col("id").cast("long"), tokens(F.col("text")).alias("words")).filter("id is not null")
+    # the empty term, which no text has, counts all documents and words in the same pass
+    every = F.array_append(F.array_distinct("words"), F.lit(""))
+    wanted = asked.select(F.explode(F.array_append("terms", F.lit(""))).alias("term")).distinct()
+    holders = saved(
+        rows_in.select(F.size("words").alias("length"), F.explode(every).alias("term"))
+        .join(wanted, "term", "left_semi")
+        .groupBy("term")
+        .agg(F.count("*").alias("df"), F.sum("length").alias("words")),
+        "terms",
     )
-    longness = 1 - B + B * F.col("length") / F.lit(float(sizes["mean"] or 1))
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * longness)
-    scored = (
-        counted.join(terms.join(weights.select("term", "idf"), "term"), "term")
-        .groupBy("query_id", "id")
-        .agg(F.round(F.sum(gain), digits).alias("score"))
+    total = holders.filter("term = ''").first()
+    n, mean = (total["df"], total["words"] / total["df"] or 1.0) if total else (0, 1.0)
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = holders.filter("term <> ''").select("term", idf.alias("idf"))
+    blocks = -(-asked.count() // QUERY_BLOCK)
+    found = None
+    for b in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        terms = own.select("query_id", F.explode("terms").alias("term"))
+        listed = terms.join(weights, "term").groupBy("term", "idf").agg(F.collect_list("query_id").alias("ids"))
+        part = _bm25_scan(spark, listed.collect(), rows_in, mean, k, digits)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, id long, score double, rank long")
+    return ranked(found, "query_id", F.desc("score"), F.col("id"), k=k)
+
+
+def _bm25_scan(spark, listed: list, rows_in: DataFrame, mean: float, k: int, digits: int) -> DataFrame:
+    names = np.array(sorted({q for r in listed for q in r["ids"]}), np.int64)
+    held = spark.sparkContext.broadcast(
+        (names, {r["term"]: (r["idf"], np.searchsorted(names, r["ids"])) for r in listed})
     )
-    return ranked(scored, "query_id", F.desc("score"), F.col("id"), k=k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, postings = held.value
+        best = None
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            score = np.zeros((len(queries), len(ids)))
+            for at, words in enumerate(batch.column(1).to_pylist()):
+                longness = K1 * (1 - B + B * len(words or ()) / mean)
+                counts = Counter(words or ())
+                for term in counts.keys() & postings.keys():
+                    weight, asking = postings[term]
+                    score[asking, at] += weight * counts[term] * (K1 + 1) / (counts[term] + longness)
+            best = _best(best, np.round(score, digits), np.broadcast_to(ids, score.shape), k)
+        if best is not None and len(queries):
+            some = best[0].ravel() > 0
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "query_id": np.repeat(queries, best[0].shape[1])[some],
+                    "id": best[1].ravel()[some].astype(np.int64),
+                    "score": best[0].ravel()[some],
+                }
+            )
+
+    return rows_in.mapInArrow(run, "query_id long, id long, score double")
+
+
+def _best(
+    held: tuple[np.ndarray, np.ndarray] | None, score: np.ndarray, ids: np.ndarray, k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best (scores, ids) of each row so far, ties by id."""
+    if held is not None:
+        score, ids = np.hstack([held[0], score]), np.hstack([held[1], ids])
+    order = np.lexsort((ids, -score), axis=1)[:, :k]
+    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
 
 
 # -- fusion, pool, rerank -------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vellum.functions.arrays import cosine
 from vellum.operators import search
 from vellum.plans.registry import query
-from vellum.storage import read_table, saved
+from vellum.storage import read_table, saved, spread
 
 _DENSE = """
 with q as (select vec_id as query_id, embedding::double[] as q from embeddings where vec_id % 20 = 0),
@@ -53,7 +53,7 @@ bm25 as (select *, row_number() over (partition by query_id order by score desc,
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return search.bm25_search(items, docs, k)
 

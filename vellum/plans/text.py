@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellum.functions import arrays, text
 from vellum.operators import chunking, corpus, goldset, relations
 from vellum.plans.registry import query
-from vellum.storage import read_table
+from vellum.storage import read_table, spread
 
 STOP = ["the", "and", "with", "for", "that"]
 RULES = {"dosage": ["ation", "ment"], "use": ["tion"], "risk": ["ness", "ous"]}
@@ -22,7 +22,7 @@ LABEL = "substr(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[^
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    return spread(read_table(spark, sf_dir, "documents"))
 
 
 @query(
