@@ -246,3 +246,38 @@ def test_near_copies_of_edge_rows(spark):
     kept = [r["doc_id"] for r in drop_near_copies(documents(spark, rows)).collect()]
     assert sorted(kept, key=lambda x: (x is None, x)) == [1, 7, 7, None]
     assert drop_near_copies(documents(spark, [])).count() == 0
+
+
+def at_similarity(rng, n, same, tag):
+    """Two texts of n shingles each that share ``same`` of them; the words of others are their own."""
+    base = [f"{tag}x{k}" for k in range(n + 4)]
+    return base, base[: same + 4] + [f"{tag}y{k}" for k in range(n - same)]
+
+
+@pytest.mark.parametrize("key_rows", [2048, 4])
+def test_isolated_pairs_link_from_the_similarity_on(spark, monkeypatch, key_rows):
+    monkeypatch.setattr(nearcopies, "KEY_ROWS", key_rows)
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(400):  # 0.8, 0.81, 0.85 and 0.79, 0.75, 0.7
+        same = (160, 162, 166, 159, 155, 149)[k % 6]
+        rows += at_similarity(rng, 180, same, f"p{k}")
+    out = {r["doc_id"]: r["component_id"] for r in near_copy_components(documents(spark, [(k, " ".join(w)) for k, w in enumerate(rows)])).collect()}
+    for k in range(0, len(rows), 2):
+        assert out[k] == k
+        assert (out[k + 1] == k) == (jaccard(rows[k], rows[k + 1]) >= 0.8), jaccard(rows[k], rows[k + 1])
+
+
+@pytest.mark.parametrize("key_rows", [2048, 6])
+def test_near_copies_match_all_pairs(spark, monkeypatch, key_rows):
+    monkeypatch.setattr(nearcopies, "KEY_ROWS", key_rows)
+    monkeypatch.setattr(nearcopies, "PAIR_ROWS", 5)
+    rng = np.random.default_rng(9)
+    rows = []
+    for n in (6, 12, 40, 200):
+        for _ in range(6):
+            base = [f"w{x}" for x in rng.integers(0, 4000, n)]
+            rows += [base, base + base[:7]] + [edited(rng, base, s) for s in (0.005, 0.01, 0.015, 0.02, 0.03, 0.05)]
+    links = [(j, i) for i in range(len(rows)) for j in range(i) if jaccard(rows[i], rows[j]) >= 0.8]
+    out = {r["doc_id"]: r["component_id"] for r in near_copy_components(documents(spark, [(k, " ".join(w)) for k, w in enumerate(rows)])).collect()}
+    assert [out[k] for k in range(len(rows))] == components(len(rows), links)

@@ -1,13 +1,19 @@
-"""Near copies by wide SimHash signatures: the Gray-order index at a similarity of word shingles.
-
-One 64-bit fingerprint tells a similarity of 0.8 from one of 0.7 badly: its distance deviates by
-three bits, and a radius that holds the wanted pairs is too wide for an index.  A signature here has
-``WORDS`` fingerprints of 64 bits whose distances add up, so that ``LIMIT`` of all bits separates the
-two; and a wanted pair only needs one word within ``RADIUS`` to be found.  Each word has its index:
-of ``RADIUS + c`` blocks of a word, ``c`` are equal in such a pair, which makes the cells of an
-equi-join; ``c`` follows from the row count so that cells stay small.  A cell is joined by descending
-two trees over its Gray-sorted codes (see ``simhash``), whose node pairs are pruned by the bits that
-already differ, or because all their members are in one class.  Cells return spanning forests.
+"""Near copies: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
+
+Candidates come from two indexes and every one is verified on the exact shingle sets, in a join.
+The first index is the Gray-order index on SimHash signatures.  A signature has ``WORDS``
+fingerprints of 64 bits; a pair is found where one word differs in at most ``RADIUS`` bits and all
+of them in at most ``LIMIT``.  Of ``RADIUS + c`` blocks of a word, ``c`` are equal in such a pair,
+which makes the cells of an equi-join; ``c`` follows from the row count so that cells stay small.  A
+cell is joined by descending two trees over its Gray-sorted codes (see ``simhash``), whose node
+pairs are pruned by the bits that already differ, or because all their members are in one class.
+Cells return spanning forests.
+
+At a similarity of 0.8 that index alone misses a third of the pairs.  So the sets also have
+``BANDS`` keys of ``BAND_ROWS`` minima each: two sets of similarity s agree in one with probability
+1 - (1 - s^5)^24, all but 1 of 13,000 pairs at 0.8.  Of the rows with a key, each is first verified
+against the one of the smallest doc_id.  Where that leaves several classes, all pairs across them
+are verified: no pair that shares a key is left out but those of one class, which need no link.
 """
 
 from __future__ import annotations
@@ -24,10 +30,19 @@ from vellum.llm.common import documents, map_columns, saved
 from vellum.llm.components import connected_components, merge_labels
 from vellum.llm.simhash import _BITS, _PLACES, FRONTIER, _pairs, _Tree, gray_rank
 
+#: Near copies have this Jaccard similarity of their shingle sets.
+SIMILARITY = 0.8
 #: Words of a shingle, fingerprints of a signature, differing bits of one fingerprint that the index
-#: finds, and of the whole signature up to which documents are near copies: at a similarity of 0.8
-#: about 36 of the 256 bits differ, with a deviation of 6; at 0.5 it is 62.
+#: finds, and of the whole signature up to which it proposes documents: at a similarity of 0.8
+#: about 38 of the 256 bits differ, with a deviation of 6; at 0.5 it is 68.
 SHINGLE, WORDS, RADIUS, LIMIT = 5, 4, 7, 46
+#: Keys of a set, and minima of a key.
+BANDS, BAND_ROWS = 24, 5
+#: Pairs across classes that differ in more bits of the signature can't be near copies (for sets of
+#: four and five shingles 48 differ at 0.8, with a deviation of 6).
+FAR = 84
+#: Rows of a key, and verified pairs of a document, that one task gets at most.
+KEY_ROWS, PAIR_ROWS = 2048, 1024
 #: Rows of a cell, about, and rows of one side of a task at most.
 CELL_ROWS, TASK_ROWS = 8192, 50_000
 #: Cells of up to so many rows are compared row by row.
@@ -37,26 +52,37 @@ _NAMES = [f"s{k}" for k in range(WORDS)]
 _MIX = np.array(
     [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64
 )
+#: Odd factors of the minima's permutations, and shingles that are permuted at once.
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_AT_ONCE = 4096
 
 
-def signature(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """The signature's words; all 0 if the text has no words.
+def shingle_set(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of the text's shingles (one of all words, if they are fewer).
 
-    Words are split and folded as in ``simhash.fingerprint``.  A bit is set where over half of the
-    shingles' hashes, mixed anew for each word, have it set.
+    Words are split and folded as in ``simhash.fingerprint``; no words, no shingles.
     """
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(WORDS, np.uint64)
+        return np.empty(0, np.uint64)
     data, n = b" ".join(words), max(1, len(words) - shingle + 1)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[:n].tolist()
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(data[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64)
-    out = np.empty(WORDS, np.uint64)
-    for k in range(WORDS):
+    return np.unique(np.array([digest(data[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64))
+
+
+def signature(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The signature's words; all 0 if the text has no words."""
+    return set_signature(shingle_set(text, shingle))
+
+
+def set_signature(h: np.ndarray) -> np.ndarray:
+    """A bit is set where over half of the set's hashes, mixed anew for each word, have it set."""
+    out, n = np.zeros(WORDS, np.uint64), len(h)
+    for k in range(WORDS if n else 0):
         mixed = (h ^ (h >> np.uint64(32))) * _MIX[k]
         mixed ^= mixed >> np.uint64(29)
         octets = mixed.view(np.uint8).reshape(n, 8) + _PLACES
@@ -65,17 +91,30 @@ def signature(text: str, shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def band_keys(h: np.ndarray) -> list[int]:
+    """The set's keys (signed), each of ``BAND_ROWS`` minima under permutations; none if it is empty."""
+    if not len(h):
+        return []
+    mixed = h ^ (h >> np.uint64(32))
+    parts = [mixed[k : k + _AT_ONCE] for k in range(0, len(h), _AT_ONCE)]
+    least = np.min([(p[None, :] * _FACTORS[:, None]).min(axis=1) for p in parts], axis=0)
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(rows)]
+
+
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``s0`` … (signed longs) of every document."""
+    """Of every document: ``doc_id``, ``code`` (digest of its set), ``size``, ``keys``, ``s0`` …"""
 
     def make():
         def run(ids, texts):
-            found = np.array([signature(t, shingle) for t in texts], np.uint64).view(np.int64)
-            return [ids, *found.T]
+            sets = [shingle_set(t, shingle) for t in texts]
+            found = np.array([set_signature(h) for h in sets], np.uint64).view(np.int64)
+            codes = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+            return [ids, codes, list(map(len, sets)), [band_keys(h) for h in sets], *found.T]
 
         return run
 
-    ddl = "doc_id long, " + ", ".join(f"{c} long" for c in _NAMES)
+    ddl = "doc_id long, code binary, size long, keys array<long>, " + ", ".join(f"{c} long" for c in _NAMES)
     return map_columns(documents(docs), make, ddl)
 
 
@@ -179,8 +218,23 @@ def _value(word: Column, blocks: list[tuple[int, int]]) -> Column:
     return out
 
 
+def _in_parts(rows: DataFrame, names: list[str], most: int) -> DataFrame:
+    """``rows`` with ``low``, ``high``, ``part``: groups by ``names`` of over ``most`` rows are cut by
+    hash, and each pair of parts has its rows."""
+    large = rows.groupBy(*names).agg(F.ceil(F.count("*") / most).alias("parts")).filter("parts > 1")
+    salted = rows.join(large, names, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    salted = salted.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))
+    return (
+        salted.withColumn("_other", other)
+        .withColumn("low", F.least("part", "_other"))
+        .withColumn("high", F.greatest("part", "_other"))
+        .drop("parts", "_other")
+    )
+
+
 def signature_links(first: DataFrame) -> DataFrame:
-    """Edges ``a, b`` that connect what near copies among distinct signatures connect.
+    """Edges ``a, b`` that connect what pairs within RADIUS and LIMIT among signatures connect.
 
     ``first (doc_id, s0 …)``.  Cells of more than TASK_ROWS rows are cut into parts by hash, each
     pair of parts being a task, so that no task has a whole group of copies.
@@ -197,13 +251,7 @@ def signature_links(first: DataFrame) -> DataFrame:
     )
     cells = first.select("doc_id", *_NAMES, F.explode(keys).alias("cell")).select("doc_id", *_NAMES, "cell.*")
     names = ["word", "choice", "value"]
-    large = cells.groupBy(*names).agg(F.ceil(F.count("*") / TASK_ROWS).alias("parts")).filter("parts > 1")
-    salted = cells.join(large, names, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    salted = salted.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))
-    tasks = salted.withColumn("_other", other).select(
-        *names, F.least("part", "_other").alias("low"), F.greatest("part", "_other").alias("high"), "part", "doc_id", *_NAMES
-    )
+    tasks = _in_parts(cells, names, TASK_ROWS).select(*names, "low", "high", "part", "doc_id", *_NAMES)
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
         ids = table["doc_id"].to_numpy()
@@ -216,21 +264,107 @@ def signature_links(first: DataFrame) -> DataFrame:
     return tasks.groupBy(*names, "low", "high").applyInArrow(join, "a long, b long")
 
 
+def _with_set(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
+    """``pairs`` with the set of one end; the pairs of a frequent document are spread over tasks."""
+    hot = pairs.groupBy(end).agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("parts")).filter("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    salted = pairs.join(F.broadcast(hot), end, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), parts).cast("int"))
+    copies = (
+        sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(f"{end}_set"))
+        .join(F.broadcast(hot), end, "left")
+        .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    )
+    return salted.drop("parts").join(copies.drop("parts"), [end, "part"]).drop("part")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The distinct ``pairs (a, b)`` of doc_ids that have texts of a Jaccard similarity of SIMILARITY."""
+
+    def make():
+        def run(ids, texts):
+            sets = [shingle_set(t, shingle) for t in texts]
+            return [ids, [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [h.view(np.int64) for h in sets]]
+
+        return run
+
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    mapped = map_columns(documents(docs).join(ends, "doc_id", "left_semi"), make, "doc_id long, code binary, shingles array<long>")
+    sets = saved(mapped.groupBy("doc_id", "code").agg(F.first("shingles").alias("shingles")), "sets")
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    union = F.size("a_set") + F.size("b_set") - both
+    found = _with_set(_with_set(pairs, sets, "a"), sets, "b").filter(both / union >= SIMILARITY)
+    return saved(found.select("a", "b").distinct(), "near")
+
+
+def across_classes(rows: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of rows with an equal key but other classes that may be near copies.
+
+    ``rows (band, key, doc_id, size, class, s0 …)``.
+    """
+
+    def join(key: tuple, table: pa.Table) -> pa.Table:
+        ids, size, group, part = (table[c].to_numpy() for c in ("doc_id", "size", "class", "part"))
+        words = np.stack([table[c].to_numpy().view(np.uint64) for c in _NAMES], axis=1)
+        across, out = key[2].as_py() != key[3].as_py(), []
+        for k in range(len(ids) - 1):
+            near = (group[k + 1 :] != group[k]) & (np.minimum(size[k + 1 :], size[k]) >= SIMILARITY * np.maximum(size[k + 1 :], size[k]))
+            if across:
+                near &= part[k + 1 :] != part[k]
+            at = np.flatnonzero(near) + k + 1
+            at = at[np.bitwise_count(words[at] ^ words[k]).sum(axis=1, dtype=np.int64) <= FAR]
+            out.append((np.maximum(ids[at], ids[k]), np.minimum(ids[at], ids[k])))
+        a, b = (np.concatenate([o[x] for o in out]) if out else np.empty(0, np.int64) for x in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    tasks = _in_parts(rows, ["band", "key"], KEY_ROWS)
+    return tasks.groupBy("band", "key", "low", "high").applyInArrow(join, "a long, b long").filter("a <> b").distinct()
+
+
+def near_copy_links(first: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Edges ``a, b`` of near copies, as many as connect them.
+
+    ``first (doc_id, size, keys, s0 …)`` has a row per distinct set.
+    """
+    held = first.filter("size > 0")
+    keyed = saved(
+        held.select("doc_id", F.posexplode("keys").alias("band", "key")),
+        "keyed",
+    )
+    shared = saved(keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter("n > 1"), "shared")
+    stars = keyed.join(shared, ["band", "key"]).select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    forest = signature_links(held).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    tried = saved(stars.unionByName(forest).filter("a <> b").distinct(), "tried")
+    near = verified(tried, docs, shingle)
+    classes = connected_components(near)
+    # keys of two rows are settled; the others may hold rows of several classes
+    rows = (
+        keyed.join(shared.filter("n > 2").select("band", "key"), ["band", "key"])
+        .join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+        .withColumn("class", F.coalesce("component", "doc_id"))
+        .drop("component")
+    )
+    several = rows.groupBy("band", "key").agg(F.min("class").alias("_l"), F.max("class").alias("_h")).filter("_l < _h")
+    rows = saved(rows.join(several.select("band", "key"), ["band", "key"]), "several")
+    left = across_classes(rows.join(held.select("doc_id", "size", *_NAMES), "doc_id"))
+    return near.unionByName(verified(saved(left.join(tried, ["a", "b"], "left_anti"), "left"), docs, shingle))
+
+
 def near_copy_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``component_id`` of every row: the smallest doc_id that links of near copies reach.
 
     Texts without words are copies of each other.  Rows without a doc_id make no links and have the
-    component of their signature, null where no row with an id has it.  Repeated rows come out as
+    component of their shingle set, null where no row with an id has it.  Repeated rows come out as
     often as they come in; other columns are ignored; an empty table gives an empty table.
     """
     marked = saved(signatures(docs, shingle), "signatures")
+    rest = ["size", "keys", *_NAMES]
     known = marked.filter("doc_id is not null")
-    first = saved(known.groupBy(*_NAMES).agg(F.min("doc_id").alias("doc_id")), "first")
-    found = connected_components(signature_links(first))
+    first = saved(known.groupBy("code").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in rest]), "first")
+    found = connected_components(near_copy_links(first, docs, shingle))
     classes = first.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
-        *_NAMES, F.coalesce("component", "doc_id").alias("component_id")
+        "code", F.coalesce("component", "doc_id").alias("component_id")
     )
-    return marked.join(classes, _NAMES, "left").select("doc_id", "component_id")
+    return marked.select("doc_id", "code").join(classes, "code", "left").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
