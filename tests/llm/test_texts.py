@@ -108,6 +108,38 @@ def test_pii(spark, sf_dir):
     assert added == [1, 1, 0]
 
 
+IBANS = [
+    ("IBAN DE89 3704 0044 0532 0130 00 BIC: COBADEFFXXX", ["DE89 3704 0044 0532 0130 00"]),
+    ("GB82WEST12345698765432 BIC X", ["GB82WEST12345698765432"]),
+    ("GB82 WEST 1234 5698 7654 32 EUR 100", ["GB82 WEST 1234 5698 7654 32"]),
+    ("CH93 0076 2011 6238 5295 7 USD", ["CH93 0076 2011 6238 5295 7"]),
+    ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]),
+    ("GB83 WEST 1234 5698 7654 32 EUR 100, xDE89370400440532013000, DE89370400440532013000x", []),
+    ("NO93 8601 1117 947", ["NO93 8601 1117 947"]),
+]
+
+
+def test_account_numbers_before_other_groups_and_on_cards(spark):
+    rows = find_pii(texts(spark, [t for t, _ in IBANS])).orderBy("doc_id").collect()
+    for (t, want), r in zip(IBANS, rows, strict=True):
+        spans = [s.split(":") for s in (r["spans"].split(",") if r["spans"] else [])]
+        assert [t[int(a) : int(b)] for k, a, b in spans if k == "iban"] == want, t
+        assert r["n_added"] == len(want)
+
+
+def test_account_number_on_a_card(spark):
+    def iban(k):
+        body = f"0040044011{k:04d}"
+        check = 98 - int(body + "132000") % 97
+        return f"DK{check:02d}{body}"
+
+    # the 16 digits of about one in ten pass as a card
+    some = [" ".join(x[i : i + 4] for i in range(0, 18, 4)) for x in map(iban, range(100))]
+    rows = find_pii(texts(spark, some)).collect()
+    assert any(r["n_card"] for r in rows)
+    assert all("iban:0:" in r["spans"] for r in rows)
+
+
 def test_checksums():
     assert luhn("4111111111111111") and not luhn("4111111111111112")
     assert mod97("GB82WEST12345698765432") and not mod97("GB83WEST12345698765432")

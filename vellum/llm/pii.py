@@ -42,7 +42,9 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
+# may run on into what follows the number; a last group may have one character
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}(?:\x20?[A-Z0-9])?")
+_GROUP_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
 _NATIONAL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.][0-9]{4}(?![0-9-])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
@@ -91,6 +93,21 @@ def _cards(text: str) -> list[tuple[int, int]]:
     ]
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Account numbers: the longest run of groups from a start that the check confirms."""
+    out, m = [], _IBAN.search(text)
+    while m:
+        start, done = m.start(), m.start() + 1
+        ends = [e.start() for e in _GROUP_END.finditer(text, start, m.end() + 1) if e.start() <= m.end()]
+        for end in reversed(ends):
+            if 15 <= len(c := text[start:end].replace(" ", "")) <= 34 and mod97(c):
+                out.append((start, end))
+                done = end
+                break
+        m = _IBAN.search(text, done)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by kind, then start."""
     out = [(*s, "email") for s in _emails(text)]
@@ -116,16 +133,11 @@ def score(text: str, start: int, kind: str) -> float:
 
 
 def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Further kinds, where they meet no base span and score enough."""
-    taken = sorted(base)
-    found = []
-    for kind, pattern in (("iban", _IBAN), ("national_phone", _NATIONAL), ("ssn", _SSN)):
+    """Further kinds that score enough; but for a confirmed iban they must meet no base span."""
+    found = [(*s, "iban") for s in _ibans(text) if score(text, s[0], "iban") >= LEAST_SCORE]
+    for kind, pattern in (("national_phone", _NATIONAL), ("ssn", _SSN)):
         for m in pattern.finditer(text):
-            if kind == "iban" and not (
-                15 <= len(c := m[0].replace(" ", "")) <= 34 and mod97(c)
-            ):
-                continue
-            if any(s < m.end() and m.start() < e for s, e, _ in taken):
+            if any(s < m.end() and m.start() < e for s, e, _ in base):
                 continue
             if score(text, m.start(), kind) >= LEAST_SCORE:
                 found.append((*m.span(), kind))
@@ -143,7 +155,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     ``base_sha256``, ``spans`` (kind:start:end by kind, then start; code points, end exclusive),
     ``top_score`` (of the likeliest span; null without spans).  Base kinds are email, ip, card
     (Luhn) and phone; iban (mod 97), national_phone and ssn are added, the last two only with a
-    context word before them.  A null or empty text has none.  Repeated rows and rows without a
+    context word before them and where they meet no base span.  A null or empty text has none.  Repeated rows and rows without a
     doc_id are treated like any other; other columns are ignored.
     """
 
