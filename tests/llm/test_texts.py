@@ -8,10 +8,10 @@ import duckdb
 import numpy as np
 import pytest
 
-from vellum.llm import queries
+from vellum.llm import mixing, queries
 from vellum.llm.decontaminate import RADIUS, decontaminate, find_contamination, shingles, simhash, weighted_jaccard, words_of
 from vellum.llm.linededup import dedup_lines
-from vellum.llm.mixing import BLOCK_WORDS, mix_sources, source_targets
+from vellum.llm.mixing import BLOCK_WORDS, mix, mix_sources, source_targets
 from vellum.llm.pii import find_pii, luhn, mod97
 from vellum.llm.secrets import find_secrets
 from vellum.llm.tokencount import VOCABULARY, count_tokens, read_vocabulary
@@ -351,6 +351,45 @@ def test_mix_edge_rows(spark):
     assert sum(r["taken"] for r in twice) == 9
 
 
+def test_rows_of_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 16)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 8)
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"d{k}w{x}" for x in range(n)), ["a", "b", None, "c"][k % 4]) for k, n in enumerate(rng.integers(0, 90, 120).tolist())]
+    docs = documents(spark, rows)
+    words, source = {i: t.split() for i, t, _ in rows}, {i: s for i, _, s in rows}
+    blocks, used, taken = {}, {}, Counter()
+    for r in sorted(mix(docs).collect(), key=lambda r: (r["shard"], r["place"], r["at"])):
+        slot = blocks.setdefault((r["shard"], r["place"]), [])
+        assert len(slot) == r["at"] and r["source"] == source[r["doc_id"]] and 0 <= r["begin"] < r["end"] <= len(words[r["doc_id"]])
+        slot += words[r["doc_id"]][r["begin"] : r["end"]]
+        assert used.setdefault((r["shard"], r["place"]), (r["source"], r["block"])) == (r["source"], r["block"])
+        taken[r["doc_id"]] += r["end"] - r["begin"]
+    # shards have up to 8 slots, without gaps, and not each the same counts of the sources
+    shards = {}
+    for (shard, place), (name, _) in sorted(used.items()):
+        shards.setdefault(shard, []).append(name)
+        assert place == len(shards[shard]) - 1 < 8
+    assert len({tuple(sorted(Counter(map(str, s)).items())) for s in shards.values()}) > 3
+    # a slot holds the same words wherever its block stands, but where the last one is cut
+    whole = {}
+    for slot, which in used.items():
+        assert 0 < len(blocks[slot]) <= 16
+        longest = whole.setdefault(which, blocks[slot])
+        short, long = sorted((longest, blocks[slot]), key=len)
+        assert long[: len(short)] == short
+        whole[which] = long
+    sizes = Counter()
+    for i, s in source.items():
+        sizes[s] += len(words[i])
+    for s, target in plain_targets(sizes).items():
+        assert sum(len(blocks[x]) for x, w in used.items() if w[0] == s) == int(target + 0.5)
+        # blocks of a stream that is taken at least once are its words, each once
+        if target >= sizes[s]:
+            assert sorted(w for x, b in whole.items() if x[0] == s for w in b) == sorted(w for i in words if source[i] == s for w in words[i])
+    assert {r["doc_id"]: r["taken"] for r in mix_sources(docs).collect()} == {i: taken[i] for i in words}
+
+
 def test_targets(spark):
     rng = np.random.default_rng(4)
     for _ in range(5):

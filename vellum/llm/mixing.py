@@ -3,8 +3,9 @@
 The words of each source are one stream, packed into blocks of ``block_words``.  The mix is a list
 of slots, a block each, in output shards; each shard draws its counts of the sources from a
 multinomial with the target shares.  The n-th slot that a source gets over all shards takes the
-block that a pseudorandom permutation of the source's block indexes maps n to, and the blocks join
-the streams by index.  The remainder block of a stream has the last slot of each pass, so that the
+block that a pseudorandom permutation of the source's block indexes maps n to.  The slots join the
+packed blocks by index: a row of the mix is a run of a document's words with its shard, its slot in
+the shard and its place in the block.  What the mix takes of a document is the sum of its rows.  The remainder block of a stream has the last slot of each pass, so that the
 slots of a pass hold exactly the words of the source; the last slot is cut to the target.
 """
 
@@ -105,12 +106,13 @@ def streams(sized: DataFrame) -> DataFrame:
 
 
 def slots(sources: DataFrame, seed: int) -> DataFrame:
-    """The slots of the mix: ``shard``, ``key``, ``block``, ``words``, ``whole``.
+    """The slots of the mix: ``shard``, ``place``, ``key``, ``block``, ``words``.
 
     ``sources (key, source_size, target)``.  The slots of a shard draw their sources
     independently, which makes its counts multinomial; what a source would get beyond its target
-    is left out, and what it lacks in the end goes to one more shard.  ``words`` is the number of
-    the block's first words that are taken, ``whole`` tells that these are all.
+    is left out, and what it lacks in the end goes to more shards.  ``place`` is the slot within the
+    shard, from 0 without gaps, in a pseudorandom order; ``words`` is the number of the block's
+    first words that are taken.
     """
     words, full = F.round("target").cast("long"), F.floor(F.col("source_size") / BLOCK_WORDS)
     counted = (
@@ -149,8 +151,18 @@ def slots(sources: DataFrame, seed: int) -> DataFrame:
         .agg(F.count("*").alias("n"))
     )
     run = W.partitionBy("key").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    placed = drawn.withColumn("first", F.coalesce(F.sum("n").over(run), F.lit(0)))
+    ahead = W.partitionBy("shard").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
+    placed = (
+        drawn.withColumn("first", F.coalesce(F.sum("n").over(run), F.lit(0)))
+        .join(counted.select("key", "need"), "key")
+        .withColumn("n", F.least("n", F.col("need") - F.col("first")))
+        .filter("n > 0")
+        .withColumn("offset", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+        .withColumn("held", F.sum("n").over(W.partitionBy("shard")))
+        .select("shard", "key", "n", "first", "offset", "held")
+    )
     got = drawn.groupBy("key").agg(F.sum("n").alias("first"))
+    # one row per source
     lacking = (
         counted.select("key", "need")
         .join(got, "key", "left")
@@ -161,6 +173,8 @@ def slots(sources: DataFrame, seed: int) -> DataFrame:
             F.coalesce("first", F.lit(0)).alias("first"),
         )
         .filter("n > 0")
+        .withColumn("offset", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+        .withColumn("held", F.sum("n").over(W.partitionBy("shard")))
     )
     at = F.col("slot") % F.col("pass_slots")
     turn = F.floor(F.col("slot") / F.col("pass_slots")).cast("long")
@@ -171,40 +185,51 @@ def slots(sources: DataFrame, seed: int) -> DataFrame:
     cut = F.when(turn < F.col("passes"), size).otherwise(
         F.least(size, F.col("rest") - at * BLOCK_WORDS)
     )
+    # the slots of a shard change places; those that were lacking are dealt to shards after that
+    mixed = permuted(
+        F.col("offset") + F.col("slot") - F.col("first"),
+        F.col("held"),
+        F.xxhash64(F.lit(seed), "shard", F.lit("place")),
+    )
     return (
-        placed.select("shard", "key", "n", "first")
-        .unionByName(lacking)
+        placed.unionByName(lacking)
         .withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
         .join(counted.drop("target", "words"), "key")
-        .filter("slot < need")
+        .withColumn("mixed", mixed)
         .select(
-            "shard",
+            (F.col("shard") + F.floor(F.col("mixed") / SHARD_BLOCKS)).cast("long").alias("shard"),
+            (F.col("mixed") % SHARD_BLOCKS).cast("long").alias("place"),
             "key",
             F.when(at < F.col("full"), permuted(at, F.greatest("full", F.lit(1)), seeded))
             .otherwise(at)
             .alias("block"),
             cut.cast("long").alias("words"),
-            (cut == size).alias("whole"),
         )
     )
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: tuple[int, ...] = (3, 1, 2),
-    share: float = 1.5,
-    most: float = 2.0,
-    seed: int = 42,
-) -> DataFrame:
-    """How much of each document the mix takes.
+def packed(own: DataFrame) -> DataFrame:
+    """The blocks of the streams: a row for each run of a document's words in a block.
 
-    Columns: ``doc_id``, ``size`` (words of the text), ``source_size``, ``target`` (of its
-    source), ``taken`` (words that the mix takes, repeats counted).  A source's taken words are its
-    target, rounded; no document is taken more than ``ceil(most)`` times.  A null text has no words
-    and a null source is a source of its own, the last in order.  Repeated rows each have their own
-    place in the stream.  The seed fixes the mix: reruns agree whatever the partitions.  An empty
-    table gives an empty table.  Other columns are ignored.
+    Adds to ``own`` ``block``, ``at`` (the run's place in the block), ``begin`` and ``end`` (of the
+    document's words, end exclusive).  A block has at most BLOCK_WORDS runs.
     """
+    last = F.col("start") + F.col("size") - 1
+    blocks = F.sequence(F.floor(F.col("start") / BLOCK_WORDS), F.floor(last / BLOCK_WORDS))
+    first = F.col("block") * BLOCK_WORDS
+    return (
+        own.filter("size > 0")
+        .withColumn("block", F.explode(blocks))
+        .withColumn("begin", F.greatest(F.lit(0), first - F.col("start")))
+        .withColumn("end", F.least("size", first + BLOCK_WORDS - F.col("start")))
+        .withColumn("at", F.col("start") + F.col("begin") - first)
+    )
+
+
+def _mixed(
+    docs: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents with their places in the streams, the sources, and the rows of the mix."""
     sized = saved(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -217,28 +242,64 @@ def mix_sources(
         source_targets(sized, weights, share, most).withColumn("key", source_key(F.col("source"))),
         "sources",
     )
-    taken = (
+    own = saved(streams(sized.withColumn("key", source_key(F.col("source")))), "streams")
+    rows = (
         slots(sources, seed)
-        .groupBy("key", "block")
-        .agg(
-            F.count_if("whole").alias("times"),
-            F.coalesce(F.max(F.when(~F.col("whole"), F.col("words"))), F.lit(0)).alias("part"),
+        .join(packed(own), ["key", "block"])
+        .filter("at < words")
+        .withColumn("end", F.least("end", F.col("begin") + F.col("words") - F.col("at")))
+        .select(
+            "shard", "place", "key", "source", "block", "at", "doc_id", "piece", "nth", "begin", "end"
         )
     )
-    low = F.greatest(F.lit(0), F.col("start") - F.col("block") * BLOCK_WORDS)
-    high = F.least(
-        F.lit(BLOCK_WORDS), F.col("start") + F.col("size") - F.col("block") * BLOCK_WORDS
-    )
-    part = F.greatest(F.lit(0), F.least(high, F.col("part")) - low)
-    end = F.greatest("start", F.col("start") + F.col("size") - 1)
-    own = streams(sized.withColumn("key", source_key(F.col("source"))))
-    blocks = F.sequence(F.floor(F.col("start") / BLOCK_WORDS), F.floor(end / BLOCK_WORDS))
+    return own, sources, saved(rows, "mix")
+
+
+def mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: int = 42,
+) -> DataFrame:
+    """The mix: runs of words of documents in the blocks of output shards.
+
+    Columns: ``shard``, ``place`` (slot in the shard), ``source``, ``block`` (its index in the
+    source's stream), ``at`` (the run's first place in the block), ``doc_id``, ``begin``, ``end``
+    (of the document's words, from 0, end exclusive).  Ordered by shard, place and at, the runs are
+    the text of the mix.
+    """
+    *_, rows = _mixed(docs, weights, share, most, seed)
+    return rows.drop("key", "piece", "nth")
+
+
+def mix_sources(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: int = 42,
+) -> DataFrame:
+    """How much of each document the mix takes, summed over the rows of the mix (see ``mix``).
+
+    Columns: ``doc_id``, ``size`` (words of the text), ``source_size``, ``target`` (of its
+    source), ``taken`` (words that the mix takes, repeats counted).  A source's taken words are its
+    target, rounded; no document is taken more than ``ceil(most)`` times.  A null text has no words
+    and a null source is a source of its own, the last in order.  Repeated rows each have their own
+    place in the stream.  The seed fixes the mix: reruns agree whatever the partitions.  An empty
+    table gives an empty table.  Other columns are ignored.
+    """
+    own, sources, rows = _mixed(docs, weights, share, most, seed)
+    row = ["key", "piece", "nth"]
+    taken = rows.groupBy(*row).agg(F.sum(F.col("end") - F.col("begin")).alias("taken"))
     return (
-        own.withColumn("block", F.explode(blocks))
-        .join(taken, ["key", "block"], "left")
-        .withColumn("taken", F.coalesce(F.col("times") * (high - low) + part, F.lit(0)))
-        .groupBy("key", "piece", "nth", "doc_id", "size")
-        .agg(F.sum("taken").cast("long").alias("taken"))
+        own.join(taken, row, "left")
         .join(sources.select("key", "source_size", "target"), "key")
-        .select("doc_id", "size", "source_size", "target", "taken")
+        .select(
+            "doc_id",
+            "size",
+            "source_size",
+            "target",
+            F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        )
     )
