@@ -5,6 +5,7 @@ import re
 import pytest
 
 from vellum import plans
+from vellum.storage import shared_dir
 
 JOINS = [
     "hydrate_window", "page_overlaps", "best_overlap", "unique_prefix", "title_pairs", "blocked_matches", "token_overlap_match",
@@ -34,3 +35,17 @@ def test_top_k_is_cut_before_the_shuffle(spark, sf_dir, name):
 
 def test_only_wanted_columns_are_read(spark, sf_dir):
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan_of(spark, sf_dir, "wilson_by_lang")
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    class Conf(dict):
+        pass
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = Conf({k.replace("_", "."): v for k, v in conf.items()})
+
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            shared_dir(Session(spark_master=master))
+    assert shared_dir(Session(spark_master="yarn", spark_checkpoint_dir="hdfs://x/y")) == "hdfs://x/y"
