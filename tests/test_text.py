@@ -228,3 +228,20 @@ def test_relations_small(spark):
     assert relations.repeated_keys(spark.createDataFrame([("",), ("",), ("x",), ("x",)], "k string"), ["k"]).collect()[0]["k"] == "x"
     assert relations.table_digest(df, ["k", "v"]).first() == relations.table_digest(df.repartition(3), ["k", "v"]).first()
     assert relations.table_digest(df.limit(0), ["k"]).first()["n_rows"] == 0
+
+
+def test_citations_of_plain_but_odd_answers(spark):
+    odd = "One [99999999999] fact is here. Two [1] and [123456789012345678901234567890] are. \n\t# heading of four words\nlast one [2] is said here"
+    cited = column(spark, [odd], text.cited_sentences)[0]
+    assert [r["numbers"] for r in cited] == [[99999999999], [1, 2**63 - 1], [2]]
+    assert column(spark, [odd], text.content_sentences)[0] == ["One [99999999999] fact is here.", "last one [2] is said here"]
+    shown = column(spark, [odd], lambda c: text.only_known_citations(c, F.lit(1)))[0]
+    assert "[1]" in shown and "[9" not in shown and "[12" not in shown and "[2]" not in shown
+    blocks = column(spark, ["[1] old\n[2] two\t\n[1] new\nmore \n", "[99999999999999999999] far"], text.context_blocks)
+    assert blocks == [{1: "new\nmore", 2: "two"}, {2**63 - 1: "far"}]
+
+
+def test_rows_of_values(spark):
+    rows = ["| a | 12 |", "| a | 1 |", "| a | 1 mg |", "|---|---|", "| 123 |", "| or else | b |", "| a | b |"]
+    found = column(spark, rows, lambda c: text.is_data_row(c, ("mg",), ("or",)))
+    assert found == [True, False, True, False, False, True, False]

@@ -185,11 +185,22 @@ def padded_rows(rows: Column) -> Column:
     return F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), widest - F.size(r))))
 
 
-def is_data_row(row: Column) -> Column:
-    """A row whose cells are mostly numbers rather than names."""
+def is_data_row(row: Column, units: tuple[str, ...] = (), openings: tuple[str, ...] = ()) -> Column:
+    """A row of values rather than names: no rule line, two cells at least that aren't empty, and
+    two digits, or a digit and one of ``units``, or a first cell that starts with one of ``openings``."""
     cells = F.filter(row_cells(row), lambda c: c != "")
-    numeric = F.filter(cells, lambda c: c.rlike(r"[0-9]"))
-    return (F.size(cells) > 0) & (2 * F.size(numeric) >= F.size(cells))
+    joined = F.lower(F.array_join(cells, " "))
+    digits = F.regexp_count(joined, F.lit(r"\p{Nd}"))
+    with_unit = any_of(joined, units) & (digits >= 1) if units else F.lit(False)
+    opened = F.lower(F.try_element_at(cells, F.lit(1)))
+    opens = F.exists(F.array(*map(F.lit, openings)), lambda o: opened.startswith(o)) if openings else F.lit(False)
+    rule = row.rlike(r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$")
+    return ~rule & (F.size(cells) >= 2) & ((digits >= 2) | with_unit | opens)
+
+
+def any_of(text: Column, words: tuple[str, ...] | list[str]) -> Column:
+    """Whether the text contains one of the words."""
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w)) if words else F.lit(False)
 
 
 # -- tokens ---------------------------------------------------------------------------------------
@@ -223,19 +234,32 @@ def tokens_inside(text: Column, wanted: Column) -> Column:
 
 
 # -- citations in answers -------------------------------------------------------------------------
-_SENTENCE_END = r"(?<=[.!?])\s+|\n+"
+_SENTENCE_END = r"(?U)(?<=[.!?])\s+|\n+"
+#: What counts as white space around a sentence: that of Unicode and the four separators of ASCII.
+_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: Stands for a number that is too large for any block.
+_BEYOND = 2**63 - 1
+
+
+def stripped(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, _EDGES, "")
 
 
 def sentences(text: Column) -> Column:
-    """Trimmed sentences and lines that aren't empty."""
-    found = F.transform(F.split(text, _SENTENCE_END), lambda s: F.trim(s))
+    """Stripped sentences and lines that aren't empty."""
+    found = F.transform(F.split(text, _SENTENCE_END), stripped)
     return F.filter(found, lambda s: s != "")
 
 
+def _number(digits: Column) -> Column:
+    return F.coalesce(digits.try_cast("bigint"), F.when(digits.rlike("^[0-9]+$"), F.lit(_BEYOND)))
+
+
 def cited_numbers(text: Column) -> Column:
     """The numbers in ``[n]`` marks, distinct, in order of their first use."""
     found = F.regexp_extract_all(text, F.lit(r"\[([0-9]+)\]"), 1)
-    return F.array_distinct(F.transform(found, lambda n: n.cast("int")))
+    return F.array_distinct(F.transform(found, _number))
 
 
 def cited_sentences(text: Column) -> Column:
@@ -250,32 +274,34 @@ def content_sentences(text: Column, least: int = 4) -> Column:
     """Sentences of ``least`` words or more, citations apart; no headings, rules or table rows."""
 
     def counts(s: Column) -> Column:
-        words = F.split(F.trim(F.regexp_replace(s, r"\[[0-9]+\]", "")), r"\s+")
+        words = F.split(stripped(F.regexp_replace(s, r"\[[0-9]+\]", "")), r"(?U)\s+")
         return ~s.rlike(r"^(#|---|\|)") & (F.size(words) >= least)
 
     return F.filter(sentences(text), counts)
 
 
 def context_blocks(text: Column) -> Column:
-    """A map from number to text of blocks that start with ``[n] `` at a line's start."""
+    """A map from number to text of blocks that start with ``[n] `` at a line's start.
+
+    Of blocks with the same number the last counts.
+    """
     parts = F.slice(F.split(text, r"(?m)^(?=\[[0-9]+\] )"), 1, 1_000_000)
     blocks = F.filter(parts, lambda p: p.rlike(r"^\[[0-9]+\] "))
     pairs = F.transform(
         blocks,
         lambda p: F.struct(
-            F.regexp_extract(p, r"^\[([0-9]+)\] ", 1).cast("int").alias("key"),
-            F.trim(F.regexp_replace(p, r"^\[[0-9]+\] |\n+$", "")).alias("value"),
+            _number(F.regexp_extract(p, r"^\[([0-9]+)\] ", 1)).alias("key"),
+            stripped(F.regexp_replace(p, r"^\[[0-9]+\] ", "")).alias("value"),
         ),
     )
-    return F.map_from_entries(pairs)
+    later = lambda p, k: F.exists(F.slice(pairs, k + 2, 1_000_000), lambda q: q["key"] == p["key"])
+    return F.map_from_entries(F.filter(pairs, lambda p, k: ~later(p, k)))
 
 
 def only_known_citations(text: Column, known: Column) -> Column:
-    """The text without those ``[n]`` marks whose number is over ``known``."""
+    """The text without those ``[n]`` marks whose number isn't one of 1 to ``known``."""
     marks = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(\[[0-9]+\])"), 1))
-    bad = F.filter(
-        marks, lambda m: ~F.regexp_extract(m, "([0-9]+)", 1).cast("int").between(1, known)
-    )
+    bad = F.filter(marks, lambda m: ~_number(F.regexp_extract(m, "([0-9]+)", 1)).between(1, known))
     return F.aggregate(bad, text, lambda out, m: F.replace(out, m, F.lit("")))
 
 
