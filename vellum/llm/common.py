@@ -1,17 +1,21 @@
-"""What the operators share: Arrow mapping, saved intermediate tables, bounded broadcasts."""
+"""What the operators share: Arrow mapping, broadcasts of counted tables, cutting of hot groups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch that goes to Python; texts may be long, so batches are small.
+from vellum.storage import read_table, saved
+
+__all__ = ["arrow_schema", "documents", "free_name", "in_parts", "map_columns", "read_table", "saved", "small"]
+
+#: Rows that are Python objects at once; Spark's own batches are bounded by bytes besides.
 BATCH_ROWS = 512
+#: Rows of ids, of some 16 bytes, that go to every task; more are joined by a shuffle.
+SMALL_ROWS = 1_000_000
 
 _ARROW = {
     "long": pa.int64(),
@@ -43,14 +47,13 @@ def map_columns(df: DataFrame, make: Callable[[], Callable], ddl: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            if batch.num_rows:
-                out = fn(*[c.to_pylist() for c in batch.columns])
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                out = fn(*[c.to_pylist() for c in batch.slice(at, BATCH_ROWS).columns])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, type=f.type) for v, f in zip(out, schema, strict=True)],
                     schema=schema,
                 )
 
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInArrow(run, ddl)
 
 
@@ -62,28 +65,35 @@ def documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+def small(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A written table, for broadcasting if it has at most ``rows`` rows (they are counted)."""
+    return F.broadcast(table) if table.count() <= rows else table
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    temporary folder of this machine is taken and set for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
 
+def free_name(table: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it no column of the table."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns the table read from there.
 
-    This cuts the lineage and survives lost executors; what Python has computed is computed once.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def in_parts(rows: DataFrame, names: list[str], most: int, by: str, size: Column | None = None, most_size: int = 1) -> DataFrame:
+    """``rows`` with ``low``, ``high``, ``part``: a row for each task that it takes part in.
 
-
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    Groups by ``names`` of over ``most`` rows, or over ``most_size`` in sum of ``size``, are cut into
+    parts by the hash of the column ``by``; a task has a pair of parts (or one part with itself), so
+    that each two rows of a group meet and no task has a whole hot group.
+    """
+    parts = F.ceil(F.count("*") / most)
+    if size is not None:
+        parts = F.greatest(parts, F.ceil(F.sum(size) / most_size))
+    large = rows.groupBy(*names).agg(parts.cast("int").alias("parts")).filter("parts > 1")
+    salted = rows.join(large, names, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    salted = salted.withColumn("part", F.pmod(F.xxhash64(by), F.col("parts")).cast("int"))
+    return (
+        salted.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("low", F.least("part", "_other"))
+        .withColumn("high", F.greatest("part", "_other"))
+        .drop("parts", "_other")
+    )

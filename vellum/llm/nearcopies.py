@@ -9,11 +9,13 @@ cell is joined by descending two trees over its Gray-sorted codes (see ``simhash
 pairs are pruned by the bits that already differ, or because all their members are in one class.
 Cells return spanning forests.
 
-At a similarity of 0.8 that index alone misses a third of the pairs.  So the sets also have
-``BANDS`` keys of ``BAND_ROWS`` minima each: two sets of similarity s agree in one with probability
-1 - (1 - s^5)^24, all but 1 of 13,000 pairs at 0.8.  Of the rows with a key, each is first verified
-against the one of the smallest doc_id.  Where that leaves several classes, all pairs across them
-are verified: no pair that shares a key is left out but those of one class, which need no link.
+At a similarity of 0.8 that index alone misses pairs.  So the sets also have ``BANDS`` keys of
+``BAND_ROWS`` minima each: two sets of similarity s agree in one with probability 1 - (1 - s^5)^24, all
+but 1 of 13,000 pairs at 0.8.  Of the rows with a key, each is first verified against the one of the
+smallest doc_id.  Where that leaves several classes, the key's rows meet in a task with their sets,
+which verifies pairs across classes, each in the first key that both share, until what they connect is
+known: no pair that shares a key is left out but those of one class, which need no link, and only
+a forest leaves the task.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import documents, map_columns, saved
+from vellum.llm.common import documents, free_name, in_parts, map_columns, saved, small
 from vellum.llm.components import connected_components, merge_labels
 from vellum.llm.simhash import _BITS, _PLACES, FRONTIER, _pairs, _Tree, gray_rank
 
@@ -35,14 +37,14 @@ SIMILARITY = 0.8
 #: Words of a shingle, fingerprints of a signature, differing bits of one fingerprint that the index
 #: finds, and of the whole signature up to which it proposes documents: at a similarity of 0.8
 #: about 38 of the 256 bits differ, with a deviation of 6; at 0.5 it is 68.
-SHINGLE, WORDS, RADIUS, LIMIT = 5, 4, 7, 46
+SHINGLE, WORDS, RADIUS, LIMIT = 5, 4, 5, 46
 #: Keys of a set, and minima of a key.
 BANDS, BAND_ROWS = 24, 5
 #: Pairs across classes that differ in more bits of the signature can't be near copies (for sets of
 #: four and five shingles 48 differ at 0.8, with a deviation of 6).
 FAR = 84
-#: Rows of a key, and verified pairs of a document, that one task gets at most.
-KEY_ROWS, PAIR_ROWS = 2048, 1024
+#: Rows of a key, hashes of their sets, and verified pairs of a document, that one task gets about.
+KEY_ROWS, KEY_HASHES, PAIR_ROWS = 2048, 1_000_000, 1024
 #: Rows of a cell, about, and rows of one side of a task at most.
 CELL_ROWS, TASK_ROWS = 8192, 50_000
 #: Cells of up to so many rows are compared row by row.
@@ -218,48 +220,66 @@ def _value(word: Column, blocks: list[tuple[int, int]]) -> Column:
     return out
 
 
-def _in_parts(rows: DataFrame, names: list[str], most: int) -> DataFrame:
-    """``rows`` with ``low``, ``high``, ``part``: groups by ``names`` of over ``most`` rows are cut by
-    hash, and each pair of parts has its rows."""
-    large = rows.groupBy(*names).agg(F.ceil(F.count("*") / most).alias("parts")).filter("parts > 1")
-    salted = rows.join(large, names, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    salted = salted.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1))
-    return (
-        salted.withColumn("_other", other)
-        .withColumn("low", F.least("part", "_other"))
-        .withColumn("high", F.greatest("part", "_other"))
-        .drop("parts", "_other")
-    )
+def _values(codes: np.ndarray, blocks: list[tuple[int, int]]) -> np.ndarray:
+    """As ``_value``, of an array of codes."""
+    out = np.zeros(len(codes), np.uint64)
+    for first, bits in blocks:
+        out = (out << np.uint64(bits)) | ((codes >> np.uint64(first)) & np.uint64((1 << bits) - 1))
+    return out
+
+
+def link_cells(words: np.ndarray, word: int, values: np.ndarray, side: np.ndarray | None = None) -> np.ndarray:
+    """As ``link_signatures``, but only rows of equal ``values`` (a cell) are compared."""
+    order = np.argsort(values, kind="stable")
+    w, labels = words[order], np.arange(len(words))
+    start = np.flatnonzero(np.r_[True, np.diff(values[order]) != 0])
+    end = np.r_[start[1:], len(words)]
+    rows = end - start
+    few = np.flatnonzero((rows > 1) & (rows <= SMALL))
+    for cells in np.split(few, np.flatnonzero(np.diff(np.cumsum(rows[few] ** 2) // FRONTIER)) + 1):
+        u, v, _ = _pairs(start[cells], end[cells], start[cells], end[cells])
+        some = u < v if side is None else (u < v) & (side[order[u]] != side[order[v]])
+        u, v = u[some], v[some]
+        good = _near(w, word, u, v)
+        labels = merge_labels(labels, u[good], v[good])
+    for a, b in zip(start[rows > SMALL].tolist(), end[rows > SMALL].tolist(), strict=True):
+        labels[a:b] = a + link_signatures(w[a:b], word, None if side is None else side[order[a:b]])
+    out = np.empty(len(words), np.int64)
+    out[order] = order[labels]
+    return out
 
 
 def signature_links(first: DataFrame) -> DataFrame:
     """Edges ``a, b`` that connect what pairs within RADIUS and LIMIT among signatures connect.
 
-    ``first (doc_id, s0 …)``.  Cells of more than TASK_ROWS rows are cut into parts by hash, each
-    pair of parts being a task, so that no task has a whole group of copies.
+    ``first (node, s0 …)``.  A group of cells has CELL_ROWS rows about; one of more than TASK_ROWS is
+    cut into parts by hash, each pair of parts being a task, so that no task has a whole group of
+    copies.
     """
-    choices = _blocks(first.count())
+    rows = first.count()
+    choices, buckets = _blocks(rows), -(-rows // CELL_ROWS) or 1
     keys = F.array(
         *[
             F.struct(
-                F.lit(word).alias("word"), F.lit(k).alias("choice"), _value(F.col(f"s{word}"), blocks).alias("value")
+                F.lit(word).alias("word"),
+                F.lit(k).alias("choice"),
+                F.pmod(F.xxhash64(_value(F.col(f"s{word}"), blocks)), F.lit(buckets)).alias("bucket"),
             )
             for word in range(WORDS)
             for k, blocks in enumerate(choices)
         ]
     )
-    cells = first.select("doc_id", *_NAMES, F.explode(keys).alias("cell")).select("doc_id", *_NAMES, "cell.*")
-    names = ["word", "choice", "value"]
-    tasks = _in_parts(cells, names, TASK_ROWS).select(*names, "low", "high", "part", "doc_id", *_NAMES)
+    cells = first.select("node", *_NAMES, F.explode(keys).alias("cell")).select("node", *_NAMES, "cell.*")
+    names = ["word", "choice", "bucket"]
+    tasks = in_parts(cells, names, TASK_ROWS, "node").select(*names, "low", "high", "part", "node", *_NAMES)
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table["doc_id"].to_numpy()
+        nodes, word = table["node"].to_numpy(), key[0].as_py()
         words = np.stack([table[c].to_numpy().view(np.uint64) for c in _NAMES], axis=1)
-        across = key[3].as_py() != key[4].as_py()
-        labels = link_signatures(words, key[0].as_py(), table["part"].to_numpy() if across else None)
+        side = table["part"].to_numpy() if key[3].as_py() != key[4].as_py() else None
+        labels = link_cells(words, word, _values(words[:, word], choices[key[1].as_py()]), side)
         moved = labels != np.arange(len(labels))
-        return pa.table({"a": ids[moved], "b": ids[labels[moved]]})
+        return pa.table({"a": nodes[moved], "b": nodes[labels[moved]]})
 
     return tasks.groupBy(*names, "low", "high").applyInArrow(join, "a long, b long")
 
@@ -270,83 +290,140 @@ def _with_set(pairs: DataFrame, sets: DataFrame, end: str) -> DataFrame:
     parts = F.coalesce("parts", F.lit(1))
     salted = pairs.join(F.broadcast(hot), end, "left").withColumn("part", F.pmod(F.xxhash64("a", "b"), parts).cast("int"))
     copies = (
-        sets.select(F.col("doc_id").alias(end), F.col("shingles").alias(f"{end}_set"))
+        sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"))
         .join(F.broadcast(hot), end, "left")
         .withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     )
     return salted.drop("parts").join(copies.drop("parts"), [end, "part"]).drop("part")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The distinct ``pairs (a, b)`` of doc_ids that have texts of a Jaccard similarity of SIMILARITY."""
+def shingle_sets(nodes: DataFrame, held: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """``node``, ``shingles`` of the written table ``nodes (node)``."""
 
     def make():
         def run(ids, texts):
             sets = [shingle_set(t, shingle) for t in texts]
-            return [ids, [xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [h.view(np.int64) for h in sets]]
+            return [[xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [h.view(np.int64) for h in sets]]
 
         return run
 
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    mapped = map_columns(documents(docs).join(ends, "doc_id", "left_semi"), make, "doc_id long, code binary, shingles array<long>")
-    sets = saved(mapped.groupBy("doc_id", "code").agg(F.first("shingles").alias("shingles")), "sets")
+    wanted = saved(held.select("node", "doc_id", "code").join(nodes, "node"), "wanted")
+    texts = documents(docs).join(small(wanted.select("doc_id")), "doc_id", "left_semi")
+    sets = map_columns(texts, make, "code binary, shingles array<long>").groupBy("code").agg(F.first("shingles").alias("shingles"))
+    return saved(sets.join(wanted.select("node", "code"), "code").drop("code"), "sets")
+
+
+def verified(pairs: DataFrame, held: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The distinct ``pairs (a, b)`` of nodes whose sets have a Jaccard similarity of SIMILARITY."""
+    ends = saved(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+    sets = shingle_sets(ends, held, docs, shingle)
     both = F.size(F.array_intersect("a_set", "b_set"))
     union = F.size("a_set") + F.size("b_set") - both
     found = _with_set(_with_set(pairs, sets, "a"), sets, "b").filter(both / union >= SIMILARITY)
     return saved(found.select("a", "b").distinct(), "near")
 
 
+def may_be_near(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The ``pairs (a, b)`` whose sizes and signatures allow a similarity of SIMILARITY."""
+    for end in ("a", "b"):
+        own = held.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size"), *[F.col(c).alias(f"{end}_{c}") for c in _NAMES])
+        pairs = pairs.join(own, end)
+    apart = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _NAMES), F.lit(0))
+    less, more = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+    return pairs.filter((apart <= FAR) & (less >= SIMILARITY * more)).select("a", "b")
+
+
+def link_sets(table: pa.Table, band: int, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that connect what near copies of different classes connect among a key's rows.
+
+    ``table`` has ``size``, ``class``, ``part``, ``keys``, ``shingles``, ``s0`` …  Pairs that share the key of
+    an earlier band aren't looked at; with ``across`` only pairs of different parts are.
+    """
+    n = table.num_rows
+    size, part = table["size"].to_numpy(), table["part"].to_numpy()
+    _, group = np.unique(table["class"].to_numpy(), return_inverse=True)
+    words = np.stack([table[c].to_numpy().view(np.uint64) for c in _NAMES], axis=1)
+    keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(n, BANDS)[:, :band]
+    _, hashes = np.unique(table["shingles"].combine_chunks().flatten().to_numpy(), return_inverse=True)
+    end = np.cumsum(table["shingles"].combine_chunks().value_lengths().to_numpy())
+    start = np.r_[0, end[:-1]]
+    mine = np.zeros(int(hashes.max(initial=0)) + 1, bool)
+    labels, out = np.arange(int(group.max(initial=0)) + 1), []
+    for k in range(n - 1):
+        some = (labels[group[k + 1 :]] != labels[group[k]]) & (np.minimum(size[k + 1 :], size[k]) >= SIMILARITY * np.maximum(size[k + 1 :], size[k]))
+        if across:
+            some &= part[k + 1 :] != part[k]
+        at = np.flatnonzero(some) + k + 1
+        at = at[np.bitwise_count(words[at] ^ words[k]).sum(axis=1, dtype=np.int64) <= FAR]
+        at = at[~(keys[at] == keys[k]).any(axis=1)]
+        mine[hashes[start[k] : end[k]]] = True
+        for rows in np.split(at, np.flatnonzero(np.diff(np.cumsum(size[at]) // KEY_HASHES)) + 1):
+            rows = rows[labels[group[rows]] != labels[group[k]]]
+            if not len(rows):
+                continue
+            first = np.cumsum(size[rows]) - size[rows]
+            places = np.arange(int(size[rows].sum())) + np.repeat(start[rows] - first, size[rows])
+            both = np.add.reduceat(mine[hashes[places]], first, dtype=np.int64)
+            good = rows[both / (size[k] + size[rows] - both) >= SIMILARITY]
+            if len(good):
+                _, one = np.unique(labels[group[good]], return_index=True)
+                out += [(k, x) for x in good[one].tolist()]
+                labels = merge_labels(labels, np.full(len(good), group[k]), group[good])
+        mine[hashes[start[k] : end[k]]] = False
+    found = np.array(out, np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
 def across_classes(rows: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of rows with an equal key but other classes that may be near copies.
+    """Edges ``a, b`` between near copies of other classes that have an equal key.
 
-    ``rows (band, key, doc_id, size, class, s0 …)``.
+    ``rows (band, key, node, size, class, keys, shingles, s0 …)``.
     """
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
-        ids, size, group, part = (table[c].to_numpy() for c in ("doc_id", "size", "class", "part"))
-        words = np.stack([table[c].to_numpy().view(np.uint64) for c in _NAMES], axis=1)
-        across, out = key[2].as_py() != key[3].as_py(), []
-        for k in range(len(ids) - 1):
-            near = (group[k + 1 :] != group[k]) & (np.minimum(size[k + 1 :], size[k]) >= SIMILARITY * np.maximum(size[k + 1 :], size[k]))
-            if across:
-                near &= part[k + 1 :] != part[k]
-            at = np.flatnonzero(near) + k + 1
-            at = at[np.bitwise_count(words[at] ^ words[k]).sum(axis=1, dtype=np.int64) <= FAR]
-            out.append((np.maximum(ids[at], ids[k]), np.minimum(ids[at], ids[k])))
-        a, b = (np.concatenate([o[x] for o in out]) if out else np.empty(0, np.int64) for x in (0, 1))
-        return pa.table({"a": a, "b": b})
+        ids = table["node"].to_numpy()
+        u, v = link_sets(table, key[0].as_py(), key[2].as_py() != key[3].as_py())
+        return pa.table({"a": ids[u], "b": ids[v]})
 
-    tasks = _in_parts(rows, ["band", "key"], KEY_ROWS)
-    return tasks.groupBy("band", "key", "low", "high").applyInArrow(join, "a long, b long").filter("a <> b").distinct()
+    tasks = in_parts(rows, ["band", "key"], KEY_ROWS, "node", F.col("size"), KEY_HASHES)
+    return tasks.groupBy("band", "key", "low", "high").applyInArrow(join, "a long, b long")
 
 
 def near_copy_links(first: DataFrame, docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Edges ``a, b`` of near copies, as many as connect them.
 
-    ``first (doc_id, size, keys, s0 …)`` has a row per distinct set.
+    ``first (node, doc_id, code, size, keys, s0 …)`` has a row per distinct set, ``node`` being unique.
     """
     held = first.filter("size > 0")
-    keyed = saved(
-        held.select("doc_id", F.posexplode("keys").alias("band", "key")),
-        "keyed",
-    )
-    shared = saved(keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter("n > 1"), "shared")
-    stars = keyed.join(shared, ["band", "key"]).select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    keyed = saved(held.select("node", F.posexplode("keys").alias("band", "key")), "keyed")
+    shared = saved(keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1"), "shared")
+    stars = keyed.join(shared, ["band", "key"]).select(F.col("node").alias("a"), F.col("least").alias("b"))
     forest = signature_links(held).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    tried = saved(stars.unionByName(forest).filter("a <> b").distinct(), "tried")
-    near = verified(tried, docs, shingle)
+    tried = may_be_near(stars.unionByName(forest).filter("a <> b").distinct(), held)
+    near = verified(saved(tried, "tried"), held, docs, shingle)
     classes = connected_components(near)
     # keys of two rows are settled; the others may hold rows of several classes
-    rows = (
+    rows = saved(
         keyed.join(shared.filter("n > 2").select("band", "key"), ["band", "key"])
-        .join(classes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-        .withColumn("class", F.coalesce("component", "doc_id"))
-        .drop("component")
+        .join(classes, "node", "left")
+        .withColumn("class", F.coalesce("component", "node"))
+        .drop("component"),
+        "classed",
+    )
+    # of keys with the same rows the first is enough
+    members = [F.count("*").alias("_n"), *[F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(38,0)")).alias(f"_m{k}") for k in (0, 1)]]
+    several = (
+        rows.groupBy("band", "key")
+        .agg(F.min("class").alias("_l"), F.max("class").alias("_h"), *members)
+        .filter("_l < _h")
+        .groupBy("_n", "_m0", "_m1")
+        .agg(F.min(F.struct("band", "key")).alias("_k"))
+        .select("_k.band", "_k.key")
     )
-    several = rows.groupBy("band", "key").agg(F.min("class").alias("_l"), F.max("class").alias("_h")).filter("_l < _h")
-    rows = saved(rows.join(several.select("band", "key"), ["band", "key"]), "several")
-    left = across_classes(rows.join(held.select("doc_id", "size", *_NAMES), "doc_id"))
-    return near.unionByName(verified(saved(left.join(tried, ["a", "b"], "left_anti"), "left"), docs, shingle))
+    rows = saved(rows.join(several, ["band", "key"]), "several")
+    sets = shingle_sets(saved(rows.select("node").distinct(), "ends"), held, docs, shingle)
+    full = held.select("node", "size", "keys", *_NAMES).join(sets, "node")
+    return near.unionByName(saved(across_classes(rows.join(full, "node")), "across"))
 
 
 def near_copy_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -359,19 +436,24 @@ def near_copy_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     marked = saved(signatures(docs, shingle), "signatures")
     rest = ["size", "keys", *_NAMES]
     known = marked.filter("doc_id is not null")
-    first = saved(known.groupBy("code").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in rest]), "first")
+    sets = known.groupBy("code").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in rest])
+    first = saved(sets.withColumn("node", F.monotonically_increasing_id()), "first")
     found = connected_components(near_copy_links(first, docs, shingle))
-    classes = first.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
-        "code", F.coalesce("component", "doc_id").alias("component_id")
+    classes = saved(
+        first.join(found, "node", "left").select("code", "doc_id", F.coalesce("component", "node").alias("component")),
+        "classes",
     )
-    return marked.select("doc_id", "code").join(classes, "code", "left").select("doc_id", "component_id")
+    least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return marked.select("doc_id", "code").join(classes.select("code", "component").join(least, "component"), "code", "left").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one row for each group of near copies: that of the smallest doc_id.
 
-    Rows without a doc_id stay; of rows that share the kept doc_id all stay.
+    Rows without a doc_id stay.  Where rows share a doc_id all of them stay if one does, so that no
+    group loses all its rows.  Other columns pass through; an empty table gives an empty table.
     """
     found = near_copy_components(docs, shingle)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = free_name(docs, "gone")
+    ids = found.groupBy(F.col("doc_id").alias(gone)).agg(F.min(F.col("doc_id") != F.col("component_id")).alias("all")).filter("all").select(gone)
+    return docs.join(small(saved(ids, "gone")), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
