@@ -75,7 +75,7 @@ def some_vectors(seed, n, width, labels):
 
 @pytest.mark.parametrize("task_rows", [20_000, 25])
 def test_embeddings_match_all_pairs(spark, monkeypatch, task_rows):
-    monkeypatch.setattr(embeddup, "TASK_ROWS", task_rows)
+    monkeypatch.setattr(embeddup, "PART_ROWS", task_rows)
     rows = some_vectors(1, 150, 16, 2)
     nan = float("nan")
     rows += [(1001, None, 0), (1002, [0.0] * 16, 0), (1003, [nan] * 16, 0), (1004, [float("inf")] * 16, 0),
@@ -281,3 +281,32 @@ def test_near_copies_match_all_pairs(spark, monkeypatch, key_rows):
     links = [(j, i) for i in range(len(rows)) for j in range(i) if jaccard(rows[i], rows[j]) >= 0.8]
     out = {r["doc_id"]: r["component_id"] for r in near_copy_components(documents(spark, [(k, " ".join(w)) for k, w in enumerate(rows)])).collect()}
     assert [out[k] for k in range(len(rows))] == components(len(rows), links)
+
+
+def test_vectors_that_share_an_id_are_not_mixed_up(spark):
+    rows = [(7, [1.0, 0.0], 1), (7, [0.0, 1.0], 1), (8, [1.0, 0.01], 1), (9, [0.01, 1.0], 1)]
+    out = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_embeddings(vectors(spark, rows)).collect())
+    assert out == [(7, 1, 7), (7, 1, 7), (8, 1, 7), (9, 1, 7)]
+    rows = [(7, [1.0, 0.0], 1), (7, [0.0, 1.0], 1), (3, [1.0, 0.01], 1)]
+    out = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_embeddings(vectors(spark, rows)).collect())
+    assert out == [(3, 1, 3), (7, 0, 7), (7, 1, 3)]
+
+
+def test_block_pairs_prune_and_lose_none():
+    rng = np.random.default_rng(2)
+    y = rng.normal(0, 0.125, (1500, 4))
+    y[700:] = y[:800] + rng.normal(0, 0.02, (800, 4))
+    near = {(i, j) for i, j in zip(*np.nonzero(((y[:, None] - y[None]) ** 2).sum(axis=2) <= 0.05**2), strict=True) if i < j}
+    found = [(min(a, b), max(a, b)) for u, v in embeddup.block_pairs(y, 0.05) for a, b in zip(u.tolist(), v.tolist(), strict=True)]
+    assert len(found) == len(set(found)) and near <= set(found)
+    assert len(found) < 0.03 * len(y) * (len(y) - 1) / 2
+    side = rng.integers(0, 2, len(y)).astype(np.int8)
+    across = [(a, b) for u, v in embeddup.block_pairs(y, 0.05, side) for a, b in zip(u.tolist(), v.tolist(), strict=True)]
+    assert all(side[a] == 0 and side[b] == 1 for a, b in across)
+    assert {p for p in near if side[p[0]] != side[p[1]]} <= {(min(p), max(p)) for p in across}
+
+
+def test_fingerprints_that_share_an_id_are_not_mixed_up(spark):
+    rows = [(5, "a b c d e"), (5, "other words stand in here now"), (3, "a b c d e"), (9, "other words stand in here now")]
+    out = sorted((r["doc_id"], r["component_id"]) for r in simhash_components(documents(spark, rows)).collect())
+    assert out == [(3, 3), (5, 3), (5, 5), (9, 5)]
