@@ -31,8 +31,9 @@ def test_bundle_round_trip(spark, tmp_path):
     path = f"file://{tmp_path}/b"
     manifest = versions.write_bundle(b, path)
     assert manifest.count() >= 4
-    read = records.read_json_lines(spark, f"{path}/sections", records.SCHEMAS["sections"]).drop("_corrupt")
-    assert read.collect() == b["sections"].collect()
+    read = records.read_bundle(spark, path)
+    assert read["sections"].drop("_corrupt").collect() == b["sections"].collect()
+    assert all(read[n].count() == b[n].count() for n in b)
     bad = b | {"sections": b["sections"].unionByName(b["sections"].withColumn("document_key", F.lit("none")))}
     with pytest.raises(ValueError, match="section_key|unknown"):
         versions.write_bundle(bad, path)

@@ -194,13 +194,37 @@ def test_reading_order(spark):
     assert [r["line_id"] for r in corpus.reading_order(lines, "page", "width").orderBy("place").collect()] == [3, 2, 4, 1]
 
 
+FRAGMENT = "doc string, page int, place int, table_id string, markdown string, caption string, context string, flags array<string>, forced string"
+
+
 def test_merged_tables(spark):
-    head, rows = "| d | n |\n|---|---|", ["| a | 1 |", "| b | 2 |", "| c | 3 |"]
-    t = [("x", 1, 1, f"{head}\n{rows[0]}", False), ("x", 2, 1, f"{head}\n{rows[1]}", False), ("x", 3, 1, f"| c | 3 |\n{rows[2]}", False), ("x", 5, 1, f"{head}\n{rows[0]}", False), ("x", 6, 1, f"{head}\n{rows[1]}", True)]
-    tables = spark.createDataFrame(t, "doc string, page int, place int, markdown string, captioned boolean")
-    out = corpus.merged_tables(tables, "doc").orderBy("first_page").collect()
-    assert [(r["first_page"], r["last_page"], r["n_parts"]) for r in out] == [(1, 3, 3), (5, 5, 1), (6, 6, 1)]
-    assert out[0]["markdown"] == "| d | n |\n| a | 1 |\n| b | 2 |\n| c | 3 |\n| c | 3 |"
+    head = "| dose | age |\n|---|---|"
+    t = [
+        ("a", 1, 1, "a1", f"{head}\n| 1 mg | 20 |", "T1", "H", [], None), ("a", 2, 1, "a2", f"{head}\n| 2 mg | 30 |", "t1 ", "H", ["x"], None),
+        ("a", 3, 1, "a3", "| 3 mg | 40 |\n| 4 mg | 50 |", "other", "h", ["continued_context"], None), ("a", 3, 2, "a4", "| 5 mg | 60 | 70 |", "T1", "H", [], None),
+        ("a", 6, 1, "a5", "| 5 mg | 60 | 70 |", "T1", "H", [], None), ("b", 1, 1, "b1", head, None, "H", [], None), ("b", 1, 2, "b2", head, None, "H", [], None),
+        ("c", 1, 1, "c1", head, "C", "H", [], "merge"), ("c", 2, 1, "c2", "| 7 | 8 | 9 |", "D", "J", [], None), ("c", 2, 2, "c3", head, "E", "J", [], None),
+        ("d", 1, 1, "d1", head, "C", "H", [], "separate"), ("d", 1, 2, "d2", head, "C", "H", [], None), ("d", 2, 1, "d3", "| or more | 1 |", "F", "K", [], None),
+        ("e", 1, 1, "e1", head, "C", "index of all", [], None), ("e", 2, 1, "e2", head, "C", "H", [], None), ("e", 3, 1, "e3", head, "C", "H", [], None),
+    ]
+    out = corpus.merged_tables(spark.createDataFrame(t, FRAGMENT), "doc", openings=("or",), unchained=("index of",)).orderBy("doc", "group").collect()
+    got = [(r["doc"], r["table_ids"], r["reasons"], r["opened"], r["first_page"], r["last_page"]) for r in out]
+    assert got == [
+        ("a", ["a1", "a2", "a3"], ["same_caption", "numeric_data_continuation"], None, 1, 3), ("a", ["a4"], [], "column_mismatch", 3, 3), ("a", ["a5"], [], "non_adjacent_page", 6, 6),
+        ("b", ["b1"], [], None, 1, 1), ("b", ["b2"], [], "same_context_missing_caption", 1, 1),
+        ("c", ["c1", "c2"], ["override_forced_merge"], None, 1, 2), ("c", ["c3"], [], "new_header_detected", 2, 2),
+        ("d", ["d1"], [], None, 1, 1), ("d", ["d2", "d3"], ["leading_continuation_marker"], "override_forced_separate", 1, 2),
+        ("e", ["e1", "e2"], ["same_caption"], None, 1, 2), ("e", ["e3"], [], "non_adjacent_page", 3, 3),
+    ]
+    assert out[0]["markdown"] == "| dose | age |\n| 1 mg | 20 |\n| 2 mg | 30 |\n| 3 mg | 40 |\n| 4 mg | 50 |" and out[0]["n_parts"] == 3
+
+
+def test_table_kinds(spark):
+    words = {"front": ["authors"], "index": ["index of"], "appendix": ["appendix"], "clinical": ["dose"]}
+    rows = [(5, "x", "dose", "| a |"), (50, "Index  of all", None, "| a |"), (50, "Appendix 1", None, "| dose |"), (50, "Appendix 1", "Dose", "| a |"), (50, None, None, "| Dose |\n| b |"), (50, None, "c", "| a |"), (60, "the authors", "dose", "")]
+    df = spark.createDataFrame(rows, "page int, context string, caption string, markdown string")
+    got = [r[0] for r in df.select(corpus.table_kind(F.col("page"), F.col("context"), F.col("caption"), F.col("markdown"), words, 40)).collect()]
+    assert got == ["front_matter_table", "index_table", "review_table", "clinical_table", "clinical_table", "review_table", "front_matter_table"]
 
 
 def test_repeated_lines_go(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,28 +24,34 @@ _STOP = re.compile(r"[.!?;:…]\s+")
 _LAST_GAP = re.compile(r"\s+\S*$")
 
 
-def _cut_place(text: str, most: int) -> int:
-    """Where to cut: after the last sentence end in reach, else a line end, a gap, or hard."""
+def _cuts(text: str, most: int) -> list[int]:
+    """Where a text may be cut within ``most`` characters, the best place first.
+
+    After a sentence end, after a line end, before a gap, or just there; 0 where there is no such place.
+    """
     reach = text[: most + 1]
-    ends = [m.end() for m in _STOP.finditer(reach)]
-    if ends:
-        return ends[-1]
-    line = reach.rfind("\n")
-    if line > 0:
-        return line + 1
     gap = _LAST_GAP.search(reach)
-    return gap.start() if gap and gap.start() > 0 else most
+    return [max((m.end() for m in _STOP.finditer(reach)), default=0), max(0, reach.rfind("\n")) and reach.rfind("\n") + 1, gap.start() if gap else 0, most]
 
 
 def _pieces(paragraph: str, most: int) -> Iterator[str]:
-    rest = paragraph.strip()
-    while len(rest) > most:
-        at = _cut_place(rest, most)
-        if head := rest[:at].strip():
-            yield head
-        rest = rest[at:].strip()
-    if rest:
-        yield rest
+    at, text = 0, paragraph.strip()
+    while at < len(text):
+        rest = text[at:]
+        step = len(rest) if len(rest) <= most else next(filter(None, _cuts(rest, most)))
+        yield from filter(None, [rest[:step].strip()])
+        at += step + len(rest[step:]) - len(rest[step:].lstrip())
+
+
+def _packed(units: list[str], glue: str, most: int) -> list[str]:
+    """Units in order joined by ``glue``, as many as stay within ``most``; a longer one stays alone."""
+    parts: list[str] = []
+    for unit in units:
+        if parts and len(parts[-1]) + len(glue) + len(unit) <= most:
+            parts[-1] += glue + unit
+        else:
+            parts.append(unit)
+    return parts
 
 
 def split_prose(text: str, most: int = MAX_CHARS) -> list[str]:
@@ -84,22 +91,11 @@ def split_rows(text: str, most: int = MAX_CHARS) -> list[str]:
 
 
 def split_entries(text: str, most: int = MAX_CHARS) -> list[str]:
-    """Lines packed together; a line that starts in lower case stays with the line above it."""
-    parts: list[list[str]] = []
-    size = 0
-    for line in (r.rstrip() for r in text.strip().splitlines() if r.strip()):
-        if parts and size + 1 + len(line) <= most:
-            parts[-1].append(line)
-            size += 1 + len(line)
-            continue
-        moved = [line]
-        while parts and parts[-1] and moved[0][:1].islower():
-            moved.insert(0, parts[-1].pop())
-        if parts and not parts[-1]:
-            parts.pop()
-        parts.append(moved)
-        size = len("\n".join(moved))
-    return ["\n".join(p) for p in parts]
+    """Entries packed together up to ``most``; a line that starts in lower case is of the entry above it."""
+    lines = [r.rstrip() for r in text.strip().splitlines() if r.strip()]
+    numbers = accumulate(int(not line[:1].islower()) for line in lines)
+    entries = groupby(zip(numbers, lines, strict=True), key=lambda x: x[0])
+    return _packed(["\n".join(line for _, line in own) for _, own in entries], "\n", most)
 
 
 SPLITTERS = {"table": split_rows, "list": split_entries, "index_entries": split_entries}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.functions.text import arrow_udf, is_data_row, row_cells, squeeze, table_rows
+from vellum.functions.text import any_of, arrow_udf, is_data_row, row_cells, squeeze, table_rows
 from vellum.operators.relations import carried
 
 
@@ -261,49 +261,140 @@ def table_class(caption: Column, markdown: Column, classes: dict[str, list[str]]
     return F.coalesce(*hits, F.lit(other))
 
 
-def continues(columns: Column, prior_columns: Column, page: Column, prior_page: Column, first_row: Column, captioned: Column) -> Column:
-    """Whether a table goes on with the one before: merge, review or separate."""
-    same, next_page = columns == prior_columns, page - prior_page <= 1
+#: Classes of tables: fixed values.
+TABLE_CLASSES = ("front_matter_table", "index_table", "clinical_table", "review_table")
+
+
+def table_kind(page: Column, context: Column, caption: Column, markdown: Column, words: dict[str, list[str]], front_pages: int) -> Column:
+    """A table's class by its place and what is said around it.
+
+    ``words`` has lists for ``front``, ``index``, ``appendix`` and ``clinical``, all in folded form.  Tables
+    before page ``front_pages`` or under a front heading are front matter; those under an index
+    heading are indexes; those without a caption under an appendix heading are to be reviewed; those
+    whose heading, caption or first row has a clinical word are clinical; the others are reviewed.
+    """
+    front, index, clinical, review = map(F.lit, TABLE_CLASSES)
+    heading, named = (F.lower(squeeze(F.coalesce(c, F.lit("")))) for c in (context, caption))
+    header = F.lower(F.coalesce(F.try_element_at(F.split(markdown, "\n"), F.lit(1)), F.lit("")))
+    shown = F.concat_ws("\n", heading, named, header)
     return (
-        F.when(prior_page.isNull() | captioned | ~next_page, "separate")
-        .when(same & is_data_row(first_row), "merge")
-        .when(same | is_data_row(first_row), "review")
-        .otherwise("separate")
+        F.when((page < front_pages) | any_of(heading, words["front"]), front)
+        .when(any_of(heading, words["index"]), index)
+        .when(any_of(heading, words["appendix"]) & (named == ""), review)
+        .when(any_of(shown, words["clinical"]), clinical)
+        .otherwise(review)
     )
 
 
-def merged_tables(tables: DataFrame, doc: str) -> DataFrame:
-    """Fragments of tables put together over page breaks.
+def opens_with_names(rows: Column, headers: tuple[str, ...] = (), longest: int = 180) -> Column:
+    """Whether a table's first row is a header of its own.
 
-    ``tables``: ``doc``, ``page``, ``place``, ``markdown``, ``captioned``.  A fragment that continues
-    its predecessor joins its group; a running sum of the openings numbers the groups, so the chain
-    needs no fold.  A repeated header row is dropped.  Columns: ``doc``, ``group``, ``markdown``,
-    ``n_parts``, ``first_page``, ``last_page``.
+    It is no row of values and starts with one of ``headers``, or has two cells with letters or more, none
+    with more digits than letters, and is at most ``longest`` characters.
     """
-    order = W.partitionBy(doc).orderBy("page", "place")
-    rows = tables.withColumn("_rows", table_rows(F.col("markdown")))
-    rows = rows.withColumn("_width", F.size(row_cells(F.try_element_at("_rows", F.lit(1)))))
-    rows = rows.withColumns(
-        {
-            "_prior_width": F.lag("_width").over(order),
-            "_prior_page": F.lag("page").over(order),
-            "_header": F.lag(F.try_element_at("_rows", F.lit(1))).over(order),
-        }
-    )
-    again = F.try_element_at("_rows", F.lit(1)) == F.col("_header")
-    first = F.try_element_at("_rows", F.when(again, F.lit(2)).otherwise(F.lit(1)))
-    decision = continues(F.col("_width"), F.col("_prior_width"), F.col("page"), F.col("_prior_page"), first, F.col("captioned"))
-    rows = rows.withColumn("decision", decision)
-    opens = F.sum((F.col("decision") != "merge").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("group", opens)
-    own = F.when((F.col("decision") == "merge") & again, F.slice("_rows", 2, 1_000_000)).otherwise(F.col("_rows"))
-    listed = F.array_sort(F.collect_list(F.struct("page", "place", own.alias("rows"))))
-    return rows.groupBy(doc, "group").agg(
-        F.array_join(F.flatten(listed["rows"]), "\n").alias("markdown"),
-        F.count("*").alias("n_parts"), F.min("page").alias("first_page"), F.max("page").alias("last_page"),
+    first = F.try_element_at(rows, F.lit(1))
+    cells = F.filter(row_cells(first), lambda c: c != "")
+    letters, digits = (lambda c, p=p: F.regexp_count(c, F.lit(p)) for p in (r"\p{L}", r"\p{Nd}"))
+    named = F.filter(cells, lambda c: letters(c) > 0)
+    numeric = F.exists(cells, lambda c: digits(c) > letters(c))
+    listed = F.lower(F.try_element_at(cells, F.lit(1))).isin(*headers) if headers else F.lit(False)
+    header = listed | ((F.size(named) >= 2) & ~numeric & (F.length(F.array_join(cells, " ")) <= longest))
+    return F.coalesce(~is_data_row(first) & (F.size(cells) >= 2) & header, F.lit(False))
+
+
+def continues(left: Column, right: Column, openings: tuple[str, ...] = (), headers: tuple[str, ...] = ()) -> Column:
+    """``decision (decision, reason)``: whether a table goes on with the one before it.
+
+    Both are structs (page, caption, context, flags, forced, rows).  ``forced`` of the table before
+    (merge or separate) comes first; then the pages, the numbers of columns, equal captions, and
+    what the headings and the first row say, each with its reason.
+    """
+
+    def said(decision: str, reason: str) -> Column:
+        return F.struct(F.lit(decision).alias("decision"), F.lit(reason).alias("reason"))
+
+    near = right["page"].isin(left["page"], left["page"] + 1)
+    first = F.try_element_at(right["rows"], F.lit(1))
+    width = lambda t: F.size(row_cells(F.try_element_at(t["rows"], F.lit(1))))
+    fold = lambda c: F.lower(squeeze(F.coalesce(c, F.lit(""))))
+    same_context = fold(left["context"]) == fold(right["context"])
+    going_on = F.array_contains(right["flags"], "continued_context")
+    opened = F.lower(F.coalesce(F.try_element_at(row_cells(first), F.lit(1)), F.lit("")))
+    marked = F.exists(F.array(*map(F.lit, openings)), lambda o: opened.startswith(o)) if openings else F.lit(False)
+    return (
+        F.when((left["forced"] == "separate"), said("separate", "override_forced_separate"))
+        .when((left["forced"] == "merge") & near, said("merge", "override_forced_merge"))
+        .when(~near, said("separate", "non_adjacent_page"))
+        .when(F.coalesce(width(left) != width(right), F.lit(True)), said("separate", "column_mismatch"))
+        .when((fold(left["caption"]) != "") & (fold(left["caption"]) == fold(right["caption"])), said("merge", "same_caption"))
+        .when(F.array_contains(right["flags"], "duplicate_caption"), said("merge", "duplicate_caption"))
+        .when(same_context & (fold(right["caption"]) == "") & ~going_on, said("review", "same_context_missing_caption"))
+        .when(opens_with_names(right["rows"], headers), said("separate", "new_header_detected"))
+        .when(going_on & same_context & is_data_row(first), said("merge", "numeric_data_continuation"))
+        .when(going_on & same_context, said("merge", "continued_context_same_heading"))
+        .when(marked, said("merge", "leading_continuation_marker"))
+        .otherwise(said("separate", "no_continuation_signal"))
     )
 
 
+def _appended(left: Column, right: Column, most_new: float = 0.7) -> Column:
+    """The rows of both, without the right one's first row if it repeats the left one's header."""
+    tokens = lambda row: F.array_distinct(F.regexp_extract_all(F.lower(row), F.lit(r"([\p{L}\p{N}_]+)"), 1))
+    header, first = (tokens(F.coalesce(F.try_element_at(r, F.lit(1)), F.lit(""))) for r in (left, right))
+    again = (F.size(header) > 0) & (F.size(F.array_intersect(header, first)) > most_new * F.size(header))
+    return F.concat(left, F.when(again, F.slice(right, 2, 1_000_000)).otherwise(right))
+
+
+_GROUP = (
+    "struct<page:int,caption:string,context:string,flags:array<string>,forced:string,rows:array<string>,"
+    "ids:array<string>,first_page:int,last_page:int,reasons:array<string>,reason:string>"
+)
+
+
+def merged_tables(tables: DataFrame, doc: str, openings: tuple[str, ...] = (), headers: tuple[str, ...] = (), unchained: tuple[str, ...] = ()) -> DataFrame:
+    """Fragments of tables put together over page breaks.
+
+    ``tables``: ``doc``, ``page``, ``place``, ``table_id``, ``markdown``, ``caption``, ``context``, ``flags``,
+    ``forced``.  Each fragment is compared with the table as merged so far, which keeps the caption,
+    heading and header of its first fragment and moves to the page of its last one (but under the
+    headings of ``unchained``); so a document's fragments, which are few, are folded in order.
+    Columns: ``doc``, ``group``, ``markdown``, ``table_ids``, ``n_parts``, ``first_page``, ``last_page``,
+    ``reasons`` (of the merges), ``opened`` (why the group was opened; null for the first).
+    """
+    rows = tables.select(
+        doc, "page", "place",
+        F.struct(
+            F.col("page").cast("int").alias("page"), "caption", "context", F.coalesce("flags", F.array().cast("array<string>")).alias("flags"),
+            "forced", table_rows(F.col("markdown")).alias("rows"), F.array(F.col("table_id").cast("string")).alias("ids"),
+            F.col("page").cast("int").alias("first_page"), F.col("page").cast("int").alias("last_page"),
+            F.array().cast("array<string>").alias("reasons"), F.lit(None).cast("string").alias("reason"),
+        ).alias("t"),
+    )
+    listed = rows.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("page", "place", "t")))["t"].alias("t"))
+
+    def fold(groups: Column, t: Column) -> Column:
+        now = F.try_element_at(groups, F.lit(-1))
+        said = continues(now, t, openings, headers)
+        stays = any_of(F.lower(squeeze(F.coalesce(now["context"], F.lit("")))), unchained)
+        grown = F.struct(
+            F.when(stays, now["page"]).otherwise(t["page"]).alias("page"), now["caption"].alias("caption"), now["context"].alias("context"),
+            F.array_sort(F.array_union(F.array_union(now["flags"], t["flags"]), F.array(F.lit("merged_fragment")))).alias("flags"),
+            F.when(said["reason"] != "override_forced_merge", now["forced"]).alias("forced"),
+            _appended(now["rows"], t["rows"]).alias("rows"), F.concat(now["ids"], t["ids"]).alias("ids"),
+            F.least(now["first_page"], t["page"]).alias("first_page"), F.greatest(now["last_page"], t["page"]).alias("last_page"),
+            F.concat(now["reasons"], F.array(said["reason"])).alias("reasons"), now["reason"].alias("reason"),
+        )
+        opened = F.concat(groups, F.array(t.withField("reason", said["reason"]).cast(_GROUP)))
+        merged = F.concat(F.slice(groups, 1, F.size(groups) - 1), F.array(grown.cast(_GROUP)))
+        return F.when(F.size(groups) == 0, F.array(t.cast(_GROUP))).when(said["decision"] == "merge", merged).otherwise(opened)
+
+    groups = listed.select(doc, F.posexplode(F.aggregate("t", F.array().cast(f"array<{_GROUP}>"), fold)).alias("group", "g"))
+    return groups.select(
+        doc, (F.col("group") + 1).alias("group"), F.array_join("g.rows", "\n").alias("markdown"), F.col("g.ids").alias("table_ids"),
+        F.size("g.ids").cast("long").alias("n_parts"), "g.first_page", "g.last_page", "g.reasons", F.col("g.reason").alias("opened"),
+    )
+
+
 def without_repeated_lines(sections: DataFrame, tables: DataFrame, key: str) -> DataFrame:
     """Section texts without the lines that a table of theirs repeats: of a line that has words, all
     are in one row of the table.  Adds ``n_removed``."""

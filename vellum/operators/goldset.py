@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators.relations import earliest
 from vellum.operators.sampling import in_turns
+from vellum.storage import with_positions
 
 
 def category_of(text: Column, rules: dict[str, list[str]], other: str) -> Column:
@@ -41,6 +42,34 @@ def questions(sections: DataFrame, templates: dict[str, list[str]], variants: in
     return out.select("section_id", "category", "variant", "query")
 
 
+#: Kinds of chunks and sections that questions are asked of: fixed values.
+RISKY_STRATEGIES = ("chunk_window", "search_only")
+RISKY_ROLES = ("table", "index_entry", "appendix_list")
+LEAFLET_TYPE, LEAFLET_PREFIX = "brand_page", "leaflet:"
+
+
+def is_leaflet_section(content_type: Column, section_id: Column) -> Column:
+    """A leaflet's section: a page of a brand whose id says so."""
+    return F.coalesce((content_type == LEAFLET_TYPE) & section_id.startswith(LEAFLET_PREFIX), F.lit(False))
+
+
+def is_chunk_risk(strategy: Column, content_type: Column, role: Column) -> Column:
+    """A chunk that retrieval may miss or cut: read by a window or only searched, a table, a list."""
+    risky = (strategy.isin(*RISKY_STRATEGIES), content_type == "table", role.isin(*RISKY_ROLES))
+    return F.coalesce(risky[0], F.lit(False)) | F.coalesce(risky[1], F.lit(False)) | F.coalesce(risky[2], F.lit(False))
+
+
+def chunk_risk_candidates(chunks: DataFrame, sections: DataFrame) -> DataFrame:
+    """Risky chunks with their section, numbered in the order of ``chunk_key`` (null as 0) and ``chunk_id``.
+
+    ``chunks (chunk_id, chunk_key, section_id, hydrate_strategy, chunk_content_type, chunk_role, …)``;
+    chunks without a section of ``sections (section_id, …)`` are no candidates.
+    """
+    risky = chunks.filter(is_chunk_risk(F.col("hydrate_strategy"), F.col("chunk_content_type"), F.col("chunk_role")))
+    both = risky.withColumn("chunk_key", F.coalesce("chunk_key", F.lit(0))).join(sections, "section_id")
+    return with_positions(both, [F.col("chunk_key"), F.col("chunk_id")]).drop("group_rows")
+
+
 def unique_questions(candidates: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """Each query text once: that of the first candidate in order."""
     return earliest(candidates, ["query"], *order)

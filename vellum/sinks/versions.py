@@ -58,7 +58,11 @@ def write_bundle(bundle: dict[str, DataFrame], path: str) -> DataFrame:
     if problems:
         raise ValueError("; ".join(f"{p['check']} {p['id']}: {p['message']}" for p in problems))
     for name, df in bundle.items():
-        df.drop("_corrupt").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}")
+        if name in ("glossary", "mappings"):  # bounded lists, each one JSON array
+            whole = F.to_json(F.collect_list(F.struct("*")), {"ignoreNullFields": "false"})
+            df.agg(whole).coalesce(1).write.mode("overwrite").text(f"{path}/{name}.json")
+        else:
+            df.drop("_corrupt").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/{name}.jsonl")
     manifest = file_digests(spark, path).filter("path like '%/part-%'")
     listed = manifest.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
     rows = {r["file"]: r["sha256"] for r in listed.collect()}
