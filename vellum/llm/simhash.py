@@ -5,8 +5,9 @@ differs in at most ``radius // 2`` places, so the index is built twice, once wit
 (*orders*).  In an order the fingerprints are grouped by their first ``p`` bits, and a group meets
 just the groups whose leading bits are near enough (*cells*); a cell is joined in one task by
 descending two trees over the Gray-sorted fingerprints.  A node holds the masked bits that all its
-members share; node pairs whose shared bits already differ too often go as a whole, and pairs that
-cannot exceed the radius link as a whole.  A cell returns a spanning forest, never all its pairs.
+members share; node pairs whose shared bits already differ too often go as a whole, as do those
+whose members are all in one class, and pairs that cannot exceed the radius link as a whole.  A cell
+returns a spanning forest, never all its pairs; one of many rows is cut into parts.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import documents, map_columns, saved
+from vellum.llm.common import documents, in_parts, map_columns, saved
 from vellum.llm.components import connected_components, merge_labels
 
-#: Fingerprints of a group by leading bits, about.
-GROUP_ROWS = 16_384
+#: Fingerprints of a group by leading bits, about, and of one part of a cell.
+GROUP_ROWS, PART_ROWS = 16_384, 65_536
 #: Node pairs that are expanded at once.
 FRONTIER = 50_000
 #: Leading bits of a tree's next level, beyond those of the level above.
@@ -112,11 +113,12 @@ def _pairs(a0, a1, b0, b1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a0[which] + at // wide[which], b0[which] + at % wide[which], which
 
 
-def link_codes(codes: np.ndarray, radius: int, budget: int, bits: int) -> np.ndarray:
+def link_codes(codes: np.ndarray, radius: int, budget: int, bits: int, apart: bool = False) -> np.ndarray:
     """Labels of the classes that links within ``radius`` make among distinct codes.
 
-    Only pairs that differ in at most ``budget`` bits of the upper half are looked at.  Rows with
-    the same label, a row number, are linked directly or through others.
+    Only pairs that differ in at most ``budget`` bits of the upper half are looked at, and with
+    ``apart`` only those that differ in the first ``bits`` bits.  Rows with the same label, a row
+    number, are linked directly or through others.
     """
     n = len(codes)
     order = np.argsort(gray_rank(codes), kind="stable")
@@ -125,7 +127,7 @@ def link_codes(codes: np.ndarray, radius: int, budget: int, bits: int) -> np.nda
     half = np.uint64(0xFFFFFFFF00000000)
     deepest = len(tree.levels) - 1
     top = np.arange(len(tree.levels[0][0]))
-    stack = [(0, *np.triu_indices(len(top)))]
+    stack = [(0, *np.triu_indices(len(top), int(apart)))]
     while stack:
         level, i, j = stack.pop()
         if len(i) > FRONTIER:
@@ -133,10 +135,16 @@ def link_codes(codes: np.ndarray, radius: int, budget: int, bits: int) -> np.nda
             i, j = i[:FRONTIER], j[:FRONTIER]
         start, end, pattern, mask = tree.levels[level]
         common = mask[i] & mask[j]
-        apart = (pattern[i] ^ pattern[j]) & common
-        total = np.bitwise_count(apart)
-        keep = (total <= radius) & (np.bitwise_count(apart & half) <= budget)
-        sure = keep & (total + np.bitwise_count(~common) <= radius)
+        differ = (pattern[i] ^ pattern[j]) & common
+        total = np.bitwise_count(differ)
+        keep = (total <= radius) & (np.bitwise_count(differ & half) <= budget)
+        i, j, common, total = i[keep], j[keep], common[keep], total[keep]
+        if not len(i):
+            continue
+        low, high = np.minimum.reduceat(labels, start), np.maximum.reduceat(labels, start)
+        several = (low[i] != high[j]) | (low[j] != high[i])
+        i, j, common, total = i[several], j[several], common[several], total[several]
+        sure = total + np.bitwise_count(~common) <= radius
         if sure.any():
             a, b = i[sure], j[sure]
             zero = np.zeros(len(a), np.int64)
@@ -144,11 +152,10 @@ def link_codes(codes: np.ndarray, radius: int, budget: int, bits: int) -> np.nda
             labels = merge_labels(labels, u, v)
             u, v, _ = _pairs(start[a], start[a] + 1 + zero, start[b], end[b])
             labels = merge_labels(labels, u, v)
-        keep &= ~sure
-        if level == deepest or not keep.any():
+        i, j = i[~sure], j[~sure]
+        if level == deepest or not len(i):
             continue
         first, last = tree.children(level)
-        i, j = i[keep], j[keep]
         x, y, which = _pairs(first[i], last[i], first[j], last[j])
         ordered = (i[which] != j[which]) | (x <= y)
         stack.append((level + 1, x[ordered], y[ordered]))
@@ -165,7 +172,7 @@ def _masks(bits: int, most: int) -> list[int]:
 
 
 def _cells(fps: DataFrame, bits: int, radius: int) -> DataFrame:
-    """A row for each fingerprint and cell: order, the two leading patterns, doc, fp."""
+    """A row for each fingerprint and cell: order, the two leading patterns, fp."""
 
     def order(number: int, lead: Column, budget: int) -> DataFrame:
         head = F.shiftrightunsigned(lead, 64 - bits)
@@ -176,9 +183,8 @@ def _cells(fps: DataFrame, bits: int, radius: int) -> DataFrame:
             .withColumn("other", F.col("head").bitwiseXOR(F.col("mask")))
             .select(
                 F.lit(number).alias("order"),
-                F.least("head", "other").alias("low"),
-                F.greatest("head", "other").alias("high"),
-                "doc_id",
+                F.least("head", "other").alias("head"),
+                F.greatest("head", "other").alias("other"),
                 "fp",
             )
         )
@@ -189,27 +195,30 @@ def _cells(fps: DataFrame, bits: int, radius: int) -> DataFrame:
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Edges ``a, b`` (doc_ids) that connect exactly what links within ``radius`` connect.
+    """Edges ``a, b`` (fingerprints) that connect exactly what links within ``radius`` connect.
 
-    ``fps (doc_id, fp)`` holds distinct fingerprints.  The leading bits of a group follow from the
-    row count, so that a cell stays near ``2 * GROUP_ROWS`` rows of 16 bytes at every size.
+    ``fps (fp)`` holds distinct fingerprints.  The leading bits of a group follow from the
+    row count, so that a cell stays near ``2 * GROUP_ROWS`` rows of 16 bytes at every size; a cell of
+    more than PART_ROWS, where many fingerprints begin alike, is cut into pairs of parts.  A group is
+    joined with itself in a cell of its own only.
     """
     rows = fps.count()
     bits = min(24, max(4, math.ceil(math.log2(max(1, rows) / GROUP_ROWS))))
 
     def join(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table["doc_id"].to_numpy()
-        codes = table["fp"].to_numpy().view(np.uint64)
+        own = table["fp"].to_numpy()
+        codes = own.view(np.uint64)
         lead, budget = codes, radius // 2
         if key[0].as_py():
             lead = (codes << np.uint64(32)) | (codes >> np.uint64(32))
             budget = radius - radius // 2 - 1
-        labels = link_codes(lead, radius, budget, bits)
+        labels = link_codes(lead, radius, budget, bits, key[1].as_py() != key[2].as_py())
         moved = labels != np.arange(len(labels))
-        return pa.table({"a": ids[moved], "b": ids[labels[moved]]})
+        return pa.table({"a": own[moved], "b": own[labels[moved]]})
 
-    cells = _cells(fps, bits, radius)
-    return cells.groupBy("order", "low", "high").applyInArrow(join, "a long, b long")
+    names = ["order", "head", "other"]
+    tasks = in_parts(_cells(fps, bits, radius), names, PART_ROWS, "fp").drop("part")
+    return tasks.groupBy(*names, "low", "high").applyInArrow(join, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -220,17 +229,19 @@ def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4) -> Da
     any other; exact copies meet by equal fingerprints and are never paired.  Rows without a
     doc_id get a fingerprint and the component of that fingerprint, but make no links of their
     own (null if no document with an id has it).  Repeated rows come out as often as they come
-    in.  Columns of the table other than doc_id and text are ignored.
+    in; an empty table gives an empty table.  Columns other than doc_id and text are ignored.
     """
     marked = saved(fingerprints(docs, shingle), "fingerprints")
     first = saved(
         marked.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id")),
         "first",
     )
-    found = connected_components(fingerprint_links(first, radius))
-    classes = first.join(
-        found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left"
-    ).select("fp", F.coalesce("component", "doc_id").alias("component_id"))
-    return marked.join(classes, "fp", "left").select(
+    found = connected_components(fingerprint_links(first.select("fp"), radius))
+    classes = saved(
+        first.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")),
+        "classes",
+    )
+    least = classes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return marked.join(classes.join(least, "component").select("fp", "component_id"), "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
