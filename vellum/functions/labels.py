@@ -52,14 +52,22 @@ def canonical_label(line: Column, labels: dict[str, list[str]]) -> Column:
     return F.coalesce(*hits)
 
 
-def is_title(line: Column, stop: list[str]) -> Column:
-    """A line that looks like a document's title: short, mostly upper case, no digits or sentence end."""
-    letters = F.regexp_count(line, F.lit(r"\p{L}"))
-    upper = F.regexp_count(line, F.lit(r"\p{Lu}"))
+def is_title(line: Column, stop: list[str], longest: int = 90, share: float = 0.75, fields: tuple[str, ...] = ()) -> Column:
+    """A line that looks like a document's title: short, mostly upper case, no digits or sentence end.
+
+    What stands in brackets counts for nothing, and lines that start with one of ``fields`` (in
+    folded form) are no titles.
+    """
+    bare = F.regexp_replace(line, r"\([^)]*\)", "")
+    letters = F.regexp_count(bare, F.lit(r"\p{L}"))
+    upper = F.regexp_count(bare, F.lit(r"\p{Lu}"))
+    folded = match_key(line)
+    field = F.exists(F.array(*map(F.lit, fields)), lambda f: folded.startswith(f)) if fields else F.lit(False)
     return (
-        F.length(line).between(3, 80)
+        F.length(line).between(3, longest)
         & (letters >= 3)
-        & (upper >= 0.8 * letters)
+        & (upper >= share * letters)
+        & ~field
         & ~line.rlike(r"[.;:]\s*$|^\s*[0-9|]")
         & ~match_key(line).isin(stop)
     )

@@ -571,12 +571,12 @@ def staged_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("release_id", "collection_id", "number", "status")
 
 
-@query("select event_id from events where ts < timestamp '2024-01-10' - interval 3 day and user_id not in (select user_id from events where event_type = 'signup')")
+@query("select event_id from events where ts < timestamp '2024-01-10' - interval 3 day and user_id not in (select user_id from events where event_type = 'signup' and ts >= timestamp '2024-01-29')")
 def expired_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows past their lifetime that nothing refers to."""
     events = read_table(spark, sf_dir, "events")
     old = releases.expired(events, "ts", F.lit("2024-01-10").cast("timestamp_ntz"), 3 * 86_400)
-    signed = events.filter("event_type = 'signup'").select("user_id")
+    signed = events.filter("event_type = 'signup' and ts >= timestamp_ntz '2024-01-29'").select("user_id")
     return releases.unreferenced(old, [(signed, "user_id")], "user_id").select("event_id")
 
 

@@ -194,15 +194,6 @@ def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.markdown_sections(md, "page_id")
 
 
-@query()
-def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pipe tables of the pages' markdown with captions and class."""
-    md = page_markdown(spark, sf_dir).select("page_id", F.col("markdown").alias("text"))
-    found = corpus.pipe_tables(md, "page_id")
-    kind = corpus.table_class(F.col("caption"), F.col("markdown"), {"prices": ["price", "cost"], "people": ["name"]}, "other")
-    return found.withColumn("kind", kind)
-
-
 @query(
     """select page_id, regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]+)/[^/?#]+/?$', 1) as kind from pages
        where regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]+)/[^/?#]+/?$', 1) in ('en', 'fr', 'es')"""
