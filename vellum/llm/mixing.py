@@ -5,8 +5,9 @@ of slots, a block each, in output shards; each shard draws its counts of the sou
 multinomial with the target shares.  The n-th slot that a source gets over all shards takes the
 block that a pseudorandom permutation of the source's block indexes maps n to.  The slots join the
 packed blocks by index: a row of the mix is a run of a document's words with its shard, its slot in
-the shard and its place in the block.  What the mix takes of a document is the sum of its rows.  The remainder block of a stream has the last slot of each pass, so that the
-slots of a pass hold exactly the words of the source; the last slot is cut to the target.
+the shard and its place in the block.  What the mix takes of a document is the sum of its rows.
+The remainder block of a stream has the last slot of each pass, so that the slots of a pass hold
+exactly the words of the source; the last slot is cut to the target.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from vellum.llm.common import saved
 
 #: Words of a block, and blocks of an output shard.
 BLOCK_WORDS, SHARD_BLOCKS = 1024, 256
-#: Pieces of a source's stream that are summed apart, so that no task has a whole source.
-PIECES = 512
+#: Pieces of a source's stream that are summed apart, so that no task has a whole source; shards whose
+#: draws are summed as one piece; slots of a task, about.
+PIECES, PIECE_SHARDS, TASK_SLOTS = 512, 1024, 50_000
 #: Rounds of the swap-or-not permutation.
 ROUNDS = 16
 
@@ -150,10 +152,22 @@ def slots(sources: DataFrame, seed: int) -> DataFrame:
         .groupBy("shard", "key")
         .agg(F.count("*").alias("n"))
     )
-    run = W.partitionBy("key").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    # running sums over the shards of a source go within pieces and over the sums of the pieces
+    piece = F.floor(F.col("shard") / PIECE_SHARDS)
+    drawn = saved(drawn.withColumn("piece", piece), "drawn")
+    within = W.partitionBy("key", "piece").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    run = W.partitionBy("key").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    bases = (
+        drawn.groupBy("key", "piece")
+        .agg(F.sum("n").alias("piece_n"))
+        .withColumn("base", F.coalesce(F.sum("piece_n").over(run), F.lit(0)))
+        .select("key", "piece", "base")
+    )
     ahead = W.partitionBy("shard").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
     placed = (
-        drawn.withColumn("first", F.coalesce(F.sum("n").over(run), F.lit(0)))
+        drawn.withColumn("first", F.coalesce(F.sum("n").over(within), F.lit(0)))
+        .join(bases, ["key", "piece"])
+        .withColumn("first", F.col("first") + F.col("base"))
         .join(counted.select("key", "need"), "key")
         .withColumn("n", F.least("n", F.col("need") - F.col("first")))
         .filter("n > 0")
@@ -192,7 +206,7 @@ def slots(sources: DataFrame, seed: int) -> DataFrame:
         F.xxhash64(F.lit(seed), "shard", F.lit("place")),
     )
     return (
-        placed.unionByName(lacking)
+        _spread(placed.unionByName(lacking), total)
         .withColumn("slot", F.explode(F.expr("sequence(first, first + n - 1)")))
         .join(counted.drop("target", "words"), "key")
         .withColumn("mixed", mixed)
@@ -208,6 +222,20 @@ def slots(sources: DataFrame, seed: int) -> DataFrame:
     )
 
 
+def _spread(ranges: DataFrame, slots: int) -> DataFrame:
+    """``ranges (first, n, …)`` cut to pieces of a shard's slots, over as many tasks as the slots need."""
+    tasks = max(ranges.sparkSession.sparkContext.defaultParallelism, -(-slots // TASK_SLOTS))
+    last = F.expr("first + n")
+    cut = ranges.withColumn("from", F.explode(F.expr(f"sequence(first, first + n - 1, {SHARD_BLOCKS})")))
+    return (
+        cut.withColumn("offset", F.col("offset") + F.col("from") - F.col("first"))
+        .withColumn("n", F.least(last - F.col("from"), F.lit(SHARD_BLOCKS)))
+        .withColumn("first", F.col("from"))
+        .drop("from")
+        .repartition(tasks, "key", "first")
+    )
+
+
 def packed(own: DataFrame) -> DataFrame:
     """The blocks of the streams: a row for each run of a document's words in a block.
 
