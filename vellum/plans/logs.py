@@ -74,9 +74,16 @@ def guard_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.coalesce(text.first_group(F.col("text"), groups), F.lit("allowed")).alias("verdict"))
 
 
-@query()
+@query(
+    """with m as (select conv_id, turn, regexp_replace(text, '\\. ', '. [' || turn % 4 || '] ', 'g') as t from conversations where role = 'assistant'),
+    s as (select conv_id, turn, t, list_filter(list_transform(string_split(regexp_replace(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)),
+      lambda x: trim(x, ' \t\n\r')), lambda x: x <> '') as ss from m)
+    select conv_id, turn, len(ss) as sentences,
+      len(list_filter(ss, lambda x: not regexp_matches(x, '^(#|---|\\|)') and len(regexp_split_to_array(trim(regexp_replace(x, '\\[[0-9]+\\]', '', 'g'), ' \t\n\r'), '\\s+')) >= 4)) as content,
+      len(list_filter(ss, lambda x: regexp_matches(x, '\\[[0-9]+\\]'))) as cited, md5(regexp_replace(t, '\\[0*(0|[3-9]|[1-9][0-9]+)\\]', '', 'g')) as sanitized from s"""
+)
 def answer_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences, content sentences and citations of answers.  Needs lookbehind: tested in Python."""
+    """Sentences, content sentences and citations of answers."""
     rows = read_table(spark, sf_dir, "conversations").filter("role = 'assistant'")
     marked = F.regexp_replace("text", r"\. ", F.concat(F.lit(". ["), F.col("turn") % 4, F.lit("] ")))
     return rows.select(
@@ -210,13 +217,23 @@ def stream_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "left_id", "right_id")
 
 
-@query()
+@query(
+    """with w as (select max(ts) - interval 10 minute as mark from events),
+    g as (select user_id, min(ts) as start, bool_or(event_type = 'purchase') as ended from events group by 1)
+    select user_id, case when ended then 'ended' else 'timeout' end as outcome from g, w where ended or start + interval 1 hour < mark"""
+)
 def stream_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a user's run of events ends with a purchase or times out.  Keyed state with a timer."""
     return streams.run_to_end(streams.with_deadline(_events(spark, sf_dir), "user_id", "purchase", 3600, "10 minutes"), "outcomes")
 
 
-@query()
+@query(
+    """with d as (select conv_id as run, turn as seq, role = 'user' as ends, coalesce(lag(role <> 'user') over (partition by conv_id order by turn), false) as is_open,
+         regexp_replace(text, '\\[0*(0|[4-9]|[1-9][0-9]+)\\]', '', 'g') as shown from conversations)
+    select run, seq, 'open' as part, '' as text from d where not ends and not is_open
+    union all select run, seq, 'delta', shown from d where not ends and shown <> ''
+    union all select run, seq, 'close', '' from d where ends and is_open"""
+)
 def stream_message_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text deltas as message parts with citation marks cleaned.  Keyed state; tested on deltas."""
     deltas = streams.read_stream(spark, sf_dir, "conversations").select(

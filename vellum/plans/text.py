@@ -55,15 +55,25 @@ def content_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ts").cast("long").alias("n"), F.md5(F.array_join("ts", " ")).alias("digest"))
 
 
-@query()
+@query(
+    """with f as (select doc_id, trim(regexp_replace(replace(regexp_replace(text, '(?m)^[ \\t\\r\\x0b\\x0c]*\\|[|: \\t\\r\\x0b\\x0c]*-[-|: ]*$', ' ', 'g'), '|', ' '),
+        '[\\s\\x0b\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')) as flat from documents),
+    h as (select doc_id, flat, substr(flat, 1, 119) as head, substr(flat, 120, 1) = ' ' as whole from f)
+    select doc_id, case when length(flat) <= 120 then flat else
+      rtrim(case when whole or not contains(head, ' ') or regexp_replace(head, ' [^ ]*$', '') = '' then head else regexp_replace(head, ' [^ ]*$', '') end, ' ') || '…' end as snippet from h"""
+)
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A preview line of each document.  Tested against a plain loop."""
+    """A preview line of each document."""
     return _docs(spark, sf_dir).select("doc_id", text.snippet(F.col("text"), 120).alias("snippet"))
 
 
-@query()
+@query(
+    """select doc_id, md5(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), '[ \\t\\x0b\\x0c\\x{85}\\x{a0}\\x{3000}]+(\\n|$)', '\\1', 'g'), '^\\n+|\\n+$', '', 'g')) as clean,
+      md5(translate(strip_accents(text), 'đĐÐ', 'dDD')) as folded,
+      trim(regexp_replace(lower(translate(strip_accents(substr(text, 1, 80)), 'đĐÐ', 'dDD')), '[^a-z0-9]+', '-', 'g'), '-') as slug from documents"""
+)
 def normal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of cleaned and of accent-folded texts.  Unicode forms: tested in Python."""
+    """Digests of cleaned and of accent-folded texts, and slugs."""
     t = F.col("text")
     return _docs(spark, sf_dir).select(
         "doc_id", F.md5(text.clean_lines(t)).alias("clean"), F.md5(text.fold_accents(t)).alias("folded"), text.slug(F.substring(t, 1, 80)).alias("slug")

@@ -110,33 +110,39 @@ def due_every(events: DataFrame, key: str, every: int) -> DataFrame:
     )
 
 
-def with_deadline(events: DataFrame, key: str, ends: str, seconds: int, late: str) -> DataFrame:
+def with_deadline(events: DataFrame, key: str, ends: str, seconds: int, late: str, keep: int = 86_400) -> DataFrame:
     """How each key's run ended: by an event of type ``ends``, or ``timeout`` in event time.
 
-    ``events`` has ``ts``, ``event_type``; a run starts with its first event.  Columns: key, ``outcome``.
+    ``events`` has ``ts``, ``event_type``; a run starts with its first event.  A key has one outcome:
+    ended and timed-out keys are remembered until ``keep`` seconds of event time have passed since
+    their last event, and forgotten then.  Columns: key, ``outcome``.
     """
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, last, done = state.get if state.exists else (None, 0, False)
         if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "outcome": ["timeout"]})
+            if done:
+                state.remove()
+            else:
+                state.update((start, last, True))
+                state.setTimeoutTimestamp(max(last + 1000 * keep, state.getCurrentWatermarkMs() + 1))
+                yield pd.DataFrame({key: [k[0]], "outcome": ["timeout"]})
             return
-        start, done = state.get if state.exists else (None, False)
         over = False
         for b in batches:
-            first = int(b["ts"].min().timestamp() * 1000)
+            first, last = int(b["ts"].min().timestamp() * 1000), max(last, int(b["ts"].max().timestamp() * 1000))
             start = first if start is None else min(start, first)
             over |= bool((b["event_type"] == ends).any())
         if over and not done:
             yield pd.DataFrame({key: [k[0]], "outcome": ["ended"]})
         done = done or over
-        state.update((start, done))
-        if not done:
-            state.setTimeoutTimestamp(max(start + 1000 * seconds, state.getCurrentWatermarkMs() + 1))
+        state.update((start, last, done))
+        wake = last + 1000 * keep if done else start + 1000 * seconds
+        state.setTimeoutTimestamp(max(wake, state.getCurrentWatermarkMs() + 1))
 
     kind = dict(events.dtypes)[key]
     timed = with_event_time(events).withWatermark("ts", late).select(key, "ts", "event_type")
     return timed.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, outcome string", "start long, done boolean", "append", GroupStateTimeout.EventTimeTimeout
+        step, f"{key} {kind}, outcome string", "start long, last long, done boolean", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
