@@ -4,7 +4,10 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from vellum import plans
+from vellum.operators import sampling, statistics
 from vellum.storage import shared_dir
 
 JOINS = [
@@ -49,3 +52,27 @@ def test_no_shared_folder_is_an_error_on_a_cluster():
         with pytest.raises(ValueError):
             shared_dir(Session(spark_master=master))
     assert shared_dir(Session(spark_master="yarn", spark_checkpoint_dir="hdfs://x/y")) == "hdfs://x/y"
+
+
+def test_samples_are_cut_without_gathering_a_stratum(spark):
+    df = spark.range(40_000).withColumn("s", F.when(F.col("id") % 3 == 0, "a").otherwise(F.concat(F.lit("b"), F.col("id") % 4)))
+    for most in (500, 5000):
+        out = sampling.per_group_sample(df, ["s"], "id", most, 1)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        windows = re.findall(r"Window \[row_number\(\).*?, \[(.*?)\]", plan)
+        assert "WindowGroupLimit" in plan if most == 500 else windows and all("_slice" in w for w in windows)
+        assert out.groupBy("s").count().agg(F.min("count"), F.max("count")).first() == (most, most)
+    few, many = ({r["id"] for r in sampling.stratified_sample(df, "s", "id", n, 2).collect()} for n in (900, 5000))
+    assert len(few) == 900 and len(many) == 5000 and len(few - many) < 20
+    slots = spark.createDataFrame([(k, "a") for k in range(3)], "slot int, s string")
+    got = sampling.disjoint_samples(df, slots, ["s"], "id", 1500, 3).select("slot", "id").collect()
+    assert len({r["id"] for r in got}) == 4500 and {sum(r["slot"] == k for r in got) for k in range(3)} == {1500}
+
+
+def test_percentiles_of_a_large_group(spark):
+    df = spark.range(1001).select((F.col("id") % 7 == 0).alias("g"), (F.col("id") * F.lit(1.5)).alias("x"))
+    want = df.groupBy("g").agg(F.count("x"), F.percentile("x", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.0), F.lit(1.0)))).collect()
+    got = {r["g"]: r for r in statistics.interpolated(df, ["g"], "x", (0.5, 0.95, 0.0, 1.0)).collect()}
+    for g, n, points in want:
+        assert got[g]["n"] == n and [got[g][c] for c in ("p50", "p95", "p0", "p100")] == pytest.approx(points)
+    assert statistics.interpolated(df.limit(0), ["g"], "x", (0.5,)).count() == 0

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.storage import with_positions
+
+#: Rows of one scan in ``overlap_match``.
+OVERLAP_BLOCK = 1000
+
 
 # -- lookups --------------------------------------------------------------------------------------
 def pick_rows(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -96,23 +104,29 @@ def overlap_match(
     share: float = 0.35,
     sure: float = 0.55,
     margin: int = 4,
-    most_rows: int | None = None,
 ) -> DataFrame:
     """For each row the other with the most tokens in common, if it is a match.
 
-    Both have the array ``tokens``.  A match has at least ``common`` tokens in common, ``share`` of
-    the row's, and either ``sure`` of them or ``margin`` more than the second best.  Tokens meet by
-    an equi-join.  ``most_rows`` leaves out tokens that more rows hold (never by default).
+    Both have a long id and the array ``tokens``.  A match has at least ``common`` tokens in common,
+    ``share`` of the row's, and either ``sure`` of them or ``margin`` more than the second best.  The
+    rows are asked in blocks of OVERLAP_BLOCK; each block is one scan of ``others``, whose tasks count
+    common tokens by a table of the block's tokens and keep the best two of each row.  So no pair
+    goes through a shuffle but those, however common a token is.
     Columns: the id, ``matched`` (null without a match), ``shared``, ``confidence``.
     """
-    left = df.select(row_id, F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    right = others.select(other_id, F.explode("tokens").alias("token"))
-    if most_rows is not None:
-        rare = left.groupBy("token").count().filter(F.col("count") <= most_rows)
-        left = left.join(rare.select("token"), "token", "left_semi")
-    shared = left.join(right, "token").groupBy(row_id, "n", other_id).agg(F.count("*").alias("shared"))
+    asked = df.select(F.col(row_id).cast("long").alias(row_id), F.array_distinct("tokens").alias("tokens")).filter(f"{row_id} is not null")
+    base = others.select(F.col(other_id).cast("long").alias(other_id), F.array_distinct("tokens").alias("tokens")).filter(f"{other_id} is not null")
+    blocks = -(-asked.count() // OVERLAP_BLOCK)
+    found = None
+    for b in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64(row_id), F.lit(blocks)) == b).collect()
+        part = _best_two(base, [(r[0], r[1] or []) for r in rows], row_id, other_id)
+        found = part if found is None else found.unionByName(part)
+    kind = dict(df.dtypes)[row_id]
+    if found is None:
+        return df.sparkSession.createDataFrame([], f"{row_id} {kind}, matched {dict(others.dtypes)[other_id]}, shared long, confidence double")
     order = W.partitionBy(row_id).orderBy(F.desc("shared"), other_id)
-    two = shared.withColumn("_place", F.row_number().over(order)).filter("_place <= 2")
+    two = found.withColumn("_place", F.row_number().over(order)).filter("_place <= 2")
     best = two.groupBy(row_id).agg(
         F.min_by(F.struct(other_id, "shared", "n"), "_place").alias("best"),
         F.coalesce(F.max(F.when(F.col("_place") == 2, F.col("shared"))), F.lit(0)).alias("second"),
@@ -125,7 +139,7 @@ def overlap_match(
     )
     return df.select(row_id).join(
         best.select(
-            row_id,
+            F.col(row_id).cast(kind).alias(row_id),
             F.when(good, F.col(f"best.{other_id}")).alias("matched"),
             F.col("best.shared").alias("shared"),
             confidence.alias("confidence"),
@@ -135,6 +149,45 @@ def overlap_match(
     )
 
 
+def _best_two(base: DataFrame, rows: list[tuple[int, list[str]]], row_id: str, other_id: str) -> DataFrame:
+    """``row_id``, ``n``, ``other_id``, ``shared``: of each task the best two others of each row."""
+    held = base.sparkSession.sparkContext.broadcast(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = held.value
+        holders: dict[str, list[int]] = {}
+        for k, (_, tokens) in enumerate(rows):
+            for token in tokens:
+                holders.setdefault(token, []).append(k)
+        numbers = {t: np.array(h) for t, h in holders.items()}
+        best = np.zeros((2, len(rows)), np.int64)
+        ids = np.full((2, len(rows)), np.iinfo(np.int64).max)
+        for batch in batches:
+            for other, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hits = [numbers[t] for t in tokens or () if t in numbers]
+                if not hits:
+                    continue
+                shared = np.bincount(np.concatenate(hits), minlength=len(rows))
+                first = (shared > best[0]) | ((shared == best[0]) & (other < ids[0]))
+                second = ~first & ((shared > best[1]) | ((shared == best[1]) & (other < ids[1])))
+                first &= shared > 0
+                second &= shared > 0
+                best[1, first], ids[1, first] = best[0, first], ids[0, first]
+                best[0, first], ids[0, first] = shared[first], other
+                best[1, second], ids[1, second] = shared[second], other
+        for k in (0, 1):
+            some = np.flatnonzero(best[k])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    row_id: np.array([rows[x][0] for x in some.tolist()], np.int64),
+                    "n": np.array([len(rows[x][1]) for x in some.tolist()], np.int64),
+                    other_id: ids[k, some], "shared": best[k, some],
+                }
+            )
+
+    return base.mapInArrow(run, f"{row_id} long, n long, {other_id} long, shared long")
+
+
 def best_candidate(candidates: DataFrame, by: str, *order: Column) -> DataFrame:
     """The best candidate of each row by the given order."""
     place = F.row_number().over(W.partitionBy(by).orderBy(*order))
@@ -249,18 +302,26 @@ def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def numbered_repeats(df: DataFrame, name: str, *order: str) -> DataFrame:
-    """Names made unique: the n-th repeat (from the second) gets ``:part-NNN``."""
-    n = F.row_number().over(W.partitionBy(name).orderBy(*order))
+    """Names made unique: the n-th repeat (from the second) gets ``:part-NNN``.
+
+    ``order`` ends with a unique column.  A name may have most of the rows: they are numbered by
+    ranges.
+    """
+    n = F.col("position")
     unique = F.when(n == 1, F.col(name)).otherwise(F.concat(name, F.format_string(":part-%03d", n)))
-    return df.withColumn("unique_name", unique)
+    placed = with_positions(df, [F.col(c) for c in order], (name,))
+    return placed.withColumn("unique_name", unique).drop("position", "group_rows")
 
 
 def runs(df: DataFrame, by: list[str], number: str) -> DataFrame:
-    """Runs of consecutive whole numbers per group: ``first``, ``last``, ``n`` (gaps and islands)."""
+    """Runs of consecutive whole numbers per group: ``first``, ``last``, ``n`` (gaps and islands).
+
+    A group may have most of the numbers: they are numbered by ranges.
+    """
     distinct = df.select(*by, F.col(number).cast("long").alias("x")).distinct().filter("x is not null")
-    island = F.col("x") - F.row_number().over(W.partitionBy(*by).orderBy("x"))
+    placed = with_positions(distinct, [F.col("x")], tuple(by))
     return (
-        distinct.withColumn("_island", island)
+        placed.withColumn("_island", F.col("x") - F.col("position"))
         .groupBy(*by, "_island")
         .agg(F.min("x").alias("first"), F.max("x").alias("last"), F.count("*").alias("n"))
         .drop("_island")

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from vellum.storage import with_positions
 
+#: Rows of a group up to which Spark cuts a window's rows before the shuffle.
+CUT_ROWS = 1000
+
 
 def quotas(counts: DataFrame, stratum: str, total: int) -> DataFrame:
     """``counts (stratum, rows)`` with ``quota``: ``total`` shared in proportion, largest remainder.
@@ -29,24 +32,31 @@ def quotas(counts: DataFrame, stratum: str, total: int) -> DataFrame:
     )
 
 
-def stratified_sample(df: DataFrame, stratum: str, row_id: str, total: int, seed: int) -> DataFrame:
-    """A sample of ``total`` rows with the strata in proportion; the rows with the least hash win.
+def _numbered(df: DataFrame, by: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of each group in order, numbered from 1 in ``_place``.
 
-    ``row_number() <= quota`` with the largest quota as a constant bound lets every task drop what
-    can't be among the least of its stratum before the shuffle.
+    Up to CUT_ROWS Spark drops in each task what can't be among them before the shuffle; beyond that a
+    window would gather whole groups, so the rows are numbered by ranges.
     """
+    if most <= CUT_ROWS:
+        place = F.row_number().over(W.partitionBy(*by).orderBy(*order))
+        return df.withColumn("_place", place).filter(F.col("_place") <= most)
+    placed = with_positions(df, order, tuple(by)).withColumnRenamed("position", "_place").drop("group_rows")
+    return placed.filter(F.col("_place") <= most)
+
+
+def stratified_sample(df: DataFrame, stratum: str, row_id: str, total: int, seed: int) -> DataFrame:
+    """A sample of ``total`` rows with the strata in proportion; the rows with the least hash win."""
     counts = df.groupBy(stratum).agg(F.count("*").alias("rows"))
     wanted = quotas(counts, stratum, total).select(F.col(stratum).alias("_stratum"), "quota")
-    order = W.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), row_id), row_id)
-    least = df.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= total)
+    least = _numbered(df, [stratum], [F.xxhash64(F.lit(seed), row_id), F.col(row_id)], total)
     same = F.col(stratum).eqNullSafe(F.col("_stratum"))
     return least.join(wanted, same).filter("_place <= quota").drop("_place", "_stratum", "quota")
 
 
 def per_group_sample(df: DataFrame, by: list[str], row_id: str, each: int, seed: int) -> DataFrame:
     """At most ``each`` rows per group, by hash."""
-    order = W.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), row_id), row_id)
-    return df.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= each).drop("_place")
+    return _numbered(df, by, [F.xxhash64(F.lit(seed), row_id), F.col(row_id)], each).drop("_place")
 
 
 def disjoint_samples(
@@ -54,15 +64,14 @@ def disjoint_samples(
 ) -> DataFrame:
     """For each slot of a stratum ``each`` rows of it that no other slot gets.
 
-    ``slots (slot, *by)``: the slots of a stratum are numbered and take the stratum's rows, in hash
-    order, in turn.
+    ``slots (slot, *by)``: the slots of a stratum, which are few, are numbered and take the stratum's
+    rows, in hash order, in turn.
     """
     most = slots.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     turn = slots.withColumn("_turn", F.row_number().over(W.partitionBy(*by).orderBy("slot")) - 1)
-    order = W.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), row_id), row_id)
-    rows = df.withColumn("_at", F.row_number().over(order) - 1).filter(F.col("_at") < int(most) * each)
-    own = F.floor(F.col("_at") / each) == F.col("_turn")
-    return rows.join(turn, by).filter(own).drop("_turn", "_at")
+    rows = _numbered(df, by, [F.xxhash64(F.lit(seed), row_id), F.col(row_id)], int(most) * each)
+    own = F.floor((F.col("_place") - 1) / each) == F.col("_turn")
+    return rows.join(turn, by).filter(own).drop("_turn", "_place")
 
 
 def spread_pick(df: DataFrame, by: tuple[str, ...], order: list[Column], slots: int) -> DataFrame:

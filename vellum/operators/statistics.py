@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.storage import saved
+from vellum.storage import saved, with_positions
 
 #: The 0.975 quantile of the normal distribution.
 Z95 = 1.959963984540054
@@ -152,11 +152,26 @@ def holm(tests: DataFrame, family: list[str], p: str = "p_value") -> DataFrame:
 
 
 def interpolated(df: DataFrame, by: list[str], column: str, points: tuple[float, ...]) -> DataFrame:
-    """Percentiles with linear interpolation, one column ``p<100 point>`` each."""
-    wanted = F.percentile(column, F.array(*map(F.lit, points))).alias("p")
-    out = df.groupBy(*by).agg(F.count(column).alias("n"), wanted)
-    names = {f"p{round(100 * q)}": F.col("p")[k] for k, q in enumerate(points)}
-    return out.withColumns(names).drop("p")
+    """Percentiles with linear interpolation, one column ``p<100 point>`` each, and ``n``.
+
+    Values are numbered by ranges (see ``with_positions``), and only those beside each point are
+    summed up, so that no task keeps the values of a group.  Groups without values are left out.
+    """
+    values = df.select(*by, F.col(column).cast("double").alias("_value")).filter("_value is not null")
+    placed = with_positions(values, [F.col("_value")], tuple(by))
+    at = F.col("position") - 1
+    sides = []
+    for k, q in enumerate(points):
+        place = (F.col("group_rows") - 1) * F.lit(float(q))
+        low = F.floor(place)
+        sides += [
+            F.max(F.when(at == low, F.col("_value"))).alias(f"_low{k}"),
+            F.max(F.when(at == F.ceil(place), F.col("_value"))).alias(f"_high{k}"),
+            F.max(place - low).alias(f"_part{k}"),
+        ]
+    out = placed.groupBy(*by).agg(F.count("*").alias("n"), *sides)
+    names = {f"p{round(100 * q)}": (1 - F.col(f"_part{k}")) * F.col(f"_low{k}") + F.col(f"_part{k}") * F.col(f"_high{k}") for k, q in enumerate(points)}
+    return out.select(*by, "n", *[c.alias(n) for n, c in names.items()])
 
 
 # -- resampling -----------------------------------------------------------------------------------
