@@ -2,16 +2,18 @@
 
 Every window of a document that is as long as an item is a candidate for that item.  Windows whose
 shingles are too rarely shingles of any item cannot reach the similarity and go first, which loses
-none.  The others get a SimHash; an index of the items' fingerprints by eight blocks of eight bits
-gives all items within the radius, since one block then differs in at most ``RADIUS // 8`` bits;
-those are verified by the weighted (multiset) Jaccard similarity of their word shingles.  Items go to
-the tasks in blocks of a fixed number of bytes, each a scan of the documents.
+none.  The others get a SimHash of 128 bits.  Of its eight blocks of 16 bits one differs from that of
+an item within the radius in at most ``RADIUS // 8`` bits; the index holds each block of the items
+with up to ``ITEM_BITS`` of those bits turned, and is asked for the window's block with the rest
+turned, so it gives all items within the radius.  Those are verified by the weighted (multiset) Jaccard
+similarity of their word shingles.  Items go to the tasks in blocks of a fixed number of bytes, each a
+scan of the documents; the index of a block is built once.
 """
 
 from __future__ import annotations
 
 import string
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -20,12 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import documents, map_columns
+from vellum.llm.common import documents, free_name, map_columns, saved, small
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Differing bits of fingerprints up to which windows are candidates: similar windows at 0.8 differ
-#: in 10 bits on average, with a deviation of 3.
-RADIUS = 23
+#: in 19 bits on average, with a deviation of 4; others in 64.
+RADIUS = 31
+#: Blocks of a fingerprint, and differing bits of a block that the index has for its items.
+BLOCKS, ITEM_BITS = 8, 1
 #: Bytes of item texts of one scan.
 BLOCK_BYTES = 16_000_000
 
@@ -33,9 +37,14 @@ _DDL = "doc_id long, item_id long, start long, similarity double"
 _TABLE = bytes(
     32 if chr(b) in string.punctuation or b < 33 else b for b in range(128)
 ) + bytes(range(128, 256))
-_NEAR = [
-    sum(1 << b for b in at) for k in range(RADIUS // 8 + 1) for at in combinations(range(8), k)
-]
+
+
+def _turned(most: int) -> np.ndarray:
+    """All masks of a block with at most ``most`` bits set."""
+    return np.array([sum(1 << b for b in at) for k in range(most + 1) for at in combinations(range(16), k)], np.uint64)
+
+
+_OF_ITEMS, _OF_WINDOWS = _turned(ITEM_BITS), _turned(RADIUS // BLOCKS - ITEM_BITS)
 _PRIME = 0x9E3779B97F4A7C15
 
 
@@ -55,18 +64,22 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return both / (a.total() + b.total() - both) if both else 0.0
 
 
-def _majority(hashes: np.ndarray) -> int:
-    """The bits that are set in over half of the hashes (big-endian)."""
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), 8), axis=1).sum(axis=0)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+def _majority(digests: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of the digests, as bytes."""
+    ones = np.unpackbits(digests, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(digests))
+
+
+def _digests(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), np.uint8).reshape(-1, 16)
 
 
 def simhash(parts: list[bytes]) -> int:
-    return _majority(np.array([xxhash.xxh64_intdigest(p) for p in parts], ">u8"))
+    return int.from_bytes(_majority(_digests(parts)).tobytes(), "big")
 
 
-def _shingle_hashes(words: list[bytes], windows: list[tuple[int, int, int]]) -> dict[int, np.ndarray]:
-    """By width of shingles: the hash of the one at each place, once for all windows that hold it."""
+def _shingle_digests(words: list[bytes], windows: list[tuple[int, int, int]]) -> dict[int, np.ndarray]:
+    """By width of shingles: the digest of the one at each place, once for all windows that hold it."""
     out = {}
     for width in {min(SHINGLE, length) for length, _, _ in windows}:
         wanted = np.zeros(len(words) + 2, np.int64)
@@ -75,44 +88,62 @@ def _shingle_hashes(words: list[bytes], windows: list[tuple[int, int, int]]) ->
                 wanted[start] += 1
                 wanted[start + size - width + 1] -= 1
         at = np.flatnonzero(np.cumsum(wanted)).tolist()
-        out[width] = np.zeros(len(words), ">u8")
-        out[width][at] = [xxhash.xxh64_intdigest(b" ".join(words[k : k + width])) for k in at]
+        out[width] = np.zeros((len(words), 16), np.uint8)
+        out[width][at] = _digests([b" ".join(words[k : k + width]) for k in at])
     return out
 
 
 class ItemIndex:
-    """Items by length, their shingle codes, and the blocks of their fingerprints."""
+    """Items by length, their shingle codes, and the blocks of their fingerprints, as sorted arrays."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = []
+        self.ids: list[int] = []
+        self.texts: list[str] = []
         self.numbers: dict[bytes, int] = {}
-        self.by_length: dict[int, list[int]] = defaultdict(list)
+        lengths, marks = [], []
         for item_id, text in items:
             words = words_of(text)
             if not words:
                 continue
-            parts = shingles(words)
-            self.by_length[len(words)].append(len(self.items))
-            self.items.append((item_id, Counter(parts), simhash(parts)))
+            lengths.append(len(words))
+            marks.append(_majority(_digests(shingles(words))))
+            self.ids.append(item_id)
+            self.texts.append(text)
             for w in words:
                 self.numbers.setdefault(w, len(self.numbers))
-        self.blocks: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for length, members in self.by_length.items():
-            for k in members:
-                for b in range(8):
-                    octet = self.items[k][2] >> 8 * b & 255
-                    for m in _NEAR:
-                        self.blocks[length, b, octet ^ m].append(k)
+        self.lengths = sorted(set(lengths))
+        self.marks = np.array(marks, np.uint8).reshape(-1, 16)
+        turned = self._blocks(self.marks, np.array(lengths, np.uint64))[:, :, None] ^ _OF_ITEMS
+        entries = turned.ravel()
+        order = np.argsort(entries, kind="stable")
+        self.entries, self.owners = entries[order], (order // (BLOCKS * len(_OF_ITEMS))).astype(np.int32)
         self.codes = {
             width: np.unique(
                 np.concatenate(
-                    [self._codes(self._ids(words_of(t)), width) for _, t in items]
-                    or [np.zeros(0, np.uint64)]
+                    [self._codes(self._ids(words_of(t)), width) for t in self.texts]
                 )
             )
-            for width in {min(SHINGLE, n) for n in self.by_length}
+            for width in {min(SHINGLE, n) for n in self.lengths}
         }
 
+    @staticmethod
+    def _blocks(marks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Of each fingerprint a number for each block: the item's length, the block's place and bits."""
+        bits = marks.view(">u2").astype(np.uint64)
+        return (lengths[:, None] << np.uint64(19)) | (np.arange(BLOCKS, dtype=np.uint64) << np.uint64(16)) | bits
+
+    def admitted(self, length: int, mark: np.ndarray) -> np.ndarray:
+        """The items of the length that share a block with the fingerprint, up to the bits turned."""
+        asked = (self._blocks(mark[None, :], np.array([length], np.uint64))[0][:, None] ^ _OF_WINDOWS).ravel()
+        low, high = np.searchsorted(self.entries, asked), np.searchsorted(self.entries, asked, side="right")
+        some = np.flatnonzero(high > low).tolist()
+        return np.unique(np.concatenate([self.owners[low[k] : high[k]] for k in some])) if some else np.zeros(0, np.int32)
+
+    def near(self, length: int, mark: np.ndarray) -> list[int]:
+        """The items of the length within RADIUS of the fingerprint."""
+        found = self.admitted(length, mark)
+        return found[np.bitwise_count(self.marks[found] ^ mark).sum(axis=1, dtype=np.int64) <= RADIUS].tolist()
+
     def _ids(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.numbers.get, words, repeat(-1)), np.int64, len(words))
 
@@ -156,23 +187,22 @@ class ItemIndex:
         words = words_of(text)
         if not words:
             return []
-        windows = list(self._windows(self._ids(words), len(words), self.by_length))
-        hashes = _shingle_hashes(words, windows)
+        windows = list(self._windows(self._ids(words), len(words), self.lengths))
+        digests = _shingle_digests(words, windows)
         best: dict[int, tuple[float, int]] = {}
+        wanted: dict[int, Counter] = {}
         for length, size, start in windows:
             width = min(SHINGLE, length)
-            code = _majority(hashes[width][start : start + size - width + 1])
-            near = {k for b in range(8) for k in self.blocks.get((length, b, code >> 8 * b & 255), ())}
-            near = [k for k in near if (code ^ self.items[k][2]).bit_count() <= RADIUS]
-            if not near:
-                continue
-            own = Counter(shingles(words[start : start + size]))
+            near = self.near(length, _majority(digests[width][start : start + size - width + 1]))
+            own = Counter(shingles(words[start : start + size])) if near else None
             for k in near:
-                similarity = weighted_jaccard(own, self.items[k][1])
+                if k not in wanted:
+                    wanted[k] = Counter(shingles(words_of(self.texts[k])))
+                similarity = weighted_jaccard(own, wanted[k])
                 if similarity >= SIMILARITY:
                     found = (similarity, -start)
                     best[k] = max(best.get(k, found), found)
-        return [(self.items[k][0], -s, sim) for k, (sim, s) in best.items()]
+        return [(self.ids[k], -s, sim) for k, (sim, s) in best.items()]
 
 
 def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -201,10 +231,10 @@ def find_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     out = None
     for block in _item_blocks(items):
-        held = spark.sparkContext.broadcast(block)
+        held = spark.sparkContext.broadcast(ItemIndex(block))
 
         def make(held=held):
-            index = ItemIndex(held.value)
+            index = held.value
 
             def run(ids, texts):
                 rows = [(i, *m) for i, t in zip(ids, texts, strict=True) for m in index.matches(t)]
@@ -218,6 +248,11 @@ def find_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows without a doc_id stay."""
-    held = find_contamination(docs, items).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, F.col("doc_id").cast("long") == F.col("_held"), "left_anti")
+    """``docs`` without the documents that hold an item (see ``find_contamination``).
+
+    Rows without a doc_id stay.  Of rows that share a doc_id all go if one holds an item.  Null and
+    empty texts stay, all columns pass through, and an empty table gives an empty table.
+    """
+    held = free_name(docs, "held")
+    ids = find_contamination(docs, items).select(F.col("doc_id").alias(held)).distinct()
+    return docs.join(small(saved(ids, "held")), F.col("doc_id").cast("long") == F.col(held), "left_anti")
