@@ -2,13 +2,16 @@
 
 A key is the host's labels in reverse; a rule's host is a prefix of the keys of its subdomains, so
 it stands for an interval of keys, and intervals are nested or apart.  Each task sorts its urls by
-key and sweeps them along the sorted rules with a stack of the rules whose interval is open; on the
-stack the path prefixes are compared and the longest fitting rule wins.  The urls are not shuffled.
-Rules go to the tasks in blocks of a fixed size, one sweep per block, each keeping the better rule.
+key and sweeps them along the sorted hosts of the rules with a stack of those whose interval is open.
+The paths of one host's rules are prefixes, so they are nested intervals as well: sorted, each with
+the one around it.  The innermost around a url's path is found by bisection and a walk outwards; the
+longest over the stack wins.  The urls are not shuffled.  Rules go to the tasks in blocks of a
+fixed size, one sweep per block, each keeping the better rule.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,33 +44,60 @@ def host_key(host: str) -> str:
     return "".join(label + MARK for label in reversed(host.split(".")))
 
 
-def _better(new: tuple[str, str, str], old: tuple[str, str] | None) -> bool:
-    """Whether the rule is longer than (rule, verdict); of equal rules, blocking ones win."""
-    if old is None:
-        return True
-    name = new[1] + new[2]
-    return (len(name), name, new[0]) > (len(old[0]), *old)
+def _better(new: tuple[str, str], old: tuple[str, str] | None) -> bool:
+    """Whether the rule (text, verdict) is longer; of equal rules, blocking ones win."""
+    return old is None or (len(new[0]), *new) > (len(old[0]), *old)
 
 
-def _sweep(rules: list[tuple[str, str, str]]):
-    """Maps sorted urls to their rule; ``rules`` are (verdict, host, path)."""
-    sorted_rules = sorted((host_key(r[1]), r) for r in rules)
+class HostRules:
+    """The rules of one host: sorted path prefixes, each with its rule and the prefix around it."""
+
+    def __init__(self, host: str, paths: dict[str, str]):
+        self.paths = sorted(paths)
+        self.rules = [(host + p, paths[p]) for p in self.paths]
+        self.around, open_ = [], []
+        for k, p in enumerate(self.paths):
+            while open_ and not p.startswith(self.paths[open_[-1]]):
+                open_.pop()
+            self.around.append(open_[-1] if open_ else -1)
+            open_.append(k)
+
+    def longest(self, path: str) -> tuple[str, str] | None:
+        """The rule (text, verdict) with the longest prefix of ``path``."""
+        k = bisect_right(self.paths, path) - 1
+        while k >= 0 and not path.startswith(self.paths[k]):
+            k = self.around[k]
+        return self.rules[k] if k >= 0 else None
+
+
+def host_rules(rules: list[tuple[str, str, str]]) -> list[tuple[str, HostRules]]:
+    """(key, rules) of each host in the order of the keys; ``rules`` are (verdict, host, path)."""
+    hosts: dict[str, dict[str, str]] = {}
+    for verdict, host, path in rules:
+        own = hosts.setdefault(host, {})
+        own[path] = max(verdict, own.get(path, ""))
+    return sorted(((host_key(h), HostRules(h, p)) for h, p in hosts.items()), key=lambda x: x[0])
+
+
+def _sweep(hosts: list[tuple[str, HostRules]]):
+    """Maps sorted urls to their rule."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, stack = 0, []
-        for batch in batches:
+        for batch in (b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS)):
             rows = batch.to_pydict()
             for k, (key, path) in enumerate(zip(rows["key"], rows["path"], strict=True)):
-                while at < len(sorted_rules) and sorted_rules[at][0] <= key:
-                    stack = [x for x in stack if sorted_rules[at][0].startswith(x[0])]
-                    stack.append(sorted_rules[at])
+                while at < len(hosts) and hosts[at][0] <= key:
+                    stack = [x for x in stack if hosts[at][0].startswith(x[0])]
+                    stack.append(hosts[at])
                     at += 1
                 while stack and not key.startswith(stack[-1][0]):
                     stack.pop()
                 best = (rows["rule"][k], rows["verdict"][k]) if rows["rule"][k] else None
-                for _, rule in stack:
-                    if path.startswith(rule[2]) and _better(rule, best):
-                        best = (rule[1] + rule[2], rule[0])
+                for _, own in stack:
+                    rule = own.longest(path)
+                    if rule and _better(rule, best):
+                        best = rule
                 if best:
                     rows["rule"][k], rows["verdict"][k] = best
             yield pa.RecordBatch.from_pydict(rows, schema=arrow_schema(_DDL))
@@ -78,8 +108,9 @@ def _sweep(rules: list[tuple[str, str, str]]):
 def _blocks(rules: DataFrame | list[tuple[str, str, str]]) -> Iterator[list]:
     """The rules in blocks of about BLOCK_RULES."""
     if isinstance(rules, list):
-        for at in range(0, len(rules), BLOCK_RULES):
-            yield rules[at : at + BLOCK_RULES]
+        kept = [r for r in rules if r[1]]
+        for at in range(0, len(kept), BLOCK_RULES):
+            yield kept[at : at + BLOCK_RULES]
         return
     kept = rules.select("verdict", "host", "path").filter("host is not null and host <> ''")
     n = -(-kept.count() // BLOCK_RULES)
@@ -100,11 +131,8 @@ def judge_urls(
     wins, then the greater text, then block over allow.  Without a rule, ``rule`` is null and the
     verdict is ``default``.  Urls that are null or without ``://`` have an empty host and path, which
     no rule fits.  Rules with an empty host are ignored.  Repeated rows come out as often as they
-    come in; other columns are ignored.
+    come in; an empty table gives an empty table; other columns are ignored.
     """
-    pages.sparkSession.conf.set(
-        "spark.sql.execution.arrow.maxRecordsPerBatch", 8 * BATCH_ROWS
-    )
     reverse = F.array_join(F.reverse(F.split("host", r"\.")), MARK)
     out = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -119,5 +147,5 @@ def judge_urls(
         F.lit(default).alias("verdict"),
     )
     for block in _blocks(rules):
-        out = out.sortWithinPartitions("key").mapInArrow(_sweep(block), _DDL)
+        out = out.sortWithinPartitions("key").mapInArrow(_sweep(host_rules(block)), _DDL)
     return out.select("page_id", "host", "path", "rule", "verdict")
