@@ -1,9 +1,15 @@
 """The classifier on rows it never saw, and its edge cases; then the pipeline."""
 
+import math
+import re
+import zlib
+
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from vellum.llm.toxicity import drop_toxic, label_posterior, score_toxicity
+from vellum.llm import toxicity
+from vellum.llm.toxicity import drop_toxic, fit_toxicity, label_posterior, score_toxicity, shared_weight
 
 
 def table(spark, sf_dir, name):
@@ -51,6 +57,51 @@ def test_label_model_corrects_wrong_labels():
     assert ((post > 0.5) == truth).mean() > 0.98 > (given == truth).mean()
 
 
+def test_voters_that_fire_together_count_once(monkeypatch):
+    rng = np.random.default_rng(1)
+    truth = rng.random(4000) < 0.3
+    own = np.stack([np.where(truth, rng.random(4000) < 0.6, rng.random(4000) < 0.1) for _ in range(4)], axis=1)
+    one = np.where(truth, rng.random(4000) < 0.7, rng.random(4000) < 0.3)
+    copies = np.concatenate([own, np.repeat(one[:, None], 8, axis=1)], axis=1)
+    none = np.full(4000, -1)
+    alone, many = label_posterior(np.c_[own, one], none), label_posterior(copies, none)
+    shared = np.abs(alone - many).mean()
+    post = np.where(truth, 1.0, 0.0)
+    rate = [copies[truth].mean(axis=0), copies[~truth].mean(axis=0)]
+    weight = shared_weight(copies.astype(float), np.ones(4000), post, rate)
+    assert np.allclose(weight[4:], 1 / 8, atol=0.02) and (weight[:4] > 0.9).all()
+    monkeypatch.setattr(toxicity, "shared_weight", lambda votes, *_: np.ones(votes.shape[1]))
+    assert shared < 0.05 and np.abs(alone - label_posterior(copies, none)).mean() > 3 * shared
+
+
+def test_score_is_that_of_the_models_weights(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels)
+    weight = dict(zip(model.names, model.weights, strict=True))
+
+    def plain(text):
+        words = {w for w in re.findall(r"[^\W\d_]+", text.lower())}
+        stems = {w: {s for s in [w, w[:4], w[:5], w[:6]] if s in weight and (s == w or len(w) > len(s))} for w in words}
+        fired = set().union(*stems.values()) | {n for n, p in (("/exclaiming", "!{3}"), ("/masked", "[A-Za-z][*@#$]{2}"), ("/shouting", "[A-Z]{4}")) if re.search(p, text)}
+        telling = sum(bool(s) for s in stems.values())
+        fired |= {n for n, k in (("/words2", 2), ("/words4", 4), ("/words7", 7)) if telling >= k}
+        return 1 / (1 + math.exp(-max(-30, min(30, model.bias + sum(weight[f] for f in fired)))))
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in score_toxicity(docs, labels).collect():
+        assert r["score"] == pytest.approx(plain(texts[r["doc_id"]]), abs=1e-9)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        assert r["predicted"] == int(r["score"] >= 0.7)
+
+
+def test_scores_without_labels(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = score_toxicity(docs, labels.limit(0)).join(labels.select("doc_id", "toxic"), "doc_id").toPandas()
+    y, found = rows["toxic"] == 1, rows["predicted"] == 1
+    assert (y & found).sum() >= 0.9 * found.sum() > 0
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     columns = list(corpus_pipeline.COLUMNS)
