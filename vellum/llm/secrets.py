@@ -80,16 +80,11 @@ def _meeting(parts: list[tuple[int, int, str]], start: int, end: int) -> list[tu
     return out
 
 
-def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Weak tokens that lie near a complementary part, and those parts; base spans excepted."""
-    flat = []  # base spans of different kinds may overlap: their union is sorted and disjoint
-    for s, e, _ in base:
-        if flat and s < flat[-1][1]:
-            flat[-1] = (flat[-1][0], max(e, flat[-1][1]), "")
-        else:
-            flat.append((s, e, ""))
+def links(text: str, base: list[tuple[int, int, str]]) -> list[tuple[tuple, tuple]]:
+    """(weak token, part) of each weak token and each complementary part whose interval its scope meets."""
+    flat = _flat(base)
     weak = [
-        (m.start(), m.end())
+        (m.start(), m.end(), "token")
         for m in _TOKEN.finditer(text)
         if _random_looking(m[0]) and not _meeting(flat, m.start(), m.end())
     ]
@@ -98,17 +93,31 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     access = [s for s in base if s[2] == "access"]
     named = [(m.start(), m.end(), "identifier") for m in _IDENTIFIER.finditer(text)]
     endpoints = [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
-    out = set()
-    for s, e in weak:
-        partners = [
-            p
-            for kind in (access, named, endpoints)
-            for p in _meeting(kind, s - SCOPE, e + SCOPE)
-            if p[1] <= s or p[0] >= e
-        ]
-        if partners:
-            out.add((s, e, "token"))
-            out.update(p for p in partners if p[2] != "access" and not _meeting(flat, p[0], p[1]))
+    return [
+        (token, part)
+        for token in weak
+        for kind in (access, named, endpoints)
+        for part in _meeting(kind, token[0] - SCOPE, token[1] + SCOPE)
+        if part[1] <= token[0] or part[0] >= token[1]
+    ]
+
+
+def _flat(base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The union of base spans, of which those of different kinds may overlap: sorted and disjoint."""
+    flat: list[tuple[int, int, str]] = []
+    for s, e, _ in base:
+        if flat and s < flat[-1][1]:
+            flat[-1] = (flat[-1][0], max(e, flat[-1][1]), "")
+        else:
+            flat.append((s, e, ""))
+    return flat
+
+
+def linked_spans(found: list[tuple[tuple, tuple]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The tokens and parts of the links; parts that meet a base span excepted."""
+    flat = _flat(base)
+    out = {token for token, _ in found}
+    out.update(p for _, p in found if p[2] != "access" and not _meeting(flat, p[0], p[1]))
     return list(out)
 
 
@@ -121,8 +130,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Columns: ``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``n_linked`` (long), ``base_sha256``
     (of the plain findings), ``spans`` (all findings as kind:start:end by start, then kind; code
-    points, end exclusive).  A null or empty text has none.  Repeated rows and rows without a
-    doc_id are treated like any other; other columns are ignored.
+    points, end exclusive), ``links`` (token:start:end+kind:start:end of each weak token and part that
+    were linked, comma-joined).  A null or empty text has none.  Repeated rows and rows without a
+    doc_id are treated like any other; an empty table gives an empty table; other columns are ignored.
     """
 
     def make():
@@ -130,11 +140,13 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             out = []
             for text in texts:
                 base = base_spans(text)
-                linked = linked_spans(text, base)
+                pairs = links(text, base)
+                linked = linked_spans(pairs, base)
                 spans = sorted(base + linked, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
                 n = Counter(k for *_, k in base)
                 digest = hashlib.sha256(_joined(base).encode()).hexdigest()
-                out.append((n["assign"], n["access"], n["hex"], len(linked), digest, _joined(spans)))
+                together = ",".join("+".join(f"{k}:{s}:{e}" for s, e, k in pair) for pair in pairs)
+                out.append((n["assign"], n["access"], n["hex"], len(linked), digest, _joined(spans), together))
             return [ids, *map(list, zip(*out, strict=True))]
 
         return run
@@ -143,5 +155,5 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         documents(docs),
         make,
         "doc_id long, n_assign long, n_access long, n_hex long, n_linked long, "
-        "base_sha256 string, spans string",
+        "base_sha256 string, spans string, links string",
     )
