@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -135,9 +137,13 @@ def score(text: str, start: int, kind: str) -> float:
 def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Further kinds that score enough; but for a confirmed iban they must meet no base span."""
     found = [(*s, "iban") for s in _ibans(text) if score(text, s[0], "iban") >= LEAST_SCORE]
+    # base spans of different kinds may overlap: the furthest end up to each start
+    starts = sorted((s, e) for s, e, _ in base)
+    ends = list(accumulate((e for _, e in starts), max))
     for kind, pattern in (("national_phone", _NATIONAL), ("ssn", _SSN)):
         for m in pattern.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e, _ in base):
+            before = bisect_left(starts, (m.end(),))
+            if before and ends[before - 1] > m.start():
                 continue
             if score(text, m.start(), kind) >= LEAST_SCORE:
                 found.append((*m.span(), kind))
@@ -155,8 +161,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     ``base_sha256``, ``spans`` (kind:start:end by kind, then start; code points, end exclusive),
     ``top_score`` (of the likeliest span; null without spans).  Base kinds are email, ip, card
     (Luhn) and phone; iban (mod 97), national_phone and ssn are added, the last two only with a
-    context word before them and where they meet no base span.  A null or empty text has none.  Repeated rows and rows without a
-    doc_id are treated like any other; other columns are ignored.
+    context word before them and where they meet no base span.  A null or empty text has none.
+    Repeated rows and rows without a doc_id are treated like any other; an empty table gives an empty
+    table; other columns are ignored.
     """
 
     def make():
