@@ -96,6 +96,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_VECTORS = r"""
+with recursive vec as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from vec a join vec b
+    on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98
+), reach(a, b) as (
+  select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a
+), own as (
+  select v.vec_id, (select count(*) from links where a = v.vec_id) as n_links,
+         least(v.vec_id, coalesce((select min(b) from reach where a = v.vec_id), v.vec_id)) as component_id
+  from embeddings v
+)
+select vec_id, n_links, component_id, vec_id = component_id as kept from own
+"""
+
 _URL = r"""
 with parts as (
   select page_id,
@@ -140,4 +160,4 @@ from marked group by doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filter": _URL, "op10_line_dedup": _LINES}
+    return {"op1_embedding_near_dedup": _VECTORS, "op7_url_filter": _URL, "op10_line_dedup": _LINES}
