@@ -143,12 +143,11 @@ def filled_quotas(weights: dict[str, int], total: int) -> dict[str, int]:
 
 def pairs_in_group(df: DataFrame, by: str, item: str, each: int, seed: int) -> DataFrame:
     """At most ``each`` pairs of different items per group: the first in hash order with the second, …"""
-    order = W.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), item), item)
-    few = df.select(by, item).distinct().withColumn("_at", F.row_number().over(order) - 1)
-    few = few.filter(F.col("_at") < 2 * each).withColumn("pair", F.floor(F.col("_at") / 2).cast("long"))
+    few = _numbered(df.select(by, item).distinct(), [by], [F.xxhash64(F.lit(seed), item), F.col(item)], 2 * each)
+    few = few.withColumn("pair", F.floor((F.col("_place") - 1) / 2).cast("long"))
     return (
         few.groupBy(by, "pair")
-        .agg(F.count("*").alias("n"), F.min_by(item, "_at").alias("first"), F.max_by(item, "_at").alias("second"))
+        .agg(F.count("*").alias("n"), F.min_by(item, "_place").alias("first"), F.max_by(item, "_place").alias("second"))
         .filter("n = 2")
         .drop("n")
     )

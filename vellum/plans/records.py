@@ -489,3 +489,201 @@ def reindexed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     bridge = read_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("chunk_id"), F.col("l_orderkey").alias("release_id"))
     points = releases.memberships(bridge, r).withColumnRenamed("chunk_id", "id")
     return releases.reindexed(points, r, "m").select("id")
+
+
+# -- building a corpus ----------------------------------------------------------------------------
+@query("select r_regionkey, r_name from region union all select r_regionkey + 100, r_name from region union all select r_regionkey + 200, lower(r_name) from region")
+def published_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table published twice: the first version by name, the current one, and what a third would be."""
+    root = new_path(spark, "regions")
+    region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    first = versions.publish_version(region, root)
+    versions.publish_version(region.withColumn("r_name", F.lower("r_name")), root)
+    old = versions.read_version(spark, root, first)
+    again = old.withColumn("r_regionkey", F.col("r_regionkey") + 100)
+    now = versions.read_version(spark, root).withColumn("r_regionkey", F.col("r_regionkey") + 200)
+    return old.unionByName(again).unionByName(now)
+
+
+@query(
+    _LINES
+    + """select l_orderkey, n as line_id, row_number() over (partition by l_orderkey order by case when l_quantity + 10 < 30 then 0 else 1 end, round(l_extendedprice, 1), round(l_quantity, 1), n) as place from lines"""
+)
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of two-column pages in reading order."""
+    lines = _lines(spark, sf_dir).select(
+        "l_orderkey", F.col("n").alias("line_id"), F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 20).alias("x1"), F.col("l_extendedprice").alias("y0"), F.lit(60.0).alias("width")
+    )
+    return corpus.reading_order(lines, "l_orderkey", "width").select("l_orderkey", "line_id", "place")
+
+
+@query("select page_id, 1::bigint as n, url from pages where url is not null and not regexp_matches(url, '[<\\s]')")
+def site_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses of site maps, each once."""
+    loc = F.concat(F.lit("<url><loc> "), "url", F.lit(" </loc></url>"))
+    pages = read_table(spark, sf_dir, "pages").filter(~F.col("url").rlike(r"[<\s]"))
+    found = corpus.locations(F.concat(F.lit("<urlset>"), loc, loc, F.lit("</urlset>")))
+    return pages.select("page_id", F.size(found).cast("long").alias("n"), found[0].alias("url"))
+
+
+@query(
+    """select page_id, nullif(trim(regexp_replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '|', '|'), '\\s+', ' ', 'g')), '') as title from pages
+       where contains(html, '<h1>') and not regexp_matches(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '<')"""
+)
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of pages by their first heading."""
+    h1 = F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1)
+    pages = read_table(spark, sf_dir, "pages").filter(F.contains("html", F.lit("<h1>")) & ~h1.rlike("<"))
+    return pages.select("page_id", corpus.page_title(F.col("html")).alias("title"))
+
+
+@query(
+    """with s as (select doc_id as section, text, lang from documents),
+    m as (select w.section, w.text || coalesce(chr(10) || chr(10) || p.text, '') as text from s w left join s p on p.section = w.section + 1 where w.section % 2 = 0
+          union all select section, text from s x where section % 2 = 1 and section - 1 not in (select section from s))
+    select section, md5(case when section % 5 = 0 then 'fixed' else text end) as digest from m"""
+)
+def merged_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections with their listed parts appended, then with overrides."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("section"), "text")
+    ids = docs.select("section")
+    pairs = ids.filter("section % 2 = 0").select(F.col("section").alias("whole"), (F.col("section") + 1).alias("part"))
+    pairs = pairs.join(ids.select(F.col("section").alias("part")), "part", "left_semi")
+    merged = corpus.merged_pairs(docs, pairs)
+    fixed = ids.filter("section % 5 = 0").withColumn("text", F.lit("fixed"))
+    return corpus.with_overrides(merged, fixed, "section", ["text"]).select("section", F.md5("text").alias("digest"))
+
+
+@query(
+    """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as line_no from documents)
+    select doc_id, count(*) as n, min(line_no) as first_line from l where not (line_no between 2 and 3 and doc_id % 2 = 0) group by doc_id"""
+)
+def lines_outside_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents outside the ranges that are listed by hand."""
+    docs = spread(read_table(spark, sf_dir, "documents"))
+    ranges = docs.filter("doc_id % 2 = 0").select("doc_id", F.lit(2).alias("first"), F.lit(3).alias("last"))
+    kept = corpus.without_line_ranges(corpus.lines_of(docs, "doc_id"), ranges, "doc_id")
+    return kept.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("line_no").cast("long").alias("first_line"))
+
+
+@query(
+    _LINES
+    + """select l_orderkey as section_id, string_agg(p_name, chr(10) || chr(10) order by n) as text, count(*) as n_blocks, array_to_string(list_sort(list(distinct l_returnflag)), ',') as flags
+    from lines join part on p_partkey = l_partkey group by 1"""
+)
+def rejoined_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections again from their blocks, with their flags."""
+    part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("text"))
+    blocks = _lines(spark, sf_dir).join(part, "l_partkey").select(F.col("l_orderkey").alias("section_id"), F.col("n").alias("place"), F.col("n").alias("block_id"), "text", F.array("l_returnflag").alias("flags"))
+    out = corpus.rejoined(blocks, "section_id", "place")
+    return out.select("section_id", "text", "n_blocks", F.array_join("flags", ",").alias("flags"))
+
+
+@query(
+    _LINES
+    + """, o as (select l_orderkey, 'Order ' || l_orderkey || chr(10) || string_agg(case when n <= 2 then n || ' ' || l_returnflag else 'free text ' || n end, chr(10) order by n) as text, count(*) as c from lines group by 1)
+    select l_orderkey as section_id, least(c, 2) as n_removed from o"""
+)
+def repeated_table_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of sections that a table of theirs repeats."""
+    lines = _lines(spark, sf_dir)
+    shown = F.when(F.col("n") <= 2, F.concat_ws(" ", "n", "l_returnflag")).otherwise(F.concat(F.lit("free text "), "n"))
+    row = F.when(F.col("n") <= 2, F.concat(F.lit("| "), "n", F.lit(" | "), "l_returnflag", F.lit(" |")))
+    listed = lambda c, name: F.array_join(F.array_sort(F.collect_list(F.struct("n", c.alias("x"))))["x"], "\n").alias(name)
+    both = lines.groupBy(F.col("l_orderkey").alias("section_id")).agg(listed(shown, "lines"), listed(row, "rows"))
+    sections = both.select("section_id", F.concat(F.lit("Order "), "section_id", F.lit("\n"), "lines").alias("text"))
+    tables = both.select("section_id", F.concat(F.lit("| line | flag |\n|---|---|\n"), "rows").alias("markdown"))
+    return corpus.without_repeated_lines(sections, tables, "section_id").select("section_id", F.col("n_removed").cast("long").alias("n_removed"))
+
+
+@query(
+    """with s as (select doc_id as id, source as document_key, lang as title, text, n_chars from documents where trim(text) <> '')
+    select id, document_key, row_number() over (partition by document_key order by n_chars, id) as ordinal, 1::bigint as n_blocks, md5(text) as digest from s"""
+)
+def exported_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of built documents as those of a bundle: blocks of their texts, numbered."""
+    built = read_table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.col("source").alias("document_key"), F.col("lang").alias("title"), F.col("source").alias("heading"),
+        F.array().cast("array<string>").alias("context_path"), snapshot.text_blocks(F.col("text")).alias("blocks"), F.col("n_chars").alias("place"),
+    )
+    _, sections = snapshot.exported(built, "place")
+    return sections.select("id", "document_key", F.col("ordinal").cast("long").alias("ordinal"), F.size("blocks").cast("long").alias("n_blocks"), F.md5(F.col("blocks")[0]["markdown"]).alias("digest"))
+
+
+@query(
+    """select 'documents' as table_name, count(*) as n from documents where trim(text) <> '' union all select 'sections', count(*) from documents where trim(text) <> ''
+       union all select 'revisions', count(*) from documents where trim(text) <> ''"""
+)
+def snapshot_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a snapshot's tables but the chunks."""
+    snap = snapshot.snapshot(_bundle(spark, sf_dir), "c")
+    parts = [snap[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name in ("documents", "sections", "revisions")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    _LINES
+    + """, h as (select l_orderkey, n, case l_returnflag when 'A' then 'dosage' when 'R' then 'warnings' end as i from lines),
+    c as (select l_orderkey, n, last_value(i ignore nulls) over (partition by l_orderkey order by n rows between unbounded preceding and current row) as i from h)
+    select l_orderkey as section_id, n as chunk_no, coalesce(i, '') as intents from c"""
+)
+def chunk_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intents that are in force in each chunk."""
+    shown = F.when(F.col("l_returnflag") == "A", "## Dosage:").when(F.col("l_returnflag") == "R", "# Warnings").otherwise("plain words")
+    lines = _lines(spark, sf_dir).select(F.col("l_orderkey").alias("section_id"), F.col("n").cast("long").alias("chunk_no"), F.lit(1).alias("line_no"), shown.alias("line"))
+    out = goldset.carried_intents(lines, {"dosage": "dosage", "warnings": "warnings"})
+    return out.select("section_id", "chunk_no", F.array_join("intents", ",").alias("intents"))
+
+
+@query(
+    """with q as (select p_partkey as id, p_name as query, row_number() over (partition by p_name order by p_partkey) as k from part)
+    select id, case when k > 1 then query || ' (' || brand || ')' else query end as first_try from (select q.*, p_brand as brand from q join part on p_partkey = id)"""
+)
+def suffixed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated questions get their label; those that repeat even so get more, which is cut off here."""
+    rows = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("query"), F.col("p_brand").alias("label"))
+    out = goldset.suffixed_questions(rows, "label", "id")
+    return out.select("id", F.regexp_extract("query", r"^([^(]*?(?: \(Brand#[0-9]+\))?)(?: \([0-9]+\))?(?: #[0-9]+)?$", 1).alias("first_try"))
+
+
+@query("select o_orderkey, array_to_string(list_sort(list_filter([case when o_totalprice > 200000 then 'dear' end, case when o_orderstatus = 'O' then 'open' end, 'all'], lambda x: x is not null)), ',') as tags from orders")
+def row_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of the conditions that hold."""
+    tags = goldset.eval_tags({"dear": F.col("o_totalprice") > 200_000, "open": F.col("o_orderstatus") == "O", "all": F.lit(True)})
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(tags, ",").alias("tags"))
+
+
+@query("select p_brand as term, count(distinct p_type) as n, array_to_string(list_sort(list(distinct p_type)), ',') as section_ids from part group by 1")
+def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sections of each term."""
+    rows = read_table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("section_id")).agg(F.collect_set("p_brand").alias("terms"))
+    out = goldset.term_sections(rows, "terms")
+    return out.select("term", F.col("n").cast("long").alias("n"), F.array_join("section_ids", ",").alias("section_ids"))
+
+
+@query("""select conv_id, turn, regexp_matches(text, '(?i)étre') as known, md5(regexp_replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), ' ', '_', 'g')) as folded,
+    len(list_distinct(regexp_extract_all(lower(text), '[\\p{L}]+|[\\p{N}]+'))) as grams from conversations""")
+def message_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that contain a word, their folded form and their one-word grams."""
+    t = F.col("text")
+    return read_table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", (text.tokens_inside(F.lower(t), F.array(F.lit("étre"))) > 0).alias("known"), F.md5(F.replace(text.query_key(t), F.lit(" "), F.lit("_"))).alias("folded"),
+        F.size(text.word_grams(t, 1)).cast("long").alias("grams"),
+    )
+
+
+@query(
+    """select p_partkey, case when p_size > 20 then 'use' else 'dose' end as label, 3::bigint as parts, p_name || chr(10) || 'end' as plain, p_name || ' and more' as preview, true as repaired from part"""
+)
+def section_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of heading lines, inline headings, layout tables, previews and joined syllables."""
+    n = F.col("p_name")
+    line = F.when(F.col("p_size") > 20, F.concat(F.lit("**How To Use**: "), n)).otherwise("## Dosage")
+    label = labels.canonical_label(line, {"use": ["how to use"], "dose": ["dosage", "dose"]})
+    inline = labels.inline_headings(F.concat(F.lit("x **Dose** "), n, F.lit(" **Use** y")), ["dose", "use"])
+    layout = labels.flattened_layout(F.concat(F.lit("|"), n, F.lit("|\n|---|\n|end|")))
+    joined = labels.joined_syllables(["station"])(F.concat(F.lit("sta tion "), n))
+    return read_table(spark, sf_dir, "part").select(
+        "p_partkey", label.alias("label"), F.size(inline).cast("long").alias("parts"), F.regexp_replace(layout, r"\s*\n\s*", "\n").alias("plain"),
+        text.without_marks(F.concat(F.lit("## **"), n, F.lit("** and `more`"))).alias("preview"), (joined == F.concat(F.lit("station "), n)).alias("repaired"),
+    )

@@ -50,7 +50,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.saved_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that ``saved`` returned and that nothing will read again."""
+    spark = table.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(table.saved_path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def with_positions(df: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
