@@ -254,13 +254,6 @@ def captions(lines: DataFrame, row_id: str) -> DataFrame:
     )
 
 
-def table_class(caption: Column, markdown: Column, classes: dict[str, list[str]], other: str) -> Column:
-    """The first class one of whose words the caption or the table's first row contains."""
-    shown = F.lower(F.concat_ws(" ", caption, F.try_element_at(table_rows(markdown), F.lit(1))))
-    hits = [F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(shown, w)), F.lit(name)) for name, words in classes.items()]
-    return F.coalesce(*hits, F.lit(other))
-
-
 #: Classes of tables: fixed values.
 TABLE_CLASSES = ("front_matter_table", "index_table", "clinical_table", "review_table")
 

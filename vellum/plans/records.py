@@ -687,3 +687,19 @@ def section_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", label.alias("label"), F.size(inline).cast("long").alias("parts"), F.regexp_replace(layout, r"\s*\n\s*", "\n").alias("plain"),
         text.without_marks(F.concat(F.lit("## **"), n, F.lit("** and `more`"))).alias("preview"), (joined == F.concat(F.lit("station "), n)).alias("repaired"),
     )
+
+
+@query(
+    """with g as (select n_regionkey as region, count(*) as n, avg(n_nationkey * 0.25) as m from nation group by 1),
+    t(line_no, line) as (values (1, '| dimension | value | queries | mrr |'), (2, '| --- | --- | --- | --- |'))
+    select line_no::bigint as line_no, line from t
+    union all select 2 + row_number() over (order by region::varchar), '| region | ' || region || ' | ' || n || ' | ' || printf('%.4f', m) || ' |' from g"""
+)
+def metrics_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of published metrics, line by line."""
+    path = new_path(spark, "metrics")
+    scored = read_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("query_id"), F.col("n_regionkey").cast("string").alias("value"), (F.col("n_nationkey") * 0.25).cast("double").alias("mrr"))
+    breakdown = scored.groupBy(F.lit("region").alias("dimension"), "value").agg(F.count("*").alias("queries"), F.avg("mrr").alias("mrr"))
+    versions.publish_metrics(scored, breakdown, ["mrr"], path)
+    lines = records.numbered_lines(spark, f"{path}/report.md")
+    return lines.select(F.col("line_no").cast("long").alias("line_no"), F.col("value").alias("line"))

@@ -176,11 +176,23 @@ def evidence_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.join(docs, "id").groupBy("request").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query()
+@query(
+    _RERANK.replace("with ", "with recursive ", 1)
+    + """, e as (select request, id, row_number() over (partition by request order by final_score desc, id) as k, n_chars as a, least(n_chars, 1000) as b, least(n_chars, 80) as c from top join documents on doc_id = id),
+    p(request, k, remaining, id, form, size, place) as (
+      select distinct request, 0::bigint, 4000::bigint, null::bigint, null::bigint, null::bigint, 0::bigint from e
+      union all
+      select e.request, e.k, p.remaining - coalesce(case when a <= remaining then a when b <= remaining then b when c <= remaining then c end, 0), e.id,
+        case when a <= remaining then case when true then 1 end when b <= remaining then case when b = a then 1 else 2 end when c <= remaining then case when c = b then 2 else 3 end end,
+        case when a <= remaining then a when b <= remaining then b when c <= remaining then c end,
+        p.place + case when c <= remaining then 1 else 0 end
+      from p join e on e.request = p.request and e.k = p.k + 1)
+    select request, id, form, size, place from p where size is not null"""
+)
 def packed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the candidates fits 4000 characters: whole text, its first 1000 characters or title.
 
-    A greedy choice that depends on all before it; tested against a loop.
+    A greedy choice that depends on all before it.
     """
     top = _reranked(spark, sf_dir)
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "n_chars")

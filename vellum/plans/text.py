@@ -134,9 +134,14 @@ def token_overlap_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = {"there": ["thereon", "therein"], "station": ["tion"], "shore": ["sher", "heron"]}
 
 
-@query()
+@query(
+    """with w as (select doc_id, ' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]', ' ', 'g') || ' ' as t from documents),
+    v(term, name) as (values ('there', 'there'), ('there', 'thereon'), ('there', 'therein'), ('station', 'station'), ('station', 'tion'), ('shore', 'shore'), ('shore', 'sher'), ('shore', 'heron')),
+    f as (select doc_id, term, strpos(t, ' ' || name || ' ') - 1 as place from w, v)
+    select doc_id, term, min(place) as place from f where place >= 0 group by all"""
+)
 def term_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Glossary terms of each document by first place.  Needs lookarounds: tested in Python."""
+    """Glossary terms of each document by first place."""
     found = chunking.term_udf([(t, a, False) for t, a in _TERMS.items()])
     out = _docs(spark, sf_dir).select("doc_id", F.explode(found("text")).alias("t"))
     return out.select("doc_id", "t.term", "t.place")
