@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact similarity.
 
 Every window of a document that is as long as an item is a candidate for that item.  Windows whose
-shingles are too rarely shingles of any item cannot reach the similarity and go first, which loses
-none.  The others get a SimHash of 128 bits.  Of its eight blocks of 16 bits one differs from that of
+shingles are too rarely shingles of an item of their length cannot reach the similarity and go first,
+which loses none.  The others get a SimHash of 128 bits.  Of its eight blocks of 16 bits one differs from that of
 an item within the radius in at most ``RADIUS // 8`` bits; the index holds each block of the items
 with up to ``ITEM_BITS`` of those bits turned, and is asked for the window's block with the rest
 turned, so it gives all items within the radius.  Those are verified by the weighted (multiset) Jaccard
@@ -117,14 +117,19 @@ class ItemIndex:
         entries = turned.ravel()
         order = np.argsort(entries, kind="stable")
         self.entries, self.owners = entries[order], (order // (BLOCKS * len(_OF_ITEMS))).astype(np.int32)
-        self.codes = {
-            width: np.unique(
-                np.concatenate(
-                    [self._codes(self._ids(words_of(t)), width) for t in self.texts]
-                )
-            )
-            for width in {min(SHINGLE, n) for n in self.lengths}
-        }
+        self.codes = {w: self._shared(lengths, w) for w in {min(SHINGLE, n) for n in self.lengths}}
+
+    def _shared(self, lengths: list[int], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The codes of the items' shingles of this width, sorted, and the lengths of those that have each
+        (those of the k-th from place ``first[k]`` on, up to ``first[k + 1]``)."""
+        own = [k for k, n in enumerate(lengths) if min(SHINGLE, n) == width]
+        codes = [self._codes(self._ids(words_of(self.texts[k])), width) for k in own]
+        code, length = np.concatenate(codes), np.repeat([lengths[k] for k in own], list(map(len, codes)))
+        order = np.lexsort((length, code))
+        code, length = code[order], length[order]
+        new = np.r_[True, (code[1:] != code[:-1]) | (length[1:] != length[:-1])]
+        held, first = np.unique(code[new], return_index=True)
+        return held, np.r_[first, new.sum()], length[new]
 
     @staticmethod
     def _blocks(marks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -135,9 +140,12 @@ class ItemIndex:
     def admitted(self, length: int, mark: np.ndarray) -> np.ndarray:
         """The items of the length that share a block with the fingerprint, up to the bits turned."""
         asked = (self._blocks(mark[None, :], np.array([length], np.uint64))[0][:, None] ^ _OF_WINDOWS).ravel()
-        low, high = np.searchsorted(self.entries, asked), np.searchsorted(self.entries, asked, side="right")
-        some = np.flatnonzero(high > low).tolist()
-        return np.unique(np.concatenate([self.owners[low[k] : high[k]] for k in some])) if some else np.zeros(0, np.int32)
+        low = np.searchsorted(self.entries, asked)
+        some = self.entries[np.minimum(low, len(self.entries) - 1)] == asked
+        if not some.any():
+            return np.zeros(0, np.int32)
+        high = np.searchsorted(self.entries, asked[some], side="right")
+        return np.unique(np.concatenate([self.owners[a:b] for a, b in zip(low[some].tolist(), high.tolist(), strict=True)]))
 
     def near(self, length: int, mark: np.ndarray) -> list[int]:
         """The items of the length within RADIUS of the fingerprint."""
@@ -160,34 +168,40 @@ class ItemIndex:
             code = code * np.uint64(_PRIME) + (part + 2).astype(np.uint64)
         return np.where(known, code, np.uint64(0))
 
-    def _windows(self, ids: np.ndarray, n: int, lengths) -> Iterator[tuple[int, int, int]]:
-        """(item length, window length, start) of windows that can reach the similarity."""
-        hits = {}
-        for length in lengths:
-            size = min(length, n)
-            width = min(SHINGLE, length)
-            if size < width:
+    def _windows(self, ids: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
+        """(item length, window length, start) of windows that can reach the similarity.
+
+        Only shingles count that an item of the window's length has.
+        """
+        for width, (held, first, lengths) in self.codes.items():
+            codes = self._codes(ids, width)
+            if not len(codes):
                 continue
-            if width not in hits:
-                codes = self._codes(ids, width)
-                codes_in = self.codes[width]
-                at = np.minimum(np.searchsorted(codes_in, codes), len(codes_in) - 1)
-                found = (codes_in[at] == codes) & (codes != 0)
-                hits[width] = np.r_[0, np.cumsum(found)] if found.any() else None
-            if hits[width] is None:
+            at = np.minimum(np.searchsorted(held, codes), len(held) - 1)
+            places = np.flatnonzero((held[at] == codes) & (codes != 0))
+            if not len(places):
                 continue
-            total, parts = hits[width], size - width + 1
-            inside = total[parts:] - total[:-parts]
-            need = SIMILARITY * (parts + length - width + 1) / (1 + SIMILARITY)
-            for start in np.flatnonzero(inside >= need - 1e-9).tolist():
-                yield length, size, start
+            each = first[at[places] + 1] - first[at[places]]
+            inside = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+            of = lengths[np.repeat(first[at[places]], each) + inside]
+            places = np.repeat(places, each)
+            for length in np.unique(of).tolist():
+                size = min(length, n)
+                parts = size - width + 1
+                found = np.zeros(len(codes) + 1, np.int64)
+                found[places[of == length] + 1] = 1
+                total = np.cumsum(found)
+                inside = total[parts:] - total[:-parts]
+                need = SIMILARITY * (parts + length - width + 1) / (1 + SIMILARITY)
+                for start in np.flatnonzero(inside >= need - 1e-9).tolist():
+                    yield length, size, start
 
     def matches(self, text: str) -> list[tuple[int, int, float]]:
         """(item_id, first word, similarity) of each item found, at its best window."""
         words = words_of(text)
         if not words:
             return []
-        windows = list(self._windows(self._ids(words), len(words), self.lengths))
+        windows = list(self._windows(self._ids(words), len(words)))
         digests = _shingle_digests(words, windows)
         best: dict[int, tuple[float, int]] = {}
         wanted: dict[int, Counter] = {}
