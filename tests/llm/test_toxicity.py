@@ -74,12 +74,11 @@ def test_voters_that_fire_together_count_once(monkeypatch):
     assert shared < 0.05 and np.abs(alone - label_posterior(copies, none)).mean() > 3 * shared
 
 
-def test_score_is_that_of_the_models_weights(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = fit_toxicity(docs, labels)
+def plain_scores(model):
+    """The score of a text by the model's weights, spelled out."""
     weight = dict(zip(model.names, model.weights, strict=True))
 
-    def plain(text):
+    def score(text):
         words = {w for w in re.findall(r"[^\W\d_]+", text.lower())}
         stems = {w: {s for s in [w, w[:4], w[:5], w[:6]] if s in weight and (s == w or len(w) > len(s))} for w in words}
         fired = set().union(*stems.values()) | {n for n, p in (("/exclaiming", "!{3}"), ("/masked", "[A-Za-z][*@#$]{2}"), ("/shouting", "[A-Z]{4}")) if re.search(p, text)}
@@ -87,6 +86,12 @@ def test_score_is_that_of_the_models_weights(spark, sf_dir):
         fired |= {n for n, k in (("/words2", 2), ("/words4", 4), ("/words7", 7)) if telling >= k}
         return 1 / (1 + math.exp(-max(-30, min(30, model.bias + sum(weight[f] for f in fired)))))
 
+    return score
+
+
+def test_score_is_that_of_the_models_weights(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    plain = plain_scores(fit_toxicity(docs, labels))
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in score_toxicity(docs, labels).collect():
         assert r["score"] == pytest.approx(plain(texts[r["doc_id"]]), abs=1e-9)
