@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions.text import match_key, slug, squeeze
+from vellum.functions.text import fold_accents, match_key, slug, squeeze
 
 
 def replaced_all(text: Column, rules: list[tuple[str, str]]) -> Column:
@@ -19,9 +19,9 @@ def replaced_all(text: Column, rules: list[tuple[str, str]]) -> Column:
     return text
 
 
-def joined_syllables(lexicon: list[str]) -> Column:
+def joined_syllables(lexicon: list[str], passes: int = 2) -> Column:
     """Arrow UDF: two neighbouring parts of a split word become one where the lexicon has the whole
-    and not both parts.  The lexicon is a bounded list."""
+    and not both parts; in each of the ``passes`` again.  The lexicon is a bounded list."""
 
     @F.pandas_udf("string")
     def join(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -39,7 +39,9 @@ def joined_syllables(lexicon: list[str]) -> Column:
             return "".join(out)
 
         for texts in batches:
-            yield texts.map(one, na_action="ignore")
+            for _ in range(passes):
+                texts = texts.map(one, na_action="ignore")
+            yield texts
 
     return join
 
@@ -99,6 +101,35 @@ def names_in_title(title: Column, stop: list[str]) -> Column:
     return F.array_distinct(F.filter(F.array(plain, short), lambda n: n != ""))
 
 
+def dosed_names(line: Column, dose: str, split: str, prefix: str, connectors: tuple[str, ...], fillers: tuple[str, ...] = ()) -> Column:
+    """The folded names before the doses of a composition line, in order; a name that can't be read is null.
+
+    Brackets count for nothing.  In a table row the first cell with a dose is named by what stands
+    before the dose or else by the cell before; other lines are cut by ``split``, and each dose is
+    named by what stands between it and the one before.  ``prefix`` (a pattern) and leading
+    ``connectors`` are no part of a name; names that start with one of ``fillers`` name nothing.
+    """
+    plain = F.regexp_replace(fold_accents(line), r"\([^)]*\)", " ")
+    dosed = rf"(?i)^(.*?)(?:{dose})"
+    cells = F.filter(F.transform(F.split(F.regexp_replace(F.trim(plain), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)), lambda c: c != "")
+    at = F.array_position(F.transform(cells, lambda c: c.rlike(dosed)), True).cast("int")
+    own = F.trim(F.regexp_extract(F.try_element_at(cells, at), dosed, 1))
+    cell = F.when(own != "", own).otherwise(F.when(at > 1, F.try_element_at(cells, F.greatest(at - 1, F.lit(1)))).otherwise(""))
+    none = F.array().cast("array<string>")
+    row = F.when(at > 0, F.array(cell)).otherwise(none)
+    parts = F.transform(F.split(plain, split), lambda s: F.regexp_extract_all(s, F.lit(rf"(?i)(.*?)(?:{dose})"), 1))
+    names = F.when(F.contains(plain, F.lit("|")), row).otherwise(F.flatten(parts))
+    lead = "|".join(map(re.escape, connectors)) or "(?!)"
+
+    def key(name: Column) -> Column:
+        folded = F.trim(F.regexp_replace(F.lower(F.regexp_replace(name, prefix, "")), "[^a-z0-9]+", " "))
+        words = F.regexp_replace(folded, rf"^(?:(?:{lead})\s+)+|^(?:{lead})$", "")
+        filler = F.exists(F.array(*map(F.lit, fillers)), lambda f: words.startswith(f)) if fillers else F.lit(False)
+        return F.when(~words.rlike("[a-z]"), F.lit(None)).when(filler, "").otherwise(words)
+
+    return F.filter(F.transform(names, key), lambda k: k.isNull() | (k != ""))
+
+
 def respelled(words: Column, rules: list[tuple[str, str]], ending: str = "e") -> Column:
     """Words in one spelling: ordered replacements, and a final letter of long words dropped."""
 

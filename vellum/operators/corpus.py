@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.functions.labels import canonical_label
 from vellum.functions.text import any_of, arrow_udf, is_data_row, row_cells, squeeze, table_rows
 from vellum.operators.relations import carried
 
@@ -190,6 +192,30 @@ def markdown_sections(docs: DataFrame, row_id: str, extra: Column | None = None)
     )
 
 
+def compositions(docs: DataFrame, row_id: str, headings: dict[str, list[str]], block: str, names: Callable[[Column], Column], skipped: str = "(?!)") -> DataFrame:
+    """``row_id``, ``names``: what the documents' composition blocks list, each once, in order.
+
+    A block are the lines after a heading whose label is ``block``, up to the next heading of
+    ``headings`` (see ``labels.canonical_label``); blank lines and those that match ``skipped`` don't
+    count.  ``names`` gives a line's names.  ``names`` of a document is null without a name, or if one
+    can't be read.  The window goes over a document's lines.
+    """
+    order = W.partitionBy(row_id).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    lines = lines_of(docs, row_id).filter("trim(line) <> ''").withColumn("label", canonical_label(F.col("line"), headings))
+    lines = lines.withColumn("under", F.last("label", ignorenulls=True).over(order))
+    # the first block counts: it ends where another heading follows
+    other = F.col("label").isNotNull() & (F.col("label") != block)
+    started = F.max((F.col("label") == block).cast("int")).over(order)
+    lines = lines.withColumn("ended", F.max(F.when(other & (started == 1), 1).otherwise(0)).over(order))
+    inside = lines.filter((F.col("under") == block) & F.col("label").isNull() & (F.col("ended") == 0) & ~F.col("line").rlike(skipped))
+    each = inside.select(row_id, "line_no", F.posexplode(names(F.col("line"))).alias("at", "name"))
+    found = each.groupBy(row_id).agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "at", "name")))["name"].alias("listed"), F.count_if(F.col("name").isNull()).alias("unread")
+    )
+    readable = F.when(F.col("unread") == 0, F.array_distinct("listed"))
+    return docs.select(row_id).join(found.select(row_id, readable.alias("names")), row_id, "left")
+
+
 def without_line_ranges(lines: DataFrame, ranges: DataFrame, row_id: str) -> DataFrame:
     """Lines outside the listed ranges (``first`` to ``last``) of their document."""
     hit = (F.col("line_no") >= F.col("first")) & (F.col("line_no") <= F.col("last"))
