@@ -719,3 +719,16 @@ def compositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = lambda line: labels.dosed_names(line, _DOSE, r";|\. ", r"(?i)^\s*contains:", ("and", "with"), ("filler",))
     out = corpus.compositions(docs, "p_partkey", {"made_of": ["composition"], "use": ["uses"]}, "made_of", names)
     return out.select("p_partkey", F.when(F.col("names").isNotNull(), F.array_join("names", "/")).alias("names"))
+
+
+@query(
+    """select page_id, len(regexp_extract_all(html, '<h1[ >]')) as titles, len(regexp_extract_all(html, '<li[ >]')) as items, len(regexp_extract_all(html, '<h2[ >]')) as headings,
+       false as scripts from pages"""
+)
+def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, headings and list items of pages as their markdown has them; scripts are gone."""
+    md = spread(read_table(spark, sf_dir, "pages")).select("page_id", corpus.html_markdown(F.col("html")).alias("md"))
+    count = lambda pattern: F.regexp_count("md", F.lit(pattern)).cast("long")
+    return md.select(
+        "page_id", count(r"(?m)^# \S").alias("titles"), count(r"(?m)^- ?").alias("items"), count(r"(?m)^## \S").alias("headings"), F.contains("md", F.lit("track(")).alias("scripts")
+    )

@@ -187,7 +187,7 @@ def evidence_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
         case when a <= remaining then a when b <= remaining then b when c <= remaining then c end,
         p.place + case when c <= remaining then 1 else 0 end
       from p join e on e.request = p.request and e.k = p.k + 1)
-    select request, id, form, size, place from p where size is not null"""
+    select request, id, form::int as form, size, place from p where size is not null"""
 )
 def packed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of the candidates fits 4000 characters: whole text, its first 1000 characters or title.
