@@ -8,12 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.storage import read_table, saved
+from vellum.storage import discard, read_table, saved
 
-__all__ = ["arrow_schema", "documents", "free_name", "in_parts", "map_columns", "read_table", "saved", "small"]
+__all__ = ["arrow_schema", "discard", "documents", "free_name", "in_parts", "map_columns", "read_table", "saved", "small", "small_batches"]
 
-#: Rows that are Python objects at once; Spark's own batches are bounded by bytes besides.
+#: Rows of a batch that goes to Python; texts may be long.
 BATCH_ROWS = 512
+_BATCHES, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 #: Rows of ids, of some 16 bytes, that go to every task; more are joined by a shuffle.
 SMALL_ROWS = 1_000_000
 
@@ -36,6 +37,18 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, _ARROW[t]) for n, t in (c.split() for c in ddl.split(", "))])
 
 
+def small_batches(table: DataFrame) -> DataFrame:
+    """``table``, whose session sends batches of BATCH_ROWS rows to Python from now on.
+
+    All operators here ask for the same, and only where the session has Spark's default: a value
+    that the caller has set stays.
+    """
+    conf = table.sparkSession.conf
+    if conf.get(_BATCHES) == _DEFAULT:
+        conf.set(_BATCHES, BATCH_ROWS)
+    return table
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable], ddl: str) -> DataFrame:
     """Maps Arrow batches of ``df`` through a function of Python lists, one list per column.
 
@@ -54,7 +67,7 @@ def map_columns(df: DataFrame, make: Callable[[], Callable], ddl: str) -> DataFr
                     schema=schema,
                 )
 
-    return df.mapInArrow(run, ddl)
+    return small_batches(df).mapInArrow(run, ddl)
 
 
 def documents(docs: DataFrame) -> DataFrame:

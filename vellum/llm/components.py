@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import saved
+from vellum.llm.common import discard, saved
 
 
 def merge_labels(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -45,7 +45,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al. 2014), which turn each component
     into a star about its smallest node in a logarithmic number of rounds.  Each round is written
-    to the shared folder; the driver only sees a row count and a checksum.  Loops and repeated
+    to the shared folder, the one before goes; the driver only sees a row count and a checksum.  Loops and repeated
     edges are harmless, edges with a null end are dropped.  An empty table gives an empty table.
     Columns: ``node``, ``component`` (a component's smallest node is its own component).
     """
@@ -81,7 +81,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .filter("node <> root")
             .distinct()
         )
-        now = saved(small, "edges")
+        last, now = now, saved(small, "edges")
+        discard(last)
         before, shape = shape, _shape(now)
         if before == shape:
             break

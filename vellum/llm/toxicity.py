@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import documents, map_columns, saved
+from vellum.llm.common import documents, map_columns, saved, small_batches
 
 #: Documents with and without a label that the fit takes at most, by hash of the id; stems of toxic rows
 #: that are looked at, the commonest first, and stems that become voters.
@@ -98,12 +98,22 @@ def may_learn(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) != 1
 
 
+def _some(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` of the rows, by hash of their doc_id.
+
+    Of a larger table about twice as many are kept by hash first, so that what is sorted is bounded.
+    """
+    every = rows.count()
+    if every > 2 * most:
+        rows = rows.filter(F.pmod(F.xxhash64(F.lit("some"), "doc_id"), F.lit(every)) < 2 * most)
+    return rows.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``text``, ``toxic`` (null without a label) of the documents that the fit takes, one row of each.
 
     At most SAMPLE_ROWS with a label that may be learned from and UNLABELLED_ROWS others.
     """
-    by_hash = [F.xxhash64("doc_id"), "doc_id"]
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int"))
         .filter("doc_id is not null and toxic in (0, 1)")
@@ -111,9 +121,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
     )
-    given = known.orderBy(*by_hash).limit(SAMPLE_ROWS)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
-    others = ids.orderBy(*by_hash).limit(UNLABELLED_ROWS).join(given, "doc_id", "left_anti")
+    given = saved(_some(known, SAMPLE_ROWS), "given")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null")
+    others = _some(ids, UNLABELLED_ROWS).join(F.broadcast(given), "doc_id", "left_anti")
     sample = saved(given.unionByName(others.withColumn("toxic", F.lit(None).cast("int"))), "sample-ids")
     rows = documents(docs).join(F.broadcast(sample), "doc_id")
     # of rows that share an id one, so that the bound holds for rows as well
@@ -133,7 +143,7 @@ def _counted(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
             {"stem": pa.array(list(seen), pa.string()), "n": pa.array(seen.values(), pa.int64())}
         )
 
-    counts = rows.select("text").mapInArrow(run, "stem string, n long")
+    counts = small_batches(rows).select("text").mapInArrow(run, "stem string, n long")
     return counts.groupBy("stem").agg(F.sum("n").alias("n"))
 
 
@@ -309,4 +319,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         for texts in batches:
             yield pd.Series(one(None, texts)[1], dtype="float64")
 
-    return docs.filter(score(F.coalesce("text", F.lit(""))) < threshold)
+    return small_batches(docs).filter(score(F.coalesce("text", F.lit(""))) < threshold)

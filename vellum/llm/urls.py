@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import BATCH_ROWS, arrow_schema
+from vellum.llm.common import BATCH_ROWS, arrow_schema, small_batches
 
 #: Rules of one sweep; what a task holds of them is bounded by this.
 BLOCK_RULES = 100_000
@@ -134,7 +134,7 @@ def judge_urls(
     come in; an empty table gives an empty table; other columns are ignored.
     """
     reverse = F.array_join(F.reverse(F.split("host", r"\.")), MARK)
-    out = pages.select(
+    out = small_batches(pages).select(
         F.col("page_id").cast("long").alias("page_id"),
         url_host(F.col("url")).alias("host"),
         url_path(F.col("url")).alias("path"),
