@@ -1,10 +1,11 @@
 """Line deduplication: two Bloom filters find suspects, an exact join on those decides.
 
-Three scans of the texts.  The first fills, in each task, a filter of hashes seen once and one of
-hashes seen twice, and merges the pairs of filters piece by piece; the second sends only the hashes
-that the twice-seen filter has on to a shuffle, where a repeat is confirmed and its first document
-chosen; the third rewrites the texts.  The filters have a fixed size: where a corpus overfills
-them, more lines are suspected and shuffled (24 bytes each), and the result stays exact.
+The first scan of the texts fills, in each task, a filter of hashes seen once and one of hashes seen
+twice, and merges the pairs of filters piece by piece; the second sends only the hashes that the
+twice-seen filter has on to a shuffle, where a repeat is confirmed and its first document chosen; the
+third rewrites the texts.  The filters' bits follow from the bytes of text, up to ``MOST_BITS``: where a
+corpus overfills them, more lines are suspected and shuffled (24 bytes each), and the result stays
+exact.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import BATCH_ROWS, documents, map_columns, saved
+from vellum.llm.common import BATCH_ROWS, documents, free_name, map_columns, saved, small_batches
 
 SPACE = b" \t\n\r\x0b\x0c"
-#: Bits of each filter, and the bits that one hash sets.
-FILTER_BITS, PROBES = 1 << 26, 3
-#: Bytes of a filter that are merged in one group.
-PIECE = 1 << 16
+#: Bytes of text for each bit of a filter, the bits' least and greatest number, and those that one hash sets.
+BYTES_A_BIT, LEAST_BITS, MOST_BITS, PROBES = 16, 1 << 20, 1 << 28, 3
+#: Bytes of a filter that are merged in one group, and partitions that fill one pair of filters at most.
+PIECE, PARTITIONS = 1 << 16, 16
+#: Digests of dropped lines (of some 40 bytes) that go to every task; beyond it the texts are shuffled.
+SMALL_DIGESTS = 1_000_000
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -42,43 +45,50 @@ def _digests(text: str, min_chars: int) -> set[bytes]:
     return {xxhash.xxh3_128_digest(k) for k in keys if k is not None}
 
 
-def _probes(digests: np.ndarray) -> np.ndarray:
+def _probes(digests: np.ndarray, bits: int) -> np.ndarray:
     """The filter's bits of each 16-byte digest, one row per digest."""
     a, b = digests[:, 0], digests[:, 1] | np.uint64(1)
     steps = np.arange(PROBES, dtype=np.uint64)
-    return ((a[:, None] + b[:, None] * steps) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+    return ((a[:, None] + b[:, None] * steps) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def _words(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
 
 
-def twice_filter(docs: DataFrame, min_chars: int) -> bytes:
-    """The packed filter of hashes that at least two documents may hold (FILTER_BITS / 8 bytes)."""
+def _set(filter_: np.ndarray, at: np.ndarray) -> None:
+    np.bitwise_or.at(filter_, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+
+def _all_set(filter_: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row of ``at``, whether the filter has all of its bits."""
+    return ((filter_[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+
+
+def filter_bits(docs: DataFrame) -> int:
+    """The bits of a filter for the lines of ``docs``: a power of two that follows from their bytes."""
+    size = documents(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (size // BYTES_A_BIT).bit_length()))
+
+
+def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> bytes:
+    """The packed filter of hashes that at least two documents may hold (``bits / 8`` bytes)."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(FILTER_BITS, bool), np.zeros(FILTER_BITS, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         some = False
-        for batch in batches:
+        for batch in (b.slice(k, BATCH_ROWS) for b in batches for k in range(0, b.num_rows, BATCH_ROWS)):
             found = [d for t in batch["text"].to_pylist() for d in _digests(t, min_chars)]
             if not found:
                 continue
             some = True
-            found, times = np.unique(
-                np.array(found, "V16"), return_counts=True
-            )
-            at = _probes(found.view(np.uint64).reshape(-1, 2))
-            twice[at[(times > 1) | once[at].all(axis=1)]] = True
-            once[at] = True
-        if some:
-            pieces = [np.packbits(x).reshape(-1, PIECE) for x in (once, twice)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(range(len(pieces[0])), pa.int32()),
-                    *(pa.array([x.tobytes() for x in p], pa.binary()) for p in pieces),
-                ],
-                names=["piece", "once", "twice"],
-            )
+            found, times = np.unique(np.array(found, "V16"), return_counts=True)
+            at = _probes(found.view(np.uint64).reshape(-1, 2), bits)
+            _set(twice, at[(times > 1) | _all_set(once, at)].ravel())
+            _set(once, at.ravel())
+        for k in range(0, bits // 8 if some else 0, PIECE):
+            pieces = [pa.array([x[k : k + PIECE].tobytes()], pa.binary()) for x in (once, twice)]
+            yield pa.RecordBatch.from_arrays([pa.array([k // PIECE], pa.int32()), *pieces], names=["piece", "once", "twice"])
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         once, twice = np.zeros(PIECE, np.uint8), np.zeros(PIECE, np.uint8)
@@ -88,25 +98,27 @@ def twice_filter(docs: DataFrame, min_chars: int) -> bytes:
             once |= a
         return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "twice": [twice.tobytes()]})
 
-    spark = docs.sparkSession
-    few = documents(docs).select("text").coalesce(max(1, spark.sparkContext.defaultParallelism))
+    # fewer tasks send fewer filters, but a task that is lost must not be a large share of the texts
+    texts = small_batches(documents(docs)).select("text")
+    cores, parts = docs.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions()
     rows = (
-        few.mapInArrow(fill, "piece int, once binary, twice binary")
+        texts.coalesce(max(1, cores, -(-parts // PARTITIONS)))
+        .mapInArrow(fill, "piece int, once binary, twice binary")
         .groupBy("piece")
         .applyInArrow(merge, "piece int, twice binary")
         .collect()
     )
     merged = {r["piece"]: bytes(r["twice"]) for r in rows}
-    return b"".join(merged.get(k, bytes(PIECE)) for k in range(FILTER_BITS // 8 // PIECE))
+    return b"".join(merged.get(k, bytes(PIECE)) for k in range(bits // 8 // PIECE))
 
 
 def _repeats(docs: DataFrame, min_chars: int) -> DataFrame:
     """``doc_id``, ``drops`` (digests of the keys whose lines the document loses)."""
-    spark = docs.sparkSession
-    packed = spark.sparkContext.broadcast(twice_filter(docs, min_chars))
+    spark, bits = docs.sparkSession, filter_bits(docs)
+    packed = spark.sparkContext.broadcast(twice_filter(docs, min_chars, bits))
 
     def make():
-        bits = np.frombuffer(packed.value, np.uint8)
+        held = np.frombuffer(packed.value, np.uint8)
 
         def run(ids, texts):
             kept_ids, digests = [], []
@@ -116,9 +128,7 @@ def _repeats(docs: DataFrame, min_chars: int) -> DataFrame:
                     digests.append(d)
             if not digests:
                 return [], []
-            at = _probes(_words(digests))
-            hit = ((bits[at >> 3] >> (7 - (at & 7))) & 1).all(axis=1)
-            where = np.flatnonzero(hit).tolist()
+            where = np.flatnonzero(_all_set(held, _probes(_words(digests), bits))).tolist()
             return [kept_ids[k] for k in where], [digests[k] for k in where]
 
         return run
@@ -133,12 +143,8 @@ def _repeats(docs: DataFrame, min_chars: int) -> DataFrame:
         .select("digest", "first"),
         "repeated",
     )
-    return (
-        suspects.join(repeated, "digest")
-        .filter("doc_id > first")
-        .groupBy("doc_id")
-        .agg(F.collect_set("digest").alias("drops"))
-    )
+    found = suspects.join(repeated, "digest").filter("doc_id > first").groupBy("doc_id")
+    return saved(found.agg(F.collect_set("digest").alias("drops")), "drops")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -148,8 +154,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     ``min_chars`` code points that two documents or more hold stay only in the smallest doc_id
     among them, where all their lines stay.  A null or empty text is one empty line; a text whose
     lines all go is empty.  Rows that share a doc_id count as one document.  Rows without a
-    doc_id keep all lines and count for nothing.  Other columns pass through, but for columns
-    named n_lines, n_dropped, which are replaced.
+    doc_id keep all lines and count for nothing.  Other columns pass through, whatever their names, but
+    for columns named n_lines, n_dropped, which are replaced.  An empty table gives an empty table.
     """
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
@@ -170,12 +176,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
             out.append((b"\n".join(kept).decode("utf-8"), len(lines), len(lines) - len(kept)))
         return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    drops = _repeats(docs, min_chars).withColumnsRenamed({"doc_id": "_id", "drops": "_drops"})
-    others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+    drops = _repeats(docs, min_chars)
+    digests = drops.agg(F.sum(F.size("drops"))).first()[0] or 0
+    key, gone, new = (free_name(docs, c) for c in ("key", "drops", "new"))
+    drops = drops.select(F.col("doc_id").alias(key), F.col("drops").alias(gone))
+    drops = F.broadcast(drops) if digests <= SMALL_DIGESTS else drops
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     return (
-        docs.withColumn("text", F.coalesce("text", F.lit("")))
-        .join(drops, F.col("doc_id").cast("long") == F.col("_id"), "left")
-        .withColumn("_new", rewrite("text", "_drops"))
-        .select(*others, "_new.text", "_new.n_lines", "_new.n_dropped")
+        small_batches(docs).withColumn("text", F.coalesce("text", F.lit("")))
+        .join(drops, F.col("doc_id").cast("long") == F.col(key), "left")
+        .withColumn(new, rewrite("text", gone))
+        .select(*others, *[F.col(new)[c].alias(c) for c in ("text", "n_lines", "n_dropped")])
     )
