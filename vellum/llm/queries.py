@@ -12,6 +12,7 @@ from vellum.llm.embeddup import near_embeddings
 from vellum.llm.linededup import dedup_lines
 from vellum.llm.mixing import mix_sources
 from vellum.llm.pii import find_pii
+from vellum.llm.resample import resample
 from vellum.llm.secrets import find_secrets
 from vellum.llm.simhash import simhash_components
 from vellum.llm.tokencount import count_tokens
@@ -71,6 +72,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "n_lines", "n_dropped", "sha2(text, 256) as kept_sha256")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark's n-grams: five of 100 that have 20 words."""
+    docs, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return resample(docs, items).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_toxicity,
             op9_token_counts,
             op10_line_dedup,
+            op11_importance_resampling,
             pipeline,
         )
     }
@@ -158,6 +166,60 @@ select doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped
 from marked group by doc_id
 """
 
+_RESAMPLE = r"""
+with poly as (
+  select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda r, b: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)) as step
+), words as (
+  select 'd' as kind, doc_id as id, row_number() over () as row, coalesce(text, '') as text from documents
+  union all select 'b', null, row_number() over (), coalesce(text, '') from benchmark
+), runs as (
+  select kind, id, row,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from words
+), grams as (
+  select kind, row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+      list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as g
+  from runs
+), counted as (
+  select kind, row, g, count(*) as n from grams group by all
+), hexed as (
+  select g, hex(encode(g)) as h from (select distinct g from counted)
+), bucketed as (
+  select g, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(h), 2),
+                lambda i: ('0x' || substr(h, i, 2))::bigint)),
+              lambda r, b: xor(r >> 8, step[(xor(r, b) & 255) + 1])), 4294967295) % 10000 as bucket
+  from hexed, poly
+), sizes as (
+  select bucket, coalesce(sum(n) filter (where kind = 'd'), 0) as s, coalesce(sum(n) filter (where kind = 'b'), 0) as t
+  from counted join bucketed using (g) group by bucket
+), totals as (
+  select coalesce(sum(s), 0) as all_s, coalesce(sum(t), 0) as all_t from sizes
+), gains as (
+  select bucket, floor(1000 * ln(((t + 1) * (all_s + 10000))::double / ((s + 1) * (all_t + 10000))::double))::bigint as gain
+  from sizes, totals
+), weights as (
+  select row, sum(n) as n_features, sum(n * gain)::bigint as weight
+  from counted join bucketed using (g) join gains using (bucket) where kind = 'd' group by row
+), scored as (
+  select id as doc_id, len(w) as n_words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::bigint + 0.5)::double
+                                                    / 4294967296)))::bigint as score
+  from runs left join weights using (row) where kind = 'd'
+), ranked as (
+  select doc_id, row_number() over (order by score desc, doc_id) as place, count(*) over () * 5 // 100 as drawn
+  from scored where n_words >= 20
+)
+select s.doc_id, n_features, weight, score, case when place <= drawn then place end as rank
+from scored s left join ranked r on s.doc_id = r.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": _VECTORS, "op7_url_filter": _URL, "op10_line_dedup": _LINES}
+    return {
+        "op1_embedding_near_dedup": _VECTORS,
+        "op7_url_filter": _URL,
+        "op10_line_dedup": _LINES,
+        "op11_importance_resampling": _RESAMPLE,
+    }
