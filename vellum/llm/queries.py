@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.llm.chunkbpe import decode_ids, encode_texts
 from vellum.llm.common import read_table
 from vellum.llm.decontaminate import find_contamination
 from vellum.llm.embeddup import near_embeddings
@@ -78,6 +79,14 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(docs, items).select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every document and of the text that they decode to."""
+    out = decode_ids(encode_texts(read_table(spark, sf_dir, "documents")))
+    return out.selectExpr(
+        "doc_id", "n_tokens", "sha2(ids, 256) as ids_sha256", "sha2(decoded, 256) as decoded_sha256", "n_chunks"
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_token_counts,
             op10_line_dedup,
             op11_importance_resampling,
+            op12_bpe_round_trip,
             pipeline,
         )
     }
