@@ -1,7 +1,9 @@
 """BPE by chunks against the tokenizers library on whole texts."""
 
 import hashlib
+import json
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vellum.llm import chunkbpe, queries
-from vellum.llm.chunkbpe import TOKENIZER, Encoder, chunks_of, cut_places, decode_ids, encode_texts
+from vellum.llm.chunkbpe import TOKENIZER, Encoder, Pieces, chunks_of, cut_places, decode_ids, encode_texts
 
 SCHEMA = "doc_id long, text string"
 
@@ -76,6 +78,17 @@ def test_joins_that_disagree_are_encoded_anew():
     assert calls[-1] == [text.decode()]
 
 
+def test_kept_words_are_those_of_the_library(library):
+    """Every character of the blocks that words are kept for, between letters, digits and signs."""
+    spec = json.loads(Path(TOKENIZER).read_text())
+    pieces = Pieces(library, spec, most=50)
+    latin = [chr(c) for c in (*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0xA0, 0x250))]
+    texts = [f"a{c}b {c}1{c}{c} '{c} 's{c}" for c in latin] + ["I'LL we've 'd''s don't''t _x_ ſ ŉ ß <|endoftext|>", ""]
+    packed = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert pieces(texts) == packed and [pieces([t])[0] for t in texts] == packed
+    assert pieces.known and not Pieces(library, spec | {"normalizer": None}).known
+
+
 def test_equal_passages_are_encoded_once(library):
     passage = "".join(f"Sentence number {k} of a passage that documents share. " for k in range(400))
     encode = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]

@@ -14,10 +14,12 @@ it, which is why runs are the unit of agreement.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,17 @@ ENTRY = 150
 #: Multiplier of the rolling hash (odd).
 FACTOR = 0x9E3779B1
 
+#: Words whose ids a worker keeps.
+KEPT_WORDS = 300_000
+#: The steps and the split of files whose words can be kept by themselves.
+NORMALIZED = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters of the Latin blocks, whose small forms are one letter of them but for the dotted capital I.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+#: The same split for texts of such characters, and what makes a text another one.
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\sa-z0-9{_LATIN}]+")
+_OTHER = re.compile(rf"[^\x09-\x0d\x20-\x7e{_LATIN}]|\u0130")
+
 _HEAD = re.compile(rb"[^ \n]*[ \n]+([^ \n]+)(?=[ \n])")
 _TAIL = re.compile(rb"(?<=[ \n])([^ \n]++)[ \n]++[^ \n]*+\Z")
 _SPACE = re.compile(rb"[ \n]")
@@ -274,21 +287,67 @@ def _merged(chunks: list[Chunk], wrong: set[int]) -> list[Chunk]:
     return fit_chunks(out)
 
 
+class Pieces:
+    """Encodes pieces of text: the ids of words met before are kept, the library gets only other words.
+
+    Holds for files that normalize and split as NORMALIZED and SPLIT say, and for pieces of letters that
+    composing leaves alone and whose small form is one letter; all other pieces go to the library.
+    """
+
+    def __init__(self, tokenizer, spec: dict, most: int = KEPT_WORDS) -> None:
+        self.tokenizer, self.most = tokenizer, most
+        self.added = [t["content"] for t in spec.get("added_tokens") or ()]
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        split = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
+        self.known = (
+            [s.get("type") for s in steps] == NORMALIZED
+            and (split.get("pattern") or {}).get("Regex") == SPLIT
+            and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+        )
+        self.words: dict[str, bytes] = {}
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _plain(self, text: str) -> bool:
+        return self.known and not _OTHER.search(text) and not any(t in text for t in self.added)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
+        split = [_WORDS.findall(t.lower()) if self._plain(t) else None for t in texts]
+        slow = [k for k, words in enumerate(split) if words is None]
+        new = list(set().union(*(w for w in split if w)).difference(self.words))
+        if len(self.words) + len(new) > self.most:
+            self.words = {}
+            new = list(set().union(*(w for w in split if w)))
+        self.words.update(zip(new, self.library(new), strict=True))
+        known = self.words.__getitem__
+        out = [b"" if words is None else b"".join(map(known, words)) for words in split]
+        for k, ids in zip(slow, self.library([texts[k] for k in slow]), strict=True):
+            out[k] = ids
+        return out
+
+
 @cache
-def _library(path: str) -> tuple[Encoder, list[bytes]]:
-    """The encoder of a tokenizer's file and the bytes of each id's token; one for all tasks of a worker."""
+def _encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer's file; one for all tasks of a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    return Encoder(Pieces(tokenizer, json.loads(Path(path).read_text(encoding="utf-8"))))
+
 
-    def encode(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+@cache
+def _tokens(path: str) -> list[bytes]:
+    """The bytes of each id's token."""
+    from tokenizers import Tokenizer
 
-    tokens = [(tokenizer.id_to_token(i) or "").encode("utf-8") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
-    return Encoder(encode), tokens
+    tokenizer = Tokenizer.from_file(path)
+    return [(tokenizer.id_to_token(i) or "").encode("utf-8") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
 
 
 def encode_texts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -303,7 +362,7 @@ def encode_texts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, _ = _library(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
@@ -332,7 +391,7 @@ def decode_ids(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(ids):
-        _, tokens = _library(tokenizer)
+        tokens = _tokens(tokenizer)
         n = len(tokens)
         return ids.map(
             lambda packed: None
