@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vellum.llm.chunkbpe import decode_ids, encode_texts
 from vellum.llm.common import read_table
 from vellum.llm.decontaminate import find_contamination
+from vellum.llm.dialogues import repair_conversations
 from vellum.llm.embeddup import near_embeddings
 from vellum.llm.linededup import dedup_lines
 from vellum.llm.mixing import mix_sources
@@ -87,6 +88,11 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    return repair_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_line_dedup,
             op11_importance_resampling,
             op12_bpe_round_trip,
+            op13_conversation_repair,
             pipeline,
         )
     }
@@ -225,6 +232,76 @@ select s.doc_id, n_features, weight, score, case when place <= drawn then place
 from scored s left join ranked r on s.doc_id = r.doc_id
 """
 
+_REPAIR = r"""
+with recursive poly as (
+  select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda r, b: case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end)) as step
+), named as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name
+  from conversations
+), hit as (
+  select *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(name, ''), lambda c: ascii(c)::bigint)),
+                 lambda r, b: xor(r >> 8, step[(xor(r, b) & 255) + 1])), 4294967295) % 20 as kind
+  from named, poly
+), left_over as (
+  select coalesce(conv_id::varchar, '') as conv, turn, case when kind = 4 then 'user' else role end as role,
+         case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(case when kind = 3 then [0, 1] else [0] end) as copy
+  from hit where kind <> 0
+), placed as (
+  select *, row_number() over (partition by conv order by turn nulls first, role, text, copy) as i from left_over
+), judged as (
+  select *, regexp_replace(text, '[\x20\x09-\x0D]+$', '') as bare,
+         row_number() over (partition by conv, role, text order by i) as nth,
+         lag(left(role, 1)) over (partition by conv order by i) as before
+  from placed
+), faults as (
+  select *, case when bare = '' then 1 when nth > 1 then 2 when right(bare, 1) in ('.', '!', '?') then 0 else 3 end as fault
+  from judged
+), counts as (
+  select conv, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+         count(*) filter (where fault = 1) as blank, count(*) filter (where fault = 2) as duplicate,
+         count(*) filter (where fault = 3) as truncated,
+         count(*) filter (where i > 1 and before || left(role, 1) not in ('su', 'ua', 'au')) as illegal, max(i) as n
+  from faults group by conv
+), moves(g, initial, h) as (
+  values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)
+), given(initial, role) as (
+  values ('u', 'user'), ('a', 'assistant')
+), one as (
+  select g, h, role || ':' as line from moves join given using (initial)
+), gap as (
+  select g, g as h, 0 as cost, '' as label, []::varchar[] as lines from (values (0), (1), (2), (3)) s(g)
+  union all select g, h, 3, 'I', [line] from one
+  union all select a.g, b.h, 6, 'II', [a.line, b.line] from one a join one b on a.h = b.g
+), reads as (
+  select conv, i, g, g as h, 4 as cost, 'D' as label, []::varchar[] as lines from faults, (values (0), (1), (2), (3)) s(g)
+  union all
+  select conv, i, g, h, case when fault = 3 then 3 else 0 end, 'K', [role || ':' || text]
+  from faults join (select * from moves union all select g, '', g from (values (0), (1), (2), (3)) s(g)) m on m.initial = left(role, 1)
+  where fault in (0, 3)
+  union all
+  select conv, i, g, h, case when fault = 3 then 6 else 3 end, 'R', [given.role || ':' || text]
+  from faults, moves join given using (initial) where fault in (0, 3)
+), walk as (
+  select conv, 0::bigint as i, h as g, {'cost': cost::bigint, 'audit': label, 'lines': lines} as best
+  from (select distinct conv from faults), gap where gap.g = 0
+  union all
+  select w.conv, r.i, gap.h, min({'cost': w.best.cost + r.cost + gap.cost, 'audit': w.best.audit || r.label || gap.label,
+                                  'lines': list_concat(w.best.lines, r.lines, gap.lines)})
+  from walk w join reads r on r.conv = w.conv and r.i = w.i + 1 and r.g = w.g join gap on gap.g = r.h
+  group by w.conv, r.i, gap.h
+), repaired as (
+  select conv, min(best) as best from walk join counts using (conv) where i = n and g in (0, 3) group by conv
+)
+select a.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(best.cost, 0) as cost,
+       coalesce(best.audit, '') as audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id, coalesce(conv_id::varchar, '') as conv from conversations) a
+left join counts c on c.conv = a.conv left join repaired r on r.conv = a.conv
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -232,4 +309,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": _URL,
         "op10_line_dedup": _LINES,
         "op11_importance_resampling": _RESAMPLE,
+        "op13_conversation_repair": _REPAIR,
     }
