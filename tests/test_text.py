@@ -1,5 +1,6 @@
 """Functions, splitters and corpus operators that SQL can't express, against plain Python."""
 
+import random
 import re
 import unicodedata
 import uuid
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import arrays, text
+from vellum.functions.terms import Automaton, Name
 from vellum.operators import chunking, corpus, relations
 
 TEXTS = ["", " ", "plain words", "  Café au lait \r\n\r\n", "a | b\n|---|:-:|\nc  d" + " word" * 60, "đường Ñandú ß Ü", "x" * 300, "tab\tand nbsp", None]
@@ -126,6 +128,7 @@ def test_entries():
 
 
 SECTION = "section_key string, title string, heading string, context_path array<string>, aliases array<string>, start_page int, end_page int, blocks array<struct<kind:string,markdown:string,start_page:int,end_page:int,table_key:string>>"
+TERMS = "term string, aliases array<string>, case_sensitive boolean, expansions array<string>"
 GLOSSARY = [{"term": "GI", "aliases": ["gut"], "case_sensitive": True, "expansions": ["gastro"]}, {"term": "dose", "aliases": [], "case_sensitive": False, "expansions": []}]
 
 
@@ -133,26 +136,89 @@ def test_chunks(spark):
     blocks = [("prose", "The GI tract. Dose is low, overdose is not.", 3, None, "t"), ("table", "| a |\n|---|\n| b |", None, None, "t1"), ("prose", "  ", None, None, None)]
     rows = [("s1", "Title", "Head", ["Title", "Part\nAlso known as: hidden"], ["Other name", "gi TRACT"], 1, 9, blocks), ("s2", "", "Only", [], None, None, None, [("list", "A\nb", None, None, None)]), ("s3", "T", "H", [], None, 1, 1, [])]
     df = spark.createDataFrame(rows, SECTION)
-    out = chunking.chunk_sections(df, GLOSSARY, 200).orderBy("section_key", "ordinal").collect()
+    glossary = spark.createDataFrame(GLOSSARY, TERMS)
+    out = chunking.chunk_sections(df, glossary, 200).orderBy("section_key", "ordinal").collect()
     assert [(r["section_key"], r["ordinal"], r["kind"], r["start_page"], r["end_page"], r["table_key"]) for r in out] == [
         ("s1", 1, "prose", 3, 9, None), ("s1", 2, "table", 1, 9, "t1"), ("s2", 1, "list", None, None, None)]
     assert out[0]["context_header"] == "Title\n> Title\n> Part" and out[2]["context_header"] == "Only"
     assert [(t["term"], t["place"]) for t in out[0]["terms"]] == [("GI", 26), ("dose", 36)]
     assert out[0]["embedding_text"] == "Title\n> Title\n> Part\n\nAlso known as: Other name\n\nThe GI tract. Dose is low, overdose is not.\n\nTerms: GI = gastro"
-    again = chunking.chunk_sections(df.withColumn("start_page", F.lit(5)), GLOSSARY, 200)
+    again = chunking.chunk_sections(df.withColumn("start_page", F.lit(5)), glossary, 200)
     assert {r["chunk_id"] for r in again.collect()} == {r["chunk_id"] for r in out}
-    changed = chunking.chunk_sections(df, [], 200).orderBy("section_key", "ordinal").collect()
+    changed = chunking.chunk_sections(df, None, 200).orderBy("section_key", "ordinal").collect()
     assert [a["chunk_id"] == b["chunk_id"] for a, b in zip(out, changed, strict=True)] == [False, True, True]
 
 
+def found_terms(spark, glossary, given, **more):
+    rows = [(t, a, e, []) for t, a, e in glossary]
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(given)], "k long, text string")
+    out = chunking.with_terms(texts, spark.createDataFrame(rows, TERMS), F.col("text"), **more).orderBy("k")
+    return [[(t["term"], t["place"]) for t in r["terms"]] for r in out.collect()]
+
+
 def test_terms_by_first_place(spark):
-    find = chunking.term_udf([("ab", ["abc"], False), ("b", [], True), *((f"t{k}", [], False) for k in range(12))])
-    given = ["B abc ab b", "abcd xab", "t9 t8 t7 t6 t5 t4 t3 t2 t1 t0", "", None]
-    got = [[(t["term"], t["place"]) for t in r] for r in column(spark, given, lambda c: find(c))]
+    terms = [("ab", ["abc"], False), ("b", [], True), *((f"t{k}", None, None) for k in range(12))]
+    got = found_terms(spark, terms, ["B abc ab b", "abcd xab", "t9 t8 t7 t6 t5 t4 t3 t2 t1 t0", "", None])
     assert got[0] == [("ab", 2), ("b", 9)] and got[1] == [] and got[3] == [] and got[4] == []
     assert [t for t, _ in got[2]] == [f"t{k}" for k in range(9, 1, -1)]
 
 
+def test_terms_that_begin_or_end_together(spark):
+    terms = [("blood", [], False), ("blood pressure", [], False), ("pressure", [], False), ("high blood pressure", ["HBP"], True)]
+    assert found_terms(spark, terms, ["Blood pressure is high", "high blood pressure", "blood-pressure, bloodpressure hbp HBP"]) == [
+        [("blood", 0), ("blood pressure", 0), ("pressure", 6)],
+        [("high blood pressure", 0), ("blood", 5), ("blood pressure", 5), ("pressure", 11)],
+        [("blood", 0), ("pressure", 6), ("high blood pressure", 34)],
+    ]
+
+
+def test_names_with_other_characters(spark):
+    terms = [("b-12", [], False), ("(x", [], False), ("y)", [], False), ("a  b", [], False), ("ΟΔΟΣ", [], False), ("_", [], False), ("  ", ["zz"], False)]
+    got = found_terms(spark, terms, ["B-12 b-123 xb-12", "a(x (xx (x y)z y) +y)", "a b, a  b", "οδος İ οδοσ", "a_ _ _a _"])
+    assert got == [[("b-12", 0)], [("(x", 8), ("y)", 15)], [("a  b", 0)], [("ΟΔΟΣ", 0)], [("_", 3)]]
+
+
+def one_by_one(glossary, text, most=8):
+    """Every term by itself."""
+    first = {}
+    for term, aliases, exact in glossary:
+        for name in (term, *aliases):
+            for m in re.finditer(rf"(?<![^\W_])(?={re.escape(name)}(?![^\W_]))", text, 0 if exact else re.IGNORECASE):
+                first[term] = min(first.get(term, m.start()), m.start())
+    return sorted(((t, p) for t, p in first.items()), key=lambda x: (x[1], x[0]))[:most]
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_terms_one_by_one(spark, block):
+    """Also with a glossary in blocks."""
+    r = random.Random(1)
+    name = lambda: "".join(r.choice(["a", "b", "ab", " ", "-", "a b", "."]) for _ in range(r.randrange(1, 6))).strip()
+    clean = lambda n: " ".join(n.split())
+    glossary = {n: [clean(name()) for _ in range(r.randrange(3))] for n in (clean(name()) for _ in range(40)) if n}
+    terms = [(t, [x for x in a if x], len(t) % 3 == 0) for t, a in sorted(glossary.items())]
+    texts = ["".join(r.choice(["a", "b", "AB", " ", "-", "B a", ".", "_"]) for _ in range(60)) for _ in range(50)]
+    assert found_terms(spark, terms, texts, block=block) == [one_by_one(terms, t) for t in texts]
+
+
+def test_fifty_thousand_names_with_shared_starts():
+    """Against a look-up of every run of up to three words."""
+    r = random.Random(7)
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    names = {" ".join(r.choice(words) for _ in range(n)) for n in (1, 2, 3) for _ in range(30_000)}
+    while len(names) < 50_000:
+        names.add(" ".join(r.choice(words) for _ in range(3)))
+    automaton = Automaton(Name(n, n) for n in names)
+    for _ in range(20):
+        w = [r.choice(words) for _ in range(400)]
+        text, want, at = " ".join(w), {}, 0
+        for k, word in enumerate(w):
+            for n in (1, 2, 3):
+                if (run := " ".join(w[k : k + n])) in names:
+                    want.setdefault(run, at)
+            at += len(word) + 1
+        assert automaton.first_places(text) == want
+
+
 # -- pages ----------------------------------------------------------------------------------------
 PAGE = """<html><head><title>Site | x</title><script>var a = "<p>no</p>";</script></head><body><h1>My <b>Page</b></h1>
 <h2>Use of it</h2><div><p>Take <strong>two</strong> a day &amp; <em>rest</em>.<br>Then<!-- hidden --> stop.</p><ul><li>one</li><li>two</li></ul>
@@ -248,10 +314,7 @@ def test_corpus_edits(spark):
 
 
 def test_relations_small(spark):
-    df = spark.createDataFrame([("a", 1), ("b", None), ("b", None)], "k string, v int")
     assert relations.repeated_keys(spark.createDataFrame([("",), ("",), ("x",), ("x",)], "k string"), ["k"]).collect()[0]["k"] == "x"
-    assert relations.table_digest(df, ["k", "v"]).first() == relations.table_digest(df.repartition(3), ["k", "v"]).first()
-    assert relations.table_digest(df.limit(0), ["k"]).first()["n_rows"] == 0
 
 
 def test_citations_of_plain_but_odd_answers(spark):

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions.arrays import distinct_folded, version_id
+from vellum.functions.terms import Automaton, Name
 from vellum.functions.text import clean_lines
+from vellum.storage import saved
 
 MAX_CHARS = 3000
 #: Terms that one chunk is annotated with at most.
@@ -134,45 +136,74 @@ def context_header(title: Column, path: Column, heading: Column, hidden: list[st
 
 
 # -- glossary -------------------------------------------------------------------------------------
-def term_udf(glossary: list[tuple[str, list[str], bool]]) -> Column:
-    """Arrow UDF text -> array of (term, place): the first MAX_TERMS glossary terms by first place.
+#: Names of terms that one automaton holds (some 500 bytes each in a task); a larger glossary goes in blocks.
+NAMES_A_BLOCK = 200_000
+_FOUND = "array<struct<place:int,term:string,meaning:string>>"
 
-    A term counts where no letter or digit touches it.  ``glossary`` has (term, aliases, whether
-    case matters) and is a bounded list; it becomes two alternations, compiled once per task.
+
+def glossary_rows(glossary: DataFrame) -> DataFrame:
+    """``term``, ``name``, ``exact``, ``meaning``: a row per name of a term, the term itself included.
+
+    ``glossary``: ``term``, ``aliases``, ``case_sensitive``, ``expansions`` (null counts as none).  ``meaning`` is
+    ``term = expansion; …``, null without expansions.  Of several rows of a term the names count together,
+    and the least meaning.
     """
-    names = [(term, name, exact) for term, aliases, exact in glossary for name in (term, *aliases) if name.strip()]
+    none = F.array().cast("array<string>")
+    term = F.trim(F.col("term"))
+    meant = F.array_join(F.coalesce("expansions", none), "; ")
+    rows = glossary.filter(term != "").select(
+        term.alias("term"),
+        F.explode(F.array_distinct(F.array_prepend(F.coalesce("aliases", none), term))).alias("name"),
+        F.coalesce("case_sensitive", F.lit(False)).alias("exact"),
+        F.when(meant != "", F.concat(term, F.lit(" = "), meant)).alias("meaning"),
+    )
+    meanings = rows.groupBy("term").agg(F.min("meaning").alias("meaning"))
+    return rows.filter(F.trim("name") != "").select("term", "name", "exact").distinct().join(meanings, "term")
 
-    @F.pandas_udf("array<struct<term:string,place:int>>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        finders = []
-        for exact in (True, False):
-            own: dict[str, list[str]] = {}
-            for term, name, e in names:
-                if e == exact:
-                    own.setdefault(name if exact else name.lower(), []).append(term)
-            if own:
-                longest_first = sorted(own, key=lambda n: (-len(n), n))
-                body = "|".join(map(re.escape, longest_first))
-                flags = 0 if exact else re.IGNORECASE
-                # a lookahead, so that a name inside another one is found as well
-                finders.append((re.compile(rf"(?<![^\W_])(?=((?:{body}))(?![^\W_]))", flags), own, exact))
-
-        def one(text: str) -> list[dict]:
-            first: dict[str, int] = {}
-            for pattern, own, exact in finders:
-                for m in pattern.finditer(text):
-                    for term in own.get(m[1] if exact else m[1].lower(), ()):
-                        first.setdefault(term, m.start())
-                        first[term] = min(first[term], m.start())
-            found = sorted((p, t) for t, p in first.items())[:MAX_TERMS]
-            return [{"term": t, "place": p} for p, t in found]
 
+def _finder(names: list[Row], most: int) -> Callable[[Column], Column]:
+    """Arrow UDF text -> array of (place, term, meaning): the first ``most`` terms of a list of names."""
+    held = [tuple(n) for n in names]
+
+    @F.pandas_udf(_FOUND)
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = Automaton(Name(term, name, exact) for term, name, exact, _ in held)
+        meaning = {term: m for term, _, _, m in held}
         for texts in batches:
-            yield texts.map(lambda t: one(t) if t else [])
+            yield texts.map(
+                lambda t: [{"place": p, "term": n, "meaning": meaning[n]} for p, n in automaton.leading(t, most)] if t else []
+            )
 
     return find
 
 
+def with_terms(texts: DataFrame, glossary: DataFrame, text: Column, most: int = MAX_TERMS, block: int = NAMES_A_BLOCK) -> DataFrame:
+    """``texts`` with ``terms``: the first ``most`` glossary terms of ``text`` by first place, then by name.
+
+    A name counts where no letter or digit touches it, case aside unless the term is case-sensitive;
+    every term is found by itself, whatever other names begin or end there.  ``glossary`` is as in
+    ``glossary_rows``.  Its names are counted: up to ``block`` of them go to the tasks as one automaton and
+    the texts are read once; of more, each block reads the texts once and the first of all stay.  A null or
+    empty text has no terms.
+    """
+    names = saved(glossary_rows(glossary), "names")
+    blocks = max(1, -(-names.count() // block))
+    out = texts.withColumn("terms", F.array().cast(_FOUND))
+    for b in range(blocks):
+        own = names.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).select("term", "name", "exact", "meaning")
+        both = F.array_sort(F.concat("terms", _finder(own.collect(), most)(text)))
+        out = out.withColumn("terms", F.slice(both, 1, most))
+        if b + 1 < blocks:  # one automaton at a time in a task
+            out = saved(out, "terms")
+    return out
+
+
+def detected_terms(texts: DataFrame, row_id: str, glossary: DataFrame, most: int = MAX_TERMS, block: int = NAMES_A_BLOCK) -> DataFrame:
+    """``row_id``, ``term``, ``place``, ``meaning``: a row for each of ``with_terms`` of the column ``text``."""
+    found = with_terms(texts.select(row_id, "text"), glossary, F.col("text"), most, block)
+    return found.select(row_id, F.explode("terms").alias("t")).select(row_id, "t.term", "t.place", "t.meaning")
+
+
 def embedding_text(header: Column, aliases: Column, chunk: Column, expansions: Column, labels: tuple[str, str]) -> Column:
     """Header, aliases that the text doesn't show, the chunk and its terms' expansions.
 
@@ -189,7 +220,7 @@ def embedding_text(header: Column, aliases: Column, chunk: Column, expansions: C
 
 def chunk_sections(
     sections: DataFrame,
-    glossary: list[dict],
+    glossary: DataFrame | None,
     most: int = MAX_CHARS,
     labels: tuple[str, str] = ("Also known as", "Terms"),
 ) -> DataFrame:
@@ -198,19 +229,16 @@ def chunk_sections(
     ``sections``: ``section_key``, ``title``, ``heading``, ``context_path``, ``aliases``,
     ``start_page``, ``end_page`` and ``blocks`` (structs kind, markdown, start_page, end_page,
     table_key).  The splitter follows from the block's kind alone; ``ordinal`` runs over the
-    section's blocks.  ``glossary``: dicts term, aliases, case_sensitive, expansions.
+    section's blocks.  ``glossary``: ``term``, ``aliases``, ``case_sensitive``, ``expansions``; of any size, or None.
     """
     blocks = sections.select("*", F.posexplode("blocks").alias("_b", "block")).select(
         "*", F.posexplode(split_udf(most)(F.col("block.kind"), F.col("block.markdown"))).alias("_p", "chunk_text")
     )
     header = context_header(F.col("title"), F.col("context_path"), F.col("heading"), [labels[0]])
     blocks = blocks.withColumn("context_header", header)
-    found = term_udf([(g["term"], list(g["aliases"]), bool(g["case_sensitive"])) for g in glossary])
     searched = F.concat_ws("\n\n", F.when(F.col("context_header") != "", F.col("context_header")), F.col("chunk_text"))
-    blocks = blocks.withColumn("terms", found(searched))
-    pairs = [x for g in glossary for x in (F.lit(g["term"]), F.lit(f"{g['term']} = {'; '.join(g['expansions'])}")) if g["expansions"]]
-    meaning = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
-    expansions = F.filter(F.transform("terms", lambda t: meaning[t["term"]]), lambda e: e.isNotNull())
+    blocks = blocks.withColumn("terms", F.array().cast(_FOUND)) if glossary is None else with_terms(blocks, glossary, searched)
+    expansions = F.filter(F.transform("terms", lambda t: t["meaning"]), lambda e: e.isNotNull())
     text = embedding_text(F.col("context_header"), F.col("aliases"), F.col("chunk_text"), expansions, labels)
     blocks = blocks.withColumn("embedding_text", text)
     ids = version_id("chunk", F.col("section_key"), clean_lines("chunk_text"), clean_lines("embedding_text"), F.lit(VERSION))

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.storage import with_positions
 
-#: Rows of one scan in ``overlap_match``.
-OVERLAP_BLOCK = 1000
-
 
 # -- lookups --------------------------------------------------------------------------------------
 def pick_rows(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
@@ -95,99 +89,6 @@ def overlapping(a: DataFrame, b: DataFrame, on: str, span: int = 64) -> DataFram
     return both.filter(meets & (F.col("_cell") == later)).drop("_cell")
 
 
-def overlap_match(
-    df: DataFrame,
-    others: DataFrame,
-    row_id: str,
-    other_id: str,
-    common: int = 8,
-    share: float = 0.35,
-    sure: float = 0.55,
-    margin: int = 4,
-) -> DataFrame:
-    """For each row the other with the most tokens in common, if it is a match.
-
-    Both have a long id and the array ``tokens``.  A match has at least ``common`` tokens in common,
-    ``share`` of the row's, and either ``sure`` of them or ``margin`` more than the second best.  The
-    rows are asked in blocks of OVERLAP_BLOCK; each block is one scan of ``others``, whose tasks count
-    common tokens by a table of the block's tokens and keep the best two of each row.  So no pair
-    goes through a shuffle but those, however common a token is.
-    Columns: the id, ``matched`` (null without a match), ``shared``, ``confidence``.
-    """
-    asked = df.select(F.col(row_id).cast("long").alias(row_id), F.array_distinct("tokens").alias("tokens")).filter(f"{row_id} is not null")
-    base = others.select(F.col(other_id).cast("long").alias(other_id), F.array_distinct("tokens").alias("tokens")).filter(f"{other_id} is not null")
-    blocks = -(-asked.count() // OVERLAP_BLOCK)
-    found = None
-    for b in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64(row_id), F.lit(blocks)) == b).collect()
-        part = _best_two(base, [(r[0], r[1] or []) for r in rows], row_id, other_id)
-        found = part if found is None else found.unionByName(part)
-    kind = dict(df.dtypes)[row_id]
-    if found is None:
-        return df.sparkSession.createDataFrame([], f"{row_id} {kind}, matched {dict(others.dtypes)[other_id]}, shared long, confidence double")
-    order = W.partitionBy(row_id).orderBy(F.desc("shared"), other_id)
-    two = found.withColumn("_place", F.row_number().over(order)).filter("_place <= 2")
-    best = two.groupBy(row_id).agg(
-        F.min_by(F.struct(other_id, "shared", "n"), "_place").alias("best"),
-        F.coalesce(F.max(F.when(F.col("_place") == 2, F.col("shared"))), F.lit(0)).alias("second"),
-    )
-    confidence = F.col("best.shared") / F.col("best.n")
-    good = (
-        (F.col("best.shared") >= common)
-        & (confidence >= share)
-        & ((confidence >= sure) | (F.col("best.shared") - F.col("second") >= margin))
-    )
-    return df.select(row_id).join(
-        best.select(
-            F.col(row_id).cast(kind).alias(row_id),
-            F.when(good, F.col(f"best.{other_id}")).alias("matched"),
-            F.col("best.shared").alias("shared"),
-            confidence.alias("confidence"),
-        ),
-        row_id,
-        "left",
-    )
-
-
-def _best_two(base: DataFrame, rows: list[tuple[int, list[str]]], row_id: str, other_id: str) -> DataFrame:
-    """``row_id``, ``n``, ``other_id``, ``shared``: of each task the best two others of each row."""
-    held = base.sparkSession.sparkContext.broadcast(rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = held.value
-        holders: dict[str, list[int]] = {}
-        for k, (_, tokens) in enumerate(rows):
-            for token in tokens:
-                holders.setdefault(token, []).append(k)
-        numbers = {t: np.array(h) for t, h in holders.items()}
-        best = np.zeros((2, len(rows)), np.int64)
-        ids = np.full((2, len(rows)), np.iinfo(np.int64).max)
-        for batch in batches:
-            for other, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hits = [numbers[t] for t in tokens or () if t in numbers]
-                if not hits:
-                    continue
-                shared = np.bincount(np.concatenate(hits), minlength=len(rows))
-                first = (shared > best[0]) | ((shared == best[0]) & (other < ids[0]))
-                second = ~first & ((shared > best[1]) | ((shared == best[1]) & (other < ids[1])))
-                first &= shared > 0
-                second &= shared > 0
-                best[1, first], ids[1, first] = best[0, first], ids[0, first]
-                best[0, first], ids[0, first] = shared[first], other
-                best[1, second], ids[1, second] = shared[second], other
-        for k in (0, 1):
-            some = np.flatnonzero(best[k])
-            yield pa.RecordBatch.from_pydict(
-                {
-                    row_id: np.array([rows[x][0] for x in some.tolist()], np.int64),
-                    "n": np.array([len(rows[x][1]) for x in some.tolist()], np.int64),
-                    other_id: ids[k, some], "shared": best[k, some],
-                }
-            )
-
-    return base.mapInArrow(run, f"{row_id} long, n long, {other_id} long, shared long")
-
-
 def best_candidate(candidates: DataFrame, by: str, *order: Column) -> DataFrame:
     """The best candidate of each row by the given order."""
     place = F.row_number().over(W.partitionBy(by).orderBy(*order))
@@ -237,27 +138,6 @@ def replaced(df: DataFrame, is_old: Column, new: DataFrame) -> DataFrame:
     return df.filter(~F.coalesce(is_old, F.lit(False))).unionByName(new)
 
 
-def table_digest(df: DataFrame, columns: list[str], fan: int = 3) -> DataFrame:
-    """One digest of the set of rows, whatever their order.
-
-    SHA-256 of each row's JSON; digests meet in 16 ** ``fan`` buckets by their first characters,
-    are sorted and hashed there, and the bucket digests likewise: no task has them all.
-    """
-    row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    rows = df.select(row.alias("d")).groupBy("d").agg(F.count("*").alias("n"))
-
-    def folded(x: DataFrame, digits: int) -> DataFrame:
-        part = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("x", "d", "n"))), ","), 256)
-        return x.groupBy(F.substring("d", 1, digits).alias("bucket")).agg(part.alias("d"), F.sum("n").alias("n"))
-
-    out = folded(rows, fan)
-    out = out.select(F.concat("bucket", F.lit(":"), "d").alias("d"), "n")
-    return out.agg(
-        F.sha2(F.coalesce(F.array_join(F.array_sort(F.collect_list("d")), ","), F.lit("")), 256).alias("digest"),
-        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n_rows"),
-    )
-
-
 def merged(old: DataFrame, new: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """Old and new records by key; the old one stays and ``conflict`` tells that they differ."""
     both = old.select(*key, F.struct(*columns).alias("_old")).join(

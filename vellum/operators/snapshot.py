@@ -30,7 +30,7 @@ def snapshot(bundle: dict[str, DataFrame], collection: str, most: int = chunking
     Ids follow from keys (documents, sections) or content (revisions, chunks), so that equal parts
     of two releases are the same rows.  Of chunks with one id the first in section order stays.
     Sections without a known document are a finding of ``records.bundle_findings``, not rows here.
-    The glossary is a bounded list that the driver reads.
+    The glossary goes to the tasks in counted blocks (``chunking.with_terms``).
     """
     docs = bundle["documents"].select(
         scoped_id("document", F.lit(collection), F.col("key")).alias("document_id"),
@@ -52,8 +52,7 @@ def snapshot(bundle: dict[str, DataFrame], collection: str, most: int = chunking
     )
     named = relations.first_match(sections.withColumnRenamed("section_key", "k"), aliases, "k", "keys", "place")
     ready = named.withColumnsRenamed({"k": "section_key"}).withColumn("aliases", F.col("rule.names"))
-    glossary = [r.asDict() for r in bundle["glossary"].select("term", "aliases", "case_sensitive", "expansions").collect()]
-    drafts = chunking.chunk_sections(ready, [{k: v or [] for k, v in g.items()} for g in glossary], most)
+    drafts = chunking.chunk_sections(ready, bundle["glossary"], most)
     placed = drafts.join(sections.select("section_key", "section_id", "revision_id", "retrieval", "blocks"), "section_key")
     placed = placed.withColumn("strategy", strategy_of(F.col("retrieval"), section_chars(F.col("blocks"))))
     first = relations.earliest(

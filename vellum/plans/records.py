@@ -269,7 +269,7 @@ def chunked_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     parts = []
     for kind, most in (("table", 46), ("list", 29)):
-        parts.append(chunking.chunk_sections(sections.filter(F.col("kind") == kind).drop("kind"), [], most))
+        parts.append(chunking.chunk_sections(sections.filter(F.col("kind") == kind).drop("kind"), None, most))
     out = parts[0].unionByName(parts[1])
     held = F.regexp_count("chunk_text", F.lit(r"[0-9]{5}"))
     return out.select("section_key", F.col("ordinal").cast("long").alias("ordinal"), held.cast("long").alias("n_rows"), F.length("chunk_text").cast("long").alias("chars"))

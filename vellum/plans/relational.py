@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions.arrays import cursor
-from vellum.operators import goldset, history, releases, relations
+from vellum.operators import digests, goldset, history, releases, relations
 from vellum.plans.registry import query
-from vellum.storage import read_table, saved
+from vellum.storage import new_path, read_table, saved
 
 
 # -- joins ----------------------------------------------------------------------------------------
@@ -373,13 +373,39 @@ def key_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """with d as (select sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') as d from orders),
-    b as (select substr(d, 1, 3) as bucket, sha256(string_agg(d || 'x1', ',' order by d)) as h, count(*) as n from d group by 1)
-    select sha256(string_agg(bucket || ':' || h, ',' order by bucket)) as digest, sum(n)::bigint as n_rows from b"""
+    """with recursive d as (select sha256('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') as d, count(*) as n from orders group by 1),
+    size as (select sum(n)::bigint as n_rows, case when sum(n) <= 1024 then 0 when sum(n) <= 16384 then 1 when sum(n) <= 262144 then 2 when sum(n) <= 4194304 then 3 else 4 end as depth from d),
+    up(prefix, h) as (
+      select substr(d, 1, depth), sha256(string_agg(d || 'x' || n, ',' order by d || 'x' || n)) from d, size group by 1
+      union all
+      select substr(prefix, 1, length(prefix) - 1), sha256(string_agg(prefix || ':' || h, ',' order by prefix || ':' || h)) from up where prefix <> '' group by 1)
+    select h as digest, n_rows from up, size where prefix = ''"""
 )
 def table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest of a table that doesn't depend on the order of its rows."""
-    return relations.table_digest(read_table(spark, sf_dir, "orders"), ["o_orderkey", "o_orderstatus"])
+    """A digest of a table that doesn't depend on the order of its rows: the root of its tree."""
+    return digests.table_digest(read_table(spark, sf_dir, "orders"), ["o_orderkey", "o_orderstatus"])
+
+
+@query(
+    """with old as (select o_orderkey as k, o_orderstatus as s, o_totalprice as p from orders),
+    new as (select k, case when p > 490000 then 'X' else s end as s, p from old where p >= 10000
+            union all select -c_custkey, 'N', c_acctbal from customer where c_acctbal > 9900)
+    select coalesce(old.k, new.k) as o_orderkey, case when old.k is null then 'added' when new.k is null then 'removed' else 'changed' end as status
+    from old full join new on old.k = new.k where old.s is distinct from new.s or old.p is distinct from new.p"""
+)
+def tree_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in which two kept versions of a table differ, found by comparing their digest trees."""
+    columns = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+    old = read_table(spark, sf_dir, "orders").select(*columns)
+    status = F.when(F.col("o_totalprice") > 490000, "X").otherwise(F.col("o_orderstatus"))
+    more = read_table(spark, sf_dir, "customer").filter("c_acctbal > 9900").select(
+        (-F.col("c_custkey")).alias("o_orderkey"), F.lit("N").alias("o_orderstatus"), F.col("c_acctbal").alias("o_totalprice")
+    )
+    new = old.filter("o_totalprice >= 10000").withColumn("o_orderstatus", status).unionByName(more)
+    paths = [new_path(spark, "tree"), new_path(spark, "tree")]
+    for version, path in zip((old, new), paths, strict=True):
+        digests.write_tree(version, ["o_orderkey"], columns, path)
+    return digests.tree_differences(spark, *paths, ["o_orderkey"])[0]
 
 
 # -- constraints ----------------------------------------------------------------------------------

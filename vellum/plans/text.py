@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import arrays, text
-from vellum.operators import chunking, corpus, goldset, relations
+from vellum.operators import chunking, corpus, goldset, relations, setjoin
 from vellum.plans.registry import query
 from vellum.storage import read_table, spread
 
@@ -127,24 +127,63 @@ def token_overlap_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document that shares most tokens with each benchmark item, if it is a match."""
     docs = _docs(spark, sf_dir).select("doc_id", text.content_tokens(F.col("text"), STOP).alias("tokens"))
     items = read_table(spark, sf_dir, "benchmark").select("item_id", text.content_tokens(F.col("text"), STOP).alias("tokens"))
-    out = relations.overlap_match(items, docs, "item_id", "doc_id")
+    out = setjoin.best_overlaps(items, docs, "item_id", "doc_id")
     return out.filter("shared is not null").select("item_id", "matched", "shared", F.round("confidence", 6).alias("confidence"))
 
 
-_TERMS = {"there": ["thereon", "therein"], "station": ["tion"], "shore": ["sher", "heron"]}
+#: Terms with other names; several begin or end at one place of a text.
+_TERMS = {
+    "there": ["thereon", "therein"], "station": ["tion"], "shore": ["sher", "heron"], "the": ["les"], "on the": [],
+    "of": ["of the"], "of the": [], "on": [], "the and": [], "la": ["die"], "en la": ["in die"],
+}
+
+
+def _glossary(spark: SparkSession) -> DataFrame:
+    rows = [(t, a, False, [f"{t} place"]) for t, a in _TERMS.items()]
+    return spark.createDataFrame(rows, "term string, aliases array<string>, case_sensitive boolean, expansions array<string>")
+
+
+#: Each word of the documents, and each two with one character between, with its place.
+_NAMES = """docs as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]') as a from documents),
+    atoms as (select doc_id, unnest(a) as w, unnest(range(1, len(a) + 1)) as i from docs),
+    placed as (select doc_id, w, w || lead(w) over p || lead(w, 2) over p as two, sum(length(w)) over p - length(w) as place
+               from atoms window p as (partition by doc_id order by i)),
+    names as (select doc_id, place, unnest([w, two]) as name from placed where regexp_matches(w, '[\\p{L}\\p{N}]')),
+"""
 
 
 @query(
-    """with w as (select doc_id, ' ' || regexp_replace(lower(text), '[^\\p{L}\\p{N}]', ' ', 'g') || ' ' as t from documents),
-    v(term, name) as (values ('there', 'there'), ('there', 'thereon'), ('there', 'therein'), ('station', 'station'), ('station', 'tion'), ('shore', 'shore'), ('shore', 'sher'), ('shore', 'heron')),
-    f as (select doc_id, term, strpos(t, ' ' || name || ' ') - 1 as place from w, v)
-    select doc_id, term, min(place) as place from f where place >= 0 group by all"""
+    "with " + _NAMES + "v(term, name) as (values " + ", ".join(f"('{t}', '{n}')" for t, a in _TERMS.items() for n in (t, *a)) + """),
+    f as (select doc_id, term, min(place)::int as place from names join v using (name) group by all)
+    select doc_id, term, place, term || ' = ' || term || ' place' as meaning from f
+    qualify row_number() over (partition by doc_id order by place, term) <= 8"""
 )
 def term_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Glossary terms of each document by first place."""
-    found = chunking.term_udf([(t, a, False) for t, a in _TERMS.items()])
-    out = _docs(spark, sf_dir).select("doc_id", F.explode(found("text")).alias("t"))
-    return out.select("doc_id", "t.term", "t.place")
+    """Glossary terms of each document by first place, each found by itself."""
+    return chunking.detected_terms(_docs(spark, sf_dir), "doc_id", _glossary(spark))
+
+
+_ATOM = r"([\p{L}\p{N}]+|[^\p{L}\p{N}])"
+
+
+@query(
+    "with " + _NAMES + """items as (select distinct regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]') as a from benchmark),
+    each as (select a, unnest(range(1, len(a) + 1)) as i from items),
+    v as (select distinct name from (select a[i] as name from each union all select a[i] || a[i + 1] || a[i + 2] from each where a[i + 1] = ' ' and i + 2 <= len(a))
+          where regexp_full_match(name, '[\\p{L}\\p{N}]+( [\\p{L}\\p{N}]+)?')),
+    f as (select doc_id, name as term, min(place)::bigint as place from names join v using (name) group by all)
+    select doc_id, term, place from f qualify row_number() over (partition by doc_id order by place, term) <= 8"""
+)
+def glossary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first terms of each document of a glossary that is all words and neighbours of the benchmark."""
+    atoms = read_table(spark, sf_dir, "benchmark").select(F.regexp_extract_all(F.lower("text"), F.lit(_ATOM), 1).alias("a"))
+    names = F.concat("a", F.transform(F.sequence(F.lit(1), F.size("a")), lambda i: F.array_join(F.slice("a", i, 3), "")))
+    words = atoms.filter(F.size("a") > 0).select(F.explode(names).alias("term")).distinct()
+    glossary = words.filter(F.col("term").rlike(r"^[\p{L}\p{N}]+( [\p{L}\p{N}]+)?$")).select(
+        "term", F.lit(None).cast("array<string>").alias("aliases"), F.lit(False).alias("case_sensitive"), F.array().cast("array<string>").alias("expansions")
+    )
+    out = chunking.detected_terms(_docs(spark, sf_dir), "doc_id", glossary)
+    return out.select("doc_id", "term", F.col("place").cast("long").alias("place"))
 
 
 @query(
@@ -174,8 +213,7 @@ def chunked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.col("lang")).alias("context_path"), F.array(F.col("source")).alias("aliases"),
         F.lit(None).cast("int").alias("start_page"), F.lit(None).cast("int").alias("end_page"), F.array(block).alias("blocks"),
     )
-    glossary = [{"term": t, "aliases": a, "case_sensitive": False, "expansions": [f"{t} place"]} for t, a in _TERMS.items()]
-    out = chunking.chunk_sections(sections, glossary, 1000)
+    out = chunking.chunk_sections(sections, _glossary(spark), 1000)
     return out.select("chunk_id", "section_key", "ordinal", F.length("chunk_text").alias("chars"), "embedding_sha256", F.size("terms").alias("n_terms"))
 
 
