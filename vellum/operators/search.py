@@ -16,6 +16,8 @@ from vellum.storage import saved
 
 #: Query vectors of one scan of the base; what a task holds of the queries is bounded by it.
 QUERY_BLOCK = 4096
+#: Rows of the base whose scores a task has at once: QUERY_BLOCK x SLICE doubles are 17 MB.
+SLICE = 512
 K1, B = 1.2, 0.75
 
 
@@ -30,7 +32,7 @@ def ranked(df: DataFrame, by: str, *order: Column, k: int | None = None) -> Data
 
 
 # -- dense ----------------------------------------------------------------------------------------
-def _unit(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+def unit_rows(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit rows, and which rows can be compared: full width, all finite, not zero."""
     lengths = np.nan_to_num(np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), float))
     good = lengths == width
@@ -82,27 +84,17 @@ def _scan(spark, rows: list, base: DataFrame, k: int, digits: int) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        units = [(w, q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]) for w, _, q in groups.value]
+        best = {w: Best(len(q), k) for w, q in units}
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for width, _, q in groups.value:
-                x, good = _unit(batch.column(1), width)
-                if not len(x):
-                    continue
-                unit = q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]
-                score = np.round(unit @ x.T, digits)
-                mine = np.broadcast_to(ids[good], score.shape)
-                best[width] = _best(best.get(width), score, mine, k)
+            for width, unit in units:
+                x, good = unit_rows(batch.column(1), width)
+                if len(x):
+                    best[width].add(np.round(unit @ x.T, digits), ids[good])
         for width, names, _ in groups.value:
-            if width in best:
-                score, mine = best[width]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "query_id": np.repeat(names, score.shape[1]),
-                        "id": mine.ravel().astype(np.int64),
-                        "score": score.ravel(),
-                    }
-                )
+            asking, ids, score = best[width].rows()
+            yield pa.RecordBatch.from_pydict({"query_id": names[asking], "id": ids, "score": score})
 
     rows_in = base.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>"))
     return rows_in.filter("id is not null").mapInArrow(run, "query_id long, id long, score double")
@@ -156,8 +148,8 @@ def _bm25_scan(spark, listed: list, rows_in: DataFrame, mean: float, k: int, dig
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, postings = held.value
-        best = None
-        for batch in batches:
+        best = Best(len(queries), k)
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             score = np.zeros((len(queries), len(ids)))
             for at, words in enumerate(batch.column(1).to_pylist()):
@@ -166,28 +158,48 @@ def _bm25_scan(spark, listed: list, rows_in: DataFrame, mean: float, k: int, dig
                 for term in counts.keys() & postings.keys():
                     weight, asking = postings[term]
                     score[asking, at] += weight * counts[term] * (K1 + 1) / (counts[term] + longness)
-            best = _best(best, np.round(score, digits), np.broadcast_to(ids, score.shape), k)
-        if best is not None and len(queries):
-            some = best[0].ravel() > 0
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "query_id": np.repeat(queries, best[0].shape[1])[some],
-                    "id": best[1].ravel()[some].astype(np.int64),
-                    "score": best[0].ravel()[some],
-                }
-            )
+            best.add(np.round(score, digits), ids, least=10.0**-digits / 2)
+        asking, ids, score = best.rows()
+        yield pa.RecordBatch.from_pydict({"query_id": queries[asking], "id": ids, "score": score})
 
     return rows_in.mapInArrow(run, "query_id long, id long, score double")
 
 
-def _best(
-    held: tuple[np.ndarray, np.ndarray] | None, score: np.ndarray, ids: np.ndarray, k: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best (scores, ids) of each row so far, ties by id."""
-    if held is not None:
-        score, ids = np.hstack([held[0], score]), np.hstack([held[1], ids])
-    order = np.lexsort((ids, -score), axis=1)[:, :k]
-    return np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
+class Best:
+    """The ``k`` best ids of each query so far, ties by id; flat, so that it grows by what it keeps only."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k = k
+        self.bar = np.full(queries, -np.inf)
+        self.asking, self.ids = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.score = np.empty(0)
+
+    def add(self, score: np.ndarray, ids: np.ndarray, least: float = -np.inf) -> None:
+        """``score`` has a row per query and a column per id; those under ``least`` don't count."""
+        bar = np.maximum(self.bar, least)
+        if score.shape[1] > self.k:
+            bar = np.maximum(bar, np.partition(score, -self.k, axis=1)[:, -self.k])
+        asking, at = np.nonzero(score >= bar[:, None])
+        if not len(asking):
+            return
+        self.merge(asking, ids[at].astype(np.int64), score[asking, at])
+
+    def merge(self, asking: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Adds single scores; ``asking`` is the number of the query of each."""
+        asking = np.concatenate([self.asking, asking])
+        ids, score = np.concatenate([self.ids, ids]), np.concatenate([self.score, score])
+        order = np.lexsort((ids, -score, asking))
+        asking = asking[order]
+        begins = np.flatnonzero(np.diff(asking, prepend=-1))
+        place = np.arange(len(asking)) - np.repeat(begins, np.diff(begins, append=len(asking)))
+        last = place == self.k - 1
+        self.bar[asking[last]] = score[order][last]
+        kept = place < self.k
+        self.asking, self.ids, self.score = asking[kept], ids[order][kept], score[order][kept]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the query, id and score, a row for each kept."""
+        return self.asking, self.ids, self.score
 
 
 # -- fusion, pool, rerank -------------------------------------------------------------------------

@@ -1,6 +1,6 @@
 """The registered queries: importing the modules fills ``registry``."""
 
-from vellum.plans import evaluation, logs, records, relational, retrieval, text
+from vellum.plans import evaluation, indexes, logs, records, relational, retrieval, text
 from vellum.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "evaluation", "logs", "records", "relational", "retrieval", "text"]
+__all__ = ["QUERIES", "SQL", "evaluation", "indexes", "logs", "records", "relational", "retrieval", "text"]

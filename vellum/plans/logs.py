@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from vellum.functions import text
 from vellum.operators import history
 from vellum.plans.registry import query
-from vellum.storage import read_table
+from vellum.storage import new_path, read_table
 from vellum.streaming import events as streams
+from vellum.streaming import journal
 
 _TURNS = """
 with s as (select * from conversations where role in ('user', 'assistant')),
@@ -241,3 +242,19 @@ def stream_message_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text"), F.lit(3).alias("known"),
     )
     return streams.run_to_end(streams.stream_parts(deltas), "parts")
+
+
+@query("select event_id, user_id, event_type, 1::bigint as times from events")
+def stream_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that a stream appended to a journal: each once, though every batch comes a second time."""
+    path, state = new_path(spark, "journal"), new_path(spark, "journal-state")
+    put = journal.journal_sink(path, "events")
+
+    def twice(batch: DataFrame, number: int) -> None:
+        put(batch, number)
+        put(batch, number)
+
+    rows = streams.read_stream(spark, sf_dir, "events", 1).select("event_id", "user_id", "event_type")
+    rows.writeStream.foreachBatch(twice).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    kept = journal.read_journal(spark, path, "event_id long, user_id long, event_type string")
+    return kept.groupBy("event_id", "user_id", "event_type").agg(F.count("*").alias("times"))

@@ -37,7 +37,8 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir, 10)
 
 
-_BM25 = """
+#: BM25 of the benchmark items over ``documents``, in SQL, of the ``{k}`` best.
+BM25_SQL = """
 words as (select doc_id as id, unnest(regexp_extract_all(lower(text), '\\p{L}+|\\p{N}+')) as term from documents),
 sizes as (select count(*) as n, avg(len(regexp_extract_all(lower(text), '\\p{L}+|\\p{N}+'))) as mean from documents),
 lens as (select id, count(*) as length from words group by id),
@@ -58,16 +59,10 @@ def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return search.bm25_search(items, docs, k)
 
 
-@query("with " + _BM25.replace("{k}", "10") + "select query_id, id, score, rank from bm25")
-def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best documents of each benchmark item by BM25."""
-    return _bm25(spark, sf_dir, 10)
-
-
 _FUSED = (
     _DENSE.format(k=50)
     + ", "
-    + _BM25.replace("{k}", "50")
+    + BM25_SQL.replace("{k}", "50")
     + """, both_ranks as (select query_id, id, rank from dense union all select query_id, id, rank from bm25),
 f as (select query_id, id, round(sum(1.0::double / (2 + rank)), 6) as score from both_ranks group by query_id, id),
 fused as (select *, row_number() over (partition by query_id order by score desc, id) as rank from f qualify rank <= 30)

@@ -19,14 +19,42 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def write_text_file(spark: SparkSession, path: str, text: str) -> None:
-    """A small file through the session's file system, put in place by a rename."""
+    """A small file through the session's file system, put in place by one rename over the old one.
+
+    A reader, or a crash at any time, finds the old text or the new one.
+    """
     hadoop, fs = _file_system(spark, path)
-    parked = hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    parked, where = hadoop.Path(f"{path}.{uuid.uuid4().hex}"), hadoop.Path(path)
     out = fs.create(parked)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(hadoop.Path(path), False)
-    fs.rename(parked, hadoop.Path(path))
+    options = getattr(hadoop, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(options, 1)
+    over[0] = options.OVERWRITE
+    context = hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(parked), fs.makeQualified(where), over)
+
+
+def read_text_file(spark: SparkSession, path: str) -> str:
+    """A small file through the session's file system."""
+    hadoop, fs = _file_system(spark, path)
+    stream = fs.open(hadoop.Path(path))
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def file_exists(spark: SparkSession, path: str) -> bool:
+    hadoop, fs = _file_system(spark, path)
+    return fs.exists(hadoop.Path(path))
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none where there is no folder."""
+    hadoop, fs = _file_system(spark, path)
+    where = hadoop.Path(path)
+    return [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
 
 
 def publish_version(df: DataFrame, root: str, partition_by: tuple[str, ...] = ()) -> str:
