@@ -91,6 +91,16 @@ def test_embeddings_table(spark, sf_dir):
     check_vectors({r["vec_id"]: r for r in near_embeddings(table).collect()}, rows)
 
 
+def test_labels_of_any_type_and_doubles(spark):
+    """Doubles stay doubles: the pair is just below and just above the bound, which floats can't tell."""
+    angle = np.arccos(0.98)
+    at = lambda a: [float(np.cos(a)), float(np.sin(a))]
+    rows = [(1, at(0.0), "x"), (2, at(angle - 1e-10), "x"), (3, at(0.0), "y"), (4, at(angle + 1e-10), "y"), (5, at(0.0), None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_embeddings(table).collect()}
+    assert out == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5)}
+
+
 def test_embeddings_empty_repeated_and_without_id(spark):
     assert near_embeddings(vectors(spark, [])).count() == 0
     rows = [(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)]

@@ -142,8 +142,8 @@ def _join_parts(cosine: float) -> Callable[[tuple, pa.Table], pa.Table]:
 def near_embeddings(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     """``vec_id``, ``n_links``, ``component_id``, ``kept`` of each row of ``vectors``.
 
-    ``vectors`` has ``vec_id``, ``embedding`` (array of float) and ``label``; other columns are
-    ignored.  Rows of equal label and width link if their cosine in double precision is at least
+    ``vectors`` has ``vec_id``, ``embedding`` (array of float or double, kept as it is) and ``label`` (of any
+    type); other columns are ignored, whatever their names.  Rows of equal label and width link if their cosine in double precision is at least
     ``cosine``.  ``n_links`` counts the other rows linked directly, ``component_id`` is the smallest
     vec_id reachable, the row's own included, and ``kept`` tells that it is the row's own.  Rows
     with a null label, and vectors that are null, empty, zero or hold null or non-finite parts link
@@ -151,10 +151,9 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     component and kept false.  Rows that share a vec_id are rows of their own: repeated ones are links
     of each other, different vectors aren't mixed up.  An empty table gives an empty table.
     """
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     rows = vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"),
-        F.col("embedding").cast("array<float>").alias("embedding"),
-        F.col("label").cast("long").alias("label"),
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), "label"
     )
     bad = F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.coalesce(

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ SPACE = b" \t\n\r\x0b\x0c"
 BYTES_A_BIT, LEAST_BITS, MOST_BITS, PROBES = 16, 1 << 20, 1 << 28, 3
 #: Bytes of a filter that are merged in one group, and partitions that fill one pair of filters at most.
 PIECE, PARTITIONS = 1 << 16, 16
+#: Pairs of pieces that one group merges: more are merged in rounds, so that no group grows with the tasks.
+MERGED = 64
 #: Digests of dropped lines (of some 40 bytes) that go to every task; beyond it the texts are shuffled.
 SMALL_DIGESTS = 1_000_000
 
@@ -71,6 +74,9 @@ def filter_bits(docs: DataFrame) -> int:
     return min(MOST_BITS, max(LEAST_BITS, 1 << (size // BYTES_A_BIT).bit_length()))
 
 
+_PAIRS = "piece int, task int, once binary, twice binary"
+
+
 def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> bytes:
     """The packed filter of hashes that at least two documents may hold (``bits / 8`` bytes)."""
 
@@ -86,9 +92,11 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> bytes:
             at = _probes(found.view(np.uint64).reshape(-1, 2), bits)
             _set(twice, at[(times > 1) | _all_set(once, at)].ravel())
             _set(once, at.ravel())
+        task = TaskContext.get().partitionId()
         for k in range(0, bits // 8 if some else 0, PIECE):
             pieces = [pa.array([x[k : k + PIECE].tobytes()], pa.binary()) for x in (once, twice)]
-            yield pa.RecordBatch.from_arrays([pa.array([k // PIECE], pa.int32()), *pieces], names=["piece", "once", "twice"])
+            places = [pa.array([x], pa.int32()) for x in (k // PIECE, task)]
+            yield pa.RecordBatch.from_arrays([*places, *pieces], names=["piece", "task", "once", "twice"])
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
         once, twice = np.zeros(PIECE, np.uint8), np.zeros(PIECE, np.uint8)
@@ -96,18 +104,19 @@ def twice_filter(docs: DataFrame, min_chars: int, bits: int) -> bytes:
             a, b = (np.frombuffer(x.as_buffer(), np.uint8) for x in (a, b))
             twice |= b | (once & a)
             once |= a
-        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "twice": [twice.tobytes()]})
+        places = [pa.array([k.as_py()], pa.int32()) for k in key]
+        return pa.table([*places, pa.array([once.tobytes()]), pa.array([twice.tobytes()])], names=["piece", "task", "once", "twice"])
 
     # fewer tasks send fewer filters, but a task that is lost must not be a large share of the texts
     texts = small_batches(documents(docs)).select("text")
     cores, parts = docs.sparkSession.sparkContext.defaultParallelism, texts.rdd.getNumPartitions()
-    rows = (
-        texts.coalesce(max(1, cores, -(-parts // PARTITIONS)))
-        .mapInArrow(fill, "piece int, once binary, twice binary")
-        .groupBy("piece")
-        .applyInArrow(merge, "piece int, twice binary")
-        .collect()
-    )
+    tasks = max(1, cores, -(-parts // PARTITIONS))
+    pairs = texts.coalesce(tasks).mapInArrow(fill, _PAIRS)
+    while tasks > 1:
+        tasks = -(-tasks // MERGED)
+        group = F.floor(F.col("task") / MERGED).cast("int").alias("task")
+        pairs = pairs.select("piece", group, "once", "twice").groupBy("piece", "task").applyInArrow(merge, _PAIRS)
+    rows = pairs.select("piece", "twice").collect()
     merged = {r["piece"]: bytes(r["twice"]) for r in rows}
     return b"".join(merged.get(k, bytes(PIECE)) for k in range(bits // 8 // PIECE))
 

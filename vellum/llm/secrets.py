@@ -2,8 +2,10 @@
 
 Assignments, access identifiers and long hex runs are reported as they are.  A token that merely
 looks random is a weak candidate: it counts only if its scope (the interval around it) meets the
-interval of a complementary part, an access identifier or an endpoint.  The parts of a text are
-sorted by place, and each weak token finds its partners by an interval join over those lists.
+intervals of complementary parts: an identifier (an access id or a named one) or the endpoint of a service,
+which is a named field, a data store's address, an address with a user in it, or a host that is called like a
+service.  Any other link is no part of a credential.  The parts of a text are sorted by place, and each weak
+token finds its partners by an interval join over those lists; the token and all of them are one set.
 """
 
 from __future__ import annotations
@@ -36,7 +38,16 @@ _IDENTIFIER = re.compile(
     r"[\"']?[\w.@+-]{3,}",
     re.IGNORECASE | re.ASCII,
 )
-_ENDPOINT = re.compile(r"\b[a-z][a-z0-9+]{1,15}://[^\s\"'<>]{4,}", re.ASCII)
+#: Words of fields and first names of hosts that stand for a service, and schemes of data stores: fixed values.
+_FIELDS = "endpoint|hostname|host|server|base_?url|api_?url|service_?url|db_?url|database_?url|dsn|bucket"
+_SERVICES = "api|auth|oauth|sso|login|db|sql|vault|queue|broker|gateway|registry|git|hooks?|webhooks?|s3|storage|smtp|imap|ldap"
+_STORES = "postgres(?:ql)?|mysql|mariadb|mongodb(?:\\+srv)?|rediss?|amqps?|mssql|ldaps?|s?ftp|ssh|s3|gs|smtp"
+_ENDPOINT = re.compile(
+    rf"(?<![a-z0-9])(?:{_FIELDS})[\"']?\x20*[:=]\x20*[\"']?[a-z0-9][\w.:/@?&%+-]{{3,}}"
+    rf"|\b(?:{_STORES})://[^\s\"'<>]{{4,}}"
+    rf"|\b[a-z][a-z0-9+]{{1,15}}://(?:[^\s/\"'<>@:]+:[^\s/\"'<>@]+@|(?:{_SERVICES})[0-9]*[.:-])[^\s\"'<>]{{3,}}",
+    re.IGNORECASE | re.ASCII,
+)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -80,8 +91,8 @@ def _meeting(parts: list[tuple[int, int, str]], start: int, end: int) -> list[tu
     return out
 
 
-def links(text: str, base: list[tuple[int, int, str]]) -> list[tuple[tuple, tuple]]:
-    """(weak token, part) of each weak token and each complementary part whose interval its scope meets."""
+def links(text: str, base: list[tuple[int, int, str]]) -> list[list[tuple]]:
+    """Sets of a weak token, first, and all complementary parts whose intervals its scope meets."""
     flat = _flat(base)
     weak = [
         (m.start(), m.end(), "token")
@@ -93,13 +104,19 @@ def links(text: str, base: list[tuple[int, int, str]]) -> list[tuple[tuple, tupl
     access = [s for s in base if s[2] == "access"]
     named = [(m.start(), m.end(), "identifier") for m in _IDENTIFIER.finditer(text)]
     endpoints = [(m.start(), m.end(), "endpoint") for m in _ENDPOINT.finditer(text)]
-    return [
-        (token, part)
-        for token in weak
-        for kind in (access, named, endpoints)
-        for part in _meeting(kind, token[0] - SCOPE, token[1] + SCOPE)
-        if part[1] <= token[0] or part[0] >= token[1]
-    ]
+    sets = []
+    for token in weak:
+        near = [p for kind in (access, named, endpoints) for p in _meeting(kind, token[0] - SCOPE, token[1] + SCOPE)]
+        parts = [p for p in near if p[1] <= token[0] or p[0] >= token[1]]
+        if parts:
+            sets.append([token, *parts])
+    return sets
+
+
+def complete(found: list[tuple]) -> bool:
+    """Whether a set has a secret, an identifier and an endpoint."""
+    kinds = {k for *_, k in found}
+    return "endpoint" in kinds and bool(kinds & {"access", "identifier"})
 
 
 def _flat(base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -113,12 +130,11 @@ def _flat(base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     return flat
 
 
-def linked_spans(found: list[tuple[tuple, tuple]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """The tokens and parts of the links; parts that meet a base span excepted."""
+def linked_spans(sets: list[list[tuple]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The tokens and parts of the sets; parts that meet a base span excepted."""
     flat = _flat(base)
-    out = {token for token, _ in found}
-    out.update(p for _, p in found if p[2] != "access" and not _meeting(flat, p[0], p[1]))
-    return list(out)
+    parts = {p for _, *rest in sets for p in rest if p[2] != "access" and not _meeting(flat, p[0], p[1])}
+    return [*{s[0] for s in sets}, *parts]
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:
@@ -128,11 +144,12 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 def find_secrets(docs: DataFrame) -> DataFrame:
     """Secrets of every whole text, one row per row of ``docs``.
 
-    Columns: ``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``n_linked`` (long), ``base_sha256``
-    (of the plain findings), ``spans`` (all findings as kind:start:end by start, then kind; code
-    points, end exclusive), ``links`` (token:start:end+kind:start:end of each weak token and part that
-    were linked, comma-joined).  A null or empty text has none.  Repeated rows and rows without a
-    doc_id are treated like any other; an empty table gives an empty table; other columns are ignored.
+    Columns: ``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``n_linked``, ``n_complete`` (sets with a
+    secret, an identifier and an endpoint; long), ``base_sha256`` (of the plain findings), ``spans`` (all findings
+    as kind:start:end by start, then kind; code points, end exclusive), ``links`` (of each weak token that met
+    parts token:start:end+kind:start:end+…, comma-joined).  A null or empty text has none; texts of any length are
+    read whole, in time that grows with the length.  Repeated rows and rows without a doc_id are treated like any
+    other; an empty table gives an empty table; other columns are ignored.
     """
 
     def make():
@@ -140,13 +157,13 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             out = []
             for text in texts:
                 base = base_spans(text)
-                pairs = links(text, base)
-                linked = linked_spans(pairs, base)
+                sets = links(text, base)
+                linked = linked_spans(sets, base)
                 spans = sorted(base + linked, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
                 n = Counter(k for *_, k in base)
                 digest = hashlib.sha256(_joined(base).encode()).hexdigest()
-                together = ",".join("+".join(f"{k}:{s}:{e}" for s, e, k in pair) for pair in pairs)
-                out.append((n["assign"], n["access"], n["hex"], len(linked), digest, _joined(spans), together))
+                together = ",".join("+".join(f"{k}:{s}:{e}" for s, e, k in one) for one in sets)
+                out.append((n["assign"], n["access"], n["hex"], len(linked), sum(map(complete, sets)), digest, _joined(spans), together))
             return [ids, *map(list, zip(*out, strict=True))]
 
         return run
@@ -154,6 +171,6 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return map_columns(
         documents(docs),
         make,
-        "doc_id long, n_assign long, n_access long, n_hex long, n_linked long, "
+        "doc_id long, n_assign long, n_access long, n_hex long, n_linked long, n_complete long, "
         "base_sha256 string, spans string, links string",
     )
