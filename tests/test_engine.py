@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import arrays
-from vellum.operators import goldset, history, ranking, releases, sampling, search, statistics
+from vellum.operators import goldset, history, ranking, releases, resampling, sampling, search, statistics
 from vellum.sinks import versions
 from vellum.sources import records
 from vellum.storage import with_positions
@@ -217,6 +217,48 @@ def test_resampling(spark):
     assert alone["n"] == 800 and alone["low"] < alone["mean"] < alone["high"]
 
 
+@pytest.mark.parametrize("leaf", [65_536, 10])
+def test_resamples_have_n_draws(spark, monkeypatch, leaf):
+    """Also where the draws are split over a tree of many leaves, and whatever the partitions are."""
+    monkeypatch.setattr(resampling, "LEAF", leaf)
+    rng = np.random.default_rng(1)
+    rows = [(g, f"{g}{k}", float(rng.normal()), 1.0 if k == 0 else 0.0) for g, n in (("a", 300), ("b", 7), (None, 41)) for k in range(n)]
+    rows += [("a", "null", None, 0.0), ("b", "nan", float("nan"), 0.0), ("empty", "x", None, 0.0)]
+    df = spark.createDataFrame(rows, "g string, id string, x double, first double")
+    out = [resampling.resampled_sums(d, ["g"], "id", ["x", "first"], 200, seed=3).collect() for d in (df, df.repartition(5, "x"))]
+    assert {(r["g"], r["resample"]): (r["draws"], round(r["x"], 9)) for r in out[0]} == {(r["g"], r["resample"]): (r["draws"], round(r["x"], 9)) for r in out[1]}
+    for g, n in (("a", 300), ("b", 7), (None, 41)):
+        own = [r for r in out[0] if r["g"] == g]
+        values = np.array([x for h, _, x, _ in rows if h == g and x is not None and x == x])
+        assert len(own) == 200 and {r["draws"] for r in own} == {n}
+        means = np.array([r["x"] for r in own]) / n
+        error = values.std() / np.sqrt(n)
+        assert abs(means.mean() - values.mean()) < 5 * error / np.sqrt(200) and abs(means.std() / error - 1) < 0.3
+        times = np.array([r["first"] for r in own])  # of one row: about Poisson
+        assert abs(times.mean() - 1) < 0.5 and 0.3 < times.var() < 2
+    assert not [r for r in out[0] if r["g"] == "empty"]
+
+
+def test_bootstrap_intervals_cover(spark):
+    """Of 60 tables' 95 % intervals nearly all hold the true mean; one shared run."""
+    rng = np.random.default_rng(9)
+    rows = [(t, k, float(rng.normal(1.0, 2.0))) for t in range(60) for k in range(80)]
+    df = spark.createDataFrame(rows, "t int, id int, x double").withColumn("key", F.concat_ws("-", "t", "id"))
+    out = statistics.bootstrap_mean(df, ["t"], "key", "x", 500).collect()
+    assert len(out) == 60 and 50 <= sum(r["low"] <= 1.0 <= r["high"] for r in out) <= 60
+    both = statistics.paired_bootstrap(df.withColumn("zero", F.lit(0.0)), ["t"], "key", "zero", "x", 500).collect()
+    assert {r["t"]: r["low"] for r in both} == {r["t"]: r["low"] for r in out}
+
+
+def test_interval_at_places_rounded_down(spark):
+    draws = spark.createDataFrame([("a", float(k) if k < 41 else float("nan")) for k in range(50)] + [("b", None)], "g string, v double")
+    assert [tuple(r) for r in resampling.interval(draws, ["g"], F.col("v"), floor=True).collect()] == [("a", 1.0, 39.0)]
+    assert [tuple(r) for r in resampling.interval(draws, ["g"], F.col("v")).collect()] == [("a", 1.0, 39.0)]
+    rows = spark.createDataFrame([(k, float(k % 2), 1.0) for k in range(100)], "id int, right double, all double")
+    share = statistics.bootstrap_statistic(rows, [], "id", ["right", "all"], F.col("right") / F.col("all"), 400).first()
+    assert 0.38 < share["low"] < 0.44 and 0.56 < share["high"] < 0.62
+
+
 # -- samples --------------------------------------------------------------------------------------
 def test_positions_of_a_hot_group(spark):
     df = spark.range(500).selectExpr("id", "case when id % 3 = 0 then null when id < 400 then 'hot' else 'cold' end as g", "id % 7 as v")

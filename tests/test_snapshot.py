@@ -1,10 +1,13 @@
 """Bundles as releases, exports, labels."""
 
+import itertools
+import random
+
 from pyspark.sql import functions as F
 from test_engine import bundle
 from test_text import column
 
-from vellum.functions import labels
+from vellum.functions import labels, lattice
 from vellum.operators import snapshot
 
 
@@ -52,7 +55,7 @@ def test_citations_and_gold(spark):
 
 def test_labels(spark):
     assert column(spark, ["a ph b y"], lambda c: labels.replaced_all(c, [("ph", "f"), ("y$", "i")])) == ["a f b i"]
-    join = labels.joined_syllables(["para", "paracetamol", "dose", "over", "overdose"])
+    join = lattice.joined_syllables(["para", "paracetamol", "dose", "over", "overdose"])
     assert column(spark, ["over dose of parace tamol  x", None], lambda c: join(c)) == ["over dose of paracetamol  x", None]
     names = {"use": ["use", "how to use"], "dose": ["dose"]}
     assert column(spark, ["**How to use:**", "Dose: 5 mg", "Other"], lambda c: labels.canonical_label(c, names)) == ["use", "dose", None]
@@ -66,3 +69,42 @@ def test_labels(spark):
     assert [tuple(r) for r in got] == [(True, "page 3"), (False, "page 3-5")]
     row = spark.sql("select 'Drug' as a, 'Aspirin  X' as b, 'Use' as c, array('Use', 'More') as p")
     assert row.select(labels.section_id(F.col("a"), F.col("b"), F.col("c"), F.col("p")), labels.slugs([F.col("a"), F.col("b")])).first() == ("drug.aspirin x.use.more", "drug.aspirin-x")
+
+
+def cheapest(lattice, parts):
+    """Every way to cut the parts into words."""
+    best = None
+    for cuts in itertools.product((False, True), repeat=len(parts) - 1):
+        words = [[parts[0]]]
+        for part, cut in zip(parts[1:], cuts, strict=True):
+            words.append([part]) if cut else words[-1].append(part)
+        cost = 0.0
+        for w in words:
+            whole = "".join(w).lower()
+            pairs = {(a.lower(), b.lower()) for a, b in itertools.pairwise(w)}
+            if len(w) == 1:
+                cost += lattice.costs[whole] if whole in lattice.alone else 3.0
+            elif whole in lattice.costs and not pairs & lattice.excluded and not (len(w[-1]) == 1 and w[-1].isupper()) and len(w) <= 8:
+                cost += lattice.costs[whole] + 1.01 * (len(w) - 1)
+            else:
+                cost = float("inf")
+        way = (round(cost, 9), len(parts) - len(words), tuple(map(len, words)), ["".join(w) for w in words])
+        best = way if best is None or way < best else best
+    return best[3]
+
+
+def test_lattice_as_exhaustive_search():
+    r = random.Random(4)
+    syllables = ["pa", "ra", "ce", "ta", "mol", "A", "o", "ver"]
+    for _ in range(60):
+        words = {"".join(r.choice(syllables).lower() for _ in range(r.randrange(1, 5))): r.choice([1.0, 1.0, 0.5, 2.0]) for _ in range(25)}
+        made = lattice.Lattice(words, r.sample(syllables, 2), [(r.choice(syllables), r.choice(syllables)) for _ in range(3)])
+        parts = [r.choice(syllables) for _ in range(r.randrange(1, 11))]
+        assert made.words(parts) == cheapest(made, parts), (words, parts)
+
+
+def test_split_words_of_many_parts(spark):
+    join = lattice.joined_syllables(["para", "paracetamol", "dose", "over", "overdose", "tab", "tablet", "c", "kit"], ("c",), (("over", "dose"),))
+    given = ["pa ra ce ta mol 5 mg", "over dose OVER DO SE", "tab let-2 tab let", "c kit  c", "", None, "x\npara ceta\nmol"]
+    want = ["paracetamol 5 mg", "over dose OVER DOSE", "tab let-2 tablet", "c kit  c", "", None, "x\npara ceta\nmol"]
+    assert column(spark, given, lambda c: join(c)) == want

@@ -8,6 +8,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from vellum import plans
 from vellum.functions import arrays, text
 from vellum.functions.terms import Automaton, Name
 from vellum.operators import chunking, corpus, relations
@@ -149,6 +150,22 @@ def test_chunks(spark):
     assert [a["chunk_id"] == b["chunk_id"] for a, b in zip(out, changed, strict=True)] == [False, True, True]
 
 
+def test_chunks_of_the_table_as_plain_code(spark, sf_dir):
+    """Every document cut by plain code gives the chunks of ``chunked_documents``, and no chunk is shuffled."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = {}
+    for doc_id, body in docs:
+        whole = (body or "").strip()
+        want[f"doc-{doc_id}"] = [len(p.strip()) for p in chunking.split_prose(whole, 1000)] if whole else []
+    out = plans.QUERIES["chunked_documents"](spark, sf_dir)
+    have = {}
+    for r in out.orderBy("section_key", "ordinal").collect():
+        have.setdefault(r["section_key"], []).append((r["ordinal"], r["chars"]))
+    assert have == {k: list(enumerate(v, 1)) for k, v in want.items() if v}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PythonUDTF" in plan and "hashpartitioning" not in plan
+
+
 def found_terms(spark, glossary, given, **more):
     rows = [(t, a, e, []) for t, a, e in glossary]
     texts = spark.createDataFrame([(k, t) for k, t in enumerate(given)], "k long, text string")

@@ -19,33 +19,6 @@ def replaced_all(text: Column, rules: list[tuple[str, str]]) -> Column:
     return text
 
 
-def joined_syllables(lexicon: list[str], passes: int = 2) -> Column:
-    """Arrow UDF: two neighbouring parts of a split word become one where the lexicon has the whole
-    and not both parts; in each of the ``passes`` again.  The lexicon is a bounded list."""
-
-    @F.pandas_udf("string")
-    def join(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = {w.lower() for w in lexicon}
-
-        def one(text: str) -> str:
-            parts = re.split(r"(\s+)", text)
-            out = parts[:1]
-            for gap, word in zip(parts[1::2], parts[2::2], strict=True):
-                whole = (out[-1] + word).lower()
-                if gap == " " and whole in known and not (out[-1].lower() in known and word.lower() in known):
-                    out[-1] += word
-                else:
-                    out += [gap, word]
-            return "".join(out)
-
-        for texts in batches:
-            for _ in range(passes):
-                texts = texts.map(one, na_action="ignore")
-            yield texts
-
-    return join
-
-
 def canonical_label(line: Column, labels: dict[str, list[str]]) -> Column:
     """The label one of whose spellings is the line's folded text, or its start before a colon."""
     plain = match_key(F.regexp_replace(line, r"[*#_]+", " "))

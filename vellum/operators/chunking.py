@@ -103,19 +103,17 @@ def split_entries(text: str, most: int = MAX_CHARS) -> list[str]:
 SPLITTERS = {"table": split_rows, "list": split_entries, "index_entries": split_entries}
 
 
-def split_udf(most: int) -> Column:
-    """Arrow UDF (kind, markdown) -> array of parts; blank blocks have none."""
+@F.udtf(returnType="ordinal int, block int, chunk_text string", useArrow=True)
+class BlockParts:
+    """Table function (kinds, texts of a section's blocks, most characters) -> numbered parts; blank blocks have none."""
 
-    @F.pandas_udf("array<string>")
-    def split(kinds: pd.Series, texts: pd.Series) -> pd.Series:
-        out = []
-        for kind, text in zip(kinds, texts, strict=True):
+    def eval(self, kinds: list, texts: list, most: int) -> Iterator[tuple[int, int, str]]:
+        ordinal = 0
+        for block, (kind, text) in enumerate(zip(kinds if kinds is not None else [], texts if texts is not None else [], strict=True)):
             text = (text or "").strip()
-            parts = SPLITTERS.get(kind, split_prose)(text, most) if text else []
-            out.append([p.strip() for p in parts])
-        return pd.Series(out)
-
-    return split
+            for part in SPLITTERS.get(kind, split_prose)(text, most) if text else []:
+                ordinal += 1
+                yield ordinal, block, part.strip()
 
 
 def context_header(title: Column, path: Column, heading: Column, hidden: list[str]) -> Column:
@@ -226,14 +224,15 @@ def chunk_sections(
 ) -> DataFrame:
     """Chunks of sections, with content-addressed ids.
 
-    ``sections``: ``section_key``, ``title``, ``heading``, ``context_path``, ``aliases``,
+    ``sections``, a row per key: ``section_key``, ``title``, ``heading``, ``context_path``, ``aliases``,
     ``start_page``, ``end_page`` and ``blocks`` (structs kind, markdown, start_page, end_page,
     table_key).  The splitter follows from the block's kind alone; ``ordinal`` runs over the
     section's blocks.  ``glossary``: ``term``, ``aliases``, ``case_sensitive``, ``expansions``; of any size, or None.
     """
-    blocks = sections.select("*", F.posexplode("blocks").alias("_b", "block")).select(
-        "*", F.posexplode(split_udf(most)(F.col("block.kind"), F.col("block.markdown"))).alias("_p", "chunk_text")
-    )
+    # the table function numbers the parts while it cuts a section, so that no chunk is shuffled for its number
+    parts = BlockParts(F.col("blocks.kind").outer(), F.col("blocks.markdown").outer(), F.lit(most))
+    needed = sections.select("section_key", "title", "heading", "context_path", "aliases", "start_page", "end_page", "blocks")
+    blocks = needed.lateralJoin(parts).withColumn("block", F.element_at("blocks", F.col("block") + 1))
     header = context_header(F.col("title"), F.col("context_path"), F.col("heading"), [labels[0]])
     blocks = blocks.withColumn("context_header", header)
     searched = F.concat_ws("\n\n", F.when(F.col("context_header") != "", F.col("context_header")), F.col("chunk_text"))
@@ -242,19 +241,11 @@ def chunk_sections(
     text = embedding_text(F.col("context_header"), F.col("aliases"), F.col("chunk_text"), expansions, labels)
     blocks = blocks.withColumn("embedding_text", text)
     ids = version_id("chunk", F.col("section_key"), clean_lines("chunk_text"), clean_lines("embedding_text"), F.lit(VERSION))
-    whole = F.struct(
-        "_b", "_p", F.col("block.kind").alias("kind"), "chunk_text", "context_header", "embedding_text", "terms",
-        F.coalesce("block.start_page", "start_page").alias("start_page"),
-        F.coalesce("block.end_page", "end_page").alias("end_page"),
+    return blocks.select(
+        ids.alias("chunk_id"), "section_key", "ordinal", F.col("block.kind").alias("kind"), "chunk_text", "context_header",
+        "embedding_text", F.sha2("embedding_text", 256).alias("embedding_sha256"), "terms",
+        F.coalesce("block.start_page", "start_page").alias("start_page"), F.coalesce("block.end_page", "end_page").alias("end_page"),
         F.when(F.col("block.kind") == "table", F.col("block.table_key")).alias("table_key"),
-        ids.alias("chunk_id"),
-    )
-    listed = blocks.groupBy("section_key").agg(F.array_sort(F.collect_list(whole)).alias("c"))
-    out = listed.select("section_key", F.posexplode("c").alias("_n", "c"))
-    return out.select(
-        "c.chunk_id", "section_key", (F.col("_n") + 1).alias("ordinal"), "c.kind", "c.chunk_text", "c.context_header",
-        "c.embedding_text", F.sha2("c.embedding_text", 256).alias("embedding_sha256"), "c.terms",
-        "c.start_page", "c.end_page", "c.table_key",
     )
 
 

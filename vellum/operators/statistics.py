@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.operators.resampling import RESAMPLES, interval, resampled_sums
 from vellum.storage import saved, with_positions
 
 #: The 0.975 quantile of the normal distribution.
 Z95 = 1.959963984540054
-RESAMPLES = 1000
+#: Rows whose signs a task has at once.
+SIGN_ROWS = 256
 
 
 def wilson(share: Column, n: Column) -> tuple[Column, Column]:
@@ -175,64 +178,80 @@ def interpolated(df: DataFrame, by: list[str], column: str, points: tuple[float,
 
 
 # -- resampling -----------------------------------------------------------------------------------
-def _draws(ids: np.ndarray, resamples: int, seed: int, kind: str) -> np.ndarray:
-    """A weight per row and resample that follows from the row's id and the seed alone."""
+def _signs(ids: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+    """A sign per row and resample that follows from the row's id and the seed alone."""
     with np.errstate(over="ignore"):
         x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
         x = x + np.uint64(seed) + np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
         for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
             x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
         x = x ^ (x >> np.uint64(31))
-    if kind == "sign":
-        return 1.0 - 2.0 * (x & np.uint64(1))
-    # Poisson(1) by its distribution function: each row's count in a bootstrap sample
-    u = (x >> np.uint64(11)) / float(1 << 53)
-    bounds = np.cumsum(np.exp(-1) / np.array([1, 1, 2, 6, 24, 120, 720, 5040, 40320]))
-    return np.searchsorted(bounds, u).astype(np.float64)
+    return 1.0 - 2.0 * (x & np.uint64(1))
 
 
-def resample_sums(
-    df: DataFrame, by: list[str], row_id: str, value: str, kind: str, resamples: int, seed: int
-) -> DataFrame:
-    """``by``, ``resample``, ``weight``, ``total``: weighted sums of ``value`` in each resample.
+def sign_flips(df: DataFrame, by: list[str], row_id: str, value: str, resamples: int, seed: int) -> DataFrame:
+    """``by``, ``resample``, ``total``: sums of ``value`` with random signs.
 
-    ``kind`` is ``poisson`` (bootstrap) or ``sign`` (sign flips).  Each task sums its own rows; the
-    shuffle has a row per task, group and resample, however many rows a group has.
+    Each task sums its own rows, SIGN_ROWS at a time; the shuffle has a row per task, group and resample, however
+    many rows a group has.
     """
     schema = ", ".join(f"{c} {t}" for c, t in df.select(*by).dtypes)
-    ddl = (schema + ", " if schema else "") + "resample int, weight double, total double"
+    ddl = (schema + ", " if schema else "") + "resample int, total double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
-        for batch in batches:
+        for batch in (b.slice(at, SIGN_ROWS) for b in batches for at in range(0, b.num_rows, SIGN_ROWS)):
             table = batch.to_pandas()
             groups = table.groupby(by, sort=False, dropna=False) if by else [((), table)]
             for key, rows in groups:
-                w = _draws(rows["_row"].to_numpy(), resamples, seed, kind)
-                part = np.stack([w.sum(axis=0), rows["_value"].to_numpy(float) @ w])
-                key = key if isinstance(key, tuple) else (key,)
+                part = rows["_value"].to_numpy(float) @ _signs(rows["_row"].to_numpy(), resamples, seed)
+                key = tuple(None if x != x else x for x in (key if isinstance(key, tuple) else (key,)))
                 sums[key] = sums[key] + part if key in sums else part
-        for key, (weight, total) in sums.items():
+        for key, total in sums.items():
             columns = {c: [k] * resamples for c, k in zip(by, key, strict=True)}
-            columns |= {"resample": np.arange(resamples, dtype=np.int32), "weight": weight, "total": total}
-            yield pa.RecordBatch.from_pydict(columns)
+            yield pa.RecordBatch.from_pydict(columns | {"resample": np.arange(resamples, dtype=np.int32), "total": total})
 
     slim = df.select(*by, F.xxhash64(row_id).alias("_row"), F.col(value).cast("double").alias("_value"))
     parts = slim.filter(F.col("_value").isNotNull() & ~F.isnan("_value")).mapInArrow(run, ddl)
-    return parts.groupBy(*by, "resample").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
+    return parts.groupBy(*by, "resample").agg(F.sum("total").alias("total"))
+
+
+def _beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of one group next to each other, null groups included."""
+    if not by:
+        return left.crossJoin(right)  # one row each, or one on the right
+    renamed = right.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    return left.join(renamed, same).drop(*[f"_by_{c}" for c in by])
 
 
 def bootstrap_mean(
     df: DataFrame, by: list[str], row_id: str, value: str, resamples: int = RESAMPLES, seed: int = 0
 ) -> DataFrame:
-    """``n``, ``mean`` and its 95 % percentile bootstrap interval per group."""
-    draws = resample_sums(df, by, row_id, value, "poisson", resamples, seed)
-    means = draws.filter("weight > 0").withColumn("mean", F.col("total") / F.col("weight"))
-    cut = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
-    low = means.groupBy(*by).agg(cut.alias("cut"))
-    own = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    out = own.join(low, by) if by else own.crossJoin(low)  # one row each
-    return out.select(*by, "n", "mean", F.col("cut")[0].alias("low"), F.col("cut")[1].alias("high"))
+    """``n``, ``mean`` and its 95 % percentile bootstrap interval per group; nulls and NaN don't count."""
+    draws = resampled_sums(df, by, row_id, [value], resamples, seed)
+    cut = interval(draws, by, F.col(value) / F.col("draws"))
+    known = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    own = known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    return _beside(own, cut, by).select(*by, "n", "mean", "low", "high")
+
+
+def paired_bootstrap(
+    df: DataFrame, by: list[str], row_id: str, baseline: str, candidate: str, resamples: int = RESAMPLES, seed: int = 0
+) -> DataFrame:
+    """``n``, ``mean`` of candidate less baseline and its 95 % percentile interval over resampled rows."""
+    return bootstrap_mean(df.withColumn("_difference", F.col(candidate) - F.col(baseline)), by, row_id, "_difference", resamples, seed)
+
+
+def bootstrap_statistic(
+    df: DataFrame, by: list[str], row_id: str, values: list[str], statistic: Column, resamples: int = RESAMPLES, seed: int = 0
+) -> DataFrame:
+    """``low``, ``high``: interval of any statistic of sums, at places rounded down.
+
+    ``statistic`` is of the columns ``draws`` and ``values`` (sums over a resample); where it is null or NaN the
+    resample is left out.
+    """
+    return interval(resampled_sums(df, by, row_id, values, resamples, seed), by, statistic, floor=True)
 
 
 def paired_test(
@@ -240,8 +259,8 @@ def paired_test(
 ) -> DataFrame:
     """Mean paired difference per group, its bootstrap interval and a two-sided sign-flip p-value."""
     summary = bootstrap_mean(df, by, row_id, difference, resamples, seed)
-    flips = resample_sums(df, by, row_id, difference, "sign", resamples, seed + 1)
-    joined = flips.join(summary, by) if by else flips.crossJoin(summary)  # one row
+    flips = sign_flips(df, by, row_id, difference, resamples, seed + 1)
+    joined = _beside(flips, summary, by)
     extreme = F.count_if(F.abs(F.col("total")) / F.col("n") >= F.abs("mean") - 1e-12)
     keys = [*by, "n", "mean", "low", "high"]
     return joined.groupBy(*keys).agg(((extreme + 1) / (F.count("*") + 1)).alias("p_value"))

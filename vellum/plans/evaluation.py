@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.operators import ranking, sampling, statistics
+from vellum.operators import ranking, resampling, sampling, statistics
 from vellum.plans.registry import query
 from vellum.plans.retrieval import _DENSE, dense_topk
 from vellum.storage import read_table, saved
@@ -283,6 +283,22 @@ def bootstrap_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.bootstrap_mean(lines, ["l_returnflag"], "row", "l_extendedprice", resamples=200)
 
 
+@query(
+    """select l_returnflag, count(*) as n, 50::bigint as resamples, count(*) as least, count(*) as most, 50::bigint as within
+    from lineitem group by l_returnflag"""
+)
+def bootstrap_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws of each resample of a group's lines: as many as the group has; ``within`` counts the resamples whose
+    mean is within eight standard errors of the group's."""
+    lines = read_table(spark, sf_dir, "lineitem").withColumn("row", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    draws = resampling.resampled_sums(lines, ["l_returnflag"], "row", ["l_quantity"], resamples=50)
+    own = lines.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("mean"), F.stddev_pop("l_quantity").alias("deviation"))
+    near = F.abs(F.col("l_quantity") / F.col("draws") - F.col("mean")) <= 8 * F.col("deviation") / F.sqrt("n")
+    return draws.join(own, "l_returnflag").groupBy("l_returnflag", "n").agg(
+        F.count("*").alias("resamples"), F.min("draws").alias("least"), F.max("draws").alias("most"), F.count_if(near).alias("within")
+    )
+
+
 @query()
 def sign_flip_discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sign-flip test of the difference of discount and tax by return flag."""

@@ -10,7 +10,7 @@ from vellum.operators import history
 from vellum.plans.registry import query
 from vellum.storage import new_path, read_table
 from vellum.streaming import events as streams
-from vellum.streaming import journal
+from vellum.streaming import journal, runs
 
 _TURNS = """
 with s as (select * from conversations where role in ('user', 'assistant')),
@@ -258,3 +258,15 @@ def stream_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.writeStream.foreachBatch(twice).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     kept = journal.read_journal(spark, path, "event_id long, user_id long, event_type string")
     return kept.groupBy("event_id", "user_id", "event_type").agg(F.count("*").alias("times"))
+
+
+@query("select user_id, 'ended' as outcome, 1 as run, count(*) as events from events group by user_id having count(*) filter (where event_type = 'purchase') > 0")
+def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of users that a purchase ended, by state variables and a timer per user."""
+    tracked = runs.tracked_runs(streams.read_stream(spark, sf_dir, "events"), "user_id", "purchase", seconds=86_400)
+    out, state = new_path(spark, "runs"), new_path(spark, "runs-state")
+    with runs.column_state(spark):
+        # one batch of all that is there: with timers in processing time a query never runs out of batches
+        writer = tracked.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        writer.trigger(once=True).start().awaitTermination()
+    return spark.read.schema(tracked.schema).parquet(out)

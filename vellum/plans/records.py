@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.functions import arrays, labels, text
+from vellum.functions import arrays, labels, lattice, text
 from vellum.operators import chunking, corpus, goldset, history, releases, search, snapshot
 from vellum.plans.registry import query
 from vellum.plans.relational import _RELEASES, _releases
 from vellum.sinks import versions
-from vellum.sources import records
+from vellum.sources import ranges, records
 from vellum.storage import new_path, read_table, spread
 
 
@@ -682,7 +682,7 @@ def section_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = labels.canonical_label(line, {"use": ["how to use"], "dose": ["dosage", "dose"]})
     inline = labels.inline_headings(F.concat(F.lit("x **Dose** "), n, F.lit(" **Use** y")), ["dose", "use"])
     layout = labels.flattened_layout(F.concat(F.lit("|"), n, F.lit("|\n|---|\n|end|")))
-    joined = labels.joined_syllables(["station"])(F.concat(F.lit("sta tion "), n))
+    joined = lattice.joined_syllables(["station"])(F.concat(F.lit("sta ti on "), n))
     return read_table(spark, sf_dir, "part").select(
         "p_partkey", label.alias("label"), F.size(inline).cast("long").alias("parts"), F.regexp_replace(layout, r"\s*\n\s*", "\n").alias("plain"),
         text.without_marks(F.concat(F.lit("## **"), n, F.lit("** and `more`"))).alias("preview"), (joined == F.concat(F.lit("station "), n)).alias("repaired"),
@@ -732,3 +732,23 @@ def page_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return md.select(
         "page_id", count(r"(?m)^# \S").alias("titles"), count(r"(?m)^- ?").alias("items"), count(r"(?m)^## \S").alias("headings"), F.contains("md", F.lit("track(")).alias("scripts")
     )
+
+
+@query(
+    """select 'label ' || (label % 3) as model, sha256(vec_id::varchar) as digest, len(embedding)::int as dims, round(embedding[1]::double, 5) as first,
+    round(list_sum(embedding::double[]), 4) as total from embeddings where label is not null"""
+)
+def vector_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors written as a bundle with block digests and read by ranges through a data source."""
+    path = new_path(spark, "vectors")
+    vectors = read_table(spark, sf_dir, "embeddings").filter("label is not null").select(
+        F.concat(F.lit("label "), F.col("label") % 3).alias("model"), F.sha2(F.col("vec_id").cast("string"), 256).alias("embedding_text_sha256"), F.col("embedding").alias("vector")
+    )
+    versions.write_vectors(vectors, path)
+    ranges.register(spark)
+    ranges.write_digests(spark, path)
+    found = spark.read.format("vectors").load(path)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return found.select(
+        "model", F.col("embedding_text_sha256").alias("digest"), "dims", F.round(F.col("vector")[0].cast("double"), 5).alias("first"), F.round(total, 4).alias("total")
+    )
