@@ -66,8 +66,8 @@ def test_labels(spark):
 
 def test_citations(spark):
     answer = "First fact here now [1]. Second [2][1] one.\n# Head\nshort [3]\nNo mark in this one at all"
-    assert column(spark, [answer], text.content_sentences) == [["First fact here now [1].", "No mark in this one at all"]]
-    cited = column(spark, [answer], text.cited_sentences)[0]
+    assert column(spark, [answer], text.stated_sentences) == [["First fact here now [1].", "No mark in this one at all"]]
+    cited = column(spark, [answer], text.marked_sentences)[0]
     assert [(c["sentence"], c["numbers"]) for c in cited] == [("First fact here now [1].", [1]), ("Second [2][1] one.", [2, 1]), ("short [3]", [3])]
     assert column(spark, [answer], lambda c: text.only_known_citations(c, F.lit(2))) == [answer.replace("[3]", "")]
     blocks = column(spark, ["[1] Head\nbody\n\n[2] Next\nmore [9] x"], text.context_blocks)
@@ -336,9 +336,9 @@ def test_relations_small(spark):
 
 def test_citations_of_plain_but_odd_answers(spark):
     odd = "One [99999999999] fact is here. Two [1] and [123456789012345678901234567890] are. \n\t# heading of four words\nlast one [2] is said here"
-    cited = column(spark, [odd], text.cited_sentences)[0]
+    cited = column(spark, [odd], text.marked_sentences)[0]
     assert [r["numbers"] for r in cited] == [[99999999999], [1, 2**63 - 1], [2]]
-    assert column(spark, [odd], text.content_sentences)[0] == ["One [99999999999] fact is here.", "last one [2] is said here"]
+    assert column(spark, [odd], text.stated_sentences)[0] == ["One [99999999999] fact is here.", "last one [2] is said here"]
     shown = column(spark, [odd], lambda c: text.only_known_citations(c, F.lit(1)))[0]
     assert "[1]" in shown and "[9" not in shown and "[12" not in shown and "[2]" not in shown
     blocks = column(spark, ["[1] old\n[2] two\t\n[1] new\nmore \n", "[99999999999999999999] far"], text.context_blocks)

@@ -262,16 +262,16 @@ def cited_numbers(text: Column) -> Column:
     return F.array_distinct(F.transform(found, _number))
 
 
-def cited_sentences(text: Column) -> Column:
-    """Structs (sentence, numbers) of the sentences that carry citations."""
+def marked_sentences(text: Column) -> Column:
+    """Each sentence with a ``[n]`` mark beside the numbers of its marks."""
     each = F.transform(
         sentences(text), lambda s: F.struct(s.alias("sentence"), cited_numbers(s).alias("numbers"))
     )
     return F.filter(each, lambda s: F.size(s["numbers"]) > 0)
 
 
-def content_sentences(text: Column, least: int = 4) -> Column:
-    """Sentences of ``least`` words or more, citations apart; no headings, rules or table rows."""
+def stated_sentences(text: Column, least: int = 4) -> Column:
+    """What a text states: sentences of at least ``least`` words, marks not counted, outside headings, rules and tables."""
 
     def counts(s: Column) -> Column:
         words = F.split(stripped(F.regexp_replace(s, r"\[[0-9]+\]", "")), r"(?U)\s+")
@@ -285,8 +285,7 @@ def context_blocks(text: Column) -> Column:
 
     Of blocks with the same number the last counts.
     """
-    parts = F.slice(F.split(text, r"(?m)^(?=\[[0-9]+\] )"), 1, 1_000_000)
-    blocks = F.filter(parts, lambda p: p.rlike(r"^\[[0-9]+\] "))
+    blocks = F.filter(F.split(text, r"(?m)^(?=\[[0-9]+\] )"), lambda p: p.rlike(r"^\[[0-9]+\] "))
     pairs = F.transform(
         blocks,
         lambda p: F.struct(
@@ -294,7 +293,7 @@ def context_blocks(text: Column) -> Column:
             stripped(F.regexp_replace(p, r"^\[[0-9]+\] ", "")).alias("value"),
         ),
     )
-    later = lambda p, k: F.exists(F.slice(pairs, k + 2, 1_000_000), lambda q: q["key"] == p["key"])
+    later = lambda p, k: F.exists(F.slice(pairs, k + 2, F.size(pairs)), lambda q: q["key"] == p["key"])
     return F.map_from_entries(F.filter(pairs, lambda p, k: ~later(p, k)))
 
 

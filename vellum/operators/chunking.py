@@ -123,7 +123,7 @@ def context_header(title: Column, path: Column, heading: Column, hidden: list[st
     """
     lines = F.filter(F.concat(F.array(F.coalesce(title, F.lit(""))), F.coalesce(path, F.array().cast("array<string>"))), lambda s: s != "")
     lines = F.transform(lines, lambda s, i: F.when(i > 0, F.concat(F.lit("> "), s)).otherwise(s))
-    lines = F.transform(F.flatten(F.transform(lines, lambda s: F.split(s, r"\r\n|\r|\n"))), F.trim)
+    lines = F.transform(F.flatten(F.transform(lines, lambda s: F.split(s, r"\r\n|\r|\n"))), lambda s: F.trim(s))
     labels = F.array(*[F.lit(x.lower() + ":") for x in hidden]).cast("array<string>")
     shown = F.filter(
         lines, lambda s: (s != "") & ~F.exists(labels, lambda x: F.startswith(F.lower(s), x))

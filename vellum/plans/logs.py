@@ -88,8 +88,8 @@ def answer_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").filter("role = 'assistant'")
     marked = F.regexp_replace("text", r"\. ", F.concat(F.lit(". ["), F.col("turn") % 4, F.lit("] ")))
     return rows.select(
-        "conv_id", "turn", F.size(text.sentences(marked)).alias("sentences"), F.size(text.content_sentences(marked)).alias("content"),
-        F.size(text.cited_sentences(marked)).alias("cited"), F.md5(text.only_known_citations(marked, F.lit(2))).alias("sanitized"),
+        "conv_id", "turn", F.size(text.sentences(marked)).alias("sentences"), F.size(text.stated_sentences(marked)).alias("content"),
+        F.size(text.marked_sentences(marked)).alias("cited"), F.md5(text.only_known_citations(marked, F.lit(2))).alias("sanitized"),
     )
 
 

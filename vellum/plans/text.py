@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import arrays, text
-from vellum.operators import chunking, corpus, goldset, relations, setjoin
+from vellum.operators import chunking, corpus, goldset, relations, sampling, setjoin
 from vellum.plans.registry import query
 from vellum.storage import read_table, spread
 
@@ -296,3 +296,62 @@ def gold_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A numbered gold set with a target per category, categories in turn."""
     out = goldset.gold_rows(_questions(spark, sf_dir), {"dosage": 30, "use": 20, "risk": 10, "other": 5})
     return out.select("query_id", "section_id", "category")
+
+
+_CONTROL = "[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x{9F}\\x{E000}-\\x{F8FF}\\x{FFFD}]"
+
+
+@query(
+    f"""with t as (select doc_id, regexp_extract(coalesce(text, ''), '{_CONTROL}') as own, regexp_extract(replace(text, 'er', chr(7)), '{_CONTROL}') as bell from documents)
+    select doc_id, case when own <> '' then 'U+' || printf('%04X', unicode(own)) end as own, case when bell <> '' then 'U+' || printf('%04X', unicode(bell)) end as bell from t"""
+)
+def text_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first character of each text that clean text hasn't, as it is and with bells for a syllable."""
+    found = arrays.printable_problem
+    return _docs(spark, sf_dir).select("doc_id", found(F.col("text")).alias("own"), found(F.replace("text", F.lit("er"), F.lit("\x07"))).alias("bell"))
+
+
+@query(
+    r"""select item_id, regexp_replace(regexp_replace(strip_accents(text), '(?i)\bthe\b', 't', 'g'), '(?i)\bque\b', 'q', 'g') as typed from benchmark"""
+)
+def careless_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts as somebody in a hurry types them."""
+    items = read_table(spark, sf_dir, "benchmark")
+    return items.select("item_id", text.typed_carelessly(F.col("text"), {"the": "t", "que": "q"}).alias("typed"))
+
+
+@query(
+    """select doc_id, unnest([7, 8, 12])::bigint as number, unnest([doc_id || chr(10) || 'more [3] of it', source, 'x ' || lang]) as block from documents"""
+)
+def numbered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of a context by number, the last of equal numbers."""
+    whole = F.concat(
+        F.lit("before\n[7] gone\n[8] "), F.coalesce("source", F.lit("")), F.lit("\n[12]  x "), F.col("lang"), F.lit(" \n\n[7] "), F.col("doc_id"), F.lit("\nmore [3] of it\n")
+    )
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode(text.context_blocks(whole)).alias("number", "block"))
+
+
+@query(
+    """with w as (select source, count(*) as w from documents where source is not null group by source), s as (select sum(w) as s from w),
+    b as (select source, 1000 * w // s as base, 1000 * w % s as rest from w, s)
+    select source, (base + case when row_number() over (order by rest desc, source) <= 1000 - sum(base) over () then 1 else 0 end)::bigint as quota from b"""
+)
+def source_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand places dealt to the sources in proportion to their documents."""
+    counts = read_table(spark, sf_dir, "documents").filter("source is not null").groupBy("source").count()
+    dealt = sampling.weighted_targets({r["source"]: r["count"] for r in counts.collect()}, 1000)  # a number per source
+    return spark.createDataFrame(sorted(dealt.items()), "source string, quota long")
+
+
+@query(
+    """select doc_id, case when n_chars % 2 = 0 then coalesce(source, '') || chr(10) || '> ' || lang || chr(10) || '> Part 2' else coalesce(source, '') || ' > ' || lang end as header from documents where source <> ''"""
+)
+def chunk_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header lines of chunks: title and path without label lines, or title and heading where there is no path."""
+    docs = read_table(spark, sf_dir, "documents").filter("source <> ''")
+    path = F.when(F.col("n_chars") % 2 == 0, F.array(F.col("lang"), F.lit(""), F.lit("Part 2\nKnown as: x"))).otherwise(F.array(F.lit("")))
+    long = chunking.context_header(F.col("source"), path, F.col("lang"), ["Known as"])
+    hidden = chunking.context_header(F.concat(F.lit("Known as: "), F.col("source")), F.array(F.lit("")), F.col("lang"), ["Known as"])
+    short = F.regexp_replace(hidden, "^Known as: ", "")
+    return docs.select("doc_id", F.when(F.col("n_chars") % 2 == 0, long).otherwise(short).alias("header"))
