@@ -33,14 +33,14 @@ TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 #: Bytes of the rolling hash's window, and of a chunk: the least, on average beyond it (a power of two), the most.
 WINDOW, LEAST, MEAN, MOST = 16, 192, 512, 8192
 #: Bytes that the hash takes at a time, and of kept chunks and ids in each of two generations.
-BLOCK, KEPT = 1 << 20, 40_000_000
+BLOCK, KEPT = 1 << 20, 16_000_000
 #: What a kept entry costs beside its bytes.
 ENTRY = 150
 #: Multiplier of the rolling hash (odd).
 FACTOR = 0x9E3779B1
 
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 #: The steps and the split of files whose words can be kept by themselves.
 NORMALIZED = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

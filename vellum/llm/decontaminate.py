@@ -237,8 +237,8 @@ def find_contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     ``items`` are ``item_id`` and ``text``.  A document holds an item if a window of as many words
     (the whole text where it has fewer) has a weighted Jaccard similarity of at least 0.8 by
     five-word shingles, and fingerprints of both differ in at most ``RADIUS`` bits; the best window
-    counts, the first of equal ones.  Words are in lower case, without ASCII punctuation.  Items
-    without words, without text or without an id are never held; nor has a null or empty text
+    counts, the first of equal ones.  Words are in lower case, without ASCII punctuation.  Texts of any length
+    are read whole, window by window.  Items without words, without text or without an id are never held; nor has a null or empty text
     any.  Repeated rows come out as often as they come in, rows without a doc_id with a null one;
     other columns are ignored.  Without items, or without documents, the result is empty.
     """

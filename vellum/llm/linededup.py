@@ -161,7 +161,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
     A line's key is the line stripped of ASCII white space, A-Z in lower case; keys of at least
     ``min_chars`` code points that two documents or more hold stay only in the smallest doc_id
-    among them, where all their lines stay.  A null or empty text is one empty line; a text whose
+    among them, where all their lines stay.  A null or empty text is one empty line; texts and
+    lines may be of any length; a text whose
     lines all go is empty.  Rows that share a doc_id count as one document.  Rows without a
     doc_id keep all lines and count for nothing.  Other columns pass through, whatever their names, but
     for columns named n_lines, n_dropped, which are replaced.  An empty table gives an empty table.

@@ -296,6 +296,11 @@ def mix(
     source's stream), ``at`` (the run's first place in the block), ``doc_id``, ``begin``, ``end``
     (of the document's words, from 0, end exclusive).  Ordered by shard, place and at, the runs are
     the text of the mix.
+
+    Shards draw their sources' slots by the target shares; what a source then lacks of its target goes into
+    trailing shards, which are therefore no draws of those shares.  A null or empty text has no words and isn't
+    in the mix; a text of any length is cut into blocks; rows that share a doc_id or have none, and a null source,
+    count like any other; an empty table gives an empty mix.  Other columns are ignored.
     """
     *_, rows = _mixed(docs, weights, share, most, seed)
     return rows.drop("key", "piece", "nth")

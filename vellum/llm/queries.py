@@ -32,44 +32,54 @@ URL_RULES = [
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, components and kept vectors of all labels."""
     return near_embeddings(read_table(spark, sf_dir, "embeddings"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: plain findings, linked sets, digests."""
     return find_secrets(read_table(spark, sf_dir, "documents"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, sources near their targets."""
     return mix_sources(read_table(spark, sf_dir, "documents"))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents."""
     return simhash_components(read_table(spark, sf_dir, "documents"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, with the best window."""
     docs, items = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return find_contamination(docs, items)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts, spans, scores, digests."""
     return find_pii(read_table(spark, sf_dir, "documents"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
     return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and decision of every document; held-out labels are never learned from."""
     docs, labels = (read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     return score_toxicity(docs, labels)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, words and code points of every document."""
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many it loses, and the digest of what stays."""
     out = dedup_lines(read_table(spark, sf_dir, "documents"))
     return out.selectExpr("doc_id", "n_lines", "n_dropped", "sha2(text, 256) as kept_sha256")
 
@@ -94,6 +104,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline over all documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

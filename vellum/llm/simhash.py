@@ -226,7 +226,7 @@ def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4) -> Da
 
     ``component_id`` is the smallest doc_id reachable through links of at most ``radius`` differing
     bits, the document itself included.  Null and empty texts have fingerprint zero and link like
-    any other; exact copies meet by equal fingerprints and are never paired.  Rows without a
+    any other; texts of any length are read whole; exact copies meet by equal fingerprints and are never paired.  Rows without a
     doc_id get a fingerprint and the component of that fingerprint, but make no links of their
     own (null if no document with an id has it).  Repeated rows come out as often as they come
     in; an empty table gives an empty table.  Columns other than doc_id and text are ignored.

@@ -143,7 +143,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     standing for characters that no piece covers.  ``vocabulary`` is a path that every executor
     has; of a file made for another segmentation (the default one is a BPE file) only pieces and scores
     count, and the counts are those of the unigram model on them, not of that file's own tokenizer.
-    A null or empty text has no tokens.  Repeated rows and rows without a doc_id are treated like any
+    A null or empty text has no tokens; a text of any length is counted whole.  Repeated rows and rows without a doc_id are treated like any
     other; an empty table gives an empty table; other columns are ignored.
     """
 

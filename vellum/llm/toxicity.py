@@ -290,8 +290,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
     ``labels`` are ``doc_id`` and ``toxic`` (0 or 1, others and nulls ignored; of repeated ids the
     larger).  ``held_out`` tells that the row's label is never learned from; false without a
-    doc_id.  ``score`` rises with the likelihood of label 1 and depends on the text alone; a null or
-    empty text has the score of a text without any voter.  ``predicted`` is 1 from ``threshold``
+    doc_id.  ``score`` rises with the likelihood of label 1 and depends on the text alone, which is read
+    whole, however long it is; a null or empty text has the score of a text without any voter.  ``predicted`` is 1 from ``threshold``
     on.  Repeated rows come out as often as they come in; an empty table gives an empty table; other
     columns are ignored.
     """

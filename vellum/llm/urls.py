@@ -129,7 +129,7 @@ def judge_urls(
     ``rules`` are (verdict, host, path), as a list or a table.  A rule fits its host and all
     subdomains if the url's path starts with the rule's; the longest (host and path together)
     wins, then the greater text, then block over allow.  Without a rule, ``rule`` is null and the
-    verdict is ``default``.  Urls that are null or without ``://`` have an empty host and path, which
+    verdict is ``default``.  Urls of any length are read whole; those that are null or without ``://`` have an empty host and path, which
     no rule fits.  Rules with an empty host are ignored.  Repeated rows come out as often as they
     come in; an empty table gives an empty table; other columns are ignored.
     """
