@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import read_table, saved
+from vellum.llm.common import discard, read_table, saved
 from vellum.llm.decontaminate import decontaminate
 from vellum.llm.linededup import dedup_lines
 from vellum.llm.mixing import mix_sources
@@ -58,8 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each result written to the shared folder and read again.
+
+    A stage's result goes when the next one's is written.
+    """
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
