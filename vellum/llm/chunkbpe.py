@@ -24,7 +24,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vellum.llm.common import BATCH_ROWS, documents
 
@@ -33,14 +33,16 @@ TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 #: Bytes of the rolling hash's window, and of a chunk: the least, on average beyond it (a power of two), the most.
 WINDOW, LEAST, MEAN, MOST = 16, 192, 512, 8192
 #: Bytes that the hash takes at a time, and of kept chunks and ids in each of two generations.
-BLOCK, KEPT = 1 << 20, 16_000_000
+BLOCK, KEPT = 1 << 20, 24_000_000
+#: Rows that are decoded at a time.
+DECODED_ROWS = 256
 #: What a kept entry costs beside its bytes.
 ENTRY = 150
 #: Multiplier of the rolling hash (odd).
 FACTOR = 0x9E3779B1
 
 #: Words whose ids a worker keeps.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 300_000
 #: The steps and the split of files whose words can be kept by themselves.
 NORMALIZED = ["NFC", "Replace", "Lowercase"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -342,12 +344,11 @@ def _encoder(path: str) -> Encoder:
 
 
 @cache
-def _tokens(path: str) -> list[bytes]:
-    """The bytes of each id's token."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    return [(tokenizer.id_to_token(i) or "").encode("utf-8") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+def _tokens(path: str) -> dict[int, bytes]:
+    """The bytes of each id's token, from the file's own list."""
+    spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    held = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec.get("added_tokens") or ()}
+    return {i: t.encode("utf-8") for i, t in held.items()}
 
 
 def encode_texts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -386,17 +387,22 @@ def decode_ids(encoded: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """The table with ``decoded``: what ``tokenizers``' decode makes of ``ids`` (packed as above).
 
     Of a file without a decoder that is the tokens with a space between; ids that the file doesn't have
-    are left out.  Null ids give a null text, no ids an empty one.  Other columns stay.
+    are left out.  Null ids give a null text, no ids an empty one.  Other columns stay, but for one named decoded.
     """
 
-    @F.pandas_udf("string")
-    def text(ids):
-        tokens = _tokens(tokenizer)
-        n = len(tokens)
-        return ids.map(
-            lambda packed: None
-            if packed is None
-            else b" ".join([tokens[i] for i in np.frombuffer(packed, "<u4").tolist() if i < n]).decode("utf-8")
-        )
+    table = encoded.drop("decoded")
+    names = [*table.columns, "decoded"]
+    place = table.columns.index("ids")
 
-    return encoded.withColumn("decoded", text(F.col("ids")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = _tokens(tokenizer)
+        # a text is some times as long as its ids: a few rows at a time
+        for part in (b.slice(at, DECODED_ROWS) for b in batches for at in range(0, b.num_rows, DECODED_ROWS)):
+            texts = [
+                None if packed is None else b" ".join([tokens[i] for i in np.frombuffer(packed, "<u4").tolist() if i in tokens])
+                for packed in part.column(place).to_pylist()
+            ]
+            decoded = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns, decoded], names)
+
+    return table.mapInArrow(run, StructType([*table.schema.fields, StructField("decoded", StringType())]))
