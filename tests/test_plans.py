@@ -36,6 +36,11 @@ def test_top_k_is_cut_before_the_shuffle(spark, sf_dir, name):
     assert plan_of(spark, sf_dir, name).count("WindowGroupLimit") >= 2
 
 
+@pytest.mark.parametrize("name", ["reindexed_points", "release_points", "chunk_memberships"])
+def test_release_ids_are_not_broadcast(spark, sf_dir, name):
+    assert "BroadcastExchange" not in plan_of(spark, sf_dir, name)
+
+
 def test_only_wanted_columns_are_read(spark, sf_dir):
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan_of(spark, sf_dir, "wilson_by_lang")
 

@@ -12,7 +12,7 @@ from vellum.plans.registry import query
 from vellum.plans.relational import _RELEASES, _releases
 from vellum.sinks import versions
 from vellum.sources import ranges, records
-from vellum.storage import new_path, read_table, spread
+from vellum.storage import new_path, read_table, saved, spread
 
 
 #: Lines of orders with a number of their own: the given line numbers repeat.
@@ -487,7 +487,7 @@ def reindexed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points that a rebuild of the index takes."""
     r, _ = _releases(spark, sf_dir)
     bridge = read_table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("chunk_id"), F.col("l_orderkey").alias("release_id"))
-    points = releases.memberships(bridge, r).withColumnRenamed("chunk_id", "id")
+    points = saved(releases.memberships(bridge, r).withColumnRenamed("chunk_id", "id"), "points")
     return releases.reindexed(points, r, "m").select("id")
 
 
