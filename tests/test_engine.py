@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import arrays
-from vellum.operators import goldset, history, ranking, releases, resampling, sampling, search, statistics
+from vellum.operators import goldset, history, ranking, relations, releases, resampling, sampling, search, statistics
 from vellum.sinks import versions
 from vellum.sources import records
 from vellum.storage import with_positions
@@ -359,3 +359,20 @@ def test_late_rows_and_state_over_batches(spark, tmp_path):
 def test_cosine_of_zero(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([3.0, 4.0], [3.0, 4.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(arrays.cosine(F.col("a"), F.col("b"))).collect()] == [None, 1.0]
+
+
+def test_nearest_overlap_pairs_spans_not_rows(spark, monkeypatch):
+    a = [(k, k % 3, k % 40, k % 40 + k % 7) for k in range(400)] + [(400, 0, None, 5), (401, 1, 9, 3), (402, None, 1, 2)]
+    b = [(k, k % 3, k % 50, k % 50 + k % 5) for k in range(300)] + [(-1, 0, None, None)]
+    met, plain = [], relations.overlapping
+    monkeypatch.setattr(relations, "overlapping", lambda a, b, *x: (met.append((a.count(), b.count())), plain(a, b, *x))[1])
+    frames = [spark.createDataFrame(r, "id long, doc long, start long, end long") for r in (a, b)]
+    have = {(r["id"], r["b_id"]) for r in relations.nearest_overlap(*frames, "doc", "id").collect()}
+    want = set()
+    for i, doc, s, e in a:
+        s, e = s or 0, e or 0
+        hits = [(abs(s - (t or 0)), j) for j, d, t, u in b if doc == d and s <= e and s <= (u or 0) and (t or 0) <= e]
+        want |= {(i, min(hits)[1])} if hits else set()
+    assert have == want
+    spans = [len({(d, s or 0, e or 0) for _, d, s, e in rows}) for rows in (a, b)]
+    assert met == [tuple(spans)]

@@ -89,6 +89,22 @@ def overlapping(a: DataFrame, b: DataFrame, on: str, span: int = 64) -> DataFram
     return both.filter(meets & (F.col("_cell") == later)).drop("_cell")
 
 
+def nearest_overlap(a: DataFrame, b: DataFrame, on: str, id_: str) -> DataFrame:
+    """Rows of ``a`` with ``b_<id_>``: of the rows of ``b`` that ``overlapping`` pairs with it the one with the
+    nearest start, then the least id.  Rows that meet nothing go.
+
+    The answer follows from the span alone, and of several rows of ``b`` with one span only the least id can
+    be it.  So distinct spans are paired, and each row of ``a`` is joined once with its span's answer.
+    """
+    span = [on, "start", "end"]
+    a = a.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("start", "end")})
+    few = b.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("start", "end")}).groupBy(*span).agg(F.min(id_).alias(id_))
+    pairs = overlapping(a.select(*span).distinct(), few, on)
+    gap = F.abs(F.col("start") - F.col("b_start"))
+    best = pairs.groupBy(*span).agg(F.min(F.struct(gap.alias("gap"), F.col(f"b_{id_}").alias("id"))).alias("best"))
+    return a.join(best.select(*span, F.col("best.id").alias(f"b_{id_}")), span)
+
+
 def best_candidate(candidates: DataFrame, by: str, *order: Column) -> DataFrame:
     """The best candidate of each row by the given order."""
     place = F.row_number().over(W.partitionBy(by).orderBy(*order))

@@ -105,13 +105,12 @@ def best_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = read_table(spark, sf_dir, "lineitem").select(
         (F.col("l_suppkey") % 100).alias("doc"), (F.col("l_orderkey") % 300).alias("start"),
         (F.col("l_orderkey") % 300 + 5).alias("end"), F.col("l_partkey").alias("id"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("ln"),
-    ).withColumn("row", F.concat_ws("/", "doc", "id", "o", "ln"))
+    ).distinct()
     b = read_table(spark, sf_dir, "supplier").select(
         (F.col("s_suppkey") % 100).alias("doc"), (F.col("s_suppkey") % 300).alias("start"),
         (F.col("s_suppkey") % 300 + 20).alias("end"), F.col("s_suppkey").alias("id"),
     )
-    pairs = relations.overlapping(a, b, "doc").withColumn("gap", F.abs(F.col("start") - F.col("b_start")))
-    return relations.best_candidate(pairs, "row", F.col("gap"), F.col("b_id")).select("doc", "id", "o", "ln", "b_id")
+    return relations.nearest_overlap(a, b, "doc", "id").select("doc", "id", "o", "ln", "b_id")
 
 
 @query(
