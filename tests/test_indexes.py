@@ -343,3 +343,14 @@ def test_a_release_leaves_nothing_beside_the_index(spark):
     held = spark.read.parquet(f"{path}/segment=1/postings")
     assert held.groupBy("term", "block").count().count() == 9 * 3
     assert postings.totals(spark, path) == (2998, 2398 * 4)
+
+
+def test_codes_hold_the_nearest_of_many_vectors():
+    x = np.random.default_rng(3).normal(size=(20_000, 64)).astype(np.float32)
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    blocks = x.reshape(len(x), -1, vectors.WIDTH)
+    books = [vectors._k_means(blocks[:4000, b], vectors.CODES, 4, b) for b in range(blocks.shape[1])]
+    coded = np.stack([book[vectors._nearest(blocks[:, b], book)] for b, book in enumerate(books)], axis=1).reshape(x.shape)
+    exact, near = x[:100] @ x.T, x[:100] @ coded.T
+    best, kept = np.argsort(-exact, axis=1)[:, :10], np.argsort(-near, axis=1)[:, :100]
+    assert np.mean([np.isin(b, k).mean() for b, k in zip(best, kept, strict=True)]) >= 0.98

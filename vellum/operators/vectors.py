@@ -27,8 +27,8 @@ from vellum.storage import saved
 
 #: Vectors that the model is fitted on at most, and rounds of k-means.
 SAMPLE, ROUNDS = 50_000, 12
-#: Coordinates of one code byte, values of a code, folders of cells, vectors of a sample for each cell at least.
-WIDTH, CODES, FOLDERS, A_CELL = 4, 256, 64, 24
+#: Coordinates of one code byte (with 4 of them the ten nearest of 50,000 vectors fell out of the hundred best by code), values of a code, folders of cells, vectors of a sample for each cell at least.
+WIDTH, CODES, FOLDERS, A_CELL = 2, 256, 64, 24
 #: The share of the nearest that probed cells have to hold, and vectors by whose nearest it is counted.
 RECALL, NEAREST, TRIED = 0.98, 10, 256
 #: Queries of one scan of the codes, rows that a task scores at once, ids that go to every task.
