@@ -41,6 +41,11 @@ def test_release_ids_are_not_broadcast(spark, sf_dir, name):
     assert "BroadcastExchange" not in plan_of(spark, sf_dir, name)
 
 
+@pytest.mark.parametrize("name", ["glossary_matches", "corpus_mentions"])
+def test_word_runs_meet_a_small_glossary_where_they_are(spark, sf_dir, name):
+    assert re.search(r"BroadcastHashJoin \[name#", plan_of(spark, sf_dir, name))
+
+
 def test_only_wanted_columns_are_read(spark, sf_dir):
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan_of(spark, sf_dir, "wilson_by_lang")
 

@@ -267,7 +267,9 @@ def glossary_matches(texts: DataFrame, row_id: str, glossary: DataFrame) -> Data
     starts = listed.filter(F.size("w") > 0).select(row_id, "w", at.alias("at"))
     heads = F.array(*[F.array_join(F.slice("w", F.col("at"), n), " ") for n in (1, 2, 3)])
     grams = starts.select(row_id, "at", F.explode(F.array_distinct(heads)).alias("name"))
-    found = grams.join(glossary.select("term", "name").distinct(), "name")
+    names = saved(glossary.select("term", "name").distinct(), "names")
+    # word runs are shuffled only for a glossary that tasks can't hold
+    found = grams.join(F.broadcast(names) if names.count() <= NAMES_A_BLOCK else names, "name")
     first = found.groupBy(row_id, "term").agg(F.min("at").alias("place"))
     order = W.partitionBy(row_id).orderBy("place", "term")
     return first.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= MAX_TERMS).drop("_n")
