@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions.labels import canonical_label
-from vellum.functions.text import any_of, arrow_udf, is_data_row, row_cells, squeeze, table_rows
+from vellum.functions.text import any_of, is_data_row, row_cells, squeeze, table_rows
 from vellum.operators.relations import carried
 
 
@@ -102,10 +102,24 @@ def _to_markdown(html: str) -> str:
     return "\n".join(out).strip()
 
 
-@arrow_udf("string")
-def html_markdown(pages: pd.Series) -> pd.Series:
+#: Pages that a task has as Python strings at once.
+PAGES = 32
+
+
+def _markdown_slices(pages: pa.Array) -> pa.Array:
+    parts = (pages.slice(at, PAGES).to_pylist() for at in range(0, len(pages), PAGES))
+    done = [pa.array([None if t is None else _to_markdown(t) for t in part], pa.string()) for part in parts]
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
+
+
+def html_markdown(pages: Column) -> Column:
     """Markdown of whole pages; null stays null."""
-    return pages.map(_to_markdown, na_action="ignore")
+
+    @F.arrow_udf("string")
+    def run(batch: pa.Array) -> pa.Array:
+        return _markdown_slices(batch)
+
+    return run(pages)
 
 
 def page_title(html: Column) -> Column:
