@@ -21,6 +21,8 @@ from vellum.storage import discard, saved
 FREQUENT = 50_000
 #: Tokens that a pair shares within the prefixes, if it needs as many at all.
 EXTRA = 3
+#: Sets that a task has as Python strings at once.
+SLICE = 128
 #: Rows of one token in one task on the side that is split; the other side meets each part.
 PART_ROWS = 20_000
 #: Rows of sets that go to every task.
@@ -37,7 +39,7 @@ def by_rarity(table: DataFrame, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = held.value
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             sets = [sorted(set(t or ()), key=lambda x: (n.get(x, 0), x)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.string()))], ["id", "tokens"])
 
