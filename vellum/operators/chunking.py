@@ -103,9 +103,12 @@ def split_entries(text: str, most: int = MAX_CHARS) -> list[str]:
 SPLITTERS = {"table": split_rows, "list": split_entries, "index_entries": split_entries}
 
 
-@F.udtf(returnType="ordinal int, block int, chunk_text string", useArrow=True)
+@F.udtf(returnType="ordinal int, block int, chunk_text string", useArrow=False)
 class BlockParts:
-    """Table function (kinds, texts of a section's blocks, most characters) -> numbered parts; blank blocks have none."""
+    """Table function (kinds, texts of a section's blocks, most characters) -> numbered parts; blank blocks have none.
+
+    Rows go to Python and back by the hundred; with Arrow each section would be a table of its own.
+    """
 
     def eval(self, kinds: list, texts: list, most: int) -> Iterator[tuple[int, int, str]]:
         ordinal = 0
@@ -219,7 +222,7 @@ def embedding_text(header: Column, aliases: Column, chunk: Column, expansions: C
 def chunk_sections(
     sections: DataFrame,
     glossary: DataFrame | None,
-    most: int = MAX_CHARS,
+    most: int | Column = MAX_CHARS,
     labels: tuple[str, str] = ("Also known as", "Terms"),
 ) -> DataFrame:
     """Chunks of sections, with content-addressed ids.
@@ -227,11 +230,13 @@ def chunk_sections(
     ``sections``, a row per key: ``section_key``, ``title``, ``heading``, ``context_path``, ``aliases``,
     ``start_page``, ``end_page`` and ``blocks`` (structs kind, markdown, start_page, end_page,
     table_key).  The splitter follows from the block's kind alone; ``ordinal`` runs over the
-    section's blocks.  ``glossary``: ``term``, ``aliases``, ``case_sensitive``, ``expansions``; of any size, or None.
+    section's blocks.  ``most`` is a number or a column of ``sections``.  ``glossary``: ``term``, ``aliases``, ``case_sensitive``, ``expansions``; of any size, or None.
     """
     # the table function numbers the parts while it cuts a section, so that no chunk is shuffled for its number
-    parts = BlockParts(F.col("blocks.kind").outer(), F.col("blocks.markdown").outer(), F.lit(most))
-    needed = sections.select("section_key", "title", "heading", "context_path", "aliases", "start_page", "end_page", "blocks")
+    needed = sections.select(
+        "section_key", "title", "heading", "context_path", "aliases", "start_page", "end_page", "blocks", (most if isinstance(most, Column) else F.lit(most)).alias("most")
+    )
+    parts = BlockParts(F.col("blocks.kind").outer(), F.col("blocks.markdown").outer(), F.col("most").outer())
     blocks = needed.lateralJoin(parts).withColumn("block", F.element_at("blocks", F.col("block") + 1))
     header = context_header(F.col("title"), F.col("context_path"), F.col("heading"), [labels[0]])
     blocks = blocks.withColumn("context_header", header)

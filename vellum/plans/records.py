@@ -257,20 +257,18 @@ def merged_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def chunked_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of one table or one list each, cut into chunks that repeat the header or keep entries whole."""
-    number = F.lpad(F.col("l_linenumber").cast("string"), 5, "0")
-    lines = read_table(spark, sf_dir, "lineitem").withColumns({"row": F.concat(F.lit("| "), number, F.lit(" |")), "entry": F.concat(F.lit("E"), F.lpad(number, 8, "0"))})
-    listed = {c: F.array_join(F.array_sort(F.collect_list(F.struct("l_linenumber", c)))[c], "\n") for c in ("row", "entry")}
-    rows = lines.groupBy("l_orderkey").agg(listed["row"].alias("rows"), listed["entry"].alias("entries"))
+    number = lambda n: F.lpad(n.cast("string"), 5, "0")
+    lines = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("n"))
+    row = F.transform("n", lambda n: F.concat(F.lit("| "), number(n), F.lit(" |")))
+    entry = F.transform("n", lambda n: F.concat(F.lit("E"), F.lpad(number(n), 8, "0")))
+    rows = lines.select("l_orderkey", F.array_join(row, "\n").alias("rows"), F.array_join(entry, "\n").alias("entries"))
     kinds = F.explode(F.create_map(F.lit("table"), F.concat(F.lit("| line head |\n|--------|\n"), "rows"), F.lit("list"), F.col("entries"))).alias("kind", "markdown")
     block = F.struct("kind", "markdown", F.lit(1).alias("start_page"), F.lit(1).alias("end_page"), F.lit(None).cast("string").alias("table_key"))
     sections = rows.select("l_orderkey", kinds).select(
         F.concat_ws("-", F.lit("o"), "l_orderkey", "kind").alias("section_key"), F.lit("t").alias("title"), F.lit("h").alias("heading"), F.array(F.lit("h")).alias("context_path"),
         F.array().cast("array<string>").alias("aliases"), F.lit(1).alias("start_page"), F.lit(1).alias("end_page"), "kind", F.array(block).alias("blocks"),
     )
-    parts = []
-    for kind, most in (("table", 46), ("list", 29)):
-        parts.append(chunking.chunk_sections(sections.filter(F.col("kind") == kind).drop("kind"), None, most))
-    out = parts[0].unionByName(parts[1])
+    out = chunking.chunk_sections(sections, None, F.when(F.col("kind") == "table", 46).otherwise(29))
     held = F.regexp_count("chunk_text", F.lit(r"[0-9]{5}"))
     return out.select("section_key", F.col("ordinal").cast("long").alias("ordinal"), held.cast("long").alias("n_rows"), F.length("chunk_text").cast("long").alias("chars"))
 
