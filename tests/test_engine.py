@@ -1,5 +1,6 @@
 """Files, versions, search, statistics, samples, releases and streams."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -376,3 +377,16 @@ def test_nearest_overlap_pairs_spans_not_rows(spark, monkeypatch):
     assert have == want
     spans = [len({(d, s or 0, e or 0) for _, d, s, e in rows}) for rows in (a, b)]
     assert met == [tuple(spans)]
+
+
+def test_candidates_repeated_in_and_across_lines(spark, tmp_path):
+    """Pairs are counted in lines that may repeat one only; hashes are no part of what is shuffled."""
+    schema = "query_id string, query string, retrieval_rank int, chunk_id string, retrieval_score double, document_text string, section_id string, chunk_index int"
+    rows = [("q1", "a", 1, "c1"), ("q1", "a", 2, "c1"), ("q2", "a", 1, "c1"), ("q2", "b", 1, "c1"), ("q2", "b", 2, "c2"), ("q3", "a", 1, "c1"), ("q3", "a", 2, "c2")]
+    hits = spark.createDataFrame([(*r, 0.5, "doc", "s", 1) for r in rows], schema)
+    versions.write_candidates(hits, f"file://{tmp_path}/c", "gzip")
+    assert list((tmp_path / "c").glob("part*.json.gz"))
+    _, found = records.read_candidates(spark, f"file://{tmp_path}/c")
+    assert sorted((r["check"], r["id"], r["message"]) for r in found.collect()) == [("chunk", "q1/c1", "2 rows"), ("chunk", "q2/c1", "2 rows"), ("query", "q2", "2 rows")]
+    kept, _ = records.read_candidates(spark, f"file://{tmp_path}/c")
+    assert {r["document_hash"] for r in kept.collect()} == {hashlib.sha256(b"doc").hexdigest()}

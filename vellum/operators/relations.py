@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.storage import with_positions
+from vellum.storage import saved, with_positions
+
+#: Rows of a table that each task may hold.
+SMALL_ROWS = 1_000_000
 
 
 # -- lookups --------------------------------------------------------------------------------------

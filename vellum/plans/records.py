@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import arrays, labels, lattice, text
-from vellum.operators import chunking, corpus, goldset, history, releases, search, snapshot
+from vellum.operators import chunking, corpus, goldset, history, relations, releases, search, snapshot
 from vellum.plans.registry import query
 from vellum.plans.relational import _RELEASES, _releases
 from vellum.sinks import versions
@@ -150,9 +150,10 @@ def candidates_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("retrieval_score"), F.col("n").alias("retrieval_rank"), F.concat(F.lit("part "), "l_partkey").alias("document_text"),
         F.lit("s").alias("section_id"), F.col("n").alias("chunk_index"),
     )
-    versions.write_candidates(hits, path)
+    versions.write_candidates(hits, path, "gzip")
     each, found = records.read_candidates(spark, path)
-    bad = found.select(F.split_part("id", F.lit("/"), F.lit(1)).alias("query_id")).distinct()
+    bad = saved(found.select(F.split_part("id", F.lit("/"), F.lit(1)).alias("query_id")).distinct(), "bad")
+    bad = F.broadcast(bad) if bad.count() <= relations.SMALL_ROWS else bad  # rows are shuffled only for many faults
     return each.join(bad, "query_id", "left_anti").select("query_id", "chunk_id", F.col("retrieval_rank").cast("long").alias("retrieval_rank"), "retrieval_score", "document_hash", "query_hash")
 
 

@@ -124,14 +124,13 @@ def append_sealed(df: DataFrame, path: str) -> None:
     out.write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
-def write_candidates(hits: DataFrame, path: str) -> None:
-    """One line per query with its candidates in rank order."""
-    item = F.struct(
-        "retrieval_rank", "chunk_id", "retrieval_score", "document_text",
-        F.sha2("document_text", 256).alias("document_hash"), "section_id", "chunk_index",
-    )
+def write_candidates(hits: DataFrame, path: str, compression: str = "none") -> None:
+    """One line per query with its candidates in rank order; hashes are made after the shuffle."""
+    item = F.struct("retrieval_rank", "chunk_id", "retrieval_score", "document_text", "section_id", "chunk_index")
     rows = hits.groupBy("query_id", "query").agg(F.array_sort(F.collect_list(item)).alias("candidates"))
-    rows.withColumn("query_hash", F.sha2(F.trim("query"), 256)).write.mode("overwrite").json(path)
+    hashed = F.transform("candidates", lambda c: c.withField("document_hash", F.sha2(c["document_text"], 256)))
+    rows = rows.withColumns({"candidates": hashed, "query_hash": F.sha2(F.trim("query"), 256)})
+    rows.write.mode("overwrite").option("compression", compression).json(path)
 
 
 def metrics_report(breakdown: DataFrame, columns: list[str]) -> str:

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions.arrays import all_finite, from_base64, sealed
-from vellum.operators.relations import all_findings, breaks, finding, latest, not_found, not_unique
+from vellum.operators.relations import SMALL_ROWS, all_findings, breaks, finding, latest, not_found, not_unique
+from vellum.storage import saved
 
 BLOCK = "struct<kind:string,markdown:string,start_page:int,end_page:int,table_key:string>"
 SCHEMAS = {
@@ -94,16 +95,27 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.input_file_name().alias("path"), F.col("value").alias("html"))
 
 
+def _candidate_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("query_id", "query", "query_hash", F.explode("candidates").alias("c")).select("query_id", "query", "query_hash", "c.*")
+
+
 def read_candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(candidates one per row, findings): hashes, repeated chunks and ranks are checked."""
     rows = read_json_lines(spark, path, CANDIDATES, strict=True)
-    each = rows.select("query_id", "query", "query_hash", F.explode("candidates").alias("c")).select("query_id", "query", "query_hash", "c.*")
-    pair = each.withColumn("pair", F.concat_ws("/", "query_id", "chunk_id"))
+    each = _candidate_rows(rows)
+    pair = F.concat_ws("/", "query_id", "chunk_id")
+    # a pair comes twice in one line or in two lines of one query: only the pairs of such lines are shuffled and counted
+    many = rows.groupBy("query_id").count().filter("count > 1").select(F.col("query_id").alias("_id"), F.lit(True).alias("_many"))
+    many = saved(many, "repeated")
+    many = F.broadcast(many) if many.count() <= SMALL_ROWS else many
+    chunks = F.transform("candidates", lambda c: c["chunk_id"])
+    marked = rows.join(many, F.col("query_id").eqNullSafe(F.col("_id")), "left")
+    suspects = _candidate_rows(marked.filter(F.col("_many") | (F.size(F.array_distinct(chunks)) < F.size(chunks))))
     found = all_findings(
         [
             breaks(rows, "query_hash", "query_id", F.sha2(F.trim("query"), 256) != F.col("query_hash"), "hash differs from the query"),
-            breaks(pair, "document_hash", "pair", F.sha2("document_text", 256) != F.col("document_hash"), "hash differs from the text"),
-            not_unique(pair, "chunk", "pair"),
+            breaks(each.withColumn("pair", pair), "document_hash", "pair", F.sha2("document_text", 256) != F.col("document_hash"), "hash differs from the text"),
+            not_unique(suspects.withColumn("pair", pair), "chunk", "pair"),
             not_unique(rows, "query", "query_id"),
         ]
     )
