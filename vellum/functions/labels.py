@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellum.functions.text import fold_accents, match_key, slug, squeeze
+from vellum.functions.text import bound, fold_accents, match_key, slug, squeeze
 
 
 def replaced_all(text: Column, rules: list[tuple[str, str]]) -> Column:

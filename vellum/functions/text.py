@@ -31,6 +31,11 @@ def arrow_udf(kind: str) -> Callable[[Callable], Callable[..., Column]]:
     return wrap
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; a lambda that names a column's expression computes it at each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 # -- Unicode: needs Python's tables ---------------------------------------------------------------
 @arrow_udf("string")
 def nfc(texts: pd.Series) -> pd.Series:
@@ -181,21 +186,27 @@ def table_cells(markdown: Column) -> Column:
 
 def padded_rows(rows: Column) -> Column:
     """Rows (arrays of cells) filled up with empty cells to the widest."""
-    widest = F.array_max(F.transform(rows, F.size))
-    return F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), widest - F.size(r))))
+
+    def filled(own: Column, widest: Column) -> Column:
+        return F.transform(own, lambda r: F.concat(r, F.array_repeat(F.lit(""), widest - F.size(r))))
+
+    return bound(rows, lambda own: bound(F.array_max(F.transform(own, F.size)), lambda widest: filled(own, widest)))
 
 
 def is_data_row(row: Column, units: tuple[str, ...] = (), openings: tuple[str, ...] = ()) -> Column:
     """A row of values rather than names: no rule line, two cells at least that aren't empty, and
     two digits, or a digit and one of ``units``, or a first cell that starts with one of ``openings``."""
-    cells = F.filter(row_cells(row), lambda c: c != "")
-    joined = F.lower(F.array_join(cells, " "))
-    digits = F.regexp_count(joined, F.lit(r"\p{Nd}"))
-    with_unit = any_of(joined, units) & (digits >= 1) if units else F.lit(False)
-    opened = F.lower(F.try_element_at(cells, F.lit(1)))
-    opens = F.exists(F.array(*map(F.lit, openings)), lambda o: opened.startswith(o)) if openings else F.lit(False)
+
+    def valued(cells: Column) -> Column:
+        joined = F.lower(F.array_join(cells, " "))
+        digits = F.regexp_count(joined, F.lit(r"\p{Nd}"))
+        with_unit = any_of(joined, units) & (digits >= 1) if units else F.lit(False)
+        opened = F.lower(F.try_element_at(cells, F.lit(1)))
+        opens = F.exists(F.array(*map(F.lit, openings)), lambda o: opened.startswith(o)) if openings else F.lit(False)
+        return (F.size(cells) >= 2) & ((digits >= 2) | with_unit | opens)
+
     rule = row.rlike(r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$")
-    return ~rule & (F.size(cells) >= 2) & ((digits >= 2) | with_unit | opens)
+    return ~rule & bound(F.filter(row_cells(row), lambda c: c != ""), valued)
 
 
 def any_of(text: Column, words: tuple[str, ...] | list[str]) -> Column:

@@ -218,9 +218,10 @@ def table_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells, rows and rows of values of each table."""
     md = F.regexp_extract("text", r"(?s)(\| line.*)\n\nEnd", 1)
-    rows = text.table_rows(md)
-    return _order_tables(spark, sf_dir).select(
-        "order_id", F.size(text.table_cells(md)).cast("long").alias("n_cells"), F.size(rows).cast("long").alias("n_rows"),
+    tables = _order_tables(spark, sf_dir).select("order_id", md.alias("md")).withColumn("rows", text.table_rows(F.col("md")))
+    rows = F.col("rows")
+    return tables.select(
+        "order_id", F.size(text.table_cells(F.col("md"))).cast("long").alias("n_cells"), F.size(rows).cast("long").alias("n_rows"),
         F.size(F.filter(rows, lambda r: text.is_data_row(r))).cast("long").alias("n_values"),
         F.array_max(F.filter(F.transform(text.padded_rows(F.transform(F.slice(rows, 2, 1_000_000), text.row_cells)), lambda r: F.element_at(r, 2)), lambda c: c != "")).alias("last_cell"),
     )
