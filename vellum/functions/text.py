@@ -228,15 +228,16 @@ def content_tokens(text: Column, stop: list[str], least: int = 3) -> Column:
 
 def word_grams(text: Column, longest: int = 3) -> Column:
     """Distinct runs of 1 to ``longest`` tokens joined by spaces, sorted."""
-    words = tokens(text)
 
-    def grams(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1))
-        each = F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))
+    def grams(words: Column, n: int) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - n))
+        each = F.transform(places, lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))
         return F.when(F.size(words) >= n, each).otherwise(F.array().cast("array<string>"))
 
-    sizes = [grams(n) for n in range(1, longest + 1)]
-    return F.array_sort(F.array_distinct(F.flatten(F.array(*sizes))))
+    def all_sizes(words: Column) -> Column:
+        return F.flatten(F.array(words, *[grams(words, n) for n in range(2, longest + 1)]))
+
+    return F.array_sort(F.array_distinct(bound(tokens(text), all_sizes)))
 
 
 def tokens_inside(text: Column, wanted: Column) -> Column:

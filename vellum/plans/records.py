@@ -666,7 +666,7 @@ def term_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def message_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages that contain a word, their folded form and their one-word grams."""
     t = F.col("text")
-    return read_table(spark, sf_dir, "conversations").select(
+    return spread(read_table(spark, sf_dir, "conversations")).select(
         "conv_id", "turn", (text.tokens_inside(F.lower(t), F.array(F.lit("étre"))) > 0).alias("known"), F.md5(F.replace(text.query_key(t), F.lit(" "), F.lit("_"))).alias("folded"),
         F.size(text.word_grams(t, 1)).cast("long").alias("grams"),
     )
