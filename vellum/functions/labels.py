@@ -21,10 +21,16 @@ def replaced_all(text: Column, rules: list[tuple[str, str]]) -> Column:
 
 def canonical_label(line: Column, labels: dict[str, list[str]]) -> Column:
     """The label one of whose spellings is the line's folded text, or its start before a colon."""
-    plain = match_key(F.regexp_replace(line, r"[*#_]+", " "))
-    head = match_key(F.split_part(F.regexp_replace(line, r"[*#_]+", " "), F.lit(":"), F.lit(1)))
-    hits = [F.when(plain.isin(names) | head.isin(names), F.lit(name)) for name, names in labels.items()]
-    return F.coalesce(*hits)
+
+    def key(folded: Column) -> Column:
+        return F.trim(F.regexp_replace(F.lower(folded), "[^a-z0-9]+", " "))
+
+    def hit(k: Column) -> Column:
+        return F.coalesce(*[F.when(k["plain"].isin(names) | k["head"].isin(names), F.lit(name)) for name, names in labels.items()])
+
+    # folding moves no colon, so the line is folded once
+    folded = fold_accents(F.regexp_replace(line, r"[*#_]+", " "))
+    return bound(F.struct(key(folded).alias("plain"), key(F.split_part(folded, F.lit(":"), F.lit(1))).alias("head")), hit)
 
 
 def is_title(line: Column, stop: list[str], longest: int = 90, share: float = 0.75, fields: tuple[str, ...] = ()) -> Column:
@@ -82,25 +88,35 @@ def dosed_names(line: Column, dose: str, split: str, prefix: str, connectors: tu
     named by what stands between it and the one before.  ``prefix`` (a pattern) and leading
     ``connectors`` are no part of a name; names that start with one of ``fillers`` name nothing.
     """
-    plain = F.regexp_replace(fold_accents(line), r"\([^)]*\)", " ")
     dosed = rf"(?i)^(.*?)(?:{dose})"
-    cells = F.filter(F.transform(F.split(F.regexp_replace(F.trim(plain), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)), lambda c: c != "")
-    at = F.array_position(F.transform(cells, lambda c: c.rlike(dosed)), True).cast("int")
-    own = F.trim(F.regexp_extract(F.try_element_at(cells, at), dosed, 1))
-    cell = F.when(own != "", own).otherwise(F.when(at > 1, F.try_element_at(cells, F.greatest(at - 1, F.lit(1)))).otherwise(""))
     none = F.array().cast("array<string>")
-    row = F.when(at > 0, F.array(cell)).otherwise(none)
-    parts = F.transform(F.split(plain, split), lambda s: F.regexp_extract_all(s, F.lit(rf"(?i)(.*?)(?:{dose})"), 1))
-    names = F.when(F.contains(plain, F.lit("|")), row).otherwise(F.flatten(parts))
+
+    def cell(cells: Column, at: Column) -> Column:
+        before = F.when(at > 1, F.try_element_at(cells, F.greatest(at - 1, F.lit(1)))).otherwise("")
+        own = F.trim(F.regexp_extract(F.try_element_at(cells, at), dosed, 1))
+        return F.when(at > 0, bound(own, lambda o: F.array(F.when(o != "", o).otherwise(before)))).otherwise(none)
+
+    def row(cells: Column) -> Column:
+        at = F.array_position(F.transform(cells, lambda c: c.rlike(dosed)), True).cast("int")
+        return bound(at, lambda a: cell(cells, a))
+
+    def names(plain: Column) -> Column:
+        cells = F.filter(F.transform(F.split(F.regexp_replace(F.trim(plain), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c)), lambda c: c != "")
+        parts = F.transform(F.split(plain, split), lambda s: F.regexp_extract_all(s, F.lit(rf"(?i)(.*?)(?:{dose})"), 1))
+        return F.when(F.contains(plain, F.lit("|")), bound(cells, row)).otherwise(F.flatten(parts))
+
     lead = "|".join(map(re.escape, connectors)) or "(?!)"
 
     def key(name: Column) -> Column:
         folded = F.trim(F.regexp_replace(F.lower(F.regexp_replace(name, prefix, "")), "[^a-z0-9]+", " "))
-        words = F.regexp_replace(folded, rf"^(?:(?:{lead})\s+)+|^(?:{lead})$", "")
+        return bound(F.regexp_replace(folded, rf"^(?:(?:{lead})\s+)+|^(?:{lead})$", ""), known)
+
+    def known(words: Column) -> Column:
         filler = F.exists(F.array(*map(F.lit, fillers)), lambda f: words.startswith(f)) if fillers else F.lit(False)
         return F.when(~words.rlike("[a-z]"), F.lit(None)).when(filler, "").otherwise(words)
 
-    return F.filter(F.transform(names, key), lambda k: k.isNull() | (k != ""))
+    plain = F.regexp_replace(fold_accents(line), r"\([^)]*\)", " ")
+    return F.filter(F.transform(bound(plain, names), key), lambda k: k.isNull() | (k != ""))
 
 
 def respelled(words: Column, rules: list[tuple[str, str]], ending: str = "e") -> Column:

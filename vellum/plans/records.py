@@ -715,7 +715,7 @@ def compositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = F.when(size % 5 == 0, "40 mg").when(size % 2 == 0, F.concat(F.lit("Contains: "), name, F.lit(" (x 3 mg) 40 mg and "), "p_type", F.lit(" 5,5 ml"))).otherwise(
         F.concat(F.lit("| "), name, F.lit(" | 40 mg | b |\nFiller 3 mg"))
     )
-    docs = read_table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Other 9 mg\n## Composition:\n"), listed, F.lit("\n\nUses\nzzz 3 mg\nComposition\nyyy 4 mg")).alias("text"))
+    docs = spread(read_table(spark, sf_dir, "part")).select("p_partkey", F.concat(F.lit("Other 9 mg\n## Composition:\n"), listed, F.lit("\n\nUses\nzzz 3 mg\nComposition\nyyy 4 mg")).alias("text"))
     names = lambda line: labels.dosed_names(line, _DOSE, r";|\. ", r"(?i)^\s*contains:", ("and", "with"), ("filler",))
     out = corpus.compositions(docs, "p_partkey", {"made_of": ["composition"], "use": ["uses"]}, "made_of", names)
     return out.select("p_partkey", F.when(F.col("names").isNotNull(), F.array_join("names", "/")).alias("names"))
