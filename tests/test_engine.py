@@ -390,3 +390,18 @@ def test_candidates_repeated_in_and_across_lines(spark, tmp_path):
     assert sorted((r["check"], r["id"], r["message"]) for r in found.collect()) == [("chunk", "q1/c1", "2 rows"), ("chunk", "q2/c1", "2 rows"), ("query", "q2", "2 rows")]
     kept, _ = records.read_candidates(spark, f"file://{tmp_path}/c")
     assert {r["document_hash"] for r in kept.collect()} == {hashlib.sha256(b"doc").hexdigest()}
+
+
+def test_overlapping_rows_pairs_spans_once(spark, monkeypatch):
+    a = [(k, k % 3, k % 20, k % 20 + k % 4) for k in range(300)] + [(400, 0, None, 5), (401, 1, 9, 3), (402, None, 1, 2)]
+    b = [(k, k % 3, k % 30 * 9, k % 30 * 9 + k % 3) for k in range(200)] + [(-1, 0, None, None)]
+    frames = [spark.createDataFrame(r, "id long, doc long, start long, end long") for r in (a, b)]
+    met, plain = [], relations.overlapping
+    want = sorted(map(tuple, plain(*frames, "doc").collect()))
+    monkeypatch.setattr(relations, "overlapping", lambda a, b, *x: (met.append((a.count(), b.count())), plain(a, b, *x))[1])
+    for small in (relations.SMALL_ROWS, 0):
+        out = relations.overlapping_rows(*frames, "doc", small)
+        assert out.columns == ["id", "doc", "start", "end", "b_id", "b_start", "b_end"]
+        assert sorted(map(tuple, out.select(*plain(*frames, "doc").columns).collect())) == want
+    spans = [len({(d, s or 0, e or 0) for _, d, s, e in rows}) for rows in (a, b)]
+    assert want and met == [tuple(spans)] * 2
