@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -379,19 +380,6 @@ def test_nearest_overlap_pairs_spans_not_rows(spark, monkeypatch):
     assert met == [tuple(spans)]
 
 
-def test_candidates_repeated_in_and_across_lines(spark, tmp_path):
-    """Pairs are counted in lines that may repeat one only; hashes are no part of what is shuffled."""
-    schema = "query_id string, query string, retrieval_rank int, chunk_id string, retrieval_score double, document_text string, section_id string, chunk_index int"
-    rows = [("q1", "a", 1, "c1"), ("q1", "a", 2, "c1"), ("q2", "a", 1, "c1"), ("q2", "b", 1, "c1"), ("q2", "b", 2, "c2"), ("q3", "a", 1, "c1"), ("q3", "a", 2, "c2")]
-    hits = spark.createDataFrame([(*r, 0.5, "doc", "s", 1) for r in rows], schema)
-    versions.write_candidates(hits, f"file://{tmp_path}/c", "gzip")
-    assert list((tmp_path / "c").glob("part*.json.gz"))
-    _, found = records.read_candidates(spark, f"file://{tmp_path}/c")
-    assert sorted((r["check"], r["id"], r["message"]) for r in found.collect()) == [("chunk", "q1/c1", "2 rows"), ("chunk", "q2/c1", "2 rows"), ("query", "q2", "2 rows")]
-    kept, _ = records.read_candidates(spark, f"file://{tmp_path}/c")
-    assert {r["document_hash"] for r in kept.collect()} == {hashlib.sha256(b"doc").hexdigest()}
-
-
 def test_overlapping_rows_pairs_spans_once(spark, monkeypatch):
     a = [(k, k % 3, k % 20, k % 20 + k % 4) for k in range(300)] + [(400, 0, None, 5), (401, 1, 9, 3), (402, None, 1, 2)]
     b = [(k, k % 3, k % 30 * 9, k % 30 * 9 + k % 3) for k in range(200)] + [(-1, 0, None, None)]
@@ -405,3 +393,30 @@ def test_overlapping_rows_pairs_spans_once(spark, monkeypatch):
         assert sorted(map(tuple, out.select(*plain(*frames, "doc").columns).collect())) == want
     spans = [len({(d, s or 0, e or 0) for _, d, s, e in rows}) for rows in (a, b)]
     assert want and met == [tuple(spans)] * 2
+
+
+def test_candidates_repeated_in_and_across_lines(spark, tmp_path):
+    """Pairs are counted in lines that may repeat one only; hashes are no part of what is shuffled."""
+    schema = "query_id string, query string, retrieval_rank int, chunk_id string, retrieval_score double, document_text string, section_id string, chunk_index int"
+    rows = [("q1", "a", 1, "c1"), ("q1", "a", 2, "c1"), ("q2", "a", 1, "c1"), ("q2", "b", 1, "c1"), ("q2", "b", 2, "c2"), ("q3", "a", 1, "c1"), ("q3", "a", 2, "c2")]
+    hits = spark.createDataFrame([(*r, 0.5, "doc", "s", 1) for r in rows], schema)
+    versions.write_candidates(hits, f"file://{tmp_path}/c", "gzip")
+    assert list((tmp_path / "c").glob("part*.json.gz"))
+    _, found = records.read_candidates(spark, f"file://{tmp_path}/c")
+    assert sorted((r["check"], r["id"], r["message"]) for r in found.collect()) == [("chunk", "q1/c1", "2 rows"), ("chunk", "q2/c1", "2 rows"), ("query", "q2", "2 rows")]
+    kept, _ = records.read_candidates(spark, f"file://{tmp_path}/c")
+    assert {r["document_hash"] for r in kept.collect()} == {hashlib.sha256(b"doc").hexdigest()}
+
+
+def test_bm25_scores_as_plain_code():
+    texts = [["a", "b", "a"], None, [], ["c", "d"], ["d", "d", "b", "z"]]
+    postings = [("a", 1.5, np.array([0, 2])), ("b", 0.7, np.array([1])), ("d", 0.2, np.array([0, 1, 2])), ("q", 9.0, np.array([1]))]
+    want = np.zeros((3, 5))
+    for at, words in enumerate(texts):
+        for term, weight, asking in postings:
+            n = (words or []).count(term)
+            want[asking, at] += weight * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(words or []) / 2.5))
+    column = pa.array([["a"], *texts], pa.list_(pa.string())).slice(1)
+    have = search.bm25_scores(column, pa.array([p[0] for p in postings]), postings, 3, 2.5)
+    assert np.allclose(have, want)
+    assert search.bm25_scores(column.slice(0, 0), pa.array(["a"]), postings[:1], 3, 2.5).shape == (3, 0)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -140,24 +140,38 @@ def bm25_search(queries: DataFrame, base: DataFrame, k: int, digits: int = 6) ->
     return ranked(found, "query_id", F.desc("score"), F.col("id"), k=k)
 
 
+def bm25_scores(texts: pa.Array, terms: pa.Array, postings: list[tuple], queries: int, mean: float) -> np.ndarray:
+    """A row per query and a column per text (a list of words); ``postings`` has term, weight and queries of each of ``terms``.
+
+    Words are looked up as a column, and a term's texts and queries get its scores at once.
+    """
+    lengths = texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    longness = K1 * (1 - B + B * lengths / mean)
+    found = pc.index_in(texts.flatten(), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.repeat(np.arange(len(texts)), lengths)[found >= 0]
+    pairs, counts = np.unique(found[found >= 0] * len(texts) + at, return_counts=True)
+    at, found = pairs % max(1, len(texts)), pairs // max(1, len(texts))
+    share = counts * (K1 + 1) / (counts + longness[at])
+    bounds = np.flatnonzero(np.diff(found, prepend=-1, append=-1))
+    score = np.zeros((queries, len(texts)))
+    for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
+        _, weight, asking = postings[found[begin]]
+        score[np.ix_(asking, at[begin:end])] += weight * share[begin:end]
+    return score
+
+
 def _bm25_scan(spark, listed: list, rows_in: DataFrame, mean: float, k: int, digits: int) -> DataFrame:
     names = np.array(sorted({q for r in listed for q in r["ids"]}), np.int64)
-    held = spark.sparkContext.broadcast(
-        (names, {r["term"]: (r["idf"], np.searchsorted(names, r["ids"])) for r in listed})
-    )
+    postings = [(r["term"], r["idf"], np.searchsorted(names, r["ids"])) for r in listed]
+    held = spark.sparkContext.broadcast((names, postings))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, postings = held.value
         best = Best(len(queries), k)
+        terms = pa.array([term for term, _, _ in postings], pa.string())
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            score = np.zeros((len(queries), len(ids)))
-            for at, words in enumerate(batch.column(1).to_pylist()):
-                longness = K1 * (1 - B + B * len(words or ()) / mean)
-                counts = Counter(words or ())
-                for term in counts.keys() & postings.keys():
-                    weight, asking = postings[term]
-                    score[asking, at] += weight * counts[term] * (K1 + 1) / (counts[term] + longness)
+            score = bm25_scores(batch.column(1), terms, postings, len(queries), mean)
             best.add(np.round(score, digits), ids, least=10.0**-digits / 2)
         asking, ids, score = best.rows()
         yield pa.RecordBatch.from_pydict({"query_id": queries[asking], "id": ids, "score": score})
