@@ -395,6 +395,18 @@ def test_overlapping_rows_pairs_spans_once(spark, monkeypatch):
     assert want and met == [tuple(spans)] * 2
 
 
+def test_overlapping_rows_come_by_span(spark):
+    """In a task the rows of one span follow each other, so their equal lists of partners do too; none is lost."""
+    a = spark.range(3000).select("id", (F.col("id") % 4).alias("doc"), (F.col("id") % 40).alias("start"), (F.col("id") % 40 + 3).alias("end")).repartition(3)
+    b = spark.range(200).select("id", (F.col("id") % 4).alias("doc"), (F.col("id") % 50).alias("start"), (F.col("id") % 50 + 6).alias("end"))
+    out = relations.overlapping_rows(a, b, "doc").select("id", "b_id")
+    tasks = [[r["id"] for r in rows] for rows in out.rdd.glom().collect() if rows]
+    assert len(tasks) == 3 and sum(map(len, tasks)) == relations.overlapping(a, b, "doc").count()
+    for rows in tasks:
+        spans = [k % 40 for k in rows]
+        assert sum(x != y for x, y in zip(spans, spans[1:])) + 1 == len(set(spans))
+
+
 def test_candidates_repeated_in_and_across_lines(spark, tmp_path):
     """Pairs are counted in lines that may repeat one only; hashes are no part of what is shuffled."""
     schema = "query_id string, query string, retrieval_rank int, chunk_id string, retrieval_score double, document_text string, section_id string, chunk_index int"
