@@ -420,6 +420,52 @@ def test_candidates_repeated_in_and_across_lines(spark, tmp_path):
     assert {r["document_hash"] for r in kept.collect()} == {hashlib.sha256(b"doc").hexdigest()}
 
 
+HITS = "query_id string, query string, retrieval_rank int, chunk_id string, retrieval_score double, document_text string, section_id string, chunk_index int"
+
+
+def test_candidates_whole_check(spark, tmp_path):
+    """Ranks, scores, ids, texts and lacking hashes are checked, pairs by both columns, lines and candidates against the manifest."""
+    def line(query_id, *candidates, **other):
+        fields = ("chunk_id", "retrieval_score", "retrieval_rank", "document_text", "document_hash")
+        each = [{**dict(zip(fields, c[:4])), "document_hash": c[3] and hashlib.sha256(c[3].encode()).hexdigest(), **c[4]} for c in candidates]
+        return json.dumps({"query_id": query_id, "query": "q", "query_hash": hashlib.sha256(b"q").hexdigest(), "candidates": each} | other)
+
+    good = ("c", 0.5, 1, "text", {})
+    lines = {
+        "fine": line("fine", good, ("d", 0.4, 2, "text", {})), "a": line("a", ("b/c", 0.5, 1, "text", {})), "a/b": line("a/b", good), "none": line("none"),
+        "rank": line("rank", ("c", 0.5, 0, "text", {}), ("d", 0.5, None, "text", {})), "score": line("score", ("c", None, 1, "text", {}), ("d", float("inf"), 2, "text", {})),
+        "text": line("text", ("c", 0.5, 1, None, {"document_hash": None})), "hash": line("hash", ("c", 0.5, 1, "text", {"document_hash": None})), "chunk": line("chunk", ("", 0.5, 1, "text", {})),
+        "forged": line("forged", good, query_hash=None), "blank": line("blank", good, query=" \n", query_hash=hashlib.sha256(b"\n").hexdigest()), "list": line("list", candidates=None),
+    }
+    (tmp_path / "c.json").write_text("\n".join(lines.values()) + "\n")
+    found = records.read_candidates(spark, f"file://{tmp_path}/c.json")[1].collect()
+    assert sorted((r["check"], r["id"]) for r in found) == [
+        ("candidates", "list"), ("chunk_id", "chunk/"), ("document_hash", "hash/c"), ("document_text", "text/c"), ("query_hash", "forged"),
+        ("query_text", "blank"), ("rank", "rank/c"), ("rank", "rank/d"), ("score", "score/c"), ("score", "score/d"),
+    ]
+
+    hits = spark.createDataFrame([(f"q{k % 5}", "q", k, f"c{k}", 0.5, "text", "s", 1) for k in range(1, 21)], HITS).repartition(3)
+    path = tmp_path / "folder"
+    versions.write_candidates(hits, f"file://{path}")
+    assert json.loads((path / records.MANIFEST).read_text()) == {"record_count": 5, "pair_count": 20}
+    each, found = records.read_candidates(spark, f"file://{path}")
+    assert each.count() == 20 and found.count() == 0
+    part = next(p for p in path.glob("part*") if p.stat().st_size)
+    (path / f".{part.name}.crc").unlink()
+    whole = part.read_text().splitlines(keepends=True)
+    part.write_text("".join(whole[1:]))
+    assert {(r["check"], r["message"]) for r in records.read_candidates(spark, f"file://{path}")[1].collect()} == {
+        ("record_count", "4, not 5 as in the manifest"), ("pair_count", "16, not 20 as in the manifest")}
+    for p in path.glob("part*"):
+        p.unlink()
+    assert {r["check"] for r in records.read_candidates(spark, f"file://{path}")[1].collect()} == {"record_count", "pair_count"}
+    (path / records.MANIFEST).unlink()
+    assert {r["check"] for r in records.read_candidates(spark, f"file://{path}")[1].collect()} == {"manifest"}
+    versions.write_candidates(hits.limit(0), f"file://{path}")
+    assert json.loads((path / records.MANIFEST).read_text()) == {"record_count": 0, "pair_count": 0}
+    assert records.read_candidates(spark, f"file://{path}")[1].count() == 0
+
+
 def test_bm25_scores_as_plain_code():
     texts = [["a", "b", "a"], None, [], ["c", "d"], ["d", "d", "b", "z"]]
     postings = [("a", 1.5, np.array([0, 2])), ("b", 0.7, np.array([1])), ("d", 0.2, np.array([0, 1, 2])), ("q", 9.0, np.array([1]))]

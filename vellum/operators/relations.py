@@ -296,6 +296,16 @@ def breaks(df: DataFrame, check: str, row_id: str, bad: Column, message: str) ->
     return finding(df.filter(F.coalesce(bad, F.lit(False))), check, row_id, F.lit(message))
 
 
+def breaks_any(df: DataFrame, rules: list[tuple[str, Column, Column, Column]]) -> DataFrame:
+    """Findings of several checks ``(check, bad, id, message)``, in one pass over the rows."""
+    def each(check: str, bad: Column, row_id: Column, message: Column) -> Column:
+        out = F.struct(F.lit("blocking").alias("severity"), F.lit(check).alias("check"), row_id.cast("string").alias("id"), message.alias("message"))
+        return F.when(bad, out)
+
+    some = reduce(lambda a, b: a | b, [F.coalesce(bad, F.lit(False)) for _, bad, _, _ in rules])  # lists are made for faulty rows only
+    return df.filter(some).select(F.explode(F.array_compact(F.array(*[each(*r) for r in rules]))).alias("_f")).select("_f.*")
+
+
 def not_contiguous(df: DataFrame, check: str, by: str, number: str) -> DataFrame:
     """Groups whose numbers aren't 1, 2, …, n without gap or repeat."""
     g = df.groupBy(by).agg(

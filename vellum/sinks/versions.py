@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.arrays import packed, sealed
-from vellum.sources.records import bundle_findings, file_digests
+from vellum.sources.records import MANIFEST, bundle_findings, file_digests
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -125,12 +125,19 @@ def append_sealed(df: DataFrame, path: str) -> None:
 
 
 def write_candidates(hits: DataFrame, path: str, compression: str = "none") -> None:
-    """One line per query with its candidates in rank order; hashes are made after the shuffle."""
+    """One line per query with its candidates in rank order, and a manifest of how many lines and candidates there are.
+
+    Hashes are made after the shuffle; lines and candidates are counted as they are written.
+    """
     item = F.struct("retrieval_rank", "chunk_id", "retrieval_score", "document_text", "section_id", "chunk_index")
     rows = hits.groupBy("query_id", "query").agg(F.array_sort(F.collect_list(item)).alias("candidates"))
     hashed = F.transform("candidates", lambda c: c.withField("document_hash", F.sha2(c["document_text"], 256)))
     rows = rows.withColumns({"candidates": hashed, "query_hash": F.sha2(F.trim("query"), 256)})
-    rows.write.mode("overwrite").option("compression", compression).json(path)
+    counts = Observation()
+    pairs = F.coalesce(F.sum(F.size("candidates")), F.lit(0))
+    seen = rows.observe(counts, F.count("*").alias("record_count"), pairs.alias("pair_count"))
+    seen.write.mode("overwrite").option("compression", compression).json(path)
+    write_text_file(hits.sparkSession, f"{path}/{MANIFEST}", json.dumps(counts.get))
 
 
 def metrics_report(breakdown: DataFrame, columns: list[str]) -> str:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions.arrays import all_finite, from_base64, sealed
-from vellum.operators.relations import SMALL_ROWS, all_findings, breaks, finding, latest, not_found, not_unique
-from vellum.storage import saved
+from vellum.operators.relations import all_findings, breaks, breaks_any, finding, latest, not_found, not_unique
+from vellum.storage import text_in_folder
 
 BLOCK = "struct<kind:string,markdown:string,start_page:int,end_page:int,table_key:string>"
 SCHEMAS = {
@@ -24,6 +24,8 @@ CANDIDATES = (
     "query_id string, query string, query_hash string, candidates array<struct<chunk_id:string,"
     "retrieval_score:double,retrieval_rank:int,document_text:string,document_hash:string,section_id:string,chunk_index:int>>"
 )
+#: In a folder of candidates: how many lines and candidates were written.  Spark's readers leave such names out.
+MANIFEST = "_manifest.json"
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
@@ -99,27 +101,70 @@ def _candidate_rows(rows: DataFrame) -> DataFrame:
     return rows.select("query_id", "query", "query_hash", F.explode("candidates").alias("c")).select("query_id", "query", "query_hash", "c.*")
 
 
+def _count_findings(rows: DataFrame, manifest: str | None) -> DataFrame:
+    """Findings for chunks and queries that come again, and for lines and candidates that the manifest counts otherwise.
+
+    Every line and every candidate is counted, in one scan: a line counts at its first candidate, or as one without any.
+    The manifest's own numbers come as one more row, so that there is a sum even where all lines are lost.
+    """
+    want = json.loads(manifest) if manifest else {}
+    each = rows.select("query_id", F.posexplode_outer("candidates.chunk_id").alias("_at", "chunk_id"))
+    none = F.lit(None).cast("string")
+    counted = each.select("query_id", "chunk_id", F.when(F.coalesce("_at", F.lit(0)) == 0, 1).alias("lines"), F.when(F.col("_at").isNotNull(), 1).alias("pairs"))
+    listed = rows.sparkSession.range(1).select(none.alias("query_id"), none.alias("chunk_id"), *[F.lit(want.get(k)).cast("long").alias(k) for k in ("record_count", "pair_count")])
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("lines", "pairs")] + [F.sum(c).alias(c) for c in ("record_count", "pair_count")]
+    both = counted.unionByName(listed, allowMissingColumns=True)
+    n = both.groupingSets([["query_id", "chunk_id"], ["query_id"], []], "query_id", "chunk_id").agg(F.grouping_id().alias("_set"), *sums)
+    of_pair, of_query, of_all = (F.col("_set") == k for k in (0, 1, 3))
+    pair, other = F.concat_ws("/", "query_id", "chunk_id"), "%d, not %d as in the manifest"
+    rules = [
+        ("chunk", of_pair & (F.col("pairs") > 1) & (pair != ""), pair, F.format_string("%d rows", "pairs")),
+        ("query", of_query & (F.col("lines") > 1) & (F.trim("query_id") != ""), F.col("query_id"), F.format_string("%d rows", "lines")),
+        ("record_count", of_all & (F.col("lines") != F.col("record_count")), none, F.format_string(other, "lines", "record_count")),
+        ("pair_count", of_all & (F.col("pairs") != F.col("pair_count")), none, F.format_string(other, "pairs", "pair_count")),
+    ]
+    if manifest == "":
+        rules.append(("manifest", of_all, none, F.lit("none in the folder")))
+    return breaks_any(n, rules)
+
+
 def read_candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(candidates one per row, findings): hashes, repeated chunks and ranks are checked."""
+    """(candidates one per row, findings): every line and every candidate is checked.
+
+    A line has a query id of its own, a query that isn't blank, its hash and a list of candidates.  A candidate has a chunk id
+    that comes once for its query, a text and its hash, a finite score and a rank from 1.  A folder has a manifest, which tells
+    how many lines and candidates there are; a file that is read by itself needs none.
+    """
     rows = read_json_lines(spark, path, CANDIDATES, strict=True)
-    each = _candidate_rows(rows)
-    pair = F.concat_ws("/", "query_id", "chunk_id")
-    # a pair comes twice in one line or in two lines of one query: only the pairs of such lines are shuffled and counted
-    many = rows.groupBy("query_id").count().filter("count > 1").select(F.col("query_id").alias("_id"), F.lit(True).alias("_many"))
-    many = saved(many, "repeated")
-    many = F.broadcast(many) if many.count() <= SMALL_ROWS else many
-    chunks = F.transform("candidates", lambda c: c["chunk_id"])
-    marked = rows.join(many, F.col("query_id").eqNullSafe(F.col("_id")), "left")
-    suspects = _candidate_rows(marked.filter(F.col("_many") | (F.size(F.array_distinct(chunks)) < F.size(chunks))))
-    found = all_findings(
-        [
-            breaks(rows, "query_hash", "query_id", F.sha2(F.trim("query"), 256) != F.col("query_hash"), "hash differs from the query"),
-            breaks(each.withColumn("pair", pair), "document_hash", "pair", F.sha2("document_text", 256) != F.col("document_hash"), "hash differs from the text"),
-            not_unique(suspects.withColumn("pair", pair), "chunk", "pair"),
-            not_unique(rows, "query", "query_id"),
-        ]
-    )
-    return each, found
+    none = rows.withColumn("_none", F.col("candidates").isNull())
+    lines = none.select("query_id", "query", "query_hash", "_none", F.posexplode_outer("candidates").alias("_at", "c")).select("*", "c.*")
+    pair, first, there = F.concat_ws("/", "query_id", "chunk_id"), F.coalesce("_at", F.lit(0)) == 0, F.col("_at").isNotNull()
+
+    def empty(c: str) -> Column:
+        return F.coalesce(c, F.lit("")) == ""
+
+    def forged(text: Column, digest: str) -> Column:
+        return ~F.sha2(text, 256).eqNullSafe(F.col(digest))
+
+    finite = ~F.isnan("retrieval_score") & (F.abs("retrieval_score") < float("inf"))
+    of_line = [  # looked at beside the line's first candidate
+        ("query_id", empty("query_id"), "no id"),
+        ("query_text", ~F.coalesce(F.col("query").rlike(r"\S"), F.lit(False)), "no query"),
+        ("query_hash", forged(F.trim("query"), "query_hash"), "hash differs from the query"),
+        ("candidates", F.col("_none"), "no list of candidates"),
+    ]
+    of_candidate = [
+        ("chunk_id", empty("chunk_id"), "no id"),
+        ("document_text", empty("document_text"), "no text"),
+        ("document_hash", forged(F.col("document_text"), "document_hash"), "hash differs from the text"),
+        ("score", ~F.coalesce(finite, F.lit(False)), "score isn't finite"),
+        ("rank", F.coalesce("retrieval_rank", F.lit(0)) < 1, "rank isn't from 1"),
+    ]
+    rules = [(check, first & bad, F.col("query_id"), F.lit(message)) for check, bad, message in of_line]
+    rules += [(check, there & bad, pair, F.lit(message)) for check, bad, message in of_candidate]
+    ids = read_json_lines(spark, path, "query_id string, candidates array<struct<chunk_id:string>>", strict=True)
+    counts = _count_findings(ids, text_in_folder(spark, path, MANIFEST))
+    return _candidate_rows(rows), all_findings([breaks_any(lines, rules), counts])
 
 
 def read_queries(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:

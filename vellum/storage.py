@@ -62,6 +62,22 @@ def discard(table: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def text_in_folder(spark: SparkSession, path: str, name: str) -> str | None:
+    """The text of a small file in a folder, empty where it lacks; None where the path is no folder."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder, where = hadoop.Path(path), hadoop.Path(f"{path}/{name}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not (fs.exists(folder) and fs.getFileStatus(folder).isDirectory()):
+        return None
+    if not fs.exists(where):
+        return ""
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def with_positions(df: DataFrame, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``position``: 1, 2, … within each group ``by``, in ``order``, and ``group_rows``.
 
